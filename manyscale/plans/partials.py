@@ -44,12 +44,16 @@ def sum_partials(df: DataFrame, columns: list[str], extract: Callable) -> DataFr
                     slot[0] += n
                     slot[1] += vector
             if size > FLUSH_VALUES:
-                yield from _rows(held)
+                yield from partial_rows(held)
                 held, size = {}, 0
         if held:
-            yield from _rows(held)
+            yield from partial_rows(held)
 
-    partial = df.select(*columns).mapInArrow(task, SCHEMA)
+    return merge_partials(df.select(*columns).mapInArrow(task, SCHEMA))
+
+
+def merge_partials(partial: DataFrame) -> DataFrame:
+    """Rows of ``SCHEMA`` with equal keys added up."""
     merged = partial.groupBy("node_id", "part", "segment").agg(
         F.sum("n").alias("n"),
         Summarizer.metrics("mean", "count").summary(array_to_vector("s")).alias("m"))
@@ -57,7 +61,8 @@ def sum_partials(df: DataFrame, columns: list[str], extract: Callable) -> DataFr
                          F.transform(vector_to_array("m.mean"), lambda v: v * F.col("m.count")).alias("s"))
 
 
-def _rows(held):
+def partial_rows(held: dict[tuple[int, int], list]) -> Iterator[pa.RecordBatch]:
+    """``{(node_id, part): [n, vector]}`` as batches of ``SCHEMA``, long vectors in segments."""
     for (node, part), (n, vector) in held.items():
         flat = np.asarray(vector, dtype=float).ravel()
         starts = list(range(0, flat.size, SEGMENT)) or [0]
