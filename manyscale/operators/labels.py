@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from manyscale.functions import batches as nb
+from manyscale.sources.frames import fold_frames
 
 WINDOW = 1000
 TRAJECTORY = 100_000
@@ -81,8 +82,7 @@ def superpose(frames: DataFrame, reference: Sequence[Sequence[float]], coords: s
     kept = [f for f in frames.schema.fields if f.name != coords]
     schema = T.StructType([*kept, T.StructField("_moved", T.ArrayType(T.DoubleType()))])
     flat = frames.withColumn("_flat", F.flatten(F.col(coords)).cast("array<double>")).drop(coords)
-    triples = F.transform(F.sequence(F.lit(0), F.size("_moved") / 3 - 1), lambda a: F.slice("_moved", a.cast("int") * 3 + 1, 3))
-    return flat.mapInArrow(task, schema).withColumn(coords, triples).drop("_moved")
+    return fold_frames(flat.mapInArrow(task, schema), "_moved", coords)
 
 
 def pairwise_atom_distances(frames: DataFrame, atoms: Sequence[int], coords: str = "coords") -> DataFrame:

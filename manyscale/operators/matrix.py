@@ -87,7 +87,8 @@ def matrix_multiply(a: DataFrame, b: DataFrame, *, block: int = BLOCK, small_sid
     if inner != rows:
         raise ValueError(f"cannot multiply matrices of shape {(n, inner)} and {(rows, width)}")
     if rows * width * 8 > small_side:
-        return from_blocks(multiply_blocks(to_blocks(a, block, block), to_blocks(b, block, block), n // block + 1))
+        product = multiply_blocks(to_blocks(a, block, block), to_blocks(b, block, block), n // block + 1)
+        return from_blocks(product, block)
     right = np.array([r.x for r in b.select("i", arrays.doubles("x").alias("x")).orderBy("i").collect()])
     shipped = storage.checked_broadcast(a.sparkSession, right, right.nbytes, "the right matrix")
 

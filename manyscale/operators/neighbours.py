@@ -29,13 +29,17 @@ def _side(df: DataFrame, id_col: str, x_col: str, metric: Metric, extra: Sequenc
     return df.select(F.col(id_col).cast("long").alias("id"), x.alias("x"), *extra)
 
 
-def check_widths(a: DataFrame, b: DataFrame, metric: Metric) -> None:
-    """Both sides must hold points of one shape; looked at on one row per side."""
-    if metric.textual:
-        return
-    widths = [r.d for r in (s.select(F.size("x").alias("d")).first() for s in (a, b)) if r]
+def _width(side: DataFrame, metric: Metric) -> int | None:
+    first = None if metric.textual else side.select(F.size("x").alias("d")).first()
+    return first.d if first else None
+
+
+def check_widths(a: DataFrame, b: DataFrame, metric: Metric) -> int:
+    """Both sides must hold points of one shape; looked at on one row per side. Returns the width."""
+    widths = [w for w in ((_width(s, metric) for s in ((a,) if a is b else (a, b)))) if w is not None]
     if len(set(widths)) > 1:
         raise ValueError(f"points of length {widths[0]} searched among points of length {widths[1]}")
+    return widths[0] if widths else 1
 
 
 def _crowded(side: DataFrame, rows: int) -> list[int]:
@@ -93,8 +97,8 @@ def knn_join(queries: DataFrame, data: DataFrame, k: int, *, metric: str | Metri
     payload = list(payload)
     q = _side(queries, query_id, query_x, metric)
     x = _side(data, data_id, data_x, metric, payload)
-    check_widths(q, x, metric)
-    size = rows_per_block or blocks.block_rows(x, metric)
+    width = check_widths(q, x, metric)
+    size = rows_per_block or blocks.block_rows(width, metric)
     need = k + 1 if exclude_self else k
     n = x.count()
     copies = _crowded(x, n) if n > size else []
@@ -102,7 +106,8 @@ def knn_join(queries: DataFrame, data: DataFrame, k: int, *, metric: str | Metri
     if copies:
         x = _first_copies(x, copies, need)
         asked = _first_copies(q, copies, 1)
-    model = blocks.make_cells(x, metric, size, need, cells)
+        n = x.count()
+    model = blocks.make_cells(x, n, metric, size, need, cells)
     schema = T.StructType([T.StructField("q_id", T.LongType()), T.StructField("rank", T.IntegerType()),
                            T.StructField("nbr_id", T.LongType()), T.StructField("d", T.DoubleType()),
                            *[x.schema[c] for c in payload]])
@@ -185,11 +190,12 @@ def _lists_task(metric: Metric, r: float):
     return task
 
 
-def _prepared(a, b, metric, a_id, b_id, a_x, b_x):
+def _prepared(a, b, metric, a_id, b_id, a_x, b_x, rows_per_block):
+    """Both sides in standard form, and the rows per block."""
     left = _side(a, a_id, a_x, metric)
-    right = _side(b, b_id, b_x, metric)
-    check_widths(left, right, metric)
-    return left, right
+    right = left if a is b and (a_id, a_x) == (b_id, b_x) else _side(b, b_id, b_x, metric)
+    width = check_widths(left, right, metric)
+    return left, right, rows_per_block or blocks.block_rows(width, metric)
 
 
 def range_join(a: DataFrame, b: DataFrame, r: float, *, metric: str | Metric = "euclidean", eps: float = 0.0,
@@ -201,11 +207,11 @@ def range_join(a: DataFrame, b: DataFrame, r: float, *, metric: str | Metric = "
     cells that lie within ``r * (1 + eps)`` are taken as a whole.
     """
     metric = named(metric)
-    left, right = _prepared(a, b, metric, a_id, b_id, a_x, b_x)
-    size = rows_per_block or blocks.block_rows(right, metric)
-    model = blocks.make_cells(right, metric, size, 0, cells)
-    found, _ = blocks.block_join(left, right, metric, model, blocks.reach_range(r, eps),
-                                 _pairs_task(metric, r, False), "i long, j long, d double", rows_per_block=size)
+    left, right, size = _prepared(a, b, metric, a_id, b_id, a_x, b_x, rows_per_block)
+    n = right.count()
+    model = blocks.make_cells(right, n, metric, size, 0, cells)
+    found, _ = blocks.block_join(left, right, metric, model, blocks.reach_range(r, eps), _pairs_task(metric, r, False),
+                                 "i long, j long, d double", rows_per_block=size, n_queries=n if left is right else None)
     return found
 
 
@@ -214,12 +220,12 @@ def close_pairs(a: DataFrame, r: float, *, metric: str | Metric = "euclidean", e
                 rows_per_block: int | None = None) -> DataFrame:
     """Pairs within one table, ``i < j``, at distance ``<= r``: ``(i, j, d)``; each pair is met once."""
     metric = named(metric)
-    rows = _side(a, id_col, x_col, metric)
-    size = rows_per_block or blocks.block_rows(rows, metric)
-    model = blocks.make_cells(rows, metric, size, 0, cells)
+    rows, _, size = _prepared(a, a, metric, id_col, id_col, x_col, x_col, rows_per_block)
+    n = rows.count()
+    model = blocks.make_cells(rows, n, metric, size, 0, cells)
     found, _ = blocks.block_join(rows, rows, metric, model, blocks.reach_range(r, eps),
                                  _pairs_task(metric, r, True), "i long, j long, d double",
-                                 rows_per_block=size, self_join=True)
+                                 rows_per_block=size, n_queries=n, self_join=True)
     return found
 
 
@@ -238,9 +244,8 @@ def ball_search(queries: DataFrame, data: DataFrame, r: float, *, metric: str |
     Queries without neighbours keep one row with empty lists.
     """
     metric = named(metric)
-    q, x = _prepared(queries, data, metric, query_id, data_id, query_x, data_x)
-    size = rows_per_block or blocks.block_rows(x, metric)
-    model = blocks.make_cells(x, metric, size, 0, cells)
+    q, x, size = _prepared(queries, data, metric, query_id, data_id, query_x, data_x, rows_per_block)
+    model = blocks.make_cells(x, x.count(), metric, size, 0, cells)
     found, _ = blocks.block_join(q, x, metric, model, blocks.reach_range(r, eps), _lists_task(metric, r),
                                  "q_id long, nbr_ids array<long>, ds array<double>", rows_per_block=size)
     nothing = F.array().cast("array<long>"), F.array().cast("array<double>")
@@ -285,16 +290,18 @@ def count_pairs(a: DataFrame, b: DataFrame, radii: float | Sequence[float], *,
     metric = named(metric)
     asked = [float(r) for r in np.atleast_1d(radii)]
     ordered = np.array(sorted(set(asked)))
-    left, right = _prepared(a, b, metric, a_id, b_id, a_x, b_x)
+    left, right, size = _prepared(a, b, metric, a_id, b_id, a_x, b_x, rows_per_block)
 
     def weighted(side: DataFrame) -> DataFrame:
         return side.groupBy("x").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("w")).select("id", "x", "w")
 
-    left, right = weighted(left), weighted(right)
-    size = rows_per_block or blocks.block_rows(right, metric)
-    model = blocks.make_cells(right, metric, size, 0, cells)
+    n = right.count()
+    original, right = right, weighted(right)
+    left = right if left is original else weighted(left)
+    model = blocks.make_cells(right, n, metric, size, 0, cells)
     found, _ = blocks.block_join(left, right, metric, model, blocks.reach_counts(ordered),
-                                 _count_task(metric, ordered), "t int, n long", rows_per_block=size)
+                                 _count_task(metric, ordered), "t int, n long", rows_per_block=size,
+                                 n_queries=n if left is right else None)
     if model.pivots is not None:
         found = found.unionByName(_inside_counts(left, metric, model, ordered))
     spark = a.sparkSession
@@ -332,8 +339,7 @@ def distance_matrix(a: DataFrame, b: DataFrame, *, metric: str | Metric = "eucli
     ``js`` is ascending. Use ``matrix_entries`` for one row per pair.
     """
     metric = named(metric)
-    left, right = _prepared(a, b, metric, a_id, b_id, a_x, b_x)
-    size = rows_per_block or blocks.block_rows(right, metric)
+    left, right, size = _prepared(a, b, metric, a_id, b_id, a_x, b_x, rows_per_block)
 
     def task(q: Side, x: Side) -> Iterator[pa.RecordBatch]:
         order = np.argsort(x.ids, kind="stable")

@@ -89,13 +89,11 @@ def assign(metric: Metric, points: np.ndarray, pivots: np.ndarray) -> tuple[np.n
     return best, own
 
 
-def block_rows(df: DataFrame, metric: Metric) -> int:
+def block_rows(width: int, metric: Metric) -> int:
     """Rows per block from the width of a row."""
     if metric.textual:
         return 8192
-    first = df.select(F.size("x").alias("d")).first()
-    width = max(1, first.d if first else 1)
-    return int(min(65_536, max(1024, BLOCK_BYTES // (8 * width))))
+    return int(min(65_536, max(1024, BLOCK_BYTES // (8 * max(1, width)))))
 
 
 def pick_pivots(data: DataFrame, count: int, metric: Metric) -> np.ndarray:
@@ -149,9 +147,8 @@ def cell_statistics(data: DataFrame, metric: Metric, pivots: np.ndarray, near: i
     return out
 
 
-def make_cells(data: DataFrame, metric: Metric, rows_per_block: int, near: int, count: int | None) -> Cells:
-    """Cells for ``data(id, x)``: a single one when everything fits a block, unless asked otherwise."""
-    n = data.count()
+def make_cells(data: DataFrame, n: int, metric: Metric, rows_per_block: int, near: int, count: int | None) -> Cells:
+    """Cells for the ``n`` rows of ``data(id, x)``: a single one when all fit a block, unless asked otherwise."""
     if count is None:
         count = 1 if n <= rows_per_block else min(MAX_CELLS, 2 * math.ceil(n / rows_per_block))
     if count <= 1 or n == 0:
@@ -271,7 +268,8 @@ def _spread(counts: np.ndarray) -> Column:
 
 def block_join(queries: DataFrame, data: DataFrame, metric: Metric, cells: Cells, reach: Callable,
                task: Callable[[Side, Side], Iterator[pa.RecordBatch]], schema: str | T.StructType, *,
-               rows_per_block: int, self_join: bool = False) -> tuple[DataFrame, bool]:
+               rows_per_block: int, n_queries: int | None = None,
+               self_join: bool = False) -> tuple[DataFrame, bool]:
     """Run ``task(query rows, data block)`` on every pair of blocks that may hold a match.
 
     ``queries`` and ``data`` have columns ``id, x`` and may carry more. The flag returned with
@@ -280,7 +278,7 @@ def block_join(queries: DataFrame, data: DataFrame, metric: Metric, cells: Cells
     spark = queries.sparkSession
     routed = route(queries, metric, cells, reach, self_join)
     if cells.pivots is None:
-        visits = np.array([queries.count()])
+        visits = np.array([queries.count() if n_queries is None else n_queries])
     else:
         visits = np.zeros(len(cells), np.int64)
         for r in routed.groupBy("cell").count().collect():

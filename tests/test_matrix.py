@@ -14,7 +14,9 @@ def rows(table):
 
 
 def dense(df):
-    return np.array([r.x for r in df.orderBy("i").collect()])
+    found = df.orderBy("i").collect()
+    assert [r.i for r in found] == list(range(len(found)))
+    return np.array([r.x for r in found])
 
 
 def from_entries(df):
