@@ -160,8 +160,8 @@ def svm(train: DataFrame, test: DataFrame, *, size: int = 256, gamma: float | No
     """Support vector machine with a Gaussian kernel, approximated by random features under linear machines."""
     classes = class_labels(train)
     lift = lambda df: random_features(df, size, gamma, seed)
-    machine = LinearSVC(featuresCol="_f", labelCol="_c", predictionCol="_p", maxIter=50)
-    fitted = OneVsRest(classifier=machine, featuresCol="_f", labelCol="_c", predictionCol="_p").fit(_indexed(lift(train), classes, "features"))
+    machine = LinearSVC(featuresCol="_f", labelCol="_c", predictionCol="_p", maxIter=50, tol=1e-3)
+    fitted = OneVsRest(classifier=machine, featuresCol="_f", labelCol="_c", predictionCol="_p", parallelism=4).fit(_indexed(lift(train), classes, "features"))
     return _library_predict(fitted, classes, lift(test), "features").drop("features")
 
 

@@ -562,28 +562,53 @@ def project_points_by_level(points: DataFrame, tree: CellTree) -> DataFrame:
     return _apply(points, tree, "level", _rep_batches, REP_SCHEMA)
 
 
+def _hats(path, x, cells, level):
+    """``P_level(x)`` of the rows, or as much of it as the cells at hand cover."""
+    nodes = path[min(level, len(path) - 1)]
+    for k, rows, xc, basis in _in_cells(x, nodes, cells):
+        yield k, rows, xc @ basis.T @ basis + cells[k][0]
+
+
 def reconstructions(points: DataFrame, tree: CellTree) -> DataFrame:
     """``P_j(x)`` of training points per level, including levels below an early leaf: ``(point_id, level, node_id, x_hat)``."""
     depth = tree.depth
 
     def compute(ids, path, x, cells):
         for level in range(depth + 1):
-            nodes = path[min(level, len(path) - 1)]
-            for k, rows, xc, basis in _in_cells(x, nodes, cells):
+            for k, rows, hat in _hats(path, x, cells, level):
                 yield pa.RecordBatch.from_arrays(
                     [ids.take(pa.array(rows)), pa.array(np.full(len(rows), level), pa.int32()),
-                     pa.array(np.full(len(rows), k)), nb.from_matrix(xc @ basis.T @ basis + cells[k][0])],
-                    names=["point_id", "level", "node_id", "x_hat"])
+                     pa.array(np.full(len(rows), k)), nb.from_matrix(hat)], names=["point_id", "level", "node_id", "x_hat"])
 
     return _apply(points, tree, "split", compute, "point_id long, level int, node_id long, x_hat array<double>")
 
 
 def wavelets(points: DataFrame, tree: CellTree) -> DataFrame:
-    """``Q_j(x) = P_{j+1}(x) - P_j(x)`` per point: ``(point_id, level, q)`` for levels ``0 .. depth - 1``."""
-    order = Window.partitionBy("point_id").orderBy("level")
-    steps = reconstructions(points, tree).withColumn("finer", F.lead("x_hat").over(order))
-    return steps.where(F.col("finer").isNotNull()).select(
-        "point_id", "level", arrays.subtract(F.col("finer"), F.col("x_hat")).alias("q"))
+    """``Q_j(x) = P_{j+1}(x) - P_j(x)`` per point: ``(point_id, level, q)`` for levels ``0 .. depth - 1``.
+
+    All levels of a point are at hand in one task, so nothing is shuffled, unless the model has to
+    be applied in several passes.
+    """
+    depth = tree.depth
+    if len(_basis_groups(tree)) > 1:
+        order = Window.partitionBy("point_id").orderBy("level")
+        steps = reconstructions(points, tree).withColumn("finer", F.lead("x_hat").over(order))
+        return steps.where(F.col("finer").isNotNull()).select(
+            "point_id", "level", arrays.subtract(F.col("finer"), F.col("x_hat")).alias("q"))
+
+    def compute(ids, path, x, cells):
+        coarse = None
+        for level in range(depth + 1):
+            fine = np.empty_like(x)
+            for _, rows, hat in _hats(path, x, cells, level):
+                fine[rows] = hat
+            if level:
+                yield pa.RecordBatch.from_arrays(
+                    [ids, pa.array(np.full(len(x), level - 1), pa.int32()), nb.from_matrix(fine - coarse)],
+                    names=["point_id", "level", "q"])
+            coarse = fine
+
+    return _apply(points, tree, "split", compute, "point_id long, level int, q array<double>")
 
 
 def wavelet_bases(nodes: DataFrame) -> DataFrame:

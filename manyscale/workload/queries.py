@@ -6,6 +6,8 @@ import uuid
 from collections.abc import Callable
 
 import numpy as np
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,8 +34,14 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def solid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The points in their first three coordinates."""
-    return points(spark, sf_dir).select("point_id", F.slice("x", 1, 3).alias("x"), "label")
+    """The points in three Walsh directions, where pruning has something to gain."""
+    axes = [arrays.dot(F.col("x"), arrays.literal(w)) for w in walsh(1, 2, 3)]
+    return points(spark, sf_dir).select("point_id", F.array(*axes).alias("x"), "label")
+
+
+def mirrored(df: DataFrame) -> DataFrame:
+    """A second table of points: the same ids with their vectors reversed."""
+    return df.select("point_id", F.reverse("x").alias("x"))
 
 
 def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -344,14 +352,14 @@ def fit_cells(spark, sf_dir):
 @query
 def fit_tree(spark, sf_dir):
     return tree.fit_tree(points(spark, sf_dir), 5, 3).nodes(spark).select(
-        "node_id", "level", "parent_id", "n", norm2("center").alias("center_norm2"), "is_leaf")
+        "node_id", "level", F.coalesce("parent_id", F.lit(-1)).alias("parent_id"), "n", norm2("center").alias("center_norm2"), "is_leaf")
 
 
 @query
 def fit_tree_distributed(spark, sf_dir):
     """The same tree with every cell split and fitted by passes over the whole table."""
     return tree.fit_tree(points(spark, sf_dir), 5, 2, max_local_rows=0).nodes(spark).select(
-        "node_id", "level", "parent_id", "n", norm2("center").alias("center_norm2"), "is_leaf")
+        "node_id", "level", F.coalesce("parent_id", F.lit(-1)).alias("parent_id"), "n", norm2("center").alias("center_norm2"), "is_leaf")
 
 
 @query
@@ -375,13 +383,12 @@ def representations(spark, sf_dir):
 
 
 def label_tree(spark, sf_dir):
-    """A stored model: node k has the mean of label k as center and Walsh directions k+1 .. k+3."""
-    means = points(spark, sf_dir).where("label < 7").select("label", F.posexplode("x").alias("pos", "v")).groupBy("label", "pos").agg(F.avg("v").alias("m"))
-    gathered = means.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("pos", "m"))).alias("c")).collect()
+    """A stored model of seven cells: node k has the mean of the points with label k (mod 7) as center
+    and Walsh directions k+1 .. k+3."""
+    grouped = points(spark, sf_dir).groupBy((F.col("label") % 7).alias("k"))
     model = tree.CellTree(3, 64)
-    for r in gathered:
-        center = np.array([e.m for e in r.c])
-        model.cells[r.label] = tree.Cell(r.label, 1, center, center if r.label else None, walsh(r.label + 1, r.label + 2, r.label + 3), np.ones(3))
+    for k, x in grouped.agg(vector_to_array(Summarizer.mean(array_to_vector("x"))).alias("x")).collect():
+        model.cells[k] = tree.Cell(k, 1, np.array(x), np.array(x) if k else None, walsh(k + 1, k + 2, k + 3), np.ones(3))
     return model
 
 
@@ -557,13 +564,13 @@ def _pairs(found):
 @query
 def range_join(spark, sf_dir):
     p = points(spark, sf_dir)
-    return _pairs(neighbours.range_join(p.where("label % 2 = 0"), p.where("label % 2 = 1"), 1.2))
+    return _pairs(neighbours.range_join(p, mirrored(p), 1.2))
 
 
 @query
 def range_join_pruned(spark, sf_dir):
     p = solid(spark, sf_dir)
-    return _pairs(neighbours.range_join(p.where("label % 2 = 0"), p.where("label % 2 = 1"), 0.05, cells=20))
+    return _pairs(neighbours.range_join(p, mirrored(p), 0.05, cells=20))
 
 
 @query

@@ -119,8 +119,10 @@ def test_early_leaves_are_filled(spark):
     assert got == {1: [1.0, 2.0, 3.0, 0.0, 3.0, 0.0], 2: [4.0, 5.0, 6.0, 7.0, 8.0, 9.0]}
 
 
-def test_wavelets_telescope(fitted):
+@pytest.mark.parametrize("limit", [2**29, 40_000])
+def test_wavelets_telescope(fitted, monkeypatch, limit):
     points, tree = fitted
+    monkeypatch.setattr(T.storage, "BROADCAST_LIMIT", limit)
     rec = {(r.point_id, r.level): np.array(r.x_hat) for r in T.reconstructions(points, tree).collect()}
     total = {}
     for r in T.wavelets(points, tree).collect():
