@@ -19,7 +19,7 @@ from manyscale.operators import labels as splits
 from manyscale.operators import tree as cells
 from manyscale.operators.decomposition import _with_vectors, table_width
 from manyscale.operators.neighbours import knn_join
-from manyscale.plans import workers
+from manyscale.plans import storage, workers
 
 MAX_CLASSES = 10_000
 ALPHA = 0.0001
@@ -206,14 +206,16 @@ def sweep(points: DataFrame, classifiers: Sequence[str], dims: Sequence[int], le
           test_share: float = 0.2, tree: cells.CellTree | None = None) -> DataFrame:
     """Accuracy for every manifold dimension and number of levels: ``(classifier, d, r, n, accuracy)``.
 
-    The tree is fitted once at the largest values; smaller settings cut its representations.
+    The tree is fitted once at the largest values and its features stored; smaller settings cut them.
     """
     tree = tree or cells.fit_tree(points, max(dims), max(levels) - 1)
-    labels = points.select("point_id", "label")
+    widest, deepest = max(dims), max(levels)
+    full = storage.materialize(cells.feature_vectors(points, tree, deepest, widest, keep=["label"]))
     out = None
     for d in dims:
         for r in levels:
-            features = cells.feature_vectors(points, tree, r, d).join(labels, "point_id")
+            cut = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(r - 1)), lambda j: F.slice("x", j * widest + 1, d)))
+            features = full.select("point_id", cut.alias("x"), "label")
             for name in classifiers:
                 row = classify(features, name, test_share).select("classifier", F.lit(d).alias("d"), F.lit(r).alias("r"), "n", "accuracy")
                 out = row if out is None else out.unionByName(row)

@@ -10,7 +10,7 @@ cells are grouped by cell in a single shuffle and the rest of each subtree is fi
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -19,6 +19,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from manyscale.functions import arrays, linear
@@ -142,8 +143,8 @@ def grouped_sums(points: np.ndarray, keys: np.ndarray) -> Iterator[tuple[int, in
     return zip(found.tolist(), counts.tolist(), sums)
 
 
-def _vectors(points: DataFrame) -> DataFrame:
-    return points.select(F.col("point_id").cast("long").alias("point_id"), arrays.doubles("x").alias("x"))
+def _vectors(points: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    return points.select(F.col("point_id").cast("long").alias("point_id"), arrays.doubles("x").alias("x"), *keep)
 
 
 def _share(spark: SparkSession, centers: dict[int, np.ndarray], width: int):
@@ -354,7 +355,8 @@ def _grow_local(root: Cell, ids, x, d: int, levels: int, rounds: int, prune, aga
 
 
 def _grow_small(points: DataFrame, tree: CellTree, small: dict[int, int], rounds, prune, against) -> list[Cell]:
-    """Subtrees of all cells that fit a task, with one shuffle by cell."""
+    """Subtrees of all cells that fit a task, with one shuffle by cell. A root that has not been
+    fitted yet is fitted there too and returned with the rest."""
     rows, spark = _vectors(points), points.sparkSession
     routes = _share(spark, {k: c.split_center for k, c in tree.cells.items() if k}, tree.width)
     wanted = np.array(sorted(small))
@@ -373,7 +375,12 @@ def _grow_small(points: DataFrame, tree: CellTree, small: dict[int, int], rounds
         ids, x = nb.to_numpy(table.column("point_id")), nb.to_matrix(table.column("x"))
         order = np.argsort(ids)
         root, levels = model.value[int(table.column("cell")[0].as_py())]
-        cells = _grow_local(root, ids[order], x[order], d, levels, rounds, prune, against)
+        x, fresh = x[order], []
+        if root.basis is None:
+            center = x.mean(axis=0)
+            root = Cell(root.node_id, root.n, center, center, *linear.basis_from_rows(x - center, d))
+            fresh = [root]
+        cells = fresh + _grow_local(root, ids[order], x, d, levels, rounds, prune, against)
         flat = lambda values, size: nb.from_matrix(np.array(values).reshape(len(cells), size))
         width = x.shape[1]
         return pa.table({
@@ -407,11 +414,15 @@ def fit_tree(points: DataFrame, d: int, resolution: int, *, prune: float | None
     if (2 ** (resolution + 1)) * root.high * 16 > 4 * storage.BROADCAST_LIMIT and root.n > 2**resolution:
         raise ValueError("a tree this deep and wide has more centers than tasks can hold; lower the resolution")
     local = max(1, LOCAL_BYTES // (8 * root.high)) if max_local_rows is None else max_local_rows
-    center = rows.agg(vector_to_array(Summarizer.mean(array_to_vector("x"))).alias("center")).first().center
-    tree = CellTree(d, root.high, {0: Cell(0, root.n, np.array(center))})
-    fit_cells(points, tree, {0: tree.cells[0]}, gram_width)
+    tree = CellTree(d, root.high, {0: Cell(0, root.n, np.zeros(root.high))})
     live, small = [0], {}
-    for level in range(resolution):
+    if root.n <= local:
+        small = {0: resolution}
+    else:
+        center = rows.agg(vector_to_array(Summarizer.mean(array_to_vector("x"))).alias("center")).first().center
+        tree.cells[0].center = np.array(center)
+        fit_cells(points, tree, {0: tree.cells[0]}, gram_width)
+    for level in range(0 if small else resolution):
         small |= {k: resolution - level for k in live if 1 < tree.cells[k].n <= local}
         live = [k for k in live if tree.cells[k].n > max(1, local)]
         if not live:
@@ -420,6 +431,7 @@ def fit_tree(points: DataFrame, d: int, resolution: int, *, prune: float | None
     if small:
         for cell in _grow_small(points, tree, small, rounds, prune, against):
             tree.cells[cell.node_id] = cell
+    tree.cells[0].split_center = None
     return tree
 
 
@@ -490,9 +502,9 @@ def _basis_groups(tree: CellTree) -> list[list[int]]:
     return [ids[s : s + fit] for s in range(0, len(ids), fit)]
 
 
-def _apply(points: DataFrame, tree: CellTree, by: str, compute, schema: str) -> DataFrame:
-    """Run ``compute(ids, path, x, cells)`` in tasks; ``path`` is the node of each row per level."""
-    rows, spark = _vectors(points), points.sparkSession
+def _apply(points: DataFrame, tree: CellTree, by: str, compute, schema: str | StructType, keep: Sequence[str] = ()) -> DataFrame:
+    """Run ``compute(ids, path, x, cells, kept columns)`` in tasks; ``path`` is the node of each row per level."""
+    rows, spark = _vectors(points, keep), points.sparkSession
     centers = {k: (c.split_center if by == "split" else c.center) for k, c in tree.cells.items() if k}
     width = tree.width
     routes = _share(spark, centers, width)
@@ -513,7 +525,8 @@ def _apply(points: DataFrame, tree: CellTree, by: str, compute, schema: str) ->
                     path = routes.value.path(x)
                 else:
                     path = _nearest_by_level(x, by_level, routes.value)
-                yield from compute(batch.column("point_id"), path, x, model.value)
+                kept = [batch.column(c) for c in keep]
+                yield from compute(batch.column("point_id"), path, x, model.value, *kept)
 
         part = rows.mapInArrow(task, schema)
         result = part if result is None else result.unionByName(part)
@@ -641,22 +654,27 @@ def multiscale_features(reps: DataFrame, levels: int, d: int) -> DataFrame:
 
 
 def feature_vectors(points: DataFrame, tree: CellTree, levels: int | None = None, d: int | None = None, *,
-                    new_points: bool = False) -> DataFrame:
-    """The same features straight from points and model, in one pass without a shuffle: ``(point_id, x)``."""
+                    new_points: bool = False, keep: Sequence[str] = ()) -> DataFrame:
+    """The same features straight from points and model, in one pass without a shuffle: ``(point_id, x)``
+    and any columns of ``points`` named in ``keep``."""
     levels = tree.depth + 1 if levels is None else levels
     d = tree.d if d is None else d
     if len(_basis_groups(tree)) > 1:
-        return multiscale_features((project_points if new_points else representations)(points, tree), levels, d)
+        made = multiscale_features((project_points if new_points else representations)(points, tree), levels, d)
+        return made.join(points.select("point_id", *keep), "point_id") if keep else made
 
-    def compute(ids, path, x, cells):
+    def compute(ids, path, x, cells, *kept):
         out = np.zeros((len(x), levels, d))
         for level in range(levels):
             for _, rows, xc, basis in _in_cells(x, path[min(level, len(path) - 1)], cells):
                 z = xc @ basis[:d].T
                 out[rows, level, : z.shape[1]] = z
-        yield pa.RecordBatch.from_arrays([ids, nb.from_matrix(out.reshape(len(x), -1))], names=["point_id", "x"])
+        yield pa.RecordBatch.from_arrays([ids, nb.from_matrix(out.reshape(len(x), -1)), *kept], names=["point_id", "x", *keep])
 
-    return _apply(points, tree, "center" if new_points else "split", compute, "point_id long, x array<double>")
+    schema = StructType.fromDDL("point_id long, x array<double>")
+    for c in keep:
+        schema = schema.add(points.schema[c])
+    return _apply(points, tree, "center" if new_points else "split", compute, schema, keep)
 
 
 def check_partition(reps: DataFrame, levels: int) -> DataFrame:

@@ -456,7 +456,7 @@ def level_sizes(spark, sf_dir):
 def tree_features_knn(spark, sf_dir):
     """Flagship: fit the tree, turn points into multi-scale features, classify each point by its neighbours."""
     p = points(spark, sf_dir)
-    features = tree.feature_vectors(p, tree.fit_tree(p, 5, 3)).join(p.select("point_id", "label"), "point_id")
+    features = storage.materialize(tree.feature_vectors(p, tree.fit_tree(p, 5, 3), keep=["label"]))
     return classify.knn_classify(features, features, 7, exclude_self=True)
 
 
