@@ -107,13 +107,14 @@ def knn_join(queries: DataFrame, data: DataFrame, k: int, *, metric: str | Metri
         x = _first_copies(x, copies, need)
         asked = _first_copies(q, copies, 1)
         n = x.count()
-    model = blocks.make_cells(x, n, metric, size, need, cells)
+    reach = blocks.reach_knn(need, eps, distance_upper_bound)
+    model = blocks.make_cells(x, n, metric, size, need, cells, asked, reach)
     schema = T.StructType([T.StructField("q_id", T.LongType()), T.StructField("rank", T.IntegerType()),
                            T.StructField("nbr_id", T.LongType()), T.StructField("d", T.DoubleType()),
                            *[x.schema[c] for c in payload]])
     want = need if copies else k
     found, several = blocks.block_join(
-        asked, x, metric, model, blocks.reach_knn(need, eps, distance_upper_bound),
+        asked, x, metric, model, reach,
         _top_task(metric, want, distance_upper_bound, payload, exclude_self and not copies), schema, rows_per_block=size)
     if several:
         found = _ranked(found, want)
@@ -209,8 +210,9 @@ def range_join(a: DataFrame, b: DataFrame, r: float, *, metric: str | Metric = "
     metric = named(metric)
     left, right, size = _prepared(a, b, metric, a_id, b_id, a_x, b_x, rows_per_block)
     n = right.count()
-    model = blocks.make_cells(right, n, metric, size, 0, cells)
-    found, _ = blocks.block_join(left, right, metric, model, blocks.reach_range(r, eps), _pairs_task(metric, r, False),
+    reach = blocks.reach_range(r, eps)
+    model = blocks.make_cells(right, n, metric, size, 0, cells, left, reach)
+    found, _ = blocks.block_join(left, right, metric, model, reach, _pairs_task(metric, r, False),
                                  "i long, j long, d double", rows_per_block=size, n_queries=n if left is right else None)
     return found
 
@@ -222,8 +224,9 @@ def close_pairs(a: DataFrame, r: float, *, metric: str | Metric = "euclidean", e
     metric = named(metric)
     rows, _, size = _prepared(a, a, metric, id_col, id_col, x_col, x_col, rows_per_block)
     n = rows.count()
-    model = blocks.make_cells(rows, n, metric, size, 0, cells)
-    found, _ = blocks.block_join(rows, rows, metric, model, blocks.reach_range(r, eps),
+    reach = blocks.reach_range(r, eps)
+    model = blocks.make_cells(rows, n, metric, size, 0, cells, rows, reach)
+    found, _ = blocks.block_join(rows, rows, metric, model, reach,
                                  _pairs_task(metric, r, True), "i long, j long, d double",
                                  rows_per_block=size, n_queries=n, self_join=True)
     return found
@@ -245,8 +248,9 @@ def ball_search(queries: DataFrame, data: DataFrame, r: float, *, metric: str |
     """
     metric = named(metric)
     q, x, size = _prepared(queries, data, metric, query_id, data_id, query_x, data_x, rows_per_block)
-    model = blocks.make_cells(x, x.count(), metric, size, 0, cells)
-    found, _ = blocks.block_join(q, x, metric, model, blocks.reach_range(r, eps), _lists_task(metric, r),
+    reach = blocks.reach_range(r, eps)
+    model = blocks.make_cells(x, x.count(), metric, size, 0, cells, q, reach)
+    found, _ = blocks.block_join(q, x, metric, model, reach, _lists_task(metric, r),
                                  "q_id long, nbr_ids array<long>, ds array<double>", rows_per_block=size)
     nothing = F.array().cast("array<long>"), F.array().cast("array<double>")
     return q.select(F.col("id").alias("q_id")).join(found, "q_id", "left").select(
@@ -261,7 +265,7 @@ def neighbours_within(queries: DataFrame, data: DataFrame, distance_upper_bound:
 def _count_task(metric: Metric, radii: np.ndarray):
     def task(q: Side, x: Side) -> Iterator[pa.RecordBatch]:
         d, slack = metric.block(q.points, x.points)
-        qw, xw = to_numpy(q.columns["w"]), to_numpy(x.columns["w"])
+        qw, xw = to_numpy(q.columns["w"]), to_numpy(x.columns["w"]).astype(float)
         sums = []
         for t, r in enumerate(radii):
             open_rows = (q.lo <= t) & (t < q.hi)
@@ -269,7 +273,7 @@ def _count_task(metric: Metric, radii: np.ndarray):
             if slack:
                 rows, cols = np.nonzero((d <= r + slack) & ~sure)
                 sure[rows, cols] = blocks.exact(metric, q.points, x.points, rows, cols) <= r
-            sums.append(int((qw * open_rows) @ (sure @ xw)))
+            sums.append(int((qw * open_rows) @ (sure @ xw).astype(np.int64)))
         yield pa.RecordBatch.from_arrays([pa.array(range(len(radii)), pa.int32()), pa.array(sums, pa.int64())],
                                          names=["t", "n"])
 
@@ -298,8 +302,9 @@ def count_pairs(a: DataFrame, b: DataFrame, radii: float | Sequence[float], *,
     n = right.count()
     original, right = right, weighted(right)
     left = right if left is original else weighted(left)
-    model = blocks.make_cells(right, n, metric, size, 0, cells)
-    found, _ = blocks.block_join(left, right, metric, model, blocks.reach_counts(ordered),
+    reach = blocks.reach_counts(ordered)
+    model = blocks.make_cells(right, n, metric, size, 0, cells, left, reach)
+    found, _ = blocks.block_join(left, right, metric, model, reach,
                                  _count_task(metric, ordered), "t int, n long", rows_per_block=size,
                                  n_queries=n if left is right else None)
     if model.pivots is not None:

@@ -25,7 +25,7 @@ from manyscale.functions.metrics import Metric
 
 BLOCK_BYTES = 32 * 1024 * 1024
 TILE_VALUES = 4_000_000
-MAX_CELLS = 512
+MAX_CELLS = 2048
 HIT = "array<struct<cell:int,lo:int,hi:int>>"
 
 
@@ -96,12 +96,16 @@ def block_rows(width: int, metric: Metric) -> int:
     return int(min(65_536, max(1024, BLOCK_BYTES // (8 * max(1, width)))))
 
 
-def pick_pivots(data: DataFrame, count: int, metric: Metric) -> np.ndarray:
-    """``count`` distinct rows in a fixed pseudo-random order of their ids."""
+def _spread_rows(data: DataFrame, count: int, metric: Metric) -> np.ndarray:
+    """``count`` rows in a fixed pseudo-random order of their ids."""
     rows = data.orderBy(F.xxhash64("id"), "id").select("x").limit(count).collect()
-    if metric.textual:
-        return np.array(sorted({r.x for r in rows}), dtype=object)
-    return np.unique(np.array([r.x for r in rows], dtype=float), axis=0)
+    return np.array([r.x for r in rows], dtype=object if metric.textual else float)
+
+
+def pick_pivots(data: DataFrame, count: int, metric: Metric) -> np.ndarray:
+    """At most ``count`` distinct points of the table, in a fixed order."""
+    rows = _spread_rows(data, count, metric)
+    return np.array(sorted(set(rows)), dtype=object) if metric.textual else np.unique(rows, axis=0)
 
 
 def cell_statistics(data: DataFrame, metric: Metric, pivots: np.ndarray, near: int = 0) -> Cells:
@@ -147,13 +151,29 @@ def cell_statistics(data: DataFrame, metric: Metric, pivots: np.ndarray, near: i
     return out
 
 
-def make_cells(data: DataFrame, n: int, metric: Metric, rows_per_block: int, near: int, count: int | None) -> Cells:
-    """Cells for the ``n`` rows of ``data(id, x)``: a single one when all fit a block, unless asked otherwise."""
-    if count is None:
-        count = 1 if n <= rows_per_block else min(MAX_CELLS, 2 * math.ceil(n / rows_per_block))
-    if count <= 1 or n == 0:
-        return Cells(None, np.array([n]))
-    return cell_statistics(data, metric, pick_pivots(data, count, metric), near)
+def make_cells(data: DataFrame, n: int, metric: Metric, rows_per_block: int, near: int, count: int | None,
+               queries: DataFrame, reach: Callable) -> Cells:
+    """Cells for the ``n`` rows of ``data(id, x)``: a single one when all fit a block, unless asked otherwise.
+
+    Pivots only pay if the bounds rule rows out. On data where they do not, such as isotropic
+    vectors of many dimensions, a query would travel to every cell for nothing, so plain blocks
+    are used when a look at some queries shows them visiting more than half of the rows.
+    """
+    one = Cells(None, np.array([n]))
+    if n == 0 or (count is None and n <= rows_per_block) or (count is not None and count <= 1):
+        return one
+    chosen = count or min(MAX_CELLS, math.ceil(math.sqrt(n)))
+    cells = cell_statistics(data, metric, pick_pivots(data, chosen, metric), near)
+    return cells if count is not None or visited_share(queries, metric, cells, reach) <= 0.5 else one
+
+
+def visited_share(queries: DataFrame, metric: Metric, cells: Cells, reach: Callable, look: int = 256) -> float:
+    """The share of data rows that a query has to be compared with, judged on a few queries."""
+    points = _spread_rows(queries, look, metric)
+    if len(points) == 0:
+        return 0.0
+    hit, _, _ = reach(*bounds(metric, points, cells), cells)
+    return float((hit @ cells.rows).mean() / max(1, cells.rows.sum()))
 
 
 def bounds(metric: Metric, points: np.ndarray, cells: Cells) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
