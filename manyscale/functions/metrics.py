@@ -2,7 +2,7 @@
 
 ``block(A, B)`` returns ``(distances, slack)``: every true distance lies within ``slack``
 of the returned one. ``rows(A, B)`` gives exact distances of aligned rows and is used to
-settle whatever the block form leaves open.
+settle whatever the block form leaves open. ``flat`` marks Euclidean geometry.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ class Metric:
     rows: Callable
     expression: Callable[[Column, Column], Column] | None = None
     textual: bool = False
+    flat: bool = False
 
 
 def _euclidean_block(a, b):
@@ -64,7 +65,7 @@ def _linf(diff):
 
 def euclidean() -> Metric:
     return Metric("euclidean", _euclidean_block, lambda a, b: _l2(a - b),
-                  lambda x, y: F.sqrt(arrays.squared_distance(x, y)))
+                  lambda x, y: F.sqrt(arrays.squared_distance(x, y)), flat=True)
 
 
 def cityblock() -> Metric:

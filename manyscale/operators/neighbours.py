@@ -64,9 +64,10 @@ def _top_task(metric: Metric, k: int, limit: float, payload: list[str], exclude_
             d[q.ids[:, None] == x.ids[None, :]] = np.inf
         take = min(k, d.shape[1])
         kth = np.partition(d, take - 1, axis=1)[:, take - 1 : take]
-        rows, cols = np.nonzero((d <= np.minimum(kth, limit) + 2 * slack) & np.isfinite(d))
+        ceiling = np.minimum(q.cap, limit)
+        rows, cols = np.nonzero((d <= np.minimum(kth, ceiling[:, None]) + 2 * slack) & np.isfinite(d))
         gaps = blocks.exact(metric, q.points, x.points, rows, cols) if slack else d[rows, cols]
-        inside = gaps <= limit
+        inside = gaps <= ceiling[rows]
         rows, cols, gaps = rows[inside], cols[inside], gaps[inside]
         order = np.lexsort((x.ids[cols], gaps, rows))
         rows, cols, gaps = rows[order], cols[order], gaps[order]

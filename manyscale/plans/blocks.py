@@ -39,11 +39,12 @@ class Side:
     lo: np.ndarray
     hi: np.ndarray
     home: np.ndarray
+    cap: np.ndarray
     cell: int
 
     def slice(self, s: int, e: int) -> Side:
         return Side(self.ids[s:e], self.points[s:e], {k: v[s:e] for k, v in self.columns.items()},
-                    self.lo[s:e], self.hi[s:e], self.home[s:e], self.cell)
+                    self.lo[s:e], self.hi[s:e], self.home[s:e], self.cap[s:e], self.cell)
 
 
 @dataclass
@@ -55,10 +56,18 @@ class Cells:
     radius: np.ndarray = field(default_factory=lambda: np.array([np.inf]))
     weight: np.ndarray = field(default_factory=lambda: np.array([0]))
     near: np.ndarray = field(default_factory=lambda: np.zeros((1, 0)))
+    _gaps: np.ndarray | None = None
 
     def __len__(self) -> int:
         return len(self.rows)
 
+    def gaps(self, metric: Metric) -> np.ndarray:
+        """Upper estimates of the distances between pivots, worked out once per process."""
+        if self._gaps is None:
+            d, slack = metric.block(self.pivots, self.pivots)
+            self._gaps = d + slack
+        return self._gaps
+
 
 def decode(column, metric: Metric) -> np.ndarray:
     if metric.textual:
@@ -172,15 +181,27 @@ def visited_share(queries: DataFrame, metric: Metric, cells: Cells, reach: Calla
     points = _spread_rows(queries, look, metric)
     if len(points) == 0:
         return 0.0
-    hit, _, _ = reach(*bounds(metric, points, cells), cells)
+    hit, _, _, _ = reach(*bounds(metric, points, cells), cells)
     return float((hit @ cells.rows).mean() / max(1, cells.rows.sum()))
 
 
 def bounds(metric: Metric, points: np.ndarray, cells: Cells) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pivot distances plus lower and upper bounds on the distance to any member of each cell."""
+    """Pivot distances plus lower and upper bounds on the distance to any member of each cell.
+
+    The lower bound is the better of two: the covering radius of the cell, and the fact that its
+    members are nearer to its pivot than to the pivot nearest the query. In flat space the latter
+    is the distance to the plane between the two pivots.
+    """
     d, slack = metric.block(points, cells.pivots)
     slack += 1e-9 * (1.0 + d.max(initial=0.0))
-    return d + slack, np.maximum(d - slack - cells.radius, 0.0), d + slack + cells.radius
+    lower = np.maximum(d - slack - cells.radius, 0.0)
+    own = d.argmin(axis=1)
+    here = d[np.arange(len(d)), own][:, None]
+    if metric.flat:
+        side = (np.maximum(d - slack, 0.0) ** 2 - (here + slack) ** 2) / (2.0 * (cells.gaps(metric)[own] + slack))
+    else:
+        side = (d - here) / 2.0 - slack
+    return d + slack, np.maximum(lower, side), d + slack + cells.radius
 
 
 def reach_range(radius: float, eps: float) -> Callable:
@@ -189,7 +210,7 @@ def reach_range(radius: float, eps: float) -> Callable:
     def reach(upper_d, lower, upper, cells):
         hit = (lower <= radius / (1.0 + eps)) & (cells.rows > 0)
         whole = (upper < radius * (1.0 + eps)).astype(np.int32)
-        return hit, whole, whole
+        return hit, whole, whole, np.full(len(hit), float(radius))
 
     return reach
 
@@ -212,7 +233,7 @@ def reach_knn(k: int, eps: float, limit: float) -> Callable:
         cut = np.minimum(theta / (1.0 + eps), limit)
         hit = (lower <= cut[:, None]) | ((closest <= theta[:, None]) & (lower <= limit))
         none = np.zeros(hit.shape, np.int32)
-        return hit & (cells.rows > 0), none, none
+        return hit & (cells.rows > 0), none, none, np.minimum(theta, limit)
 
     return reach
 
@@ -223,17 +244,17 @@ def reach_counts(radii: np.ndarray) -> Callable:
     def reach(upper_d, lower, upper, cells):
         lo = np.searchsorted(radii, lower, side="left").astype(np.int32)
         hi = np.searchsorted(radii, upper, side="left").astype(np.int32)
-        return (lo < hi) & (cells.rows > 0), lo, hi
+        return (lo < hi) & (cells.rows > 0), lo, hi, np.full(len(lo), np.inf)
 
     return reach
 
 
 def route(queries: DataFrame, metric: Metric, cells: Cells, reach: Callable, self_join: bool) -> DataFrame:
-    """One row per query and cell it must visit, with columns ``cell, lo, hi, home``."""
+    """One row per query and cell it must visit, with columns ``cell, lo, hi, home, cap``."""
     if cells.pivots is None:
         zero = F.lit(0)
-        return queries.select("*", zero.alias("cell"), zero.alias("lo"),
-                              F.lit(2**30).alias("hi"), zero.alias("home"))
+        return queries.select("*", zero.alias("cell"), zero.alias("lo"), F.lit(2**30).alias("hi"),
+                              zero.alias("home"), F.lit(float("inf")).alias("cap"))
     shipped = queries.sparkSession.sparkContext.broadcast(cells)
     tiles = max(64, TILE_VALUES // (len(cells) * max(1, cells.near.shape[1])))
 
@@ -243,7 +264,7 @@ def route(queries: DataFrame, metric: Metric, cells: Cells, reach: Callable, sel
             for s in range(0, whole.num_rows, tiles):
                 batch = whole.slice(s, tiles)
                 points = decode(batch.column("x"), metric)
-                hit, lo, hi = reach(*bounds(metric, points, model), model)
+                hit, lo, hi, cap = reach(*bounds(metric, points, model), model)
                 home = np.zeros(len(points), np.int32)
                 if self_join:
                     home = assign(metric, points, model.pivots)[0].astype(np.int32)
@@ -254,13 +275,13 @@ def route(queries: DataFrame, metric: Metric, cells: Cells, reach: Callable, sel
                      pa.array(hi[rows, cols], pa.int32())], names=["cell", "lo", "hi"])
                 offsets = np.concatenate([[0], np.cumsum(hit.sum(axis=1))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, pa.array(home), pa.ListArray.from_arrays(pa.array(offsets), entries)],
-                    names=[*batch.schema.names, "home", "hits"])
+                    [*batch.columns, pa.array(home), pa.array(cap), pa.ListArray.from_arrays(pa.array(offsets), entries)],
+                    names=[*batch.schema.names, "home", "cap", "hits"])
 
-    schema = T.StructType([*queries.schema.fields, T.StructField("home", T.IntegerType()),
+    schema = T.StructType([*queries.schema.fields, T.StructField("home", T.IntegerType()), T.StructField("cap", T.DoubleType()),
                            T.StructField("hits", T.DataType.fromDDL(HIT))])
     return queries.mapInArrow(task, schema).withColumn("hit", F.explode("hits")).select(
-        *queries.columns, "hit.cell", "hit.lo", "hit.hi", "home")
+        *queries.columns, "hit.cell", "hit.lo", "hit.hi", "home", "cap")
 
 
 def place(data: DataFrame, metric: Metric, cells: Cells) -> DataFrame:
@@ -319,11 +340,11 @@ def block_join(queries: DataFrame, data: DataFrame, metric: Metric, cells: Cells
     extra_x = [c for c in data.columns if c not in ("id", "x")]
     left = routed.select(
         "cell", own(_spread(query_blocks)).alias("qb"), every(_spread(data_blocks)).alias("xb"),
-        F.lit(1).alias("side"), "id", "x", "lo", "hi", "home", F.struct(F.lit(0).alias("_"), *extra_q).alias("q"),
+        F.lit(1).alias("side"), "id", "x", "lo", "hi", "home", "cap", F.struct(F.lit(0).alias("_"), *extra_q).alias("q"),
         F.lit(None).cast(T.StructType([T.StructField("_", T.IntegerType()), *[data.schema[c] for c in extra_x]])).alias("p"))
     right = place(data, metric, cells).select(
         "cell", every(_spread(query_blocks)).alias("qb"), own(_spread(data_blocks)).alias("xb"),
-        F.lit(0).alias("side"), "id", "x", F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.lit(0).alias("home"),
+        F.lit(0).alias("side"), "id", "x", F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.lit(0).alias("home"), F.lit(0.0).alias("cap"),
         F.lit(None).cast(T.StructType([T.StructField("_", T.IntegerType()), *[queries.schema[c] for c in extra_q]])).alias("q"),
         F.struct(F.lit(0).alias("_"), *extra_x).alias("p"))
 
@@ -331,7 +352,8 @@ def block_join(queries: DataFrame, data: DataFrame, metric: Metric, cells: Cells
         struct = nb.single(table.column(name)) if extra else None
         return Side(nb.to_numpy(table.column("id")), decode(table.column("x"), metric),
                     {c: struct.field(c) for c in extra}, nb.to_numpy(table.column("lo")),
-                    nb.to_numpy(table.column("hi")), nb.to_numpy(table.column("home")), cell)
+                    nb.to_numpy(table.column("hi")), nb.to_numpy(table.column("home")),
+                    nb.to_numpy(table.column("cap")), cell)
 
     def run(it: Iterator[pa.RecordBatch]):
         key, held, block = None, [], None

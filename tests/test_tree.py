@@ -154,8 +154,7 @@ def flat_points():
     return np.outer(t, [1.0, 2.0, 2.0]) / 3.0
 
 
-@pytest.mark.parametrize("local", [None, 0])
-@pytest.mark.parametrize("against", ["sibling", "parent"])
+@pytest.mark.parametrize("local,against", [(None, "sibling"), (None, "parent"), (0, "sibling")])
 def test_pruning_flat_data(table, local, against):
     points = table(flat_points())
     tree = T.fit_tree(points, 2, 3, max_local_rows=local, against=against)
