@@ -22,6 +22,7 @@ from manyscale.plans import blocks
 from manyscale.plans.blocks import Side
 
 COPIES = 10_000
+REFINE_ROWS = 50_000
 
 
 def _side(df: DataFrame, id_col: str, x_col: str, metric: Metric, extra: Sequence[str] = ()) -> DataFrame:
@@ -110,6 +111,8 @@ def knn_join(queries: DataFrame, data: DataFrame, k: int, *, metric: str | Metri
         n = x.count()
     reach = blocks.reach_knn(need, eps, distance_upper_bound)
     model = blocks.make_cells(x, n, metric, size, need, cells, asked, reach)
+    if model.pivots is not None and n > REFINE_ROWS:
+        asked = blocks.home_distances(asked, x, metric, model, need, size)
     schema = T.StructType([T.StructField("q_id", T.LongType()), T.StructField("rank", T.IntegerType()),
                            T.StructField("nbr_id", T.LongType()), T.StructField("d", T.DoubleType()),
                            *[x.schema[c] for c in payload]])

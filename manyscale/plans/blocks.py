@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from manyscale.functions import batches as nb
 from manyscale.functions.metrics import Metric
+from manyscale.plans import storage
 
 BLOCK_BYTES = 32 * 1024 * 1024
 TILE_VALUES = 4_000_000
@@ -207,7 +208,7 @@ def bounds(metric: Metric, points: np.ndarray, cells: Cells) -> tuple[np.ndarray
 def reach_range(radius: float, eps: float) -> Callable:
     """Cells that may hold a row within ``radius``; ``lo = 1`` marks cells to take as a whole."""
 
-    def reach(upper_d, lower, upper, cells):
+    def reach(upper_d, lower, upper, cells, known=None):
         hit = (lower <= radius / (1.0 + eps)) & (cells.rows > 0)
         whole = (upper < radius * (1.0 + eps)).astype(np.int32)
         return hit, whole, whole, np.full(len(hit), float(radius))
@@ -218,30 +219,62 @@ def reach_range(radius: float, eps: float) -> Callable:
 def reach_knn(k: int, eps: float, limit: float) -> Callable:
     """Cells that may hold one of the ``k`` nearest rows.
 
-    The stored smallest pivot distances give ``k`` real rows no further than ``theta``. Their
-    cells are always kept, so with ``eps`` the k-th answer is at most ``theta``, and if the true
+    The stored smallest pivot distances, or a distance ``known`` from the query's own cell, give
+    ``k`` real rows no further than ``theta``. Their cells are always kept, so with ``eps`` the k-th answer is at most ``theta``, and if the true
     k-th distance is below ``theta / (1 + eps)`` no cell of a true neighbour has been dropped.
     """
 
-    def reach(upper_d, lower, upper, cells):
+    def reach(upper_d, lower, upper, cells, known=None):
         witnesses = (upper_d[:, :, None] + cells.near[None, :, :]).reshape(len(upper_d), -1)
         if witnesses.shape[1] >= k:
             theta = np.partition(witnesses, k - 1, axis=1)[:, k - 1]
         else:
             theta = np.full(len(upper_d), np.inf)
+        if known is not None:
+            theta = np.minimum(theta, known)
         closest = upper_d + cells.near[:, 0]
         cut = np.minimum(theta / (1.0 + eps), limit)
         hit = (lower <= cut[:, None]) | ((closest <= theta[:, None]) & (lower <= limit))
+        rows = np.arange(len(hit))
+        hit[rows, upper_d.argmin(axis=1)] = True
         none = np.zeros(hit.shape, np.int32)
         return hit & (cells.rows > 0), none, none, np.minimum(theta, limit)
 
     return reach
 
 
+def reach_home(upper_d, lower, upper, cells, known=None):
+    """Only the cell of the nearest pivot."""
+    hit = np.zeros(upper_d.shape, bool)
+    hit[np.arange(len(hit)), upper_d.argmin(axis=1)] = True
+    none = np.zeros(hit.shape, np.int32)
+    return hit, none, none, np.full(len(hit), np.inf)
+
+
+def home_distances(queries: DataFrame, data: DataFrame, metric: Metric, cells: Cells, k: int, rows_per_block: int) -> DataFrame:
+    """``queries(id, x)`` with ``known``: the k-th distance within one block of the query's own cell.
+
+    Nearly the true k-th distance, so a second visit only needs the cells that really come close.
+    Stored, because it is read more than once and cost a join.
+    """
+
+    def task(q: Side, x: Side | None) -> Iterator[pa.RecordBatch]:
+        known = np.full(len(q.ids), np.inf)
+        if x is not None and len(x.ids) >= k:
+            d, slack = metric.block(q.points, x.points)
+            known = np.partition(d, k - 1, axis=1)[:, k - 1] + slack
+        points = pa.array(q.points.tolist(), pa.string()) if metric.textual else nb.from_matrix(q.points)
+        yield pa.RecordBatch.from_arrays([pa.array(q.ids), points, pa.array(known)], names=["id", "x", "known"])
+
+    schema = T.StructType([queries.schema["id"], queries.schema["x"], T.StructField("known", T.DoubleType())])
+    found, _ = block_join(queries, data, metric, cells, reach_home, task, schema, rows_per_block=rows_per_block, one_block=True)
+    return storage.materialize(found)
+
+
 def reach_counts(radii: np.ndarray) -> Callable:
     """For ascending radii, the range ``[lo, hi)`` of radii that a cell leaves undecided."""
 
-    def reach(upper_d, lower, upper, cells):
+    def reach(upper_d, lower, upper, cells, known=None):
         lo = np.searchsorted(radii, lower, side="left").astype(np.int32)
         hi = np.searchsorted(radii, upper, side="left").astype(np.int32)
         return (lo < hi) & (cells.rows > 0), lo, hi, np.full(len(lo), np.inf)
@@ -264,7 +297,8 @@ def route(queries: DataFrame, metric: Metric, cells: Cells, reach: Callable, sel
             for s in range(0, whole.num_rows, tiles):
                 batch = whole.slice(s, tiles)
                 points = decode(batch.column("x"), metric)
-                hit, lo, hi, cap = reach(*bounds(metric, points, model), model)
+                known = nb.to_numpy(batch.column("known")) if "known" in batch.schema.names else None
+                hit, lo, hi, cap = reach(*bounds(metric, points, model), model, known)
                 home = np.zeros(len(points), np.int32)
                 if self_join:
                     home = assign(metric, points, model.pivots)[0].astype(np.int32)
@@ -310,11 +344,12 @@ def _spread(counts: np.ndarray) -> Column:
 def block_join(queries: DataFrame, data: DataFrame, metric: Metric, cells: Cells, reach: Callable,
                task: Callable[[Side, Side], Iterator[pa.RecordBatch]], schema: str | T.StructType, *,
                rows_per_block: int, n_queries: int | None = None,
-               self_join: bool = False) -> tuple[DataFrame, bool]:
+               self_join: bool = False, one_block: bool = False) -> tuple[DataFrame, bool]:
     """Run ``task(query rows, data block)`` on every pair of blocks that may hold a match.
 
-    ``queries`` and ``data`` have columns ``id, x`` and may carry more. The flag returned with
-    the result says whether a query can have met several data blocks.
+    ``queries`` and ``data`` have columns ``id, x`` and may carry more. With ``one_block`` a query
+    meets one block of each cell it visits, or ``None`` if that block is empty. The flag returned
+    with the result says whether a query can have met several data blocks.
     """
     spark = queries.sparkSession
     routed = route(queries, metric, cells, reach, self_join)
@@ -339,7 +374,7 @@ def block_join(queries: DataFrame, data: DataFrame, metric: Metric, cells: Cells
     extra_q = [c for c in queries.columns if c not in ("id", "x")]
     extra_x = [c for c in data.columns if c not in ("id", "x")]
     left = routed.select(
-        "cell", own(_spread(query_blocks)).alias("qb"), every(_spread(data_blocks)).alias("xb"),
+        "cell", own(_spread(query_blocks)).alias("qb"), (own if one_block else every)(_spread(data_blocks)).alias("xb"),
         F.lit(1).alias("side"), "id", "x", "lo", "hi", "home", "cap", F.struct(F.lit(0).alias("_"), *extra_q).alias("q"),
         F.lit(None).cast(T.StructType([T.StructField("_", T.IntegerType()), *[data.schema[c] for c in extra_x]])).alias("p"))
     right = place(data, metric, cells).select(
@@ -370,11 +405,11 @@ def block_join(queries: DataFrame, data: DataFrame, metric: Metric, cells: Cells
                 rows = batch.slice(s, e - s)
                 if marks[3, s] == 0:
                     held.append(rows)
-                elif held:
-                    if block is None:
+                elif held or one_block:
+                    if block is None and held:
                         block = side(pa.Table.from_batches(held), "p", extra_x, int(here[0]))
                     chunk = side(rows, "q", extra_q, int(here[0]))
-                    step = max(1, TILE_VALUES // len(block.ids))
+                    step = max(1, TILE_VALUES // len(block.ids)) if block else len(chunk.ids)
                     for t in range(0, len(chunk.ids), step):
                         yield from task(chunk.slice(t, t + step), block)
 

@@ -71,9 +71,24 @@ def test_approximate_knn_keeps_its_contract(table, eps):
     assert (count == 5).all() and (worst <= true * (1 + eps) + 1e-12).all()
 
 
+@pytest.mark.parametrize("metric,eps", [("euclidean", 0.0), ("cityblock", 0.0), ("euclidean", 0.5)])
+def test_second_visit_after_the_own_cell(table, monkeypatch, metric, eps):
+    monkeypatch.setattr(nbr, "REFINE_ROWS", 0)
+    x, q = gauss(300, 3, 40), gauss(50, 3, 41)
+    found = nbr.knn_join(table(q), table(x), 6, metric=metric, eps=eps, cells=12, rows_per_block=16)
+    d = brute(q, x, metric)
+    if eps == 0:
+        assert as_lists(found) == nearest_rows(d, 6)
+    else:
+        last = {r.q_id: r.d for r in found.where("rank = 6").collect()}
+        true = np.sort(d, axis=1)[:, 5]
+        assert all(last[i] <= true[i] * (1 + eps) + 1e-12 for i in range(50))
+
+
 @pytest.mark.parametrize("exclude", [False, True])
 def test_crowded_copies_are_answered_once_and_whole(table, monkeypatch, exclude):
     monkeypatch.setattr(nbr, "COPIES", 20)
+    monkeypatch.setattr(nbr, "REFINE_ROWS", 0 if exclude else 10**9)
     x = np.vstack([gauss(80, 3, 8), np.tile([[0.1, 0.2, 0.3]], (60, 1)), np.tile([[2.0, 2.0, 2.0]], (40, 1))])
     x = x[np.random.default_rng(9).permutation(len(x))]
     found = nbr.knn_join(table(x), table(x), 4, cells=8, rows_per_block=32, exclude_self=exclude)
