@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 from manyscale.functions import arrays
 from manyscale.functions.batches import from_lists, from_matrix, to_numpy
 from manyscale.functions.metrics import Metric, named
-from manyscale.plans import blocks
+from manyscale.plans import blocks, storage
 from manyscale.plans.blocks import Side
 
 COPIES = 10_000
@@ -382,7 +382,8 @@ def metric_partitions(data: DataFrame, pivots: DataFrame, *, metric: str | Metri
         raise ValueError("more than 100000 pivots; use fewer, larger cells")
     ids = np.array([r.id for r in chosen])
     centers = np.array([r.x for r in chosen], dtype=object if metric.textual else float)
-    shipped = data.sparkSession.sparkContext.broadcast((ids, centers))
+    size = sum(map(len, centers)) if metric.textual else centers.nbytes
+    shipped = storage.checked_broadcast(data.sparkSession, (ids, centers), size, "the pivots")
     rows = _side(data, id_col, x_col, metric)
 
     def task(it: Iterator[pa.RecordBatch]):

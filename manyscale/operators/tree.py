@@ -197,7 +197,8 @@ def split_cells(points: DataFrame, tree: CellTree, targets: list[int], rounds: i
         return np.where(np.isin(leaf, wanted), leaf, -1)
 
     first = _extreme(rows, lambda x: (members(x), np.zeros(len(x))))
-    start = spark.sparkContext.broadcast((wanted, np.array([first[k] for k in wanted])))
+    anchor = np.array([first[k] for k in wanted])
+    start = storage.checked_broadcast(spark, (wanted, anchor), anchor.nbytes, "the first centers of one level")
 
     def distance_order(x):
         nodes = members(x)
@@ -247,6 +248,14 @@ def fit_cells(points: DataFrame, tree: CellTree, cells: dict[int, Cell], gram_wi
     Up to ``gram_width`` columns the centered Gram matrices are summed and solved in tasks, one per
     cell. Wider tables use subspace iteration, which only ever ships ``D x (d + 10)`` numbers per cell.
     """
+    size = min(tree.width, tree.d + 10)
+    fit = max(2, storage.BROADCAST_LIMIT // (8 * tree.width * (size if tree.width > gram_width else 1)) // 2 * 2)
+    if len(cells) > fit:
+        # Sorted ids keep siblings together, which routing needs.
+        ids = sorted(cells)
+        for s in range(0, len(ids), fit):
+            fit_cells(points, tree, {k: cells[k] for k in ids[s : s + fit]}, gram_width)
+        return
     rows, spark = _vectors(points), points.sparkSession
     known = {**{k: c.split_center for k, c in tree.cells.items() if k},
              **{k: c.split_center for k, c in cells.items() if k}}
@@ -286,7 +295,6 @@ def fit_cells(points: DataFrame, tree: CellTree, cells: dict[int, Cell], gram_wi
             cell.basis, cell.svals = np.array(r.basis).reshape(d, width), np.array(r.svals)
         return
 
-    size = min(tree.width, tree.d + 10)
     frames = {s: np.linalg.qr(np.random.default_rng(int(k)).normal(size=(tree.width, size)))[0]
               for s, k in enumerate(wanted)}
     for last in [False] * 6 + [True]:
@@ -356,12 +364,19 @@ def _grow_local(root: Cell, ids, x, d: int, levels: int, rounds: int, prune, aga
 
 def _grow_small(points: DataFrame, tree: CellTree, small: dict[int, int], rounds, prune, against) -> list[Cell]:
     """Subtrees of all cells that fit a task, with one shuffle by cell. A root that has not been
-    fitted yet is fitted there too and returned with the rest."""
+    fitted yet is fitted there too and returned with the rest. More cells than fit a broadcast are
+    taken in several passes."""
+    per_cell = 8 * tree.width * (tree.d + 2)
+    fit = max(1, storage.BROADCAST_LIMIT // per_cell)
+    if len(small) > fit:
+        ids = sorted(small)
+        return [cell for s in range(0, len(ids), fit)
+                for cell in _grow_small(points, tree, {k: small[k] for k in ids[s : s + fit]}, rounds, prune, against)]
     rows, spark = _vectors(points), points.sparkSession
     routes = _share(spark, {k: c.split_center for k, c in tree.cells.items() if k}, tree.width)
     wanted = np.array(sorted(small))
     roots = {k: (tree.cells[k], small[k]) for k in small}
-    model = spark.sparkContext.broadcast(roots)
+    model = storage.checked_broadcast(spark, roots, len(roots) * per_cell, "the cells handed to tasks")
     d = tree.d
 
     def send(it):

@@ -112,6 +112,15 @@ def test_model_larger_than_a_broadcast_is_applied_in_passes(fitted, monkeypatch)
     assert T.feature_vectors(points, tree).count() == 500
 
 
+@pytest.mark.parametrize("local,width", [(150, 1024), (0, 8)])
+def test_many_cells_are_fitted_in_passes(fitted, monkeypatch, local, width):
+    points, tree = fitted
+    monkeypatch.setattr(T.storage, "BROADCAST_LIMIT", 20_000)
+    other = T.fit_tree(points, 5, 2, max_local_rows=local, gram_width=width)
+    assert {k: c.n for k, c in other.cells.items()} == {k: tree.cells[k].n for k in other.cells} and len(other.cells) == 7
+    assert all(c.basis.shape == (5, 64) for c in other.cells.values())
+
+
 def test_early_leaves_are_filled(spark):
     reps = spark.createDataFrame([(1, 0, 0, [1.0, 2.0]), (1, 1, 1, [3.0]), (2, 0, 0, [4.0, 5.0]), (2, 1, 2, [6.0, 7.0]), (2, 2, 5, [8.0, 9.0, 10.0])],
                                  T.REP_SCHEMA)
