@@ -167,6 +167,7 @@ ORACLES: dict[str, str] = {
         g AS (SELECT a.pos AS i, b.pos AS j, avg(a.v * b.v) AS v FROM c a JOIN c b USING (point_id) GROUP BY a.pos, b.pos)
         SELECT (SELECT count(*) FROM p) AS n, {r('sum(v) FILTER (i = j)')} AS trace, {r('sum(v * v)')} AS trace2,
         (SELECT {r('sum(v * v)', 4)} FROM e) AS energy FROM g""",
+    "ml_pca_energy": f"WITH {P} SELECT point_id, {norm2('x')} AS norm2 FROM p",
     "truncated_svd": SVD_FACTS,
     "incremental_svd": SVD_FACTS,
     "project": f"WITH {P}, {PLANE} SELECT point_id, CAST(k AS BIGINT) AS pos, {r('z')} AS v FROM z",
@@ -214,6 +215,7 @@ ORACLES: dict[str, str] = {
     "knn_join": f"WITH {P}, " + knn("p", L2, 7) + " " + KNN_ROWS,
     "knn_join_bounded": f"WITH {P}, " + knn("p", L2, 7, "d <= 1.2") + " " + KNN_ROWS,
     "knn_join_pruned": f"WITH {S}, " + knn("s", L2, 7) + " " + KNN_ROWS,
+    "approximate_knn_contract": "SELECT count(*) AS n_queries, CAST(0 AS BIGINT) AS n_short, CAST(0 AS BIGINT) AS n_beyond FROM embeddings",
     "neighbours_within": f"WITH {P}, " + knn("p", L2, 1_000_000_000, "d <= 1.2") + f" SELECT q_id, rank - 1 AS pos, nbr_id, {r('d')} AS d FROM ranked",
     "pad_neighbours": f"WITH {P}, " + knn("p", L2, 5, "d <= 1.15") + """
         SELECT s.q_id, s.rank, coalesce(ranked.nbr_id, (SELECT count(*) FROM p)) AS nbr_id, coalesce(round(d, 6) + 0.0, 'infinity'::DOUBLE) AS d

@@ -281,6 +281,13 @@ def ml_pca(spark, sf_dir):
     return decomposition.ml_pca(points(spark, sf_dir), 2).select("point_id", "pca_features")
 
 
+@query
+def ml_pca_energy(spark, sf_dir):
+    """All 64 library components: a rotation, so the projected rows keep their length."""
+    made = decomposition.ml_pca(points(spark, sf_dir), 64)
+    return made.select("point_id", norm2("pca_features").alias("norm2"))
+
+
 def _svd_facts(f: decomposition.Factors) -> DataFrame:
     used = f.u.agg(F.sum(arrays.dot(F.col("u"), F.col("u"))).alias("u2"), F.count(F.lit(1)).alias("n"))
     return used.select("n", rounded("u2", 4).alias("left_norm2"), rounded(F.lit(float((f.s**2).sum())), 4).alias("s2"),
@@ -543,6 +550,17 @@ def knn_join_approximate(spark, sf_dir):
     return _neighbours(neighbours.knn_join(p, p, 5, eps=0.5, cells=20))
 
 
+@query
+def approximate_knn_contract(spark, sf_dir):
+    """How many queries get too few answers, or a k-th answer beyond (1 + eps) times the true k-th distance."""
+    p, k, eps = solid(spark, sf_dir), 5, 0.5
+    near = neighbours.knn_join(p, p, k, eps=eps, cells=20).groupBy("q_id").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("d"))
+    true = neighbours.knn_join(p, p, k).groupBy("q_id").agg(F.max("d").alias("true_d"))
+    return true.join(near, "q_id", "left").agg(
+        F.count(F.lit(1)).alias("n_queries"), F.count(F.when(F.coalesce("n", F.lit(0)) < k, 1)).alias("n_short"),
+        F.count(F.when(F.col("d") > F.col("true_d") * (1 + eps) + 1e-9, 1)).alias("n_beyond"))
+
+
 @query
 def knn_join_pruned(spark, sf_dir):
     """Low-dimensional points, where the cells rule most of the table out."""
