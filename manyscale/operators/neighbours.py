@@ -103,7 +103,7 @@ def knn_join(queries: DataFrame, data: DataFrame, k: int, *, metric: str | Metri
     size = rows_per_block or blocks.block_rows(width, metric)
     need = k + 1 if exclude_self else k
     n = x.count()
-    copies = _crowded(x, n) if n > size else []
+    copies = _crowded(x, n) if n > min(size, blocks.PIVOT_ROWS) else []
     asked = q
     if copies:
         x = _first_copies(x, copies, need)

@@ -24,8 +24,9 @@ from manyscale.functions import batches as nb
 from manyscale.functions.metrics import Metric
 from manyscale.plans import storage
 
-BLOCK_BYTES = 32 * 1024 * 1024
-TILE_VALUES = 4_000_000
+BLOCK_BYTES = 64 * 1024 * 1024
+TILE_VALUES = 8_000_000
+PIVOT_ROWS = 20_000
 MAX_CELLS = 2048
 HIT = "array<struct<cell:int,lo:int,hi:int>>"
 
@@ -103,7 +104,7 @@ def block_rows(width: int, metric: Metric) -> int:
     """Rows per block from the width of a row."""
     if metric.textual:
         return 8192
-    return int(min(65_536, max(1024, BLOCK_BYTES // (8 * max(1, width)))))
+    return int(min(131_072, max(1024, BLOCK_BYTES // (8 * max(1, width)))))
 
 
 def _spread_rows(data: DataFrame, count: int, metric: Metric) -> np.ndarray:
@@ -163,14 +164,14 @@ def cell_statistics(data: DataFrame, metric: Metric, pivots: np.ndarray, near: i
 
 def make_cells(data: DataFrame, n: int, metric: Metric, rows_per_block: int, near: int, count: int | None,
                queries: DataFrame, reach: Callable) -> Cells:
-    """Cells for the ``n`` rows of ``data(id, x)``: a single one when all fit a block, unless asked otherwise.
+    """Cells for the ``n`` rows of ``data(id, x)``: a single one for a small table, unless asked otherwise.
 
     Pivots only pay if the bounds rule rows out. On data where they do not, such as isotropic
     vectors of many dimensions, a query would travel to every cell for nothing, so plain blocks
     are used when a look at some queries shows them visiting more than half of the rows.
     """
     one = Cells(None, np.array([n]))
-    if n == 0 or (count is None and n <= rows_per_block) or (count is not None and count <= 1):
+    if n == 0 or (count is None and n <= min(rows_per_block, PIVOT_ROWS)) or (count is not None and count <= 1):
         return one
     chosen = count or min(MAX_CELLS, math.ceil(math.sqrt(n)))
     cells = cell_statistics(data, metric, pick_pivots(data, chosen, metric), near)
@@ -360,9 +361,9 @@ def block_join(queries: DataFrame, data: DataFrame, metric: Metric, cells: Cells
         for r in routed.groupBy("cell").count().collect():
             visits[r.cell] = r["count"]
     data_blocks = np.maximum(1, -(-cells.rows // rows_per_block))
-    per_block = rows_per_block
-    if visits.sum() < rows_per_block * spark.sparkContext.defaultParallelism:
-        per_block = max(128, -(-int(visits.sum()) // spark.sparkContext.defaultParallelism))
+    # Query rows are streamed, so their blocks only have to be small enough to share out the work.
+    work = int((visits * data_blocks).sum())
+    per_block = max(128, -(-work // (8 * spark.sparkContext.defaultParallelism)))
     query_blocks = np.maximum(1, -(-visits // per_block))
 
     def own(count: Column) -> Column:
