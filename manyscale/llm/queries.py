@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from manyscale.llm import bpe_replay, common, language_id, quality_rules, secret_scan, simhash_groups, token_counts, token_files
+from manyscale.llm import bpe_replay, common, decontaminate, language_id, line_dedup, quality_rules, secret_scan, simhash_groups, token_counts, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -77,3 +77,92 @@ def op8_quality_rules(spark, sf_dir):
 @query
 def op9_simhash_groups(spark, sf_dir):
     return simhash_groups.groups(documents(spark, sf_dir))
+
+
+@query
+def op6_line_dedup(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    found = line_dedup.decide(docs).withColumnRenamed("doc_id", "id")
+    # Only line numbers are joined here, not texts.
+    sizes = docs.select("doc_id", F.expr(f"transform(filter({LINES}, e -> NOT e.blank), e -> e.line)").alias("filled"),
+                        F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"))
+    rows = sizes.join(found, sizes["doc_id"].eqNullSafe(found["id"]), "left")
+    none = F.array().cast("array<int>")
+    gone = F.array_except("filled", F.coalesce("kept", none))
+    near = F.size(F.coalesce("near", none)).cast("long")
+    return rows.select("doc_id", "n_lines", (F.size(gone) - near).alias("n_exact"), near.alias("n_near"),
+                       F.array_join(F.sort_array(gone).cast("array<string>"), ",").alias("dropped"))
+
+
+LINES = "transform(split(coalesce(text, ''), '\\n'), (b, i) -> named_struct('line', i, 'blank', translate(b, ' \\t\\n\\u000b\\f\\r', '') = ''))"
+BLANK = r"[\x20\x09-\x0D]+"
+WORDS = rf"list_filter(regexp_split_to_array({{}}, '{BLANK}'), lambda w: w <> '')"
+
+ORACLES["op6_line_dedup"] = f"""
+WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+numbered AS (SELECT doc_id, unnest(range(len(parts)))::BIGINT AS line, unnest(parts) AS body FROM split),
+filled AS (SELECT doc_id, line, {WORDS.format('body')} AS ws FROM numbered),
+worded AS (SELECT doc_id, line, ws, (doc_id::HUGEINT * 1000000 + line) AS o FROM filled WHERE len(ws) > 0),
+firsts AS (SELECT ws, min(o) AS o, len(ws) AS n FROM worded GROUP BY ws),
+deleted AS (SELECT o, n, unnest(range(1, n + 1)) AS i, ws FROM firsts WHERE n >= 5),
+rests AS (SELECT o, n, i, list_concat(ws[:i - 1], ws[i + 1:]) AS rest FROM deleted),
+wholes AS (SELECT o, ws AS rest FROM firsts WHERE n >= 4),
+same AS (SELECT i, rest, min(o) AS other FROM rests GROUP BY i, rest HAVING count(*) > 1),
+near AS (
+  SELECT r.o FROM rests r JOIN same s ON r.i = s.i AND r.rest = s.rest AND s.other < r.o
+  UNION SELECT r.o FROM rests r JOIN wholes w ON r.rest = w.rest AND w.o < r.o
+  UNION SELECT w.o FROM wholes w JOIN rests r ON r.rest = w.rest AND r.o < w.o),
+judged AS (SELECT w.doc_id, w.line, w.o <> f.o AS exact, n.o IS NOT NULL AND w.o = f.o AS near
+  FROM worded w JOIN firsts f ON w.ws = f.ws LEFT JOIN near n ON n.o = w.o),
+counts AS (SELECT doc_id, count(*) FILTER (exact) AS n_exact, count(*) FILTER (near) AS n_near,
+  string_agg(line::VARCHAR, ',' ORDER BY line) FILTER (exact OR near) AS dropped FROM judged GROUP BY doc_id)
+SELECT s.doc_id, len(s.parts)::BIGINT AS n_lines, coalesce(c.n_exact, 0)::BIGINT AS n_exact, coalesce(c.n_near, 0)::BIGINT AS n_near,
+  coalesce(c.dropped, '') AS dropped FROM split s LEFT JOIN counts c ON c.doc_id = s.doc_id
+"""
+
+ORACLES["op8_quality_rules"] = f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS body, {WORDS.format("coalesce(text, '')")} AS ws,
+  list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')) AS ls FROM documents),
+worded AS (SELECT doc_id, unnest(range(len(ws))) AS i, unnest(ws) AS w FROM t),
+win AS (SELECT doc_id, i, {" || ' ' || ".join(f"lead(w, {k}) OVER o" for k in range(quality_rules.WINDOW))} AS g FROM worded WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+often AS (SELECT doc_id, g FROM win WHERE g IS NOT NULL GROUP BY doc_id, g HAVING count(*) > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM win JOIN often USING (doc_id, g), unnest(range(8)) AS u(k) GROUP BY doc_id),
+m AS (SELECT t.doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+  length(regexp_replace(body, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+  (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words, len(ls)::BIGINT AS n_lines,
+  length(regexp_replace(array_to_string(ws, ''), '\\P{{L}}+', '', 'g'))::BIGINT AS n_letters
+  FROM t LEFT JOIN covered c ON c.doc_id = t.doc_id),
+f AS (SELECT *, {" + ".join(f"CASE WHEN {rule} THEN {1 << k} ELSE 0 END" for k, (_, rule) in enumerate(quality_rules.RULES))} AS failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & {quality_rules.mask("base")}) <> 0 AS base_failed,
+  (failed & {quality_rules.mask("v2")}) = 0 AS kept, failed::BIGINT AS failed FROM f
+"""
+
+
+@query
+def op10_decontamination(spark, sf_dir):
+    marked = decontaminate.mark(documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return marked.select("doc_id", (F.size("_items") > 0).alias("contaminated"), F.size("_items").cast("long").alias("n_items"),
+                         F.array_join(F.col("_items").cast("array<string>"), ",").alias("item_ids"))
+
+
+ORACLES["op10_decontamination"] = f"""
+WITH dw AS (SELECT doc_id, {WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS ws FROM documents),
+iw AS (SELECT item_id, {WORDS.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS ws FROM benchmark WHERE text IS NOT NULL),
+dr AS (SELECT doc_id, len(ws) AS total, unnest(range(len(ws))) AS pos, unnest(ws) AS w FROM dw),
+ir AS (SELECT item_id, len(ws) AS n, unnest(range(len(ws))) AS pos, unnest(ws) AS w FROM iw),
+ds AS (SELECT doc_id, total, pos, {" || ' ' || ".join(f"lead(w, {k}) OVER o" for k in range(5))} AS g FROM dr WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+ish AS (SELECT item_id, n, pos, {" || ' ' || ".join(f"lead(w, {k}) OVER o" for k in range(5))} AS g FROM ir WINDOW o AS (PARTITION BY item_id ORDER BY pos)),
+ic AS (SELECT item_id, n, g, count(*) AS c FROM ish WHERE g IS NOT NULL GROUP BY item_id, n, g),
+hits AS (SELECT ds.doc_id, ds.total, ds.pos, ic.item_id, ic.n FROM ds JOIN ic ON ds.g = ic.g),
+win AS (SELECT DISTINCT doc_id, item_id, n, greatest(0, least(pos - k, total - n)) AS s FROM hits, unnest(range(1000)) AS u(k) WHERE k <= n - 5),
+full_win AS (SELECT w.doc_id, w.item_id, w.n, w.s FROM win w JOIN hits h ON h.doc_id = w.doc_id AND h.item_id = w.item_id
+  AND h.pos BETWEEN w.s AND w.s + w.n - 5 GROUP BY ALL HAVING 5 * count(*) >= 4 * (w.n - 4)),
+wc AS (SELECT w.doc_id, w.item_id, w.n, w.s, ds.g, count(*) AS c FROM full_win w JOIN ds ON ds.doc_id = w.doc_id AND ds.pos BETWEEN w.s AND w.s + w.n - 5
+  WHERE ds.g IS NOT NULL GROUP BY ALL),
+sims AS (SELECT wc.doc_id, wc.item_id, wc.s, wc.n, sum(wc.c) AS own, sum(least(wc.c, coalesce(ic.c, 0))) AS shared
+  FROM wc LEFT JOIN ic ON ic.item_id = wc.item_id AND ic.g = wc.g GROUP BY ALL),
+good AS (SELECT DISTINCT doc_id, item_id FROM sims WHERE 5 * shared >= 4 * (own + n - 4 - shared)),
+per AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id) AS item_ids FROM good GROUP BY doc_id)
+SELECT d.doc_id, p.doc_id IS NOT NULL AS contaminated, coalesce(p.n_items, 0)::BIGINT AS n_items, coalesce(p.item_ids, '') AS item_ids
+FROM documents d LEFT JOIN per p ON p.doc_id = d.doc_id
+"""
