@@ -68,8 +68,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
            THEN sort_array(transform(_windows, (h, i) -> named_struct('h', h, 'p', CAST(i AS BIGINT)))) END"""))
     lines = F.filter(F.split(body, "\n"), lambda line: F.translate(line, common.BLANKS, "") != "")
     letters = F.length(F.regexp_replace(F.array_join("_words", ""), r"\P{L}+", ""))
-    return split.select(
-        *columns,
+    measured = F.struct(
         F.size("_words").cast("long").alias("n_words"),
         F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
         (F.length(body) - F.length(F.translate(body, SYMBOLS, ""))).cast("long").alias("n_symbols"),
@@ -77,6 +76,8 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         F.when(F.col("_seen").isNull(), F.lit(0).cast("long")).otherwise(repeated_words("_words", "_seen")).alias("n_repeat_words"),
         F.size(lines).cast("long").alias("n_lines"),
         letters.cast("long").alias("n_letters"))
+    # A one-element explode: no later filter on a measurement can be pushed below it and evaluate it again.
+    return split.select(*columns, F.explode(F.array(measured)).alias("_m")).select(*columns, "_m.*")
 
 
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:

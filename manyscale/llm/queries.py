@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from manyscale.llm import bpe_replay, common, decontaminate, language_id, line_dedup, quality_rules, secret_scan, simhash_groups, token_counts, token_files
+from manyscale.llm import bpe_replay, common, decontaminate, language_id, line_dedup, lm_score, quality_rules, secret_scan, simhash_groups, token_counts, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -166,3 +166,9 @@ per AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORD
 SELECT d.doc_id, p.doc_id IS NOT NULL AS contaminated, coalesce(p.n_items, 0)::BIGINT AS n_items, coalesce(p.item_ids, '') AS item_ids
 FROM documents d LEFT JOIN per p ON p.doc_id = d.doc_id
 """
+
+
+@query
+def op4_lm_score(spark, sf_dir):
+    return lm_score.score(documents(spark, sf_dir), language_id.held_out("doc_id", 5, 1))
+
