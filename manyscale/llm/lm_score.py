@@ -107,7 +107,7 @@ def count_ngrams(texts: DataFrame, n_segments: int) -> DataFrame:
 
 def positions(grams: np.ndarray, level: int, kind: int, bits: int) -> Iterator[np.ndarray]:
     """The probes of a level of n-grams, as places in a segment of ``bits`` bits (one number or one for each)."""
-    seed = mix(grams + np.uint64(level * 2 + kind) * GOLDEN)
+    seed = mix(grams + np.uint64((level * 2 + kind) * int(GOLDEN) & 0xFFFFFFFFFFFFFFFF))
     step = mix(seed) | np.uint64(1)
     for k in range(PROBES):
         yield ((seed + np.uint64(k) * step) >> np.uint64(16)) % bits
