@@ -17,7 +17,9 @@ BLANKS = " \t\n\x0b\f\r"
 
 def words(text: Column) -> Column:
     """The maximal runs of characters other than ``BLANKS``, in order; none for null."""
-    flat = F.translate(F.coalesce(text, F.lit("")), BLANKS, " " * len(BLANKS))
+    flat = F.coalesce(text, F.lit(""))
+    for blank in BLANKS[1:]:  # a search for one character each, several times faster than translate()
+        flat = F.replace(flat, F.lit(blank), F.lit(" "))
     return F.array_remove(F.split(flat, " "), "")
 
 

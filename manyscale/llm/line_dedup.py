@@ -45,7 +45,7 @@ def halves(words: str) -> Column:
 
 
 def variant_keys(rows: DataFrame) -> DataFrame:
-    """``(at, place, key)``: one row for each deletable word (``place`` from 1) and one for the whole line (0)."""
+    """``(h, place, key)``: one row for each deletable word (``place`` from 1) and one for the whole line (0)."""
     pair = "xxhash64(coalesce(get(words, {0}), ''), coalesce(get(words, {1}), ''))"
     low, high = "({0} & 4294967295)", "shiftrightunsigned({0}, 32)"
     steps = rows.withColumn("joints", F.expr(f"transform(sequence(0, size(words)), j -> {pair.format('j - 1', 'j')})"))
@@ -57,7 +57,7 @@ def variant_keys(rows: DataFrame) -> DataFrame:
         array(named_struct('place', 0, 'key', xxhash64(size(words), low, high))),
         CASE WHEN size(words) < {LEAST_WORDS} THEN array() ELSE transform(sequence(0, size(words) - 1), j ->
             named_struct('place', j + 1, 'key', xxhash64(size(words) - 1, {rest('low', low)}, {rest('high', high)}))) END)""")
-    return steps.select("at", F.explode(keys).alias("v")).select("at", "v.place", "v.key")
+    return steps.select("h", F.explode(keys).alias("v")).select("h", "v.place", "v.key")
 
 
 def within_one(a: str, b: str) -> Column:
@@ -71,15 +71,24 @@ def within_one(a: str, b: str) -> Column:
     return F.expr(f"CASE WHEN size({a}) = size({b}) THEN {same} WHEN size({a}) = size({b}) + 1 THEN {longer(a, b)} WHEN size({b}) = size({a}) + 1 THEN {longer(b, a)} ELSE false END")
 
 
-def near(distinct: DataFrame, texts: DataFrame) -> DataFrame:
-    """``at`` of the lines of ``distinct(at, halves)`` that have an earlier line within one edit; ``texts`` has all lines' words."""
-    shared = distinct.select("at", F.explode("halves").alias("half"))
-    met = shared.groupBy("half").agg(F.min("at").alias("a"), F.max("at").alias("b")).where("a <> b").select("half")
-    live = shared.join(met, "half", "left_semi").select("at").distinct()
-    live = common.stored(texts.join(live, "at").dropDuplicates(["at"]))
+def near(first: DataFrame, docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``at`` of the lines of ``first(h, at, halves)`` that have an earlier line within one edit.
+
+    Lines travel as their hash; whole texts are shuffled once, to cut out the lines that may have a partner.
+    """
+    shared = first.where("halves IS NOT NULL").select("h", F.explode("halves").alias("half"))
+    met = shared.groupBy("half").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("half")
+    live = shared.join(met, "half", "left_semi").select("h").distinct()
+    wanted = first.join(live, "h", "left_semi").select("h", "at.doc_id", "at.line").groupBy(F.col("doc_id").alias("_id")).agg(
+        F.collect_list(F.struct("line", "h")).alias("_wanted"))
+    bodies = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    each = bodies.join(wanted, bodies["doc_id"].eqNullSafe(wanted["_id"])).select("doc_id", "_wanted", F.posexplode(F.split("text", "\n")).alias("line", "body"))
+    each = each.where("array_contains(_wanted.line, line)").select("doc_id", "line", "_wanted", common.words(F.col("body")).alias("words"))
+    each = each.withColumn("h", F.xxhash64("words")).where("array_contains(_wanted, named_struct('line', line, 'h', h))")
+    live = common.stored(each.select("h", F.struct("doc_id", "line").alias("at"), "words").dropDuplicates(["h"]))
     variants = variant_keys(live)
     often = variants.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    some = variants.join(often, "key", "left_semi").join(live, "at")
+    some = variants.join(often, "key", "left_semi").join(live, "h")
     rest = common.stored(some.select("at", "place", F.expr(
         "CASE WHEN place = 0 THEN xxhash64(size(words), words) ELSE xxhash64(size(words) - 1, slice(words, 1, place - 1), slice(words, place + 1, size(words))) END").alias("rest")))
     earliest = rest.groupBy("rest", "place").agg(F.min("at").alias("other"))
@@ -94,11 +103,10 @@ def near(distinct: DataFrame, texts: DataFrame) -> DataFrame:
 
 def decide(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, kept, near)``: line numbers that stay, and those that go for a near copy, of documents with such a line."""
-    texts = lines(docs, id, text)
-    hashed = texts.select("at", F.xxhash64("words").alias("h"), F.xxhash64(F.lit(7), "words").alias("g"),
-                          F.when(F.size("words") >= LEAST_WORDS - 1, halves("words")).alias("halves"))
-    first = common.stored(hashed.groupBy("h", "g").agg(F.min("at").alias("at"), F.min_by("halves", "at").alias("halves")).select("at", "halves"))
-    dropped = near(first.where("halves IS NOT NULL"), texts).withColumn("near", F.lit(True))
+    hashed = lines(docs, id, text).select("at", F.xxhash64("words").alias("h"), F.xxhash64(F.lit(7), "words").alias("g"),
+                                          F.when(F.size("words") >= LEAST_WORDS - 1, halves("words")).alias("halves"))
+    first = common.stored(hashed.groupBy("h", "g").agg(F.min("at").alias("at"), F.any_value("halves").alias("halves")).select("h", "at", "halves"))
+    dropped = near(first, docs, id, text).withColumn("near", F.lit(True))
     joined = first.select("at").join(dropped, "at", "left").select("at.doc_id", "at.line", F.coalesce("near", F.lit(False)).alias("near"))
     return joined.groupBy("doc_id").agg(
         F.sort_array(F.collect_list(F.when(~F.col("near"), F.col("line")))).alias("kept"),
