@@ -11,7 +11,7 @@ One edit leaves both lines with a common variant: the line with one word deleted
    only the others go on.
 3. Every such line emits a hashed key for each word deleted, and one for itself. Keys are sums over neighbouring words,
    so a deletion changes three terms and a line of n words costs n steps.
-4. Variants that occur once are dropped; the others get the hash of the exact words that are left. Lines with the same
+4. Variants of a single line are dropped; the others get the hash of the exact words that are left. Lines with the same
    rest at the same place differ in that word alone: each is compared with the earliest of them, and longer and shorter
    lines with the earliest of the other kind. No group is paired out.
 5. The edit distance of each such pair is verified on the words.
@@ -87,7 +87,8 @@ def near(first: DataFrame, docs: DataFrame, id: str = "doc_id", text: str = "tex
     each = each.withColumn("h", F.xxhash64("words")).where("array_contains(_wanted, named_struct('line', line, 'h', h))")
     live = common.stored(each.select("h", F.struct("doc_id", "line").alias("at"), "words").dropDuplicates(["h"]))
     variants = variant_keys(live)
-    often = variants.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    # A run of one word gives a line the same key several times; only keys of two lines matter.
+    often = variants.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("key")
     some = variants.join(often, "key", "left_semi").join(live, "h")
     rest = common.stored(some.select("at", "place", F.expr(
         "CASE WHEN place = 0 THEN xxhash64(size(words), words) ELSE xxhash64(size(words) - 1, slice(words, 1, place - 1), slice(words, place + 1, size(words))) END").alias("rest")))
