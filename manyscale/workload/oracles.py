@@ -29,29 +29,28 @@ BOX = ("sqrt(list_sum(list_transform(list_zip({a}, {b}), lambda z: "
 
 
 def tree(levels: int, rounds: int = 10) -> str:
-    """CTEs of the split rule: ``a{L}(point_id, x, node_id)`` is the membership at level L."""
-    parts = [P, "a0 AS MATERIALIZED (SELECT point_id, x, CAST(0 AS BIGINT) AS node_id FROM p)"]
-    for level in range(levels):
-        a = f"a{level}"
-        parts.append(f"f{level} AS (SELECT node_id, arg_min(x, point_id) AS x0 FROM {a} GROUP BY node_id HAVING count(*) > 1)")
-        parts.append(f"c{level}_0 AS MATERIALIZED (SELECT node_id, any_value(x0) AS c0, arg_min(x, (-round(list_distance(x, x0), 12), point_id)) AS c1 "
-                     f"FROM {a} JOIN f{level} USING (node_id) GROUP BY node_id)")
-        for t in range(rounds + 1):
-            parts.append(f"m{level}_{t} AS MATERIALIZED (SELECT point_id, x, node_id, CASE WHEN list_distance(x, c0) <= list_distance(x, c1) THEN 0 ELSE 1 END AS side "
-                         f"FROM {a} JOIN c{level}_{t} USING (node_id))")
-            if t == rounds:
-                break
-            parts.append(f"u{level}_{t} AS (SELECT node_id, side, list(m ORDER BY pos) AS c FROM (SELECT node_id, side, pos, avg(v) AS m FROM "
-                         f"(SELECT node_id, side, unnest(x) AS v, unnest(range(0, 64)) AS pos FROM m{level}_{t}) GROUP BY node_id, side, pos) GROUP BY node_id, side)")
-            parts.append(f"c{level}_{t + 1} AS MATERIALIZED (SELECT o.node_id, coalesce(l.c, o.c0) AS c0, coalesce(g.c, o.c1) AS c1 FROM c{level}_{t} o "
-                         f"LEFT JOIN u{level}_{t} l ON l.node_id = o.node_id AND l.side = 0 LEFT JOIN u{level}_{t} g ON g.node_id = o.node_id AND g.side = 1)")
-        parts.append(f"a{level + 1} AS MATERIALIZED (SELECT point_id, x, 2 * node_id + 1 + side AS node_id FROM m{level}_{rounds})")
-    union = " UNION ALL ".join(f"SELECT point_id, x, node_id, {level} AS level FROM a{level}" for level in range(levels + 1))
-    parts.append(f"members AS MATERIALIZED ({union})")
-    parts.append("sums AS (SELECT node_id, level, pos, avg(v) AS m FROM (SELECT node_id, level, unnest(x) AS v, unnest(range(0, 64)) AS pos FROM members) GROUP BY ALL)")
-    parts.append("centers AS MATERIALIZED (SELECT node_id, level, list(m ORDER BY pos) AS center FROM sums GROUP BY node_id, level)")
-    parts.append("nodes AS MATERIALIZED (SELECT node_id, level, n, center FROM centers JOIN (SELECT node_id, level, count(*) AS n FROM members GROUP BY ALL) USING (node_id, level))")
-    return "WITH " + ", ".join(parts)
+    """CTEs of the split rule: ``members(point_id, x, node_id, level)``, one recursion step for each round of a level."""
+    return f"""WITH RECURSIVE {P},
+walk(point_id, x, level, t, node_id, side, c0, c1) AS (
+  SELECT point_id, x, 0, -1, CAST(0 AS BIGINT), 0, CAST(NULL AS DOUBLE[]), CAST(NULL AS DOUBLE[]) FROM p
+  UNION ALL
+  SELECT point_id, x, level, t, node_id, CASE WHEN list_distance(x, c0) <= list_distance(x, c1) THEN 0 ELSE 1 END, c0, c1 FROM (
+    WITH w AS (SELECT * FROM walk),
+    s AS (SELECT point_id, x, CASE WHEN t = {rounds} THEN level + 1 ELSE level END AS level, CASE WHEN t = {rounds} THEN 0 ELSE t + 1 END AS t,
+          CASE WHEN t = {rounds} THEN 2 * node_id + 1 + side ELSE node_id END AS node_id, side, c0, c1 FROM w WHERE NOT (t = {rounds} AND level = {levels - 1})),
+    start AS (SELECT *, count(*) OVER n AS size, arg_min(x, point_id) OVER n AS x0 FROM s WHERE t = 0 WINDOW n AS (PARTITION BY node_id)),
+    ends AS (SELECT *, arg_min(x, (-round(list_distance(x, x0), 12), point_id)) OVER (PARTITION BY node_id) AS x1 FROM start WHERE size > 1),
+    u AS (SELECT node_id, side, list(m ORDER BY pos) AS c FROM (SELECT node_id, side, pos, avg(v) AS m FROM
+          (SELECT node_id, side, unnest(x) AS v, unnest(range(0, 64)) AS pos FROM s WHERE t > 0) GROUP BY node_id, side, pos) GROUP BY node_id, side)
+    SELECT point_id, x, level, t, node_id, x0 AS c0, x1 AS c1 FROM ends
+    UNION ALL
+    SELECT s.point_id, s.x, s.level, s.t, s.node_id, coalesce(l.c, s.c0), coalesce(g.c, s.c1) FROM s
+    LEFT JOIN u l ON l.node_id = s.node_id AND l.side = 0 LEFT JOIN u g ON g.node_id = s.node_id AND g.side = 1 WHERE s.t > 0)),
+members AS MATERIALIZED (SELECT point_id, x, CAST(0 AS BIGINT) AS node_id, 0 AS level FROM p
+  UNION ALL SELECT point_id, x, 2 * node_id + 1 + side, level + 1 FROM walk WHERE t = {rounds}),
+sums AS (SELECT node_id, level, pos, avg(v) AS m FROM (SELECT node_id, level, unnest(x) AS v, unnest(range(0, 64)) AS pos FROM members) GROUP BY ALL),
+centers AS MATERIALIZED (SELECT node_id, level, list(m ORDER BY pos) AS center FROM sums GROUP BY node_id, level),
+nodes AS MATERIALIZED (SELECT node_id, level, n, center FROM centers JOIN (SELECT node_id, level, count(*) AS n FROM members GROUP BY ALL) USING (node_id, level))"""
 
 
 def tree_rows(levels: int) -> str:

@@ -7,7 +7,7 @@ import check
 
 SF = "/root/testdata/sf0.001"
 # One or two per module; check.py runs them all.
-CHECKED = ["flatten_frames", "matrix_multiply", "pca_spectrum", "truncated_svd", "affine_reconstruct", "fit_tree", "prune_cells",
+CHECKED = ["flatten_frames", "matrix_multiply", "pca_spectrum", "truncated_svd", "affine_reconstruct", "fit_tree", "representations", "prune_cells",
            "project_points", "multiscale_features", "wavelets", "knn_join", "range_join_pruned", "count_pairs_pruned",
            "metric_partitions", "expand_window_labels", "superpose", "classify_split", "reconstruct"]
 
@@ -20,7 +20,7 @@ def con():
 @pytest.mark.parametrize("name", CHECKED)
 def test_query_matches_its_sql(spark, con, name):
     got = contract.queries()[name](spark, SF).toPandas()
-    assert len(got) and check.difference(got, con.execute(contract.oracle_sql()[name]).df()) == ""
+    assert len(got) and check.difference(got, check.answer(con, contract.oracle_sql()[name])) == ""
 
 
 def test_every_oracle_has_a_query():
