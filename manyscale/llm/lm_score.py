@@ -43,6 +43,8 @@ RAREST = 1 << 27
 FREQUENT = 1 << 20
 #: N-grams that a segment is meant to hold.
 SEGMENT = 1 << 20
+#: Texts whose words a task holds at a time.
+CHUNK = 500
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -70,7 +72,7 @@ def tokens_of(text: str | None) -> list[bytes]:
 
 def ngrams(texts: list, hashes: Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the tokens of all texts, of the pairs that they form with what precedes them, and tokens per text."""
-    if len(hashes) > 1_000_000:
+    if len(hashes) > 500_000:
         hashes.clear()
     tokens = [tokens_of(t) for t in texts]
     sizes = np.array([len(t) for t in tokens], np.int64)
@@ -87,7 +89,10 @@ def count_ngrams(texts: DataFrame, n_segments: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
         for batch in batches:
-            single, pairs, _ = ngrams(batch.column(0).to_pylist(), hashes)
+            # Words of a few hundred texts at a time become hashes; only those are kept for the whole batch.
+            texts = batch.column(0)
+            parts = [ngrams(texts[at:at + CHUNK].to_pylist(), hashes)[:2] for at in range(0, len(texts), CHUNK)]
+            single, pairs = (np.concatenate(part) for part in zip(*parts)) if parts else (np.empty(0, np.uint64),) * 2
             segments, order, grams, counts = [], [], [], []
             for kind, values in enumerate((mix(single), pairs)):
                 found, n = np.unique(values, return_counts=True)
@@ -235,8 +240,8 @@ def score(docs: DataFrame, held: Column, id: str = "doc_id", text: str = "text")
         logs = {token: (c > 0, np.log10(c + 0.5) - floor) for token, c in exact.items()}
         for batch in batches:
             ids, texts, kept_out = (c.to_pylist() for c in batch.columns)
-            for at in range(0, len(ids), 500):
-                part = slice(at, at + 500)
+            for at in range(0, len(ids), CHUNK):
+                part = slice(at, at + CHUNK)
                 single, pairs, sizes = ngrams(texts[part], hashes)
                 columns = {"row": [], "known": [], "base": [], "rare": [], "times": []}
                 for body in texts[part]:
