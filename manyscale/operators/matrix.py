@@ -29,11 +29,13 @@ def shape(a: DataFrame) -> tuple[int, int]:
 
 
 def matrix_add(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Sum of two matrices of the same shape, matched by row index."""
+    """Sum of two matrices of the same shape, matched by row index; an index that only one of them has is an error."""
     if shape(a) != shape(b):
         raise ValueError(f"cannot add matrices of shape {shape(a)} and {shape(b)}")
     other = b.select("i", F.col("x").alias("_y"))
-    return a.join(other, "i").select("i", arrays.add(arrays.doubles("x"), arrays.doubles("_y")).alias("x"))
+    alone = F.raise_error(F.concat(F.lit("only one matrix has row "), F.col("i").cast("string"))).cast("array<double>")
+    total = F.when(F.col("x").isNull() | F.col("_y").isNull(), alone).otherwise(arrays.add(arrays.doubles("x"), arrays.doubles("_y")))
+    return a.select("i", "x").join(other, "i", "full").select("i", total.alias("x"))
 
 
 def matrix_scale(a: DataFrame, s: float) -> DataFrame:

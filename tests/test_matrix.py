@@ -132,3 +132,11 @@ def test_projection_and_reconstruction(table):
     for bad in (lambda: D.project(table(a), basis[:, :3]), lambda: D.project(table(a), basis, c[:3])):
         with pytest.raises(ValueError):
             bad()
+
+
+def test_add_refuses_different_row_indices(spark):
+    a = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(6)], "i long, x array<double>")
+    b = a.selectExpr("i + 10 AS i", "x")
+    with pytest.raises(Exception, match="only one matrix has row"):
+        M.matrix_add(a, b).collect()
+    assert sorted((r.i, r.x) for r in M.matrix_add(a, a).collect()) == [(i, [2.0, 4.0]) for i in range(6)]
