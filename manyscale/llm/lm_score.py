@@ -45,6 +45,8 @@ FREQUENT = 1 << 20
 SEGMENT = 1 << 20
 #: Texts whose words a task holds at a time.
 CHUNK = 500
+#: Tokens that a task remembers; they are forgotten beyond that.
+REMEMBERED = 500_000
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -70,16 +72,75 @@ def tokens_of(text: str | None) -> list[bytes]:
     return found
 
 
+class Places(dict):
+    """Places of tokens in the order they are first met; ``fresh`` holds those that nobody has looked at yet."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[bytes] = []
+
+    def __missing__(self, token: bytes) -> int:
+        place = self[token] = len(self)
+        self.fresh.append(token)
+        return place
+
+
+class Facts:
+    """What a task knows of each token by its place: name, hash, count in the filter, and its exact share if it is frequent."""
+
+    def __init__(self, model: Filter, logs: dict[bytes, tuple[bool, float]]):
+        self.model, self.logs = model, logs
+        self.forget()
+
+    def forget(self):
+        self.places, self.names = Places(), []
+        self.hashes, self.counts = np.empty(0, np.uint64), np.empty(0)
+        self.frequent, self.hits, self.shares = np.empty(0, bool), np.empty(0, np.int64), np.empty(0)
+
+    def of(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
+        """The places of all tokens of the texts, and tokens per text."""
+        if len(self.names) > REMEMBERED:
+            self.forget()
+        tokens = [tokens_of(t) for t in texts]
+        sizes = np.array([len(t) for t in tokens], np.int64)
+        at = np.fromiter((p for t in tokens for p in map(self.places.__getitem__, t)), np.int64, int(sizes.sum()))
+        fresh, self.places.fresh = self.places.fresh, []
+        if fresh:
+            self.names += fresh
+            hashes = np.array([xxhash.xxh64_intdigest(t) for t in fresh], np.uint64)
+            exact = [self.logs.get(t) for t in fresh]
+            more = (hashes, self.model.counts(mix(hashes), 0), np.array([e is not None for e in exact]),
+                    np.array([e is not None and e[0] for e in exact], np.int64), np.array([e[1] if e else 0.0 for e in exact]))
+            held = (self.hashes, self.counts, self.frequent, self.hits, self.shares)
+            self.hashes, self.counts, self.frequent, self.hits, self.shares = (np.concatenate(p) for p in zip(held, more))
+        return at, sizes
+
+    def rare(self, at: np.ndarray, sizes: np.ndarray) -> tuple[pa.Array, pa.Array]:
+        """For each text its tokens that are not frequent, and how often it has them."""
+        open_ = ~self.frequent[at]
+        keys, times = np.unique(np.repeat(np.arange(len(sizes)), sizes)[open_] * len(self.names) + at[open_], return_counts=True)
+        ends = np.cumsum(np.bincount(keys // len(self.names), minlength=len(sizes)))
+        offsets = pa.array(np.append(0, ends), pa.int32())
+        names = pa.array([self.names[p] for p in keys % len(self.names)], pa.binary())
+        return pa.ListArray.from_arrays(offsets, names), pa.ListArray.from_arrays(offsets, pa.array(times, pa.int32()))
+
+
+def paired(single: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Hashes of the pairs that tokens form with what precedes them; an end stands before each text."""
+    previous = np.roll(single, 1)
+    starts = np.cumsum(sizes) - sizes
+    previous[starts] = single[starts + sizes - 1]
+    return mix(previous * GOLDEN + single)
+
+
 def ngrams(texts: list, hashes: Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the tokens of all texts, of the pairs that they form with what precedes them, and tokens per text."""
-    if len(hashes) > 500_000:
+    if len(hashes) > REMEMBERED:
         hashes.clear()
     tokens = [tokens_of(t) for t in texts]
     sizes = np.array([len(t) for t in tokens], np.int64)
     single = np.array([h for t in tokens for h in map(hashes.__getitem__, t)], np.uint64)
-    previous = np.roll(single, 1)
-    previous[np.cumsum(sizes) - sizes] = hashes[END]
-    return single, mix(previous * GOLDEN + single), sizes
+    return single, paired(single, sizes), sizes
 
 
 def count_ngrams(texts: DataFrame, n_segments: int) -> DataFrame:
@@ -176,10 +237,8 @@ class Filter:
         return result
 
 
-def log10_scores(model: Filter, single: np.ndarray, pairs: np.ndarray, sizes: np.ndarray, n: int, v: int) -> np.ndarray:
-    """Log probabilities of texts, one after the other in the arrays."""
-    words, inverse = np.unique(mix(single), return_inverse=True)
-    count = model.counts(words, 0)[inverse]
+def log10_scores(model: Filter, count: np.ndarray, pairs: np.ndarray, sizes: np.ndarray, n: int, v: int) -> np.ndarray:
+    """Log probabilities of texts, one after the other in the arrays, from the filter's counts of their tokens."""
     alone = (count + 0.5) / (n + 0.5 * (v + 1))
     before = np.roll(count, 1)
     starts = np.cumsum(sizes) - sizes
@@ -236,29 +295,20 @@ def score(docs: DataFrame, held: Column, id: str = "doc_id", text: str = "text")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        (own, exact), hashes, row = sent.value, Hashes(), TaskContext.get().partitionId() << 40
-        logs = {token: (c > 0, np.log10(c + 0.5) - floor) for token, c in exact.items()}
+        (own, exact), row = sent.value, TaskContext.get().partitionId() << 40
+        facts = Facts(own, {token: (c > 0, np.log10(c + 0.5) - floor) for token, c in exact.items()})
         for batch in batches:
-            ids, texts, kept_out = (c.to_pylist() for c in batch.columns)
-            for at in range(0, len(ids), CHUNK):
-                part = slice(at, at + CHUNK)
-                single, pairs, sizes = ngrams(texts[part], hashes)
-                columns = {"row": [], "known": [], "base": [], "rare": [], "times": []}
-                for body in texts[part]:
-                    rare, hits, total = {}, 0, 0.0
-                    for token, times in Counter(tokens_of(body)).items():
-                        found = logs.get(token)
-                        if found:
-                            hits += times * found[0]
-                            total += times * found[1]
-                        else:
-                            rare[token] = times
-                    for name, value in zip(columns, (row, hits, total, list(rare), list(rare.values()))):
-                        columns[name].append(value)
-                    row += 1
-                columns |= {"doc_id": ids[part], "held_out": kept_out[part], "n_tokens": sizes,
-                            "score": log10_scores(own, single, pairs, sizes, n, v)}
-                yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in fields], schema=fields)
+            for first in range(0, batch.num_rows, CHUNK):
+                part = batch.slice(first, CHUNK)
+                at, sizes = facts.of(part.column(1).to_pylist())
+                starts = np.cumsum(sizes) - sizes
+                rare, times = facts.rare(at, sizes)
+                columns = {
+                    "row": np.arange(row, row + len(sizes)), "doc_id": part.column(0), "held_out": part.column(2), "n_tokens": sizes,
+                    "known": np.add.reduceat(facts.hits[at], starts), "base": np.add.reduceat(facts.shares[at], starts),
+                    "score": log10_scores(own, facts.counts[at], paired(facts.hashes[at], sizes), sizes, n, v), "rare": rare, "times": times}
+                row += len(sizes)
+                yield pa.RecordBatch.from_arrays([c if isinstance(c := columns[f.name], pa.Array) else pa.array(c, f.type) for f in fields], schema=fields)
 
     scored = common.stored(docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"), held.alias("held")).mapInArrow(run, schema))
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("t")).select("row", F.col("t.rare").alias("token"), F.col("t.times").alias("times"))
