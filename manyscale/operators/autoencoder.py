@@ -129,7 +129,7 @@ def fit_autoencoder(df: DataFrame, hidden: Sequence[int], *, activation: str = "
     if mode not in ("average", "gradient"):
         raise ValueError("mode must be 'average' or 'gradient'")
     step, spark = _stepper(optimizer, lr), df.sparkSession
-    n_workers = n_workers or spark.sparkContext.defaultParallelism
+    n_workers = n_workers or workers.worker_count(df)
     rows = workers.laid_out(df.select(key, arrays.doubles("x").alias("x")), key, n_workers, seed)
     model = Autoencoder.random(table_width(rows), hidden, activation, stddev, seed)
     shapes = [a.shape for a in (*model.weights, *model.biases)]

@@ -105,7 +105,7 @@ def parallel_linear(train: DataFrame, algorithm: str, *, rounds: int = 5, n_work
         raise ValueError(f"unknown algorithm {algorithm!r}; known are {sorted(STEPS)}")
     step, averaged = STEPS[algorithm]
     classes = class_labels(train)
-    n_workers = n_workers or train.sparkSession.sparkContext.defaultParallelism
+    n_workers = n_workers or workers.worker_count(train)
     rows = workers.laid_out(train.select(key, arrays.doubles("x").alias("x"), "label"), key, n_workers, seed)
     width = table_width(rows)
 

@@ -17,7 +17,7 @@ from manyscale.plans import storage
 
 BLOCK = 256
 SMALL_SIDE = 64 * 1024 * 1024
-BLOCK_SCHEMA = "bi long, bj long, height int, width int, v array<double>"
+BLOCK_SCHEMA = "bi long, bj long, height int, width int, ids array<long>, v array<double>"
 
 
 def shape(a: DataFrame) -> tuple[int, int]:
@@ -83,15 +83,22 @@ def matrix_multiply(a: DataFrame, b: DataFrame, *, block: int = BLOCK, small_sid
     """Product of two row matrices as rows ``(i, x)``.
 
     A right side of at most ``small_side`` bytes is broadcast after its size has been checked;
-    anything larger is multiplied block by block.
+    anything larger is multiplied block by block. Both ways give the row indices of ``a``, whatever they are;
+    ``b`` is matched by index and must have the indices ``0 .. n - 1``.
     """
     (n, inner), (rows, width) = shape(a), shape(b)
     if inner != rows:
         raise ValueError(f"cannot multiply matrices of shape {(n, inner)} and {(rows, width)}")
+    low, high = b.agg(F.min("i"), F.max("i")).first()
+    if rows and (low, high) != (0, rows - 1):
+        raise ValueError(f"the right matrix has {rows} rows with indices from {low} to {high}")
     if rows * width * 8 > small_side:
-        product = multiply_blocks(to_blocks(a, block, block), to_blocks(b, block, block), n // block + 1)
-        return from_blocks(product, block)
-    right = np.array([r.x for r in b.select("i", arrays.doubles("x").alias("x")).orderBy("i").collect()])
+        product = multiply_blocks(to_blocks(a, block, block), to_blocks(b, block, block, dense=True), n // block + 1)
+        return from_blocks(product)
+    held = b.select("i", arrays.doubles("x").alias("x")).orderBy("i").collect()
+    if [r.i for r in held] != list(range(rows)):
+        raise ValueError("the right matrix has a row index twice")
+    right = np.array([r.x for r in held])
     shipped = storage.checked_broadcast(a.sparkSession, right, right.nbytes, "the right matrix")
 
     def task(it: Iterator[pa.RecordBatch]):
@@ -103,18 +110,25 @@ def matrix_multiply(a: DataFrame, b: DataFrame, *, block: int = BLOCK, small_sid
     return a.select(F.col("i").cast("long").alias("i"), arrays.doubles("x").alias("x")).mapInArrow(task, "i long, x array<double>")
 
 
-def to_blocks(a: DataFrame, rows_per_block: int = BLOCK, cols_per_block: int = BLOCK) -> DataFrame:
-    """A row matrix with dense indices ``0 .. n - 1`` as row-major blocks."""
+def to_blocks(a: DataFrame, rows_per_block: int = BLOCK, cols_per_block: int = BLOCK, *, dense: bool = False) -> DataFrame:
+    """A row matrix as row-major blocks. Row indices may have gaps: ``ids`` says which rows a block holds.
+
+    ``dense`` makes a gap or a repeated index inside a block an error.
+    """
 
     def cut(table: pa.Table) -> pa.Table:
         order = np.argsort(nb.to_numpy(table.column("i")))
         x = nb.to_matrix(table.column("x"))[order]
-        bi = int(nb.to_numpy(table.column("i"))[order[0]]) // rows_per_block
+        ids = nb.to_numpy(table.column("i"))[order]
+        bi = int(ids[0]) // rows_per_block
+        if dense and (np.diff(ids) != 1).any():
+            raise ValueError(f"row indices between {ids[0]} and {ids[-1]} are missing or repeated")
         pieces = [x[:, s : s + cols_per_block] for s in range(0, x.shape[1], cols_per_block)]
         return pa.table({
             "bi": pa.array([bi] * len(pieces), pa.int64()), "bj": pa.array(range(len(pieces)), pa.int64()),
             "height": pa.array([len(x)] * len(pieces), pa.int32()),
             "width": pa.array([p.shape[1] for p in pieces], pa.int32()),
+            "ids": pa.array([ids] * len(pieces), pa.list_(pa.int64())),
             "v": pa.array([p.ravel() for p in pieces], pa.list_(pa.float64()))})
 
     keyed = a.select(F.col("i").cast("long").alias("i"), arrays.doubles("x").alias("x"),
@@ -127,12 +141,13 @@ def multiply_blocks(a: DataFrame, b: DataFrame, row_blocks: int) -> DataFrame:
     side is spread over salts and the right side repeated for them. Tasks add up equal targets first."""
     salts = max(1, row_blocks // 64)
     left = a.select("bi", F.col("bj").alias("k"), F.pmod("bi", F.lit(salts)).alias("salt"), "height",
-                    F.col("width").alias("inner"), F.col("v").alias("l"))
+                    "ids", F.col("width").alias("inner"), F.col("v").alias("l"))
     right = b.select(F.col("bi").alias("k"), "bj", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"),
                      "width", F.col("v").alias("r"))
 
     def task(it: Iterator[pa.RecordBatch]):
         held: dict[tuple, np.ndarray] = {}
+        ids: dict[int, np.ndarray] = {}
         size = 0
         for batch in it:
             cols = {c: nb.to_numpy(batch.column(c)) for c in ("bi", "bj", "height", "inner", "width")}
@@ -141,33 +156,35 @@ def multiply_blocks(a: DataFrame, b: DataFrame, row_blocks: int) -> DataFrame:
                 product = nb.single(batch.column("l"))[t].values.to_numpy().reshape(h, k) @ \
                     nb.single(batch.column("r"))[t].values.to_numpy().reshape(k, w)
                 key = (int(cols["bi"][t]), int(cols["bj"][t]))
+                ids[key[0]] = nb.single(batch.column("ids"))[t].values
                 if key in held:
                     held[key] += product
                 else:
                     held[key] = product
                     size += product.size
             if size > 16_000_000:
-                yield from emit(held)
-                held, size = {}, 0
-        yield from emit(held)
+                yield from emit(held, ids)
+                held, ids, size = {}, {}, 0
+        yield from emit(held, ids)
 
-    def emit(held):
+    def emit(held, ids):
         for (bi, bj), m in held.items():
             yield pa.RecordBatch.from_arrays(
                 [pa.array([bi]), pa.array([bj]), pa.array([m.shape[0]], pa.int32()), pa.array([m.shape[1]], pa.int32()),
-                 nb.from_matrix(m.reshape(1, -1))], names=["bi", "bj", "height", "width", "v"])
+                 nb.from_lists(ids[bi], np.array([len(ids[bi])]), pa.int64()), nb.from_matrix(m.reshape(1, -1))],
+                names=["bi", "bj", "height", "width", "ids", "v"])
 
-    products = left.join(right, ["k", "salt"]).select("bi", "bj", "height", "inner", "width", "l", "r").mapInArrow(task, BLOCK_SCHEMA)
+    products = left.join(right, ["k", "salt"]).select("bi", "bj", "height", "inner", "width", "ids", "l", "r").mapInArrow(task, BLOCK_SCHEMA)
     return products.groupBy("bi", "bj", "height", "width").agg(
-        vector_to_array(Summarizer.sum(array_to_vector("v"))).alias("v"))
+        F.first("ids").alias("ids"), vector_to_array(Summarizer.sum(array_to_vector("v"))).alias("v"))
 
 
-def from_blocks(blocks: DataFrame, rows_per_block: int = BLOCK) -> DataFrame:
+def from_blocks(blocks: DataFrame) -> DataFrame:
     """Blocks back to rows ``(i, x)``; a row gathers one piece per column block."""
     start = F.col("r") * F.col("width") + 1
-    rows = blocks.withColumn("r", F.explode(F.sequence(F.lit(0), F.col("height") - 1))).select(
-        (F.col("bi") * rows_per_block + F.col("r")).alias("i"), "bj", F.slice("v", start, F.col("width")).alias("p"))
-    joined = rows.groupBy("i").agg(F.sort_array(F.collect_list(F.struct("bj", "p"))).alias("ps"))
+    rows = blocks.select("bi", "bj", "width", "v", F.posexplode("ids").alias("r", "i")).select(
+        "bi", "r", "i", "bj", F.slice("v", start, F.col("width")).alias("p"))
+    joined = rows.groupBy("bi", "r", "i").agg(F.sort_array(F.collect_list(F.struct("bj", "p"))).alias("ps"))
     return joined.select("i", F.flatten("ps.p").alias("x"))
 
 

@@ -23,6 +23,8 @@ from manyscale.plans.blocks import Side
 
 COPIES = 10_000
 REFINE_ROWS = 50_000
+#: Ids that a list of neighbours or distances covers.
+SEGMENT = 1 << 16
 
 
 def _side(df: DataFrame, id_col: str, x_col: str, metric: Metric, extra: Sequence[str] = ()) -> DataFrame:
@@ -176,25 +178,6 @@ def _pairs_task(metric: Metric, r: float, self_join: bool):
     return task
 
 
-def _lists_task(metric: Metric, r: float):
-    def task(q: Side, x: Side) -> Iterator[pa.RecordBatch]:
-        d, slack = metric.block(q.points, x.points)
-        whole = q.lo == 1
-        rows, cols = np.nonzero((d <= r + slack) | whole[:, None])
-        gaps = blocks.exact(metric, q.points, x.points, rows, cols) if slack else d[rows, cols]
-        inside = (gaps <= r) | whole[rows]
-        rows, cols, gaps = rows[inside], cols[inside], gaps[inside]
-        order = np.lexsort((x.ids[cols], gaps, rows))
-        rows, cols, gaps = rows[order], cols[order], gaps[order]
-        lengths = np.bincount(rows, minlength=len(q.ids))
-        some = lengths > 0
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(q.ids[some]), from_lists(x.ids[cols], lengths[some], pa.int64()),
-             from_lists(gaps, lengths[some], pa.float64())], names=["q_id", "nbr_ids", "ds"])
-
-    return task
-
-
 def _prepared(a, b, metric, a_id, b_id, a_x, b_x, rows_per_block):
     """Both sides in standard form, and the rows per block."""
     left = _side(a, a_id, a_x, metric)
@@ -243,22 +226,21 @@ def sparse_distances(a: DataFrame, b: DataFrame, max_distance: float, **options)
 
 def ball_search(queries: DataFrame, data: DataFrame, r: float, *, metric: str | Metric = "euclidean",
                 eps: float = 0.0, query_id: str = "point_id", data_id: str = "point_id", query_x: str = "x",
-                data_x: str = "x", cells: int | None = None, rows_per_block: int | None = None) -> DataFrame:
-    """Neighbours within ``r`` as lists, nearest first: ``(q_id, nbr_ids, ds)``.
+                data_x: str = "x", segment: int = SEGMENT, cells: int | None = None, rows_per_block: int | None = None) -> DataFrame:
+    """Neighbours within ``r`` as lists, nearest first: ``(q_id, segment, nbr_ids, ds)``.
 
-    A list covers one data block. While the data fits a block that is one row per query; on
-    larger data a query has one row per block it finds something in, so no list is unbounded.
-    Queries without neighbours keep one row with empty lists.
+    A list covers the neighbours whose id divided by ``segment``, rounded down, is the number in column ``segment``,
+    so none is longer than that, and what a row holds depends on ids alone. Queries without neighbours keep one row
+    with empty lists and no segment.
     """
-    metric = named(metric)
-    q, x, size = _prepared(queries, data, metric, query_id, data_id, query_x, data_x, rows_per_block)
-    reach = blocks.reach_range(r, eps)
-    model = blocks.make_cells(x, x.count(), metric, size, 0, cells, q, reach)
-    found, _ = blocks.block_join(q, x, metric, model, reach, _lists_task(metric, r),
-                                 "q_id long, nbr_ids array<long>, ds array<double>", rows_per_block=size)
+    pairs = range_join(queries, data, r, metric=metric, eps=eps, a_id=query_id, b_id=data_id, a_x=query_x, b_x=data_x,
+                       cells=cells, rows_per_block=rows_per_block)
+    found = pairs.groupBy(F.col("i").alias("q_id"), F.expr(f"(j - pmod(j, {segment}L)) div {segment}L").alias("segment")).agg(
+        F.sort_array(F.collect_list(F.struct("d", "j"))).alias("e")).select(
+        "q_id", "segment", F.col("e.j").alias("nbr_ids"), F.col("e.d").alias("ds"))
     nothing = F.array().cast("array<long>"), F.array().cast("array<double>")
-    return q.select(F.col("id").alias("q_id")).join(found, "q_id", "left").select(
-        "q_id", F.coalesce("nbr_ids", nothing[0]).alias("nbr_ids"), F.coalesce("ds", nothing[1]).alias("ds"))
+    return queries.select(F.col(query_id).cast("long").alias("q_id")).join(found, "q_id", "left").select(
+        "q_id", "segment", F.coalesce("nbr_ids", nothing[0]).alias("nbr_ids"), F.coalesce("ds", nothing[1]).alias("ds"))
 
 
 def neighbours_within(queries: DataFrame, data: DataFrame, distance_upper_bound: float, **options) -> DataFrame:
@@ -341,11 +323,11 @@ def _inside_counts(left: DataFrame, metric: Metric, model: blocks.Cells, radii:
 
 
 def distance_matrix(a: DataFrame, b: DataFrame, *, metric: str | Metric = "euclidean", a_id: str = "point_id",
-                    b_id: str = "point_id", a_x: str = "x", b_x: str = "x",
+                    b_id: str = "point_id", a_x: str = "x", b_x: str = "x", segment: int = SEGMENT,
                     rows_per_block: int | None = None) -> DataFrame:
-    """All distances between two tables, one row per point of ``a`` and block of ``b``: ``(i, js, ds)``.
+    """All distances between two tables, one row per point of ``a`` and segment of ``b``: ``(i, segment, js, ds)``.
 
-    ``js`` is ascending. Use ``matrix_entries`` for one row per pair.
+    Segments are cut by ``id // segment``, as in ``ball_search``; ``js`` is ascending. Use ``matrix_entries`` for one row per pair.
     """
     metric = named(metric)
     left, right, size = _prepared(a, b, metric, a_id, b_id, a_x, b_x, rows_per_block)
@@ -356,13 +338,19 @@ def distance_matrix(a: DataFrame, b: DataFrame, *, metric: str | Metric = "eucli
         if slack:
             rows, cols = np.indices(d.shape).reshape(2, -1)
             d = blocks.exact(metric, q.points, x.points[order], rows, cols).reshape(d.shape)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(q.ids), from_lists(np.tile(x.ids[order], len(q.ids)), np.full(len(q.ids), len(order)), pa.int64()),
-             from_matrix(d)], names=["i", "js", "ds"])
+        ids = x.ids[order]
+        edges = [0, *(np.flatnonzero(np.diff(ids // segment)) + 1), len(ids)]
+        for s, e in zip(edges, edges[1:]):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(q.ids), pa.array(np.full(len(q.ids), ids[s] // segment)),
+                 from_lists(np.tile(ids[s:e], len(q.ids)), np.full(len(q.ids), e - s), pa.int64()),
+                 from_matrix(np.ascontiguousarray(d[:, s:e]))], names=["i", "segment", "js", "ds"])
 
     found, _ = blocks.block_join(left, right, metric, blocks.Cells(None, np.array([right.count()])), None,
-                                 task, "i long, js array<long>, ds array<double>", rows_per_block=size)
-    return found
+                                 task, "i long, segment long, js array<long>, ds array<double>", rows_per_block=size)
+    # A segment may lie in several blocks.
+    merged = found.groupBy("i", "segment").agg(F.sort_array(F.flatten(F.collect_list(F.arrays_zip("js", "ds")))).alias("e"))
+    return merged.select("i", "segment", F.col("e.js").alias("js"), F.col("e.ds").alias("ds"))
 
 
 def matrix_entries(rows: DataFrame) -> DataFrame:

@@ -19,6 +19,15 @@ from manyscale.plans import storage
 from manyscale.plans.partials import SCHEMA, collect_sums, merge_partials, partial_rows
 
 
+#: Rows that a worker trains on unless the number of workers is given.
+ROWS_PER_WORKER = 1 << 16
+
+
+def worker_count(df: DataFrame) -> int:
+    """Workers for a table: its rows alone decide, so a model is the same on every cluster."""
+    return max(1, -(-df.count() // ROWS_PER_WORKER))
+
+
 def laid_out(df: DataFrame, key: str, workers: int, seed: int) -> DataFrame:
     order = F.xxhash64(F.col(key), F.lit(seed))
     return storage.materialize(df.withColumn("_order", order).repartition(workers, "_order")

@@ -10,6 +10,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from manyscale.functions import arrays, metrics
 from manyscale.operators import autoencoder, classify, decomposition, labels, matrix, neighbours, tree
@@ -533,8 +534,9 @@ def knn_join_bounded(spark, sf_dir):
 def neighbours_within(spark, sf_dir):
     p = points(spark, sf_dir)
     lists = neighbours.neighbours_within(p, p, 1.2)
-    return lists.select("q_id", F.posexplode(F.arrays_zip("nbr_ids", "ds")).alias("pos", "e")).select(
-        "q_id", F.col("pos").cast("long").alias("pos"), F.col("e.nbr_ids").alias("nbr_id"), rounded("e.ds").alias("d"))
+    return lists.select("q_id", F.posexplode(F.arrays_zip("nbr_ids", "ds")).alias("at", "e")).select(
+        "q_id", (F.row_number().over(Window.partitionBy("q_id").orderBy("e.ds", "e.nbr_ids")) - 1).cast("long").alias("pos"),
+        F.col("e.nbr_ids").alias("nbr_id"), rounded("e.ds").alias("d"))
 
 
 @query
@@ -571,8 +573,12 @@ def knn_join_pruned(spark, sf_dir):
 @query
 def ball_search(spark, sf_dir):
     p = points(spark, sf_dir)
-    return neighbours.ball_search(anchors(spark, sf_dir), p, 1.25).select(
-        "q_id", F.size("nbr_ids").cast("long").alias("n"), F.element_at("nbr_ids", -1).alias("last_id"), rounded(arrays.total(F.col("ds"))).alias("total"))
+    # A query has one list for each segment of ids.
+    lists = neighbours.ball_search(anchors(spark, sf_dir), p, 1.25).select(
+        "q_id", F.size("nbr_ids").cast("long").alias("n"), arrays.total(F.col("ds")).alias("total"),
+        F.expr("struct(try_element_at(ds, -1) AS d, try_element_at(nbr_ids, -1) AS id)").alias("last"))
+    per = lists.groupBy("q_id").agg(F.sum("n").alias("n"), F.max("last").alias("last"), F.sum("total").alias("total"))
+    return per.select("q_id", "n", F.col("last.id").alias("last_id"), rounded(F.col("total")).alias("total"))
 
 
 def _pairs(found):

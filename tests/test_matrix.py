@@ -75,7 +75,7 @@ def test_block_product_equals_the_broadcast_product(rows, block):
     a, b = rand(23, 9), rand(9, 11, seed=2)
     blocks = M.to_blocks(rows(a), block, block)
     assert all(r.height <= block and r.width <= block for r in blocks.collect())
-    assert np.array_equal(dense(M.from_blocks(blocks, block)), a)
+    assert np.array_equal(dense(M.from_blocks(blocks)), a)
     assert np.allclose(dense(M.matrix_multiply(rows(a), rows(b), block=block, small_side=0)), a @ b)
 
 
@@ -140,3 +140,15 @@ def test_add_refuses_different_row_indices(spark):
     with pytest.raises(Exception, match="only one matrix has row"):
         M.matrix_add(a, b).collect()
     assert sorted((r.i, r.x) for r in M.matrix_add(a, a).collect()) == [(i, [2.0, 4.0]) for i in range(6)]
+
+
+def test_product_keeps_row_indices_both_ways(spark):
+    a, b = np.arange(18.0).reshape(6, 3), np.arange(12.0).reshape(3, 4)
+    left = spark.createDataFrame([(10 * i, r.tolist()) for i, r in enumerate(a)], "i long, x array<double>")
+    right = spark.createDataFrame(list(enumerate(b.tolist())), "i long, x array<double>")
+    for small_side in (0, 1 << 20):
+        found = {r.i: r.x for r in M.matrix_multiply(left, right, block=8, small_side=small_side).collect()}
+        assert sorted(found) == [0, 10, 20, 30, 40, 50]
+        assert np.allclose([found[10 * i] for i in range(6)], a @ b)
+        with pytest.raises(ValueError):
+            M.matrix_multiply(left, right.withColumn("i", F.col("i") * 2), block=8, small_side=small_side)

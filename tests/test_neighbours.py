@@ -259,3 +259,13 @@ def test_metric_partitions(table):
     assert [r.violations for r in nbr.check_metric_partitions(points, members, summary).collect()] == [0, 0]
     broken = summary.withColumn("radius", F.col("radius") * 0.5)
     assert nbr.check_metric_partitions(points, members.where("point_id <> 3"), broken).agg(F.min("violations")).first()[0] > 0
+
+
+def test_lists_do_not_depend_on_blocks(table):
+    q, x = gauss(7, 3, 21), gauss(60, 3, 22)
+    for search in (lambda n: nbr.ball_search(table(q), table(x), 1.5, segment=16, rows_per_block=n),
+                   lambda n: nbr.distance_matrix(table(q), table(x), segment=16, rows_per_block=n)):
+        one, many = (sorted(map(repr, search(n).collect())) for n in (1000, 9))
+        assert len(one) == len(many) and len(one) > 7
+    pairs = {(r.q_id, j) for r in nbr.ball_search(table(q), table(x), 1.5, segment=16, rows_per_block=9).collect() for j in r.nbr_ids}
+    assert pairs == set(zip(*(v.tolist() for v in np.nonzero(brute(q, x) <= 1.5))))
