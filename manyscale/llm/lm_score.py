@@ -1,13 +1,14 @@
 """Language-model scores from a log-frequency Bloom filter.
 
 The filter holds quantised counts of words and word pairs: an n-gram with count ``c`` is entered once for each level up to
-``1 + floor(log2(c / least))``, so asking for level 1, 2, ... until one is missing tells its count up to a factor of two.
+``1 + floor(log2(c))``, so asking for level 1, 2, ... until one is missing tells its count up to a factor of two.
 Every n-gram hashes to a segment, all its probes fall into that segment, and a segment's bits are built where its
-n-grams are counted; only finished bits reach the driver.
+n-grams are counted; only finished bits are stored and reach the driver.
 
-Size of the broadcast: an n-gram is entered if it makes up at least one in ``2 ** 27`` of its order, that is with a
-count of ``least = ceil(N / 2 ** 27)``. Its levels then number at most ``c / least``, so an order has at most
-``2 ** 27`` entries however large the corpus is, and the filter at most ``2 * 2 ** 27 * PROBES / ln 2`` bits (242 MB).
+Every n-gram is entered at every size, so the filter grows with the corpus, but no process holds all of it: segments are
+sent in parts of ``PART`` bytes. A task holds the hashes of ``HELD`` tokens or somewhat more at a time and asks one part
+after the other for the n-grams that fall into it; with a single part that part stays in memory. On disk an executor has
+one copy of all parts. With ``spark.io.encryption.enabled`` Spark itself loads all parts into each worker.
 
 Smoothing: ``p(w | v) = (count(v w) + PRIOR * p(w)) / (count(v) + PRIOR)`` with
 ``p(w) = (count(w) + 0.5) / (N + 0.5 (V + 1))``, counts from the filter and a pair never above its first word.
@@ -38,11 +39,13 @@ from manyscale.plans import shipping, storage
 END = b""
 PROBES = 5
 PRIOR = 8.0
-#: The rarest share of an order's n-grams that is entered, and the rarest share of tokens that is broadcast.
-RAREST = 1 << 27
+#: The rarest share of tokens that is broadcast.
 FREQUENT = 1 << 20
 #: N-grams that a segment is meant to hold.
 SEGMENT = 1 << 20
+#: Bytes of the filter that a process holds at a time, and tokens of texts that wait for their counts meanwhile.
+PART = 1 << 26
+HELD = 1 << 20
 #: Texts whose words a task holds at a time.
 CHUNK = 500
 #: Tokens that a task remembers; they are forgotten beyond that.
@@ -86,10 +89,11 @@ class Places(dict):
 
 
 class Facts:
-    """What a task knows of each token by its place: name, hash, count in the filter, and its exact share if it is frequent."""
+    """What a task knows of each token by its place: name, hash, count in the filter (once it is looked up), and its exact
+    share if it is frequent."""
 
-    def __init__(self, model: Filter, logs: dict[bytes, tuple[bool, float]]):
-        self.model, self.logs = model, logs
+    def __init__(self, logs: dict[bytes, tuple[bool, float]]):
+        self.logs = logs
         self.forget()
 
     def forget(self):
@@ -99,8 +103,6 @@ class Facts:
 
     def of(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
         """The places of all tokens of the texts, and tokens per text."""
-        if len(self.names) > REMEMBERED:
-            self.forget()
         tokens = [tokens_of(t) for t in texts]
         sizes = np.array([len(t) for t in tokens], np.int64)
         at = np.fromiter((p for t in tokens for p in map(self.places.__getitem__, t)), np.int64, int(sizes.sum()))
@@ -109,10 +111,10 @@ class Facts:
             self.names += fresh
             hashes = np.array([xxhash.xxh64_intdigest(t) for t in fresh], np.uint64)
             exact = [self.logs.get(t) for t in fresh]
-            more = (hashes, self.model.counts(mix(hashes), 0), np.array([e is not None for e in exact]),
+            more = (hashes, np.array([e is not None for e in exact]),
                     np.array([e is not None and e[0] for e in exact], np.int64), np.array([e[1] if e else 0.0 for e in exact]))
-            held = (self.hashes, self.counts, self.frequent, self.hits, self.shares)
-            self.hashes, self.counts, self.frequent, self.hits, self.shares = (np.concatenate(p) for p in zip(held, more))
+            held = (self.hashes, self.frequent, self.hits, self.shares)
+            self.hashes, self.frequent, self.hits, self.shares = (np.concatenate(p) for p in zip(held, more))
         return at, sizes
 
     def rare(self, at: np.ndarray, sizes: np.ndarray) -> tuple[pa.Array, pa.Array]:
@@ -179,7 +181,7 @@ def positions(grams: np.ndarray, level: int, kind: int, bits: int) -> Iterator[n
         yield ((seed + np.uint64(k) * step) >> np.uint64(16)) % bits
 
 
-def build(parts: DataFrame, least: list[int]) -> DataFrame:
+def build(parts: DataFrame) -> DataFrame:
     """``(segment, bits)``: the finished filter of every segment."""
 
     def run(key, table):
@@ -193,8 +195,7 @@ def build(parts: DataFrame, least: list[int]) -> DataFrame:
             counts = np.frombuffer(b"".join(rows["counts"].to_pylist()), "<u4").astype(np.int64)
             found, inverse = np.unique(grams, return_inverse=True)
             total = np.bincount(inverse, counts, len(found)).astype(np.int64)
-            found, total = found[total >= least[kind]], total[total >= least[kind]]
-            kept.append((found, 1 + np.floor(np.log2(total / least[kind])).astype(np.int64)))
+            kept.append((found, 1 + np.floor(np.log2(total)).astype(np.int64)))
         entries = sum(int(levels.sum()) for _, levels in kept)
         bits = max(64, int(np.ceil(entries * PROBES / np.log(2) / 64)) * 64)
         field = np.zeros(bits, bool)
@@ -208,22 +209,23 @@ def build(parts: DataFrame, least: list[int]) -> DataFrame:
 
 
 class Filter:
-    """The whole filter: segments one after the other in one array of bytes."""
+    """Segments ``first`` to ``last - 1`` of the filter, one after the other in one array of bytes."""
 
-    def __init__(self, segments: dict[int, bytes], n_segments: int, least: list[int]):
-        self.n_segments, self.least = n_segments, least
-        parts = [segments.get(k, bytes(8)) for k in range(n_segments)]
+    def __init__(self, segments: dict[int, bytes], n_segments: int, first: int, last: int):
+        self.n_segments, self.first, self.last = n_segments, first, last
+        parts = [segments.get(k, bytes(8)) for k in range(first, last)]
         self.sizes = np.array([len(p) * 8 for p in parts], np.uint64)
         self.starts = np.cumsum([0] + [len(p) * 8 for p in parts[:-1]]).astype(np.uint64)
         self.bytes = np.frombuffer(b"".join(parts), np.uint8)
 
     def counts(self, values: np.ndarray, kind: int) -> np.ndarray:
-        """Counts of n-grams, up to the width of a level; 0 for those that are not held."""
+        """Counts of n-grams, up to the width of a level; 0 for those that are not held or fall into other segments."""
         result = np.zeros(len(values))
         shift = np.uint64(64 - self.n_segments.bit_length() + 1)
         segment = (values >> shift).astype(np.int64) if self.n_segments > 1 else np.zeros(len(values), np.int64)
         grams = values & np.uint64((1 << 48) - 1)
-        rows, level = np.arange(len(values)), 0
+        rows, level = np.flatnonzero((segment >= self.first) & (segment < self.last)), 0
+        segment -= self.first
         while len(rows):
             level += 1
             size, start = self.sizes[segment[rows]], self.starts[segment[rows]]
@@ -233,30 +235,68 @@ class Filter:
                 held &= (self.bytes[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
             rows = rows[held]
             # The middle of a level that spans a factor of two; single counts are exact.
-            result[rows] = self.least[kind] * (1.0 if level == 1 and self.least[kind] == 1 else 1.5 * 2.0 ** (level - 1))
+            result[rows] = 1.0 if level == 1 else 1.5 * 2.0 ** (level - 1)
         return result
 
 
-def log10_scores(model: Filter, count: np.ndarray, pairs: np.ndarray, sizes: np.ndarray, n: int, v: int) -> np.ndarray:
-    """Log probabilities of texts, one after the other in the arrays, from the filter's counts of their tokens."""
+class Model:
+    """The whole filter as broadcast parts, of which a process holds one at a time."""
+
+    def __init__(self, parts: list):
+        self.parts = parts
+
+    def opened(self, sent) -> Filter:
+        """A part; if there are others, the process forgets it once the caller does."""
+        part = sent.value
+        if len(self.parts) > 1 and getattr(sent, "_path", None):
+            sent.__dict__.pop("_value", None)
+        return part
+
+    def look_up(self, asked: list[tuple[np.ndarray, int]]) -> list[np.ndarray]:
+        """Counts for each ``(n-grams, kind)``; every part is opened once for all of them."""
+        found = [np.zeros(len(values)) for values, _ in asked]
+        for sent in self.parts:
+            part = self.opened(sent)
+            for result, (values, kind) in zip(found, asked):
+                result += part.counts(values, kind)
+            del part
+        return found
+
+    def counts(self, values: np.ndarray, kind: int) -> np.ndarray:
+        return self.look_up([(values, kind)])[0]
+
+
+def log10_scores(count: np.ndarray, pairs: np.ndarray, sizes: np.ndarray, n: int, v: int) -> np.ndarray:
+    """Log probabilities of texts, one after the other in the arrays, from the filter's counts of their tokens and pairs."""
     alone = (count + 0.5) / (n + 0.5 * (v + 1))
     before = np.roll(count, 1)
     starts = np.cumsum(sizes) - sizes
     # The end of a text stands before the next one's first word as well.
     before[starts] = count[np.cumsum(sizes) - 1]
-    seen = np.minimum(model.counts(pairs, 1), before)
+    seen = np.minimum(pairs, before)
     chance = np.minimum(1.0, (seen + PRIOR * np.minimum(1.0, alone)) / (before + PRIOR))
     return np.add.reduceat(np.log10(chance), starts) if len(sizes) else np.empty(0)
 
 
-def fit(train: DataFrame, n: int, text: str = "text") -> Filter:
+def fit(train: DataFrame, n: int, text: str = "text") -> Model:
     """The filter of a table's texts, which hold ``n`` tokens."""
     spark = train.sparkSession
     shipping.ship(spark)
     n_segments = 1 << max(0, (2 * n // SEGMENT).bit_length())
-    least = [max(1, -(-n // RAREST))] * 2
-    found = build(count_ngrams(train.select(F.col(text).alias("text")), n_segments), least)
-    return Filter({r.segment: r.bits for r in found.collect()}, n_segments, least)
+    found = common.stored(build(count_ngrams(train.select(F.col(text).alias("text")), n_segments)))
+    sizes = {r.segment: r.size for r in found.select("segment", F.length("bits").alias("size")).collect()}
+    edges, size = [0], 0
+    for k in range(n_segments):
+        if size and size + sizes.get(k, 8) > PART:
+            edges.append(k)
+            size = 0
+        size += sizes.get(k, 8)
+    parts = []
+    for first, last in zip(edges, [*edges[1:], n_segments]):
+        rows = found.where(F.col("segment").between(first, last - 1)).collect()
+        part = Filter({r.segment: r.bits for r in rows}, n_segments, first, last)
+        parts.append(storage.checked_broadcast(spark, part, len(part.bytes), "a part of the language model"))
+    return Model(parts)
 
 
 def token_counts(docs: DataFrame, held: Column, text: str = "text") -> DataFrame:
@@ -287,7 +327,7 @@ def score(docs: DataFrame, held: Column, id: str = "doc_id", text: str = "text")
     n, v, everything = known.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1)), F.coalesce(F.sum("total"), F.lit(0))).first()
     frequent = {bytes(r.token): r.c for r in known.where(F.col("total") * FREQUENT >= everything).select("token", "c").collect()}
     model = fit(docs.where(~held), n, text)
-    sent = storage.checked_broadcast(spark, (model, frequent), len(model.bytes) + 64 * len(frequent), "the language model")
+    sent = storage.checked_broadcast(spark, frequent, 64 * len(frequent), "the frequent tokens")
     floor = np.log10(n + 0.5 * (v + 1))
     schema = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<binary>, times array<int>"
     fields = common.arrow_schema(spark, schema)
@@ -295,20 +335,34 @@ def score(docs: DataFrame, held: Column, id: str = "doc_id", text: str = "text")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        (own, exact), row = sent.value, TaskContext.get().partitionId() << 40
-        facts = Facts(own, {token: (c > 0, np.log10(c + 0.5) - floor) for token, c in exact.items()})
+        row = TaskContext.get().partitionId() << 40
+        facts = Facts({token: (c > 0, np.log10(c + 0.5) - floor) for token, c in sent.value.items()})
+        waiting, n_waiting = [], 0
+
+        def finished() -> Iterator[pa.RecordBatch]:
+            new, *seen = model.look_up([(mix(facts.hashes[len(facts.counts):]), 0), *((paired(facts.hashes[at], sizes), 1) for at, sizes, _ in waiting)])
+            facts.counts = np.concatenate([facts.counts, new])
+            for (at, sizes, columns), pairs in zip(waiting, seen):
+                columns["score"] = log10_scores(facts.counts[at], pairs, sizes, n, v)
+                yield pa.RecordBatch.from_arrays([c if isinstance(c := columns[f.name], pa.Array) else pa.array(c, f.type) for f in fields], schema=fields)
+            waiting.clear()
+            if len(facts.names) > REMEMBERED:
+                facts.forget()
+
         for batch in batches:
             for first in range(0, batch.num_rows, CHUNK):
                 part = batch.slice(first, CHUNK)
                 at, sizes = facts.of(part.column(1).to_pylist())
                 starts = np.cumsum(sizes) - sizes
                 rare, times = facts.rare(at, sizes)
-                columns = {
+                waiting.append((at, sizes, {
                     "row": np.arange(row, row + len(sizes)), "doc_id": part.column(0), "held_out": part.column(2), "n_tokens": sizes,
-                    "known": np.add.reduceat(facts.hits[at], starts), "base": np.add.reduceat(facts.shares[at], starts),
-                    "score": log10_scores(own, facts.counts[at], paired(facts.hashes[at], sizes), sizes, n, v), "rare": rare, "times": times}
-                row += len(sizes)
-                yield pa.RecordBatch.from_arrays([c if isinstance(c := columns[f.name], pa.Array) else pa.array(c, f.type) for f in fields], schema=fields)
+                    "known": np.add.reduceat(facts.hits[at], starts), "base": np.add.reduceat(facts.shares[at], starts), "rare": rare, "times": times}))
+                row, n_waiting = row + len(sizes), n_waiting + len(at)
+                if n_waiting >= HELD:
+                    yield from finished()
+                    n_waiting = 0
+        yield from finished()
 
     scored = common.stored(docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"), held.alias("held")).mapInArrow(run, schema))
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("t")).select("row", F.col("t.rare").alias("token"), F.col("t.times").alias("times"))

@@ -171,6 +171,23 @@ def test_filter_holds_quantised_counts(spark):
     assert 32 <= words[0] < 64 and 32 <= words[1] < 64 and 32 <= couples[1] < 64 and words[3] < 4
 
 
+def test_filter_enters_rare_ngrams_at_every_size(spark):
+    model, hashes = lm_score.fit(spark.createDataFrame([("a b " * 40 + "c",)], "text string"), 1 << 28), lm_score.Hashes()
+    single, pairs, _ = lm_score.ngrams(["b c"], hashes)
+    assert model.counts(lm_score.mix(single), 0)[1] == 1 and model.counts(pairs, 1)[1] == 1
+
+
+def test_filter_in_parts_equals_one(spark, docs, monkeypatch):
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").union(docs.select("doc_id", "text"))
+    held = language_id.held_out("doc_id", 5, 1)
+    monkeypatch.setattr(lm_score, "SEGMENT", 1 << 12)
+    one, whole = lm_score.fit(table, 400_000), by_text(lm_score.score(table, held).collect())
+    monkeypatch.setattr(lm_score, "PART", 1 << 14)
+    monkeypatch.setattr(lm_score, "HELD", 1 << 13)
+    assert len(one.parts) == 1 and len(lm_score.fit(table, 400_000).parts) > 3
+    assert by_text(lm_score.score(table, held).collect()) == whole
+
+
 def repeated(words):
     spans = Counter(tuple(words[i:i + 8]) for i in range(len(words) - 7))
     return len({i + k for i in range(len(words) - 7) if spans[tuple(words[i:i + 8])] > 1 for k in range(8)})
