@@ -1,4 +1,4 @@
-"""Documents that contain a benchmark item, found by SimHash of item-sized windows.
+"""Documents that contain a benchmark item, found by the smallest shingles of item-sized windows.
 
 Texts are compared as lower-case words and their five-word shingles. A document contains an item of ``n`` words if a
 window of ``n`` words (the whole document if it is shorter) has a weighted Jaccard similarity of 0.8 or more with it,
@@ -6,11 +6,11 @@ over shingles counted with repeats.
 
 1. Such a window shares at least 0.8 of the item's ``n - 4`` shingle places with items of that length. Shingles of the
    documents meet the benchmark's shingles; windows with enough of them are cut, which loses none that could match.
-2. Every window and item gets a 64-bit SimHash of its shingles.
-3. Fingerprints are cut into ``radius + 1`` blocks; two within ``radius`` bits agree in a block. Windows and items of one
-   length that agree in a block are candidates, and those within the radius go on. Related windows at similarity 0.8
-   differ in 10 bits on average; the default of 20 is more than three deviations beyond that.
-4. The weighted similarity of the shingles decides.
+2. The ``k``-th occurrence of a shingle counts as an element of its own, which makes the weighted similarity that of
+   plain sets. Elements are ordered by hash. Of two sets that share at least 0.8 of each, as a similarity of 0.8 needs,
+   the first ``m - ceil(0.8 m) + 1`` elements (``m`` is a set's size) have one in common: windows and items of one length
+   that share such an element are candidates, which loses none.
+3. The weighted similarity of the shingles decides.
 
 Built-in functions only. Defined results: null, empty and short texts (under five words) contain nothing; items under
 five words have no shingle and are never found; null item texts are left out; rows that repeat a ``doc_id`` are judged by
@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 from manyscale.llm import common
 
 SHINGLE = 5
-RADIUS = 20
 #: Similarity as a fraction: least numerator and denominator.
 SIMILAR = (4, 5)
 #: Benchmark shingles up to which they are broadcast (16 bytes each); beyond that both sides are shuffled.
@@ -36,18 +35,10 @@ def shingles(words: str) -> Column:
     return F.expr(f"CASE WHEN size({words}) < {SHINGLE} THEN array() ELSE transform(sequence(1, size({words}) - {SHINGLE - 1}), i -> xxhash64(slice({words}, i, {SHINGLE}))) END")
 
 
-def simhash(hashes: str) -> Column:
-    """Bits that are set in over half of the hashes."""
-    return F.expr(f"""aggregate(sequence(0, 63), 0L, (bits, b) -> bits | shiftleft(
-        CASE WHEN 2 * aggregate({hashes}, 0, (n, h) -> n + CAST(shiftrightunsigned(h, b) & 1 AS INT)) > size({hashes}) THEN 1L ELSE 0L END, b))""")
-
-
-def blocks(bits: str, n_blocks: int) -> Column:
-    """``(block, value)`` of each of ``n_blocks`` nearly equal cuts of 64 bits."""
-    edges = [64 * k // n_blocks for k in range(n_blocks + 1)]
-    cuts = [F.struct(F.lit(k).alias("block"), F.expr(f"shiftrightunsigned({bits}, {a}) & {(1 << (b - a)) - 1}L").alias("value"))
-            for k, (a, b) in enumerate(zip(edges, edges[1:]))]
-    return F.explode(F.array(*cuts))
+def leading(hashes: str) -> Column:
+    """The first elements ``(h, k)`` by hash, ``k`` numbering occurrences; two similar arrays share at least one of them."""
+    first = f"slice(array_sort({hashes}), 1, size({hashes}) - ({SIMILAR[0]} * size({hashes}) + {SIMILAR[1] - 1}) div {SIMILAR[1]} + 1)"
+    return F.expr(f"""transform(array({first}), p -> transform(p, (h, i) -> named_struct('h', h, 'k', i + 1 - CAST(array_position(p, h) AS INT))))[0]""")
 
 
 def common_shingles(a: str, b: str) -> Column:
@@ -59,7 +50,7 @@ def common_shingles(a: str, b: str) -> Column:
 def items_of(benchmark: DataFrame, item: str, text: str) -> DataFrame:
     rows = benchmark.where(F.col(text).isNotNull()).select(F.col(item).alias("item_id"), common.words(common.lower_ascii(F.col(text))).alias("words"))
     rows = rows.where(F.size("words") >= SHINGLE).withColumn("own", shingles("words"))
-    return rows.select("item_id", F.size("words").alias("n"), "own").withColumn("bits", simhash("own"))
+    return rows.select("item_id", F.size("words").alias("n"), "own")
 
 
 def keyed(docs: DataFrame, id: str, text: str) -> DataFrame:
@@ -92,28 +83,27 @@ def windows(texts: DataFrame, items: DataFrame) -> DataFrame:
     return each.select("key", "n", "start", F.expr("slice(words, start + 1, n)").alias("part")).withColumn("own", shingles("part")).drop("part")
 
 
-def find(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """``(key, item_id, start, shared, total)``: windows that match an item, with the similarity ``shared / total``."""
     items = common.stored(items_of(benchmark, item, item_text))
-    found = common.stored(windows(keyed(docs, id, text), items).withColumn("bits", simhash("own")))
-    one = found.select("key", "start", "n", "bits", blocks("bits", radius + 1).alias("b")).select("key", "start", "n", "bits", "b.*")
-    two = items.select("item_id", "n", F.col("bits").alias("other"), blocks("bits", radius + 1).alias("b")).select("item_id", "n", "other", "b.*")
-    near = (one.join(two, ["n", "block", "value"]).where(F.bit_count(F.col("bits").bitwiseXOR(F.col("other"))) <= radius)
-            .select("key", "start", "n", "item_id").distinct())
+    found = common.stored(windows(keyed(docs, id, text), items))
+    one = found.select("key", "start", "n", F.explode(leading("own")).alias("e")).select("key", "start", "n", "e.*")
+    two = items.select("item_id", "n", F.explode(leading("own")).alias("e")).select("item_id", "n", "e.*")
+    near = one.join(two, ["n", "h", "k"]).select("key", "start", "n", "item_id").distinct()
     pairs = near.join(found.select("key", "start", "n", "own"), ["key", "start", "n"]).join(items.select("item_id", F.col("own").alias("its")), "item_id")
     judged = pairs.select("key", "item_id", "start", common_shingles("own", "its").alias("shared"), (F.size("own") + F.size("its")).alias("both"))
     judged = judged.select("key", "item_id", "start", "shared", (F.col("both") - F.col("shared")).alias("total"))
     return judged.where(f"{SIMILAR[1]} * shared >= {SIMILAR[0]} * total")
 
 
-def mark(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+def mark(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """The documents with ``_items``, the sorted ids of the items that each contains."""
-    found = find(docs, benchmark, radius, id, text, item, item_text)
+    found = find(docs, benchmark, id, text, item, item_text)
     per = found.groupBy(F.col("key").alias("_key")).agg(F.sort_array(F.collect_set("item_id")).alias("_items"))
     marked = docs.withColumn("_own", key(id, text)).join(per, F.col("_own") == F.col("_key"), "left")
     return marked.drop("_own", "_key").withColumn("_items", F.coalesce("_items", F.array()))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """The documents that contain no item."""
-    return mark(docs, benchmark, radius, id, text, item, item_text).where("size(_items) = 0").drop("_items")
+    return mark(docs, benchmark, id, text, item, item_text).where("size(_items) = 0").drop("_items")

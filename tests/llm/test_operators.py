@@ -299,6 +299,28 @@ def test_decontamination_against_all_windows(spark, docs, empty):
     assert decontaminate.clean(docs, items.limit(0)).count() == len(ROWS)
 
 
+def test_decontamination_of_repeated_tails_and_long_items(spark):
+    import duckdb
+    import pandas as pd
+
+    from manyscale.llm import queries
+
+    pick, docs, items = random.Random(6), [], []
+    for k, (n, tail) in enumerate([(60, 6), (104, 11), (204, 22), (204, 22), (204, 22), (60, 7), (104, 12), (204, 23), (404, 44), (404, 46)]):
+        words = [f"w{pick.randrange(10 ** 9)}" for _ in range(n)]
+        items.append((k, " ".join(words)))
+        docs.append((k, " ".join(["lead"] * 3 + words[:n - tail] + ["-"] * tail + ["out"])))
+        items.append((k + 100, " ".join(words[:n - tail] + ["-"] * tail)))
+        docs.append((k + 100, " ".join(words[:n - 2 * tail] + ["-"] * 2 * tail)))
+    got = decontaminate.mark(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string"))
+    with duckdb.connect() as db:
+        db.register("documents", pd.DataFrame(docs, columns=["doc_id", "text"]))
+        db.register("benchmark", pd.DataFrame(items, columns=["item_id", "text"]))
+        want = db.execute(queries.ORACLES["op10_decontamination"]).fetchall()
+    assert sorted((r.doc_id, ",".join(map(str, r._items))) for r in got.collect()) == sorted((i, found) for i, _, _, found in want)
+    assert {0, 1, 2, 3, 4} <= {i for i, _, _, found in want if str(i) in found.split(",")}
+
+
 def test_pipeline_against_a_plain_run(spark, tmp_path):
     table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = {r.doc_id: r for r in corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()}
