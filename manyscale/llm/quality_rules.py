@@ -1,6 +1,10 @@
 """Quality rules as a ledger: every rule is evaluated once, policies are applied to the stored bits.
 
 ``ledger`` writes for each document its measurements and one integer in which bit ``k`` says that rule ``k`` failed.
+Letters are counted with their marks, so that scripts with vowel signs are not short of letters. ``long_words`` does not
+look at scripts that are written without spaces: it spares a text that is mostly in such scripts, and one whose other
+characters alone are not too many for its words.
+
 A policy is a version and a mask of rules; applying one, or asking what a rule alone would cost, needs only the bits.
 
 Everything is built-in functions on the text's own arrays, without a shuffle; only ``ablation`` groups, by bits.
@@ -29,13 +33,18 @@ RULES = [
     ("long_words", "n_words > 0 AND word_chars > 15 * n_words"),
     ("few_letters", "10 * n_letters < 6 * word_chars"),
 ]
+#: Where a rule does not apply although its condition holds.
+EXEMPT = {"long_words": "2 * n_unspaced > n_letters OR word_chars - n_unspaced <= 15 * n_words"}
+#: Scripts written without spaces between words.
+UNSPACED = ["Han", "Hiragana", "Katakana", "Bopomofo", "Yi", "Thai", "Lao", "Khmer", "Myanmar", "Tibetan", "Javanese", "Balinese",
+            "Tai_Le", "New_Tai_Lue", "Tai_Tham", "Tai_Viet"]
 #: Policies: the version, and the rules that reject.
 POLICIES = {
     "base": ["few_words", "repeated_words"],
     "v1": ["few_words", "repeated_words", "symbols", "repeated_lines"],
     "v2": [name for name, _ in RULES],
 }
-MEASURED = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters"]
+MEASURED = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_unspaced"]
 
 
 def mask(policy: str) -> int:
@@ -58,7 +67,7 @@ def repeated_words(words: str, hashes: str) -> Column:
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents with the measurements that rules look at."""
     body = F.coalesce(F.col(text), F.lit(""))
-    columns = [c for c in docs.columns if c not in {*MEASURED, "_words", "_windows", "_seen"}]
+    columns = [c for c in docs.columns if c not in {*MEASURED, "_words", "_windows", "_seen", "_high"}]
     split = docs.select(*columns, common.words(F.col(text)).alias("_words"))
     split = split.withColumn("_windows", F.expr(
         f"CASE WHEN size(_words) < {WINDOW} THEN array() ELSE transform(sequence(1, size(_words) - {WINDOW - 1}), i -> xxhash64(slice(_words, i, {WINDOW}))) END"))
@@ -66,8 +75,11 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     split = split.withColumn("_seen", F.expr(
         """CASE WHEN size(array_distinct(_windows)) < size(_windows)
            THEN sort_array(transform(_windows, (h, i) -> named_struct('h', h, 'p', CAST(i AS BIGINT)))) END"""))
+    # Marks and the scripts below start at U+0300; one search for a range leaves few characters of most texts to look at.
+    split = split.withColumn("_high", F.regexp_replace(body, r"[\x00-\u02FF]+", ""))
     lines = F.filter(F.split(body, "\n"), lambda line: F.translate(line, common.BLANKS, "") != "")
-    letters = F.length(F.regexp_replace(F.array_join("_words", ""), r"\P{L}+", ""))
+    letters = F.length(F.regexp_replace(F.array_join("_words", ""), r"\P{L}+", "")) + F.length(F.regexp_replace("_high", r"\P{M}+", ""))
+    spaced = "[^" + "".join(rf"\p{{Is{script}}}" for script in UNSPACED) + "]+"
     measured = F.struct(
         F.size("_words").cast("long").alias("n_words"),
         F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
@@ -75,14 +87,16 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
         F.when(F.col("_seen").isNull(), F.lit(0).cast("long")).otherwise(repeated_words("_words", "_seen")).alias("n_repeat_words"),
         F.size(lines).cast("long").alias("n_lines"),
-        letters.cast("long").alias("n_letters"))
+        letters.cast("long").alias("n_letters"),
+        F.length(F.regexp_replace("_high", spaced, "")).cast("long").alias("n_unspaced"))
     # A one-element explode: no later filter on a measurement can be pushed below it and evaluate it again.
     return split.select(*columns, F.explode(F.array(measured)).alias("_m")).select(*columns, "_m.*")
 
 
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents with measurements and ``failed``, the bits of the rules that each one fails."""
-    bits = " | ".join(f"CASE WHEN {rule} THEN {1 << k}L ELSE 0L END" for k, (_, rule) in enumerate(RULES))
+    applies = lambda name, rule: f"({rule}) AND NOT ({EXEMPT[name]})" if name in EXEMPT else rule
+    bits = " | ".join(f"CASE WHEN {applies(name, rule)} THEN {1 << k}L ELSE 0L END" for k, (name, rule) in enumerate(RULES))
     return measure(docs, text).withColumn("failed", F.expr(bits))
 
 

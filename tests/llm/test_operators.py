@@ -207,6 +207,20 @@ def test_quality_ledger(docs, empty):
     assert quality_rules.ledger(empty).count() == 0
 
 
+def test_quality_of_other_scripts(spark):
+    clean = {
+        "hi": "भारत एक विशाल देश है जहाँ अनेक भाषाएँ बोली जाती हैं और हर राज्य की अपनी संस्कृति है। यहाँ के लोग त्योहारों को बड़े उत्साह से मनाते हैं।",
+        "ta": "தமிழ் மொழி மிகவும் பழமையான மொழி ஆகும். இந்த மொழியில் பல நூல்கள் எழுதப்பட்டுள்ளன. மக்கள் தினமும் இதை வீட்டில் பேசி வருகின்றனர். நாங்கள் பள்ளியில் படித்த கதை ஒன்று இன்றும் நன்றாக நினைவில் உள்ளது.",
+        "zh": "\n".join(f"今天我们第{a}次去了{b}的图书馆,在那里读了很多关于历史和科学的书。" for a, b in zip("一二三四五六七八九十百千" * 2, "东南西北上中下左右前后内外新旧大小高低远近明春秋")),
+        "ja": "\n".join(f"昨日は{b}の町へ行って、友だちと一緒においしいラーメンを食べました。" for b in "東南西北上中下左右前後内外新旧大小高低遠近"),
+        "th": "\n".join(f"วันนี้เราไปห้องสมุดครั้งที่{k}และอ่านหนังสือเกี่ยวกับประวัติศาสตร์" for k in range(22))}
+    rejected = {"glued": " ".join(f"averyveryverylongword{k}" for k in range(30)), "digits": " ".join(f"{k}{k}{k} ab" for k in range(100, 130)),
+                "glued with some Chinese": " ".join(f"averyveryverylongword{k}中文" for k in range(30))}
+    rows = spark.createDataFrame([*clean.items(), *rejected.items()], "doc_id string, text string")
+    kept = {r.doc_id: (r.kept, r.failed) for r in quality_rules.apply_policy(quality_rules.ledger(rows)).collect()}
+    assert {name for name, (ok, _) in kept.items() if ok} == set(clean), kept
+
+
 def apart(a, b):
     """Word edit distance."""
     row = list(range(len(b) + 1))
