@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from manyscale.llm import bpe_replay, common, decontaminate, line_dedup, quality_rules, simhash_groups
@@ -22,9 +22,13 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of each group that names it; one whose text is all gone stays only if its group is that kind."""
-    named = simhash_groups.groups(docs).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id"))
-    return docs.join(named, docs["doc_id"] == F.col("kept_id"), "left_semi").select(COLUMNS)
+    """Exactly one row of each group: that of the smallest ``doc_id``, null ids last, then of the smallest text hash; of rows
+    that repeat both, the first by the other columns. One whose text is all gone stays only if its group is that kind."""
+    key = ["none", "id", "body"]
+    keyed = docs.select(*COLUMNS, F.explode(F.array(simhash_groups.row_key())).alias("k")).select(*COLUMNS, "k.*")
+    left = keyed.join(simhash_groups.representatives(docs), key, "left_semi")
+    first = F.row_number().over(Window.partitionBy(key).orderBy("lang", "source", "n_chars"))
+    return left.withColumn("nth", first).where("nth = 1").select(COLUMNS)
 
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

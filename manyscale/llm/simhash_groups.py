@@ -22,7 +22,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from manyscale.llm import common
@@ -197,6 +197,31 @@ def components(edges: DataFrame) -> DataFrame:
             return roots.select(F.col("a").alias("node"), "root")
 
 
+def rooted(prints: DataFrame, radius: int) -> DataFrame:
+    """``(print, least)`` with ``root``, the smallest fingerprint that links lead to."""
+    roots = components(links(prints.select("print"), radius))
+    return prints.join(roots, prints["print"] == roots["node"], "left").select("print", "least", F.coalesce("root", "print").alias("root"))
+
+
+def row_key(id: str = "doc_id", text: str = "text") -> Column:
+    """``(none, id, body)``: the id, null ids last, with a hash of the text. Only rows that repeat both share it."""
+    return F.struct(F.col(id).isNull().alias("none"), F.coalesce(F.col(id).cast("long"), F.lit(0)).alias("id"), F.xxhash64(text).alias("body"))
+
+
+def representatives(docs: DataFrame, radius: int = RADIUS, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(none, id, body)``: for each group the least ``row_key``, whether ids are null, repeated or neither."""
+
+    def work(ids, texts):
+        # The hash of row_key(): Spark's has seed 42 and passes over a null.
+        bodies = [42 if t is None else xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass"), 42) for t in texts]
+        return {"doc_id": ids, "body": np.array(bodies, np.uint64).view(np.int64), "print": np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)}
+
+    marked = common.stored(common.on_texts(docs, work, "doc_id long, body long, print long", id, text))
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "body")
+    prints = marked.groupBy("print").agg(F.min(key).alias("least"))
+    return rooted(prints, radius).groupBy("root").agg(F.min("least").alias("least")).select("least.*")
+
+
 def groups(docs: DataFrame, radius: int = RADIUS, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, fingerprint, component_id)`` of every whole text: 16 hexadecimal digits, and the smallest ``doc_id`` of
     the documents that links lead to."""
@@ -207,10 +232,9 @@ def groups(docs: DataFrame, radius: int = RADIUS, id: str = "doc_id", text: str
 
     marked = common.stored(common.on_texts(docs, work, "doc_id long, print long", id, text))
     prints = marked.groupBy("print").agg(F.min("doc_id").alias("least"))
-    roots = components(links(prints.select("print"), radius))
-    rooted = prints.join(roots, prints["print"] == roots["node"], "left").select("print", "least", F.coalesce("root", "print").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    classes = rooted(prints, radius)
+    named = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     # Fingerprints outside any link name themselves; only linked ones need the second join.
-    classes = common.stored(rooted.join(named, "root").select("print", "component_id"))
+    classes = common.stored(classes.join(named, "root").select("print", "component_id"))
     return marked.join(classes, "print").select(
         "doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")

@@ -335,6 +335,35 @@ def test_decontamination_of_repeated_tails_and_long_items(spark):
     assert {0, 1, 2, 3, 4} <= {i for i, _, _, found in want if str(i) in found.split(",")}
 
 
+def test_pipeline_stages_on_awkward_rows(spark, docs, empty, tmp_path):
+    far = "completely other words stand here so that this one text is near to none of those above it at all"
+    more = [(None, far, "en", "a", 1), (None, far, "en", "a", 1), (1, far.upper(), "en", "a", 1), (1, "a third text that shares its key with two others but no words", "en", "a", 1),
+            (9, "rows like this one are there twice", "en", "a", 1), (9, "rows like this one are there twice", "en", "b", 1), (None, "a lonely text without any key", "en", "a", 1)]
+    table = docs.select(corpus_pipeline.COLUMNS).union(spark.createDataFrame(more, SCHEMA)).repartition(3)
+    rows = [tuple(r) for r in table.collect()]
+    prints = [simhash_groups.fingerprint(r[1]) for r in rows]
+    group = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if (prints[a] ^ prints[b]).bit_count() <= 4 and group[a] != group[b]:
+                group = [group[b] if g == group[a] else g for g in group]
+    got = [tuple(r) for r in corpus_pipeline.near_duplicates(spark, table, "").collect()]
+    assert len(got) == len(set(group)) and {group[rows.index(r)] for r in got} == set(group)
+    for r in got:
+        ids = [x[0] for x, g in zip(rows, group) if g == group[rows.index(r)] and x[0] is not None]
+        assert r[0] == min(ids, default=None)
+    assert corpus_pipeline.near_duplicates(spark, empty, "").count() == 0
+    spark.createDataFrame([(1, far)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    good = [r for r in rows if len((r[1] or "").split()) >= 20 and r[1] not in (ROWS[6][1], ROWS[9][1])]
+    assert by_text(tuple(r) for r in stages["quality rules"](spark, table, "").collect()) == by_text(good)
+    lines = stages["line dedup"](spark, table, "").collect()
+    assert by_text(r.doc_id for r in lines) == by_text(r[0] for r in rows) and all(r.n_chars is None if r.text is None else r.n_chars == len(r.text) for r in lines)
+    assert by_text(tuple(r) for r in stages["benchmark decontamination"](spark, table, str(tmp_path)).collect()) == by_text(r for r in rows if (r[1] or "").lower() != far)
+    coded = stages["token ids"](spark, table, "").collect()
+    assert by_text((r.doc_id, r.decoded_sha256) for r in coded) == by_text((r[0], hashlib.sha256((r[1] or "").encode()).hexdigest()) for r in rows)
+
+
 def test_pipeline_against_a_plain_run(spark, tmp_path):
     table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = {r.doc_id: r for r in corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()}
