@@ -67,3 +67,34 @@ def arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
     from pyspark.sql.types import StructType
 
     return to_arrow_schema(StructType.fromDDL(schema))
+
+
+def tallied(rows: DataFrame, add: Callable[..., None], schema: str, limit: int = 500_000) -> DataFrame:
+    """Partial sums of each task: ``add(sums, *columns)`` updates a dict of sums with a batch of ``rows``.
+
+    Each entry becomes a row, key columns first, then its sums. A task gives its sums out and starts anew beyond
+    ``limit`` entries, so a key may come several times and has to be summed up afterwards.
+    """
+    shipping.ship(rows.sparkSession)
+    fields = arrow_schema(rows.sparkSession, schema)
+
+    def flat(entry) -> tuple:
+        return tuple(entry) if isinstance(entry, (tuple, list)) else (entry,)
+
+    def given(sums: dict) -> Iterator[pa.RecordBatch]:
+        entries = list(sums.items())
+        for s in range(0, len(entries), 1 << 16):
+            columns = list(zip(*(flat(k) + flat(v) for k, v in entries[s : s + (1 << 16)])))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields)], schema=fields)
+        sums.clear()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict = {}
+        for batch in batches:
+            for s in range(0, batch.num_rows, 512):
+                add(sums, *(c.to_pylist() for c in batch.slice(s, 512).columns))
+                if len(sums) > limit:
+                    yield from given(sums)
+        yield from given(sums)
+
+    return rows.mapInArrow(run, schema)

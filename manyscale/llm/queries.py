@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from manyscale.llm import bpe_replay, common, decontaminate, language_id, line_dedup, lm_score, quality_rules, secret_scan, simhash_groups, token_counts, token_files
+from manyscale.llm import (bpe_replay, common, decontaminate, divergence, language_id, line_dedup, lm_score, quality_rules, secret_scan, simhash_groups,
+                           spelling_variants, token_counts, token_files)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -172,3 +173,36 @@ FROM documents d LEFT JOIN per p ON p.doc_id = d.doc_id
 def op4_lm_score(spark, sf_dir):
     return lm_score.score(documents(spark, sf_dir), language_id.held_out("doc_id", 5, 1))
 
+
+@query
+def op11_source_divergence(spark, sf_dir):
+    return divergence.audit(documents(spark, sf_dir))
+
+
+GAP = "(({0} - {1}) * ({0} - {1})) // ({0} + {1})"
+
+ORACLES["op11_source_divergence"] = f"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS body FROM documents),
+t AS (SELECT doc_id, lang, source, unnest(regexp_extract_all(body, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT doc_id) >= 10),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+n AS (SELECT t.lang, t.source, t.term, count(*)::BIGINT AS c FROM t JOIN kept USING (lang, term) GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+tot AS (SELECT g.lang, g.source, coalesce(sum(n.c), 0)::BIGINT AS total FROM g LEFT JOIN n USING (lang, source) GROUP BY ALL),
+cell AS (SELECT g.lang, g.source, k.term, coalesce(n.c, 0) AS c, 1 + (1000000000 * (coalesce(n.c, 0) + 2)) // (tot.total + 2 * v.v) AS p
+  FROM g JOIN kept k USING (lang) JOIN v USING (lang) JOIN tot USING (lang, source) LEFT JOIN n USING (lang, source, term)),
+whole AS (SELECT cell.lang, cell.term, 1 + (1000000000 * (sum(cell.c)::BIGINT + 2)) // (any_value(x.total) + 2 * any_value(v.v)) AS q
+  FROM cell JOIN v USING (lang) JOIN (SELECT lang, sum(total)::BIGINT AS total FROM tot GROUP BY lang) x USING (lang) GROUP BY ALL),
+pair AS (SELECT a.lang, a.source, b.source AS item, sum({GAP.format("a.p", "b.p")})::BIGINT AS value FROM cell a JOIN cell b USING (lang, term) GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(pair.value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, ({GAP.format("p", "q")})::BIGINT AS value FROM cell JOIN whole USING (lang, term) WHERE c > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
+
+@query
+def op12_spelling_variants(spark, sf_dir):
+    return spelling_variants.variants(documents(spark, sf_dir))
