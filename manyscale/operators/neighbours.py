@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 from manyscale.functions import arrays
 from manyscale.functions.batches import from_lists, from_matrix, to_numpy
 from manyscale.functions.metrics import Metric, named
-from manyscale.plans import blocks, storage
+from manyscale.plans import blocks, cells as nests, storage
 from manyscale.plans.blocks import Side
 
 COPIES = 10_000
@@ -69,7 +69,7 @@ def _top_task(metric: Metric, k: int, limit: float, payload: list[str], exclude_
         kth = np.partition(d, take - 1, axis=1)[:, take - 1 : take]
         ceiling = np.minimum(q.cap, limit)
         rows, cols = np.nonzero((d <= np.minimum(kth, ceiling[:, None]) + 2 * slack) & np.isfinite(d))
-        gaps = blocks.exact(metric, q.points, x.points, rows, cols) if slack else d[rows, cols]
+        gaps = nests.exact(metric, q.points, x.points, rows, cols) if slack else d[rows, cols]
         inside = gaps <= ceiling[rows]
         rows, cols, gaps = rows[inside], cols[inside], gaps[inside]
         order = np.lexsort((x.ids[cols], gaps, rows))
@@ -111,16 +111,16 @@ def knn_join(queries: DataFrame, data: DataFrame, k: int, *, metric: str | Metri
         x = _first_copies(x, copies, need)
         asked = _first_copies(q, copies, 1)
         n = x.count()
-    reach = blocks.reach_knn(need, eps, distance_upper_bound)
-    model = blocks.make_cells(x, n, metric, size, need, cells, asked, reach)
-    if model.pivots is not None and n > REFINE_ROWS:
+    rule = nests.Nearest(need, eps, distance_upper_bound)
+    model = blocks.make_cells(x, n, metric, size, need, cells, asked, rule)
+    if model.levels and n > REFINE_ROWS:
         asked = blocks.home_distances(asked, x, metric, model, need, size)
     schema = T.StructType([T.StructField("q_id", T.LongType()), T.StructField("rank", T.IntegerType()),
                            T.StructField("nbr_id", T.LongType()), T.StructField("d", T.DoubleType()),
                            *[x.schema[c] for c in payload]])
     want = need if copies else k
     found, several = blocks.block_join(
-        asked, x, metric, model, reach,
+        asked, x, metric, model, rule,
         _top_task(metric, want, distance_upper_bound, payload, exclude_self and not copies), schema, rows_per_block=size)
     if several:
         found = _ranked(found, want)
@@ -165,9 +165,9 @@ def _pairs_task(metric: Metric, r: float, self_join: bool):
         whole = q.lo == 1
         hit = (d <= r + slack) | whole[:, None]
         if self_join:
-            hit &= (q.home != x.cell)[:, None] | (q.ids[:, None] < x.ids[None, :])
+            hit &= ~q.same[:, None] | (q.ids[:, None] < x.ids[None, :])
         rows, cols = np.nonzero(hit)
-        gaps = blocks.exact(metric, q.points, x.points, rows, cols) if slack else d[rows, cols]
+        gaps = nests.exact(metric, q.points, x.points, rows, cols) if slack else d[rows, cols]
         inside = (gaps <= r) | whole[rows]
         rows, cols, gaps = rows[inside], cols[inside], gaps[inside]
         i, j = q.ids[rows], x.ids[cols]
@@ -197,9 +197,9 @@ def range_join(a: DataFrame, b: DataFrame, r: float, *, metric: str | Metric = "
     metric = named(metric)
     left, right, size = _prepared(a, b, metric, a_id, b_id, a_x, b_x, rows_per_block)
     n = right.count()
-    reach = blocks.reach_range(r, eps)
-    model = blocks.make_cells(right, n, metric, size, 0, cells, left, reach)
-    found, _ = blocks.block_join(left, right, metric, model, reach, _pairs_task(metric, r, False),
+    rule = nests.Within(r, eps)
+    model = blocks.make_cells(right, n, metric, size, 0, cells, left, rule)
+    found, _ = blocks.block_join(left, right, metric, model, rule, _pairs_task(metric, r, False),
                                  "i long, j long, d double", rows_per_block=size, n_queries=n if left is right else None)
     return found
 
@@ -211,9 +211,9 @@ def close_pairs(a: DataFrame, r: float, *, metric: str | Metric = "euclidean", e
     metric = named(metric)
     rows, _, size = _prepared(a, a, metric, id_col, id_col, x_col, x_col, rows_per_block)
     n = rows.count()
-    reach = blocks.reach_range(r, eps)
-    model = blocks.make_cells(rows, n, metric, size, 0, cells, rows, reach)
-    found, _ = blocks.block_join(rows, rows, metric, model, reach,
+    rule = nests.Within(r, eps)
+    model = blocks.make_cells(rows, n, metric, size, 0, cells, rows, rule)
+    found, _ = blocks.block_join(rows, rows, metric, model, rule,
                                  _pairs_task(metric, r, True), "i long, j long, d double",
                                  rows_per_block=size, n_queries=n, self_join=True)
     return found
@@ -248,32 +248,58 @@ def neighbours_within(queries: DataFrame, data: DataFrame, distance_upper_bound:
     return ball_search(queries, data, distance_upper_bound, **options)
 
 
-def _count_task(metric: Metric, radii: np.ndarray):
+def _count_task(metric: Metric, radii: np.ndarray, self_join: bool):
     def task(q: Side, x: Side) -> Iterator[pa.RecordBatch]:
         d, slack = metric.block(q.points, x.points)
         qw, xw = to_numpy(q.columns["w"]), to_numpy(x.columns["w"]).astype(float)
+        # In one table a pair of cells, or of blocks of a cell, is met once and counts for both orders.
+        times = np.where(q.same, 1, 2) if self_join else 1
         sums = []
         for t, r in enumerate(radii):
             open_rows = (q.lo <= t) & (t < q.hi)
             sure = d <= r - slack
             if slack:
                 rows, cols = np.nonzero((d <= r + slack) & ~sure)
-                sure[rows, cols] = blocks.exact(metric, q.points, x.points, rows, cols) <= r
-            sums.append(int((qw * open_rows) @ (sure @ xw).astype(np.int64)))
+                sure[rows, cols] = nests.exact(metric, q.points, x.points, rows, cols) <= r
+            sums.append(int((qw * open_rows * times) @ (sure @ xw).astype(np.int64)))
         yield pa.RecordBatch.from_arrays([pa.array(range(len(radii)), pa.int32()), pa.array(sums, pa.int64())],
                                          names=["t", "n"])
 
     return task
 
 
+def _weighted(side: DataFrame, metric: Metric, rows: int) -> DataFrame:
+    """Points that occur very often as one row with a weight; of texts, whose distances are dear, all equal ones.
+
+    Otherwise only hashes of the points are shuffled.
+    """
+    merge = lambda df: df.groupBy("x").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("w")).select("id", "x", "w")
+    if metric.textual:
+        return storage.materialize(merge(side))
+    hashes = _crowded(side, rows) if rows >= COPIES else []
+    if not hashes:
+        return side.select("id", "x", F.lit(1).cast("long").alias("w"))
+    crowded = F.xxhash64("x").isin(hashes)
+    return side.where(~crowded).select("id", "x", F.lit(1).cast("long").alias("w")).unionByName(merge(side.where(crowded)))
+
+
+def _count_cells(side: DataFrame, n: int, metric: Metric, size: int, cells: int | None) -> nests.Cells:
+    """Cells of one side of a count; a single one for a small table unless asked otherwise."""
+    if n == 0 or (cells is None and n <= min(size, blocks.PIVOT_ROWS)) or (cells is not None and cells <= 1):
+        return nests.Cells.one(n)
+    count = min(cells, nests.MAX_DUAL_CELLS) if cells else blocks.cell_count(n, size, nests.MAX_DUAL_CELLS)
+    return nests.measured(side, metric, nests.Cells.nested(metric, blocks.pick_pivots(side, count, metric)))
+
+
 def count_pairs(a: DataFrame, b: DataFrame, radii: float | Sequence[float], *,
                 metric: str | Metric = "euclidean", a_id: str = "point_id", b_id: str = "point_id",
                 a_x: str = "x", b_x: str = "x", cells: int | None = None,
                 rows_per_block: int | None = None) -> DataFrame:
     """Number of pairs at distance ``<= r`` for every radius, in one pass: ``(radius, n_pairs)``.
 
-    Equal points are counted once with a weight, and a cell that lies inside a radius
-    contributes its size without a single distance.
+    Both tables have nested cells. Pairs of cells that lie within or beyond a radius as a whole are settled by their sizes;
+    rows of the others are held against single leaves, and only those still open are joined. A table
+    with itself meets every pair of cells once. Points that occur very often are counted once with a weight.
     """
     if np.ndim(radii) > 1:
         raise ValueError("radii must be one value or a one-dimensional list of values")
@@ -281,41 +307,44 @@ def count_pairs(a: DataFrame, b: DataFrame, radii: float | Sequence[float], *,
     asked = [float(r) for r in np.atleast_1d(radii)]
     ordered = np.array(sorted(set(asked)))
     left, right, size = _prepared(a, b, metric, a_id, b_id, a_x, b_x, rows_per_block)
-
-    def weighted(side: DataFrame) -> DataFrame:
-        return side.groupBy("x").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("w")).select("id", "x", "w")
-
+    same, task = left is right, "t int, n long"
     n = right.count()
-    original, right = right, weighted(right)
-    left = right if left is original else weighted(left)
-    reach = blocks.reach_counts(ordered)
-    model = blocks.make_cells(right, n, metric, size, 0, cells, left, reach)
-    found, _ = blocks.block_join(left, right, metric, model, reach,
-                                 _count_task(metric, ordered), "t int, n long", rows_per_block=size,
-                                 n_queries=n if left is right else None)
-    if model.pivots is not None:
-        found = found.unionByName(_inside_counts(left, metric, model, ordered))
+    n_left = n if same else left.count()
+    right = _weighted(right, metric, n)
+    left = right if same else _weighted(left, metric, n_left)
+    settled = [0] * len(ordered)
+    model = _count_cells(right, n, metric, size, cells)
+    others = model if same or not model.levels else _count_cells(left, n_left, metric, size, cells or blocks.cell_count(n, size, nests.MAX_DUAL_CELLS))
+    run = _count_task(metric, ordered, same)
+    if model.levels and others.levels:
+        settled, open_pairs = nests.cell_pairs(metric, others, model, ordered)
+        routed = blocks.route_pairs(left, metric, others, model, open_pairs, ordered)
+        found, _ = blocks.block_join(left, right, metric, model, None, run, task, rows_per_block=size, routed=routed, self_join=same)
+        found = found.unionByName(_inside_counts(left, metric, others, model, open_pairs, ordered))
+    else:
+        one = model if not model.levels else nests.Cells.one(n)
+        found, _ = blocks.block_join(left, right, metric, one, None, run, task, rows_per_block=size, n_queries=n if same else None, self_join=same)
     spark = a.sparkSession
     summed = found.groupBy("t").agg(F.sum("n").alias("n"))
-    keys = spark.createDataFrame([(int(np.searchsorted(ordered, r)), r) for r in asked], "t int, radius double")
+    keys = spark.createDataFrame([(t := int(np.searchsorted(ordered, r)), r, settled[t]) for r in asked], "t int, radius double, settled long")
     return keys.join(F.broadcast(summed), "t", "left").select(
-        "radius", F.coalesce("n", F.lit(0)).cast("long").alias("n_pairs"))
+        "radius", (F.col("settled") + F.coalesce("n", F.lit(0))).cast("long").alias("n_pairs"))
 
 
-def _inside_counts(left: DataFrame, metric: Metric, model: blocks.Cells, radii: np.ndarray) -> DataFrame:
-    """Pairs settled by the bounds alone: all rows of cells that lie inside the radius."""
-    shipped = left.sparkSession.sparkContext.broadcast(model)
+def _inside_counts(left: DataFrame, metric: Metric, others: nests.Cells, model: nests.Cells, open_pairs: nests.CellPairs, radii: np.ndarray) -> DataFrame:
+    """Pairs settled by a row against a leaf of the other side: all rows of leaves that lie inside the radius."""
+    shipped = storage.checked_broadcast(left.sparkSession, (others, model, open_pairs), open_pairs.n_bytes, "the open pairs of cells")
 
     def task(it: Iterator[pa.RecordBatch]):
-        cells = shipped.value
         sums = [0] * len(radii)
         for batch in it:
             if batch.num_rows == 0:
                 continue
-            _, _, upper = blocks.bounds(metric, blocks.decode(batch.column("x"), metric), cells)
-            w = to_numpy(batch.column("w"))
-            for t, r in enumerate(radii):
-                sums[t] += int(w @ ((upper <= r) @ cells.weight))
+            mine, its, pairs = shipped.value
+            home, (row, b, _, hi, was) = blocks.settle_rows(metric, nests.decode(batch.column("x"), metric), mine, its, pairs, radii)
+            w = to_numpy(batch.column("w"))[row] * its.levels[-1].weight[b] * (np.where(home[row] != b, 2, 1) if mine is its else 1)
+            for t in range(len(radii)):
+                sums[t] += int(w[(hi <= t) & (t < was)].sum())
         yield pa.RecordBatch.from_arrays([pa.array(range(len(radii)), pa.int32()), pa.array(sums, pa.int64())],
                                          names=["t", "n"])
 
@@ -337,7 +366,7 @@ def distance_matrix(a: DataFrame, b: DataFrame, *, metric: str | Metric = "eucli
         d, slack = metric.block(q.points, x.points[order])
         if slack:
             rows, cols = np.indices(d.shape).reshape(2, -1)
-            d = blocks.exact(metric, q.points, x.points[order], rows, cols).reshape(d.shape)
+            d = nests.exact(metric, q.points, x.points[order], rows, cols).reshape(d.shape)
         ids = x.ids[order]
         edges = [0, *(np.flatnonzero(np.diff(ids // segment)) + 1), len(ids)]
         for s, e in zip(edges, edges[1:]):
@@ -346,7 +375,7 @@ def distance_matrix(a: DataFrame, b: DataFrame, *, metric: str | Metric = "eucli
                  from_lists(np.tile(ids[s:e], len(q.ids)), np.full(len(q.ids), e - s), pa.int64()),
                  from_matrix(np.ascontiguousarray(d[:, s:e]))], names=["i", "segment", "js", "ds"])
 
-    found, _ = blocks.block_join(left, right, metric, blocks.Cells(None, np.array([right.count()])), None,
+    found, _ = blocks.block_join(left, right, metric, nests.Cells.one(right.count()), None,
                                  task, "i long, segment long, js array<long>, ds array<double>", rows_per_block=size)
     # A segment may lie in several blocks.
     merged = found.groupBy("i", "segment").agg(F.sort_array(F.flatten(F.collect_list(F.arrays_zip("js", "ds")))).alias("e"))
@@ -359,27 +388,30 @@ def matrix_entries(rows: DataFrame) -> DataFrame:
 
 
 def metric_partitions(data: DataFrame, pivots: DataFrame, *, metric: str | Metric = "euclidean",
-                      id_col: str = "point_id", x_col: str = "x") -> tuple[DataFrame, DataFrame]:
+                      id_col: str = "point_id", x_col: str = "x", max_pivots: int = 100_000) -> tuple[DataFrame, DataFrame]:
     """Cells around given pivots: ``(point_id, pivot_id, d)`` and ``(pivot_id, n, radius)``.
 
-    A point belongs to its nearest pivot (tie: smaller pivot id). Pivots are model-sized.
+    A point belongs to its nearest pivot (tie: smaller pivot id). Pivots are model-sized, at most ``max_pivots``; many of them
+    are nested, so that a point is compared with few.
     """
     metric = named(metric)
-    chosen = _side(pivots, id_col, x_col, metric).orderBy("id").limit(100_001).collect()
-    if len(chosen) > 100_000:
-        raise ValueError("more than 100000 pivots; use fewer, larger cells")
-    ids = np.array([r.id for r in chosen])
-    centers = np.array([r.x for r in chosen], dtype=object if metric.textual else float)
+    chosen = _side(pivots, id_col, x_col, metric).orderBy("id").limit(max_pivots + 1).collect()
+    if len(chosen) > max_pivots:
+        raise ValueError(f"more than {max_pivots} pivots; use fewer, larger cells or a higher max_pivots")
+    # Of equal pivots only the first can have members.
+    known = sorted({tuple(np.atleast_1d(r.x)): r for r in reversed(chosen)}.values(), key=lambda r: r.id)
+    ids = np.array([r.id for r in known])
+    centers = np.array([r.x for r in known], dtype=object if metric.textual else float)
     size = sum(map(len, centers)) if metric.textual else centers.nbytes
-    shipped = storage.checked_broadcast(data.sparkSession, (ids, centers), size, "the pivots")
+    nest = nests.nest_of(metric, centers) if len(known) > nests.FAN else None
+    shipped = storage.checked_broadcast(data.sparkSession, (ids, centers, nest), 3 * size, "the pivots")
     rows = _side(data, id_col, x_col, metric)
 
     def task(it: Iterator[pa.RecordBatch]):
         for batch in it:
             if batch.num_rows:
-                names, points = shipped.value
-                cell, d = blocks.assign(metric, blocks.decode(batch.column("x"), metric), points)
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(names[cell]), pa.array(d)],
+                cell, d = nearest_pivots(metric, nests.decode(batch.column("x"), metric), *shipped.value)
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(cell), pa.array(d)],
                                                  names=["point_id", "pivot_id", "d"])
 
     members = rows.mapInArrow(task, "point_id long, pivot_id long, d double")
@@ -387,6 +419,19 @@ def metric_partitions(data: DataFrame, pivots: DataFrame, *, metric: str | Metri
     return members, summary
 
 
+def nearest_pivots(metric: Metric, points: np.ndarray, ids: np.ndarray, centers: np.ndarray, nest: nests.Cells | None) -> tuple[np.ndarray, np.ndarray]:
+    """The id of the nearest pivot (ties: smaller id) of each point and its exact distance; ``ids`` ascend."""
+    if nest is None:
+        cell, d = nests.assign(metric, points, centers)
+        return ids[cell], d
+    pairs, _, _ = nests.Nearest(1).walk(nest, metric, points)
+    leaves = nest.levels[-1]
+    gaps = nests.exact(metric, points, leaves.pivots, pairs.row, pairs.cell)
+    order = np.lexsort((leaves.order[pairs.cell], gaps, pairs.row))
+    first = order[np.searchsorted(pairs.row[order], np.arange(len(points)))]
+    return ids[leaves.order[pairs.cell[first]]], gaps[first]
+
+
 def check_metric_partitions(data: DataFrame, members: DataFrame, summary: DataFrame, *,
                             id_col: str = "point_id") -> DataFrame:
     """Violation counts, all zero for sound cells: rows not covered, and rows not in exactly one cell."""

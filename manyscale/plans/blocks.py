@@ -1,18 +1,19 @@
 """Metric joins as keyed blocks of rows.
 
-The data side is cut into cells around pivots, and every cell into blocks of bounded size.
-A query row goes only to the cells that the triangle inequality cannot rule out. Both sides
+The data side is cut into nested cells around pivots, and every leaf into blocks of bounded size.
+A query row goes only to the leaves that the bounds cannot rule out. Both sides
 then meet on a (cell, data block, query block) key through one shuffle: a task holds one data
 block and streams the query rows of the same key past it. No block depends on how many rows
 share a cell, so a crowded cell becomes more blocks and never a larger task. With few rows,
-or where no bound can help, the plan has one cell and no pivots.
+or where no bound can help, the plan has one cell and no pivots. Within one table, rows of a cell
+meet the blocks from their own on, so that no two blocks meet twice.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -23,17 +24,16 @@ from pyspark.sql import types as T
 from manyscale.functions import batches as nb
 from manyscale.functions.metrics import Metric
 from manyscale.plans import storage
+from manyscale.plans.cells import MAX_CELLS, TILE_VALUES, CellPairs, Cells, Nearest, Pairs, Within, decode, exact, exact_block, grouped, measured
 
 BLOCK_BYTES = 64 * 1024 * 1024
-TILE_VALUES = 8_000_000
 PIVOT_ROWS = 20_000
-MAX_CELLS = 2048
-HIT = "array<struct<cell:int,lo:int,hi:int>>"
+HIT = T.ArrayType(T.StructType([T.StructField(name, T.IntegerType()) for name in ("cell", "lo", "hi")]))
 
 
 @dataclass
 class Side:
-    """The rows of one side of a block, as numpy columns."""
+    """The rows of one side of a block, as numpy columns; ``same`` marks rows that meet their own block."""
 
     ids: np.ndarray
     points: np.ndarray
@@ -41,63 +41,13 @@ class Side:
     lo: np.ndarray
     hi: np.ndarray
     home: np.ndarray
+    same: np.ndarray
     cap: np.ndarray
     cell: int
 
     def slice(self, s: int, e: int) -> Side:
         return Side(self.ids[s:e], self.points[s:e], {k: v[s:e] for k, v in self.columns.items()},
-                    self.lo[s:e], self.hi[s:e], self.home[s:e], self.cap[s:e], self.cell)
-
-
-@dataclass
-class Cells:
-    """Pivots of the data side with what the pruning bounds need to know about each cell."""
-
-    pivots: np.ndarray | None
-    rows: np.ndarray
-    radius: np.ndarray = field(default_factory=lambda: np.array([np.inf]))
-    weight: np.ndarray = field(default_factory=lambda: np.array([0]))
-    near: np.ndarray = field(default_factory=lambda: np.zeros((1, 0)))
-    _gaps: np.ndarray | None = None
-
-    def __len__(self) -> int:
-        return len(self.rows)
-
-    def gaps(self, metric: Metric) -> np.ndarray:
-        """Upper estimates of the distances between pivots, worked out once per process."""
-        if self._gaps is None:
-            d, slack = metric.block(self.pivots, self.pivots)
-            self._gaps = d + slack
-        return self._gaps
-
-
-def decode(column, metric: Metric) -> np.ndarray:
-    if metric.textual:
-        return np.array(nb.single(column).to_pylist(), dtype=object)
-    return nb.to_matrix(column)
-
-
-def exact(metric: Metric, a: np.ndarray, b: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
-    """Exact distances of chosen pairs, a bounded number of coordinates at a time."""
-    out = np.empty(len(rows))
-    step = max(1, TILE_VALUES // (a.shape[1] if a.ndim > 1 else 64))
-    for s in range(0, len(rows), step):
-        out[s : s + step] = metric.rows(a[rows[s : s + step]], b[cols[s : s + step]])
-    return out
-
-
-def assign(metric: Metric, points: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Nearest pivot (ties: smaller index) and exact distance, the same for a row in any batch."""
-    approx, slack = metric.block(points, pivots)
-    best = approx.argmin(axis=1)
-    if slack and len(pivots) > 1:
-        close = approx <= approx[np.arange(len(points)), best][:, None] + 2 * slack
-        for row in np.flatnonzero(close.sum(axis=1) > 1):
-            options = np.flatnonzero(close[row])
-            gaps = metric.rows(np.repeat(points[row : row + 1], len(options), axis=0), pivots[options])
-            best[row] = options[int(gaps.argmin())]
-    own = exact(metric, points, pivots, np.arange(len(points)), best) if slack else approx[np.arange(len(points)), best]
-    return best, own
+                    self.lo[s:e], self.hi[s:e], self.home[s:e], self.same[s:e], self.cap[s:e], self.cell)
 
 
 def block_rows(width: int, metric: Metric) -> int:
@@ -114,142 +64,49 @@ def _spread_rows(data: DataFrame, count: int, metric: Metric) -> np.ndarray:
 
 
 def pick_pivots(data: DataFrame, count: int, metric: Metric) -> np.ndarray:
-    """At most ``count`` distinct points of the table, in a fixed order."""
+    """At most ``count`` distinct points of the table, in the fixed order."""
     rows = _spread_rows(data, count, metric)
-    return np.array(sorted(set(rows)), dtype=object) if metric.textual else np.unique(rows, axis=0)
-
+    if metric.textual:
+        return np.array(list(dict.fromkeys(rows)), dtype=object)
+    return rows[np.sort(np.unique(rows, axis=0, return_index=True)[1])]
 
-def cell_statistics(data: DataFrame, metric: Metric, pivots: np.ndarray, near: int = 0) -> Cells:
-    """Size, covering radius and ``near`` smallest pivot distances of every cell."""
-    shipped = data.sparkSession.sparkContext.broadcast(pivots)
 
-    def task(it: Iterator[pa.RecordBatch]):
-        centers = shipped.value
-        p = len(centers)
-        rows, weight, radius = np.zeros(p, np.int64), np.zeros(p, np.int64), np.zeros(p)
-        closest = [np.zeros(0) for _ in range(p)]
-        for batch in it:
-            if batch.num_rows == 0:
-                continue
-            cell, d = assign(metric, decode(batch.column("x"), metric), centers)
-            w = nb.to_numpy(batch.column("w"))
-            np.add.at(rows, cell, 1)
-            np.add.at(weight, cell, w)
-            np.maximum.at(radius, cell, d)
-            for j in np.unique(cell) if near else ():
-                closest[j] = np.sort(np.concatenate([closest[j], d[cell == j]]))[:near]
-        keep = np.flatnonzero(rows)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(keep, pa.int32()), pa.array(rows[keep]), pa.array(weight[keep]), pa.array(radius[keep]),
-             pa.array([closest[j].tolist() for j in keep], pa.list_(pa.float64()))],
-            names=["cell", "n", "w", "radius", "near"])
-
-    def merge(df: DataFrame, *keys) -> DataFrame:
-        gathered = F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, max(1, near))
-        return df.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("w").alias("w"),
-                                     F.max("radius").alias("radius"), gathered.alias("near"))
-
-    weighted = data if "w" in data.columns else data.withColumn("w", F.lit(1).cast("long"))
-    partial = weighted.select("x", "w").mapInArrow(
-        task, "cell int, n long, w long, radius double, near array<double>")
-    staged = merge(partial.withColumn("part", F.spark_partition_id() % 64), "cell", "part")
-    found = {r.cell: r for r in merge(staged, "cell").collect()}
-    p = len(pivots)
-    out = Cells(pivots, np.zeros(p, np.int64), np.zeros(p), np.zeros(p, np.int64), np.full((p, near), np.inf))
-    for j, r in found.items():
-        out.rows[j], out.weight[j], out.radius[j] = r.n, r.w, r.radius * (1 + 1e-12)
-        out.near[j, : min(near, len(r.near))] = r.near[:near]
-    return out
+def cell_count(n: int, rows_per_block: int, most: int = MAX_CELLS) -> int:
+    """Leaves for ``n`` rows; their pivots are no larger than a block."""
+    return min(most, math.ceil(math.sqrt(n)), max(64, rows_per_block))
 
 
 def make_cells(data: DataFrame, n: int, metric: Metric, rows_per_block: int, near: int, count: int | None,
-               queries: DataFrame, reach: Callable) -> Cells:
+               queries: DataFrame, rule: Within | Nearest) -> Cells:
     """Cells for the ``n`` rows of ``data(id, x)``: a single one for a small table, unless asked otherwise.
 
     Pivots only pay if the bounds rule rows out. On data where they do not, such as isotropic
     vectors of many dimensions, a query would travel to every cell for nothing, so plain blocks
     are used when a look at some queries shows them visiting more than half of the rows.
     """
-    one = Cells(None, np.array([n]))
     if n == 0 or (count is None and n <= min(rows_per_block, PIVOT_ROWS)) or (count is not None and count <= 1):
-        return one
-    chosen = count or min(MAX_CELLS, math.ceil(math.sqrt(n)))
-    cells = cell_statistics(data, metric, pick_pivots(data, chosen, metric), near)
-    return cells if count is not None or visited_share(queries, metric, cells, reach) <= 0.5 else one
+        return Cells.one(n)
+    pivots = pick_pivots(data, count or cell_count(n, rows_per_block), metric)
+    cells = measured(data, metric, Cells.nested(metric, pivots, near))
+    return cells if count is not None or visited_share(queries, metric, cells, rule) <= 0.5 else Cells.one(n)
 
 
-def visited_share(queries: DataFrame, metric: Metric, cells: Cells, reach: Callable, look: int = 256) -> float:
+def visited_share(queries: DataFrame, metric: Metric, cells: Cells, rule: Within | Nearest, look: int = 256) -> float:
     """The share of data rows that a query has to be compared with, judged on a few queries."""
     points = _spread_rows(queries, look, metric)
     if len(points) == 0:
         return 0.0
-    hit, _, _, _ = reach(*bounds(metric, points, cells), cells)
-    return float((hit @ cells.rows).mean() / max(1, cells.rows.sum()))
-
-
-def bounds(metric: Metric, points: np.ndarray, cells: Cells) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pivot distances plus lower and upper bounds on the distance to any member of each cell.
-
-    The lower bound is the better of two: the covering radius of the cell, and the fact that its
-    members are nearer to its pivot than to the pivot nearest the query. In flat space the latter
-    is the distance to the plane between the two pivots.
-    """
-    d, slack = metric.block(points, cells.pivots)
-    slack += 1e-9 * (1.0 + d.max(initial=0.0))
-    lower = np.maximum(d - slack - cells.radius, 0.0)
-    own = d.argmin(axis=1)
-    here = d[np.arange(len(d)), own][:, None]
-    if metric.flat:
-        side = (np.maximum(d - slack, 0.0) ** 2 - (here + slack) ** 2) / (2.0 * (cells.gaps(metric)[own] + slack))
-    else:
-        side = (d - here) / 2.0 - slack
-    return d + slack, np.maximum(lower, side), d + slack + cells.radius
-
-
-def reach_range(radius: float, eps: float) -> Callable:
-    """Cells that may hold a row within ``radius``; ``lo = 1`` marks cells to take as a whole."""
-
-    def reach(upper_d, lower, upper, cells, known=None):
-        hit = (lower <= radius / (1.0 + eps)) & (cells.rows > 0)
-        whole = (upper < radius * (1.0 + eps)).astype(np.int32)
-        return hit, whole, whole, np.full(len(hit), float(radius))
+    pairs, _, _ = rule.walk(cells, metric, points)
+    return float(cells.rows[pairs.cell].sum() / len(points) / max(1, cells.rows.sum()))
 
-    return reach
 
+class Home:
+    """Only the leaf that a query belongs to."""
 
-def reach_knn(k: int, eps: float, limit: float) -> Callable:
-    """Cells that may hold one of the ``k`` nearest rows.
-
-    The stored smallest pivot distances, or a distance ``known`` from the query's own cell, give
-    ``k`` real rows no further than ``theta``. Their cells are always kept, so with ``eps`` the k-th answer is at most ``theta``, and if the true
-    k-th distance is below ``theta / (1 + eps)`` no cell of a true neighbour has been dropped.
-    """
-
-    def reach(upper_d, lower, upper, cells, known=None):
-        witnesses = (upper_d[:, :, None] + cells.near[None, :, :]).reshape(len(upper_d), -1)
-        if witnesses.shape[1] >= k:
-            theta = np.partition(witnesses, k - 1, axis=1)[:, k - 1]
-        else:
-            theta = np.full(len(upper_d), np.inf)
-        if known is not None:
-            theta = np.minimum(theta, known)
-        closest = upper_d + cells.near[:, 0]
-        cut = np.minimum(theta / (1.0 + eps), limit)
-        hit = (lower <= cut[:, None]) | ((closest <= theta[:, None]) & (lower <= limit))
-        rows = np.arange(len(hit))
-        hit[rows, upper_d.argmin(axis=1)] = True
-        none = np.zeros(hit.shape, np.int32)
-        return hit & (cells.rows > 0), none, none, np.minimum(theta, limit)
-
-    return reach
-
-
-def reach_home(upper_d, lower, upper, cells, known=None):
-    """Only the cell of the nearest pivot."""
-    hit = np.zeros(upper_d.shape, bool)
-    hit[np.arange(len(hit)), upper_d.argmin(axis=1)] = True
-    none = np.zeros(hit.shape, np.int32)
-    return hit, none, none, np.full(len(hit), np.inf)
+    def walk(self, cells: Cells, metric: Metric, points: np.ndarray, known=None, home=None):
+        n = len(points)
+        own = Pairs(np.arange(n), home[-1], np.zeros(n), np.full(n, np.inf), np.zeros(n))
+        return own, np.zeros(n, np.int32), np.full(n, np.inf)
 
 
 def home_distances(queries: DataFrame, data: DataFrame, metric: Metric, cells: Cells, k: int, rows_per_block: int) -> DataFrame:
@@ -268,29 +125,35 @@ def home_distances(queries: DataFrame, data: DataFrame, metric: Metric, cells: C
         yield pa.RecordBatch.from_arrays([pa.array(q.ids), points, pa.array(known)], names=["id", "x", "known"])
 
     schema = T.StructType([queries.schema["id"], queries.schema["x"], T.StructField("known", T.DoubleType())])
-    found, _ = block_join(queries, data, metric, cells, reach_home, task, schema, rows_per_block=rows_per_block, one_block=True)
+    found, _ = block_join(queries, data, metric, cells, Home(), task, schema, rows_per_block=rows_per_block, one_block=True)
     return storage.materialize(found)
 
 
-def reach_counts(radii: np.ndarray) -> Callable:
-    """For ascending radii, the range ``[lo, hi)`` of radii that a cell leaves undecided."""
+ROUTED = [T.StructField("home", T.IntegerType()), T.StructField("cap", T.DoubleType()), T.StructField("hits", HIT)]
+
+
+def _with_hits(batch: pa.RecordBatch, home: np.ndarray, cap: np.ndarray, row: np.ndarray, cell: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
+    """A batch with the cells that each row visits."""
+    order = np.argsort(row, kind="stable")
+    entries = pa.StructArray.from_arrays([pa.array(v[order], pa.int32()) for v in (cell, lo, hi)], names=["cell", "lo", "hi"])
+    offsets = np.searchsorted(row[order], np.arange(batch.num_rows + 1)).astype(np.int32)
+    return pa.RecordBatch.from_arrays(
+        [*batch.columns, pa.array(home, pa.int32()), pa.array(cap), pa.ListArray.from_arrays(pa.array(offsets), entries)],
+        names=[*batch.schema.names, "home", "cap", "hits"])
 
-    def reach(upper_d, lower, upper, cells, known=None):
-        lo = np.searchsorted(radii, lower, side="left").astype(np.int32)
-        hi = np.searchsorted(radii, upper, side="left").astype(np.int32)
-        return (lo < hi) & (cells.rows > 0), lo, hi, np.full(len(lo), np.inf)
 
-    return reach
+def _one_row_per_hit(rows: DataFrame, columns: list[str]) -> DataFrame:
+    return rows.withColumn("hit", F.explode("hits")).select(*columns, "hit.cell", "hit.lo", "hit.hi", "home", "cap")
 
 
-def route(queries: DataFrame, metric: Metric, cells: Cells, reach: Callable, self_join: bool) -> DataFrame:
-    """One row per query and cell it must visit, with columns ``cell, lo, hi, home, cap``."""
-    if cells.pivots is None:
+def route(queries: DataFrame, metric: Metric, cells: Cells, rule: Within | Nearest | Home, self_join: bool) -> DataFrame:
+    """One row per query and cell it must visit, with columns ``cell, lo, hi, home, cap``; ``lo = 1`` marks cells to take as a whole."""
+    if not cells.levels:
         zero = F.lit(0)
         return queries.select("*", zero.alias("cell"), zero.alias("lo"), F.lit(2**30).alias("hi"),
                               zero.alias("home"), F.lit(float("inf")).alias("cap"))
     shipped = queries.sparkSession.sparkContext.broadcast(cells)
-    tiles = max(64, TILE_VALUES // (len(cells) * max(1, cells.near.shape[1])))
+    tiles = max(64, TILE_VALUES // (len(cells) * max(1, cells.levels[-1].near.shape[1])))
 
     def task(it: Iterator[pa.RecordBatch]):
         model = shipped.value
@@ -299,36 +162,67 @@ def route(queries: DataFrame, metric: Metric, cells: Cells, reach: Callable, sel
                 batch = whole.slice(s, tiles)
                 points = decode(batch.column("x"), metric)
                 known = nb.to_numpy(batch.column("known")) if "known" in batch.schema.names else None
-                hit, lo, hi, cap = reach(*bounds(metric, points, model), model, known)
-                home = np.zeros(len(points), np.int32)
-                if self_join:
-                    home = assign(metric, points, model.pivots)[0].astype(np.int32)
-                    hit &= np.arange(len(model))[None, :] >= home[:, None]
-                rows, cols = np.nonzero(hit)
-                entries = pa.StructArray.from_arrays(
-                    [pa.array(cols, pa.int32()), pa.array(lo[rows, cols], pa.int32()),
-                     pa.array(hi[rows, cols], pa.int32())], names=["cell", "lo", "hi"])
-                offsets = np.concatenate([[0], np.cumsum(hit.sum(axis=1))]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, pa.array(home), pa.array(cap), pa.ListArray.from_arrays(pa.array(offsets), entries)],
-                    names=[*batch.schema.names, "home", "cap", "hits"])
-
-    schema = T.StructType([*queries.schema.fields, T.StructField("home", T.IntegerType()), T.StructField("cap", T.DoubleType()),
-                           T.StructField("hits", T.DataType.fromDDL(HIT))])
-    return queries.mapInArrow(task, schema).withColumn("hit", F.explode("hits")).select(
-        *queries.columns, "hit.cell", "hit.lo", "hit.hi", "home", "cap")
+                home = model.place(metric, points)[0] if self_join or not isinstance(rule, Within) else None
+                pairs, lo, cap = rule.walk(model, metric, points, known, home)
+                own = home[-1] if home is not None else np.zeros(len(points), np.int64)
+                keep = pairs.cell >= own[pairs.row] if self_join else np.ones(len(pairs.row), bool)
+                yield _with_hits(batch, own, cap, pairs.row[keep], pairs.cell[keep], lo[keep], lo[keep])
+
+    return _one_row_per_hit(queries.mapInArrow(task, T.StructType([*queries.schema.fields, *ROUTED])), queries.columns)
+
+
+def settle_rows(metric: Metric, points: np.ndarray, left: Cells, right: Cells, pairs: CellPairs, radii: np.ndarray):
+    """What the undecided pairs of leaves leave undecided for single rows of the left leaf.
+
+    Returns the rows' leaves, and ``(row, b, lo, hi, was)``: radii ``[lo, hi)`` stay open, all of ``b`` lies within those of ``[hi, was)``.
+    Distances are exact, so a row is judged alike in any batch.
+    """
+    home = left.place(metric, points)[0][-1]
+    found = [np.zeros((5, 0), np.int64)]
+    level = right.levels[-1]
+    for a, at in grouped(home):
+        span = slice(int(pairs.start[a]), int(pairs.start[a + 1]))
+        b = pairs.b[span]
+        if not len(b):
+            continue
+        d = exact_block(metric, points[at], level.pivots[b])
+        lower, upper = d * (1 - 1e-12) - level.radius[b], (d + level.radius[b]) * (1 + 1e-12)
+        was = np.broadcast_to(pairs.hi[span], d.shape)
+        lo = np.maximum(np.searchsorted(radii, lower, side="left"), pairs.lo[span])
+        hi = np.minimum(np.searchsorted(radii, upper, side="left"), was)
+        # Within a leaf a pair of rows is met once for both orders, so its rows have to be judged alike.
+        own = (b == a) & (left is right)
+        lo, hi = np.where(own, pairs.lo[span], np.minimum(lo, hi)), np.where(own, was, hi)
+        keep = lo < was
+        cols = np.broadcast_to(b, d.shape)
+        found.append(np.stack([np.broadcast_to(at[:, None], d.shape)[keep], cols[keep], lo[keep], hi[keep], was[keep]]))
+    return home, np.concatenate(found, axis=1)
+
+
+def route_pairs(queries: DataFrame, metric: Metric, left: Cells, right: Cells, pairs: CellPairs, radii: np.ndarray) -> DataFrame:
+    """One row per query and leaf of the other side for which some radius is still open, as ``route``."""
+    shipped = storage.checked_broadcast(queries.sparkSession, (left, right, pairs), pairs.n_bytes, "the open pairs of cells")
+
+    def task(it: Iterator[pa.RecordBatch]):
+        for batch in it:
+            if batch.num_rows:
+                home, (row, b, lo, hi, _) = settle_rows(metric, decode(batch.column("x"), metric), *shipped.value, radii)
+                keep = lo < hi
+                yield _with_hits(batch, home, np.full(len(home), np.inf), row[keep], b[keep], lo[keep], hi[keep])
+
+    return _one_row_per_hit(queries.mapInArrow(task, T.StructType([*queries.schema.fields, *ROUTED])), queries.columns)
 
 
 def place(data: DataFrame, metric: Metric, cells: Cells) -> DataFrame:
     """The data side with the cell of every row."""
-    if cells.pivots is None:
+    if not cells.levels:
         return data.withColumn("cell", F.lit(0))
-    shipped = data.sparkSession.sparkContext.broadcast(cells.pivots)
+    shipped = data.sparkSession.sparkContext.broadcast(cells)
 
     def task(it: Iterator[pa.RecordBatch]):
         for batch in it:
             if batch.num_rows:
-                cell, _ = assign(metric, decode(batch.column("x"), metric), shipped.value)
+                cell = shipped.value.place(metric, decode(batch.column("x"), metric))[0][-1]
                 yield batch.append_column("cell", pa.array(cell, pa.int32()))
 
     schema = T.StructType([*data.schema.fields, T.StructField("cell", T.IntegerType())])
@@ -342,19 +236,19 @@ def _spread(counts: np.ndarray) -> Column:
     return F.element_at(F.lit([int(c) for c in counts]), F.col("cell") + 1)
 
 
-def block_join(queries: DataFrame, data: DataFrame, metric: Metric, cells: Cells, reach: Callable,
+def block_join(queries: DataFrame, data: DataFrame, metric: Metric, cells: Cells, rule: Within | Nearest | Home | None,
                task: Callable[[Side, Side], Iterator[pa.RecordBatch]], schema: str | T.StructType, *,
-               rows_per_block: int, n_queries: int | None = None,
+               rows_per_block: int, n_queries: int | None = None, routed: DataFrame | None = None,
                self_join: bool = False, one_block: bool = False) -> tuple[DataFrame, bool]:
     """Run ``task(query rows, data block)`` on every pair of blocks that may hold a match.
 
     ``queries`` and ``data`` have columns ``id, x`` and may carry more. With ``one_block`` a query
-    meets one block of each cell it visits, or ``None`` if that block is empty. The flag returned
-    with the result says whether a query can have met several data blocks.
+    meets one block of each cell it visits, or ``None`` if that block is empty. ``routed`` replaces what ``rule`` gives.
+    The flag returned with the result says whether a query can have met several data blocks.
     """
     spark = queries.sparkSession
-    routed = route(queries, metric, cells, reach, self_join)
-    if cells.pivots is None:
+    routed = route(queries, metric, cells, rule, self_join) if routed is None else routed
+    if not cells.levels:
         visits = np.array([queries.count() if n_queries is None else n_queries])
     else:
         visits = np.zeros(len(cells), np.int64)
@@ -369,18 +263,21 @@ def block_join(queries: DataFrame, data: DataFrame, metric: Metric, cells: Cells
     def own(count: Column) -> Column:
         return F.pmod(F.xxhash64("id"), count).cast("int")
 
-    def every(count: Column) -> Column:
-        return F.explode(F.sequence(F.lit(0), count - 1))
+    def every(count: Column, first: Column = F.lit(0)) -> Column:
+        return F.explode(F.sequence(first, count - 1))
 
     extra_q = [c for c in queries.columns if c not in ("id", "x")]
     extra_x = [c for c in data.columns if c not in ("id", "x")]
-    left = routed.select(
-        "cell", own(_spread(query_blocks)).alias("qb"), (own if one_block else every)(_spread(data_blocks)).alias("xb"),
-        F.lit(1).alias("side"), "id", "x", "lo", "hi", "home", "cap", F.struct(F.lit(0).alias("_"), *extra_q).alias("q"),
+    blocks_of = _spread(data_blocks)
+    at_home = F.lit(self_join) & (F.col("cell") == F.col("home"))
+    visited = own(blocks_of) if one_block else every(blocks_of, F.when(at_home, own(blocks_of)).otherwise(0))
+    left = routed.withColumn("xb", visited).select(
+        "cell", own(_spread(query_blocks)).alias("qb"), "xb", F.lit(1).alias("side"), "id", "x", "lo", "hi", "home",
+        (at_home & (F.col("xb") == own(blocks_of))).alias("same"), "cap", F.struct(F.lit(0).alias("_"), *extra_q).alias("q"),
         F.lit(None).cast(T.StructType([T.StructField("_", T.IntegerType()), *[data.schema[c] for c in extra_x]])).alias("p"))
     right = place(data, metric, cells).select(
         "cell", every(_spread(query_blocks)).alias("qb"), own(_spread(data_blocks)).alias("xb"),
-        F.lit(0).alias("side"), "id", "x", F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.lit(0).alias("home"), F.lit(0.0).alias("cap"),
+        F.lit(0).alias("side"), "id", "x", F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.lit(0).alias("home"), F.lit(False).alias("same"), F.lit(0.0).alias("cap"),
         F.lit(None).cast(T.StructType([T.StructField("_", T.IntegerType()), *[queries.schema[c] for c in extra_q]])).alias("q"),
         F.struct(F.lit(0).alias("_"), *extra_x).alias("p"))
 
@@ -388,7 +285,7 @@ def block_join(queries: DataFrame, data: DataFrame, metric: Metric, cells: Cells
         struct = nb.single(table.column(name)) if extra else None
         return Side(nb.to_numpy(table.column("id")), decode(table.column("x"), metric),
                     {c: struct.field(c) for c in extra}, nb.to_numpy(table.column("lo")),
-                    nb.to_numpy(table.column("hi")), nb.to_numpy(table.column("home")),
+                    nb.to_numpy(table.column("hi")), nb.to_numpy(table.column("home")), nb.to_numpy(table.column("same")),
                     nb.to_numpy(table.column("cap")), cell)
 
     def run(it: Iterator[pa.RecordBatch]):
@@ -415,5 +312,5 @@ def block_join(queries: DataFrame, data: DataFrame, metric: Metric, cells: Cells
                         yield from task(chunk.slice(t, t + step), block)
 
     met = left.unionByName(right).repartition("cell", "qb", "xb").sortWithinPartitions("cell", "qb", "xb", "side")
-    several = cells.pivots is not None or int(data_blocks.sum()) > 1
+    several = bool(cells.levels) or int(data_blocks.sum()) > 1
     return met.mapInArrow(run, schema), several

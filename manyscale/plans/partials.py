@@ -43,9 +43,9 @@ def sum_partials(df: DataFrame, columns: list[str], extract: Callable) -> DataFr
                 else:
                     slot[0] += n
                     slot[1] += vector
-            if size > FLUSH_VALUES:
-                yield from partial_rows(held)
-                held, size = {}, 0
+                if size > FLUSH_VALUES:
+                    yield from partial_rows(held)
+                    held, size = {}, 0
         if held:
             yield from partial_rows(held)
 

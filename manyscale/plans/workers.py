@@ -28,8 +28,11 @@ def worker_count(df: DataFrame) -> int:
     return max(1, -(-df.count() // ROWS_PER_WORKER))
 
 
-def laid_out(df: DataFrame, key: str, workers: int, seed: int) -> DataFrame:
-    order = F.xxhash64(F.col(key), F.lit(seed))
+def laid_out(df: DataFrame, key: str, workers: int, seed: int, by_key: bool = False) -> DataFrame:
+    """The rows on their workers, in the order of training: of the key's hash, or of the key itself if there is one worker."""
+    if by_key and workers > 1:
+        raise ValueError("rows in the order of their key need one worker")
+    order = F.lit(0) if by_key else F.xxhash64(F.col(key), F.lit(seed))
     return storage.materialize(df.withColumn("_order", order).repartition(workers, "_order")
                                .sortWithinPartitions("_order", key).drop("_order"))
 

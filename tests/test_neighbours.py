@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from manyscale.functions import metrics
 from manyscale.operators import neighbours as nbr
+from manyscale.plans import blocks, cells
 
 CUBE = np.array(list(itertools.product([0.0, 1.0], repeat=3)))
 PLAIN = {"euclidean": lambda d: np.sqrt((d * d).sum(-1)), "cityblock": lambda d: np.abs(d).sum(-1),
@@ -269,3 +270,145 @@ def test_lists_do_not_depend_on_blocks(table):
         assert len(one) == len(many) and len(one) > 7
     pairs = {(r.q_id, j) for r in nbr.ball_search(table(q), table(x), 1.5, segment=16, rows_per_block=9).collect() for j in r.nbr_ids}
     assert pairs == set(zip(*(v.tolist() for v in np.nonzero(brute(q, x) <= 1.5))))
+
+
+# Nested cells
+
+
+def counted(metric):
+    """The metric, and a list that gets the number of distances of each block."""
+    asked = []
+
+    def block(a, b):
+        asked.append(len(a) * len(b))
+        return metric.block(a, b)
+
+    return metrics.Metric(metric.name, block, metric.rows, metric.expression, metric.textual, metric.flat), asked
+
+
+def measured_here(metric, pivots, x, near=0):
+    nest = cells.Cells.nested(metric, pivots, near)
+    path, gaps = nest.place(metric, x)
+    for level, cell, gap in zip(nest.levels, path, gaps):
+        np.add.at(level.rows, cell, 1)
+        np.add.at(level.weight, cell, 1)
+        np.maximum.at(level.radius, cell, gap * (1 + 1e-12))
+        for j, at in cells.grouped(cell) if near else ():
+            best = np.sort(gap[at])[:near]
+            level.near[j, :len(best)] = best
+    return nest, path[-1]
+
+
+def test_levels_are_nested_and_cover_their_rows():
+    x = gauss(3000, 3, 50)
+    nest, leaf = measured_here(metrics.euclidean(), x[:600], x)
+    assert len(nest.levels) == 2 and nest.levels[-1].rows.sum() == 3000 and len(nest) == 600
+    for k, level in enumerate(nest.levels):
+        assert level.rows.sum() == 3000
+        if k + 1 < len(nest.levels):
+            below = nest.levels[k + 1]
+            assert np.array_equal(np.add.reduceat(below.rows, level.start[:-1]), level.rows) and (np.diff(level.start) > 0).all()
+            own = np.repeat(np.arange(len(level.pivots)), np.diff(level.start))
+            assert all(level.pivots[j].tolist() in below.pivots[own == j].tolist() for j in range(len(level.pivots)))
+    gap = np.sqrt(((x - nest.pivots[leaf]) ** 2).sum(1))
+    assert (gap <= nest.levels[-1].radius[leaf]).all()
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cityblock", "levenshtein"])
+@pytest.mark.parametrize("fan", [3, 48])
+def test_walks_keep_every_answer(monkeypatch, metric, fan):
+    monkeypatch.setattr(cells, "FAN", fan)
+    m = metrics.named(metric)
+    if metric == "levenshtein":
+        pick = np.random.default_rng(51)
+        x = np.array(sorted({"".join(pick.choice(list("abc"), pick.integers(1, 9))) for _ in range(400)}), dtype=object)
+        x, r = x[pick.permutation(len(x))], 1.0
+    else:
+        x, r = gauss(500, 2, 52), 0.3
+    q, d = x[:80], cells.exact_block(m, x[:80], x)
+    nest, leaf = measured_here(m, x[:120], x, near=4)
+    for rule, wanted in ((cells.Within(r), d <= r), (cells.Nearest(4), d <= np.sort(d, axis=1)[:, 3:4]), (cells.Nearest(4, 0.0, r), (d <= np.sort(d, axis=1)[:, 3:4]) & (d <= r))):
+        pairs, _, cap = rule.walk(nest, m, q, None, nest.place(m, q)[0])
+        visited = set(zip(pairs.row.tolist(), pairs.cell.tolist()))
+        assert all((i, leaf[j]) in visited for i, j in zip(*np.nonzero(wanted)))
+        assert (cap >= np.minimum(np.sort(d, axis=1)[:, 3], r if rule.__class__ is cells.Within or rule.limit < np.inf else np.inf) - 1e-9).all()
+    pairs, _, _ = cells.Nearest(4, 0.5).walk(nest, m, q, None, nest.place(m, q)[0])
+    for i in range(len(q)):
+        near = np.sort(d[i][np.isin(leaf, pairs.cell[pairs.row == i])])
+        assert near[3] <= 1.5 * np.sort(d[i])[3] + 1e-9
+
+
+def test_routing_costs_a_few_distances_for_each_level():
+    x = gauss(20_000, 3, 53)
+    metric, asked = counted(metrics.euclidean())
+    nest, _ = measured_here(metric, x[:2000], x, near=5)
+    assert sum(asked) / len(x) < 150  # of 2,000 leaves
+    for rule in (cells.Nearest(5), cells.Within(0.05)):
+        asked.clear()
+        pairs, _, _ = rule.walk(nest, metric, x[:2000])
+        assert sum(asked) / 2000 < 400 and len(pairs.row) / 2000 < 100
+
+
+@pytest.mark.parametrize("fan", [3, 48])
+@pytest.mark.parametrize("kind", ["knn", "range", "close", "count", "count_two"])
+def test_nested_joins_equal_brute_force(table, monkeypatch, fan, kind):
+    monkeypatch.setattr(cells, "FAN", fan)
+    x, y = gauss(260, 3, 54), gauss(200, 3, 55, 0.3)
+    x[40:60], y[:15] = x[40], x[40]
+    d, self_d = brute(x, y), brute(x, x)
+    if kind == "knn":
+        assert as_lists(nbr.knn_join(table(x), table(y), 6, cells=40, rows_per_block=16)) == nearest_rows(d, 6)
+    elif kind == "range":
+        got = nbr.range_join(table(x), table(y), 0.7, cells=40, rows_per_block=16).collect()
+        assert sorted((r.i, r.j) for r in got) == sorted(zip(*map(list, np.nonzero(d <= 0.7))))
+    elif kind == "close":
+        t = table(x)
+        got = nbr.close_pairs(t, 0.7, cells=40, rows_per_block=8).collect()
+        assert sorted((r.i, r.j) for r in got) == [(i, j) for i, j in zip(*np.nonzero(self_d <= 0.7)) if i < j]
+        got = nbr.close_pairs(t, 0.7, rows_per_block=50).collect()
+        assert sorted((r.i, r.j) for r in got) == [(i, j) for i, j in zip(*np.nonzero(self_d <= 0.7)) if i < j]
+    else:
+        radii, t = [0.0, 0.2, 0.9, 2.5, 100.0], table(x)
+        other, want = (t, self_d) if kind == "count" else (table(y), d)
+        for options in ({"cells": 40, "rows_per_block": 16}, {"cells": 3, "rows_per_block": 8}, {"rows_per_block": 60}, {}):
+            got = {r.radius: r.n_pairs for r in nbr.count_pairs(t, other, radii, **options).collect()}
+            assert got == {r: int((want <= r).sum()) for r in radii}, options
+
+
+def test_pairs_of_cells_settle_most_pairs(monkeypatch):
+    """Against a table itself: the same counts, and less than 0.6 of the rows that bounds of single rows would send out."""
+    x = gauss(4000, 3, 56)
+    m, radii = metrics.euclidean(), np.array([0.5, 2.0])
+    nest, leaf = measured_here(m, x[:200], x)
+    last = nest.levels[-1]
+    settled, pairs = cells.cell_pairs(m, nest, nest, radii)
+    home, (row, b, lo, hi, was) = blocks.settle_rows(m, x, nest, nest, pairs, radii)
+    assert np.array_equal(home, leaf)
+    routed = int((lo < hi).sum())
+    to_pivots = cells.exact_block(m, x, last.pivots)
+    single = int(np.any([(to_pivots - last.radius <= r) & (r < to_pivots + last.radius) for r in radii], axis=0).sum())
+    assert routed < 0.6 * single
+    d = brute(x, x)
+    for t, r in enumerate(radii):
+        total = settled[t]
+        inside = (hi <= t) & (t < was)
+        total += int((last.weight[b[inside]] * np.where(home[row[inside]] != b[inside], 2, 1)).sum())
+        for i, c in zip(row[(lo <= t) & (t < hi)], b[(lo <= t) & (t < hi)]):
+            total += int((d[i, leaf == c] <= r).sum()) * (2 if home[i] != c else 1)
+        assert total == int((d <= r).sum())
+
+
+def test_nearest_of_many_pivots(table):
+    x, p = gauss(300, 3, 57), np.round(gauss(400, 3, 58), 1)
+    p[30], p[31] = p[2], p[2]
+    members, summary = nbr.metric_partitions(table(x), table(p))
+    d = brute(x, p)
+    assert {r.point_id: r.pivot_id for r in members.collect()} == {i: int(np.lexsort((np.arange(len(p)), d[i]))[0]) for i in range(len(x))}
+    assert summary.agg(F.sum("n")).first()[0] == 300
+    with pytest.raises(ValueError):
+        nbr.metric_partitions(table(x), table(p), max_pivots=100)
+    metric, asked = counted(metrics.euclidean())
+    nest = cells.nest_of(metric, gauss(5000, 3, 59))
+    asked.clear()
+    cells.Nearest(1).walk(nest, metric, gauss(500, 3, 60))
+    assert sum(asked) / 500 < 700
