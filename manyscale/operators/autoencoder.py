@@ -98,7 +98,7 @@ class Autoencoder:
 
 
 def _stepper(optimizer: str, rate: float):
-    """``step(parameters, gradients, state)`` in place."""
+    """``step(parameters, gradients, state)`` in place; ``state`` holds the running second moments by position."""
 
     def descend(parameters, gradients, state):
         for p, g in zip(parameters, gradients):
@@ -119,20 +119,24 @@ def _stepper(optimizer: str, rate: float):
 
 def fit_autoencoder(df: DataFrame, hidden: Sequence[int], *, activation: str = "relu", optimizer: str = "rmsprop",
                     lr: float = 0.01, epochs: int = 5, batch: int = 100, stddev: float = 1.0, seed: int = 0,
-                    mode: str = "average", n_workers: int | None = None, key: str = "point_id") -> tuple[Autoencoder, DataFrame]:
+                    mode: str = "average", n_workers: int | None = None, key: str = "point_id",
+                    start: Autoencoder | None = None) -> tuple[Autoencoder, DataFrame]:
     """Train on ``(point_id, x)``; returns the model and ``(epoch, cost)`` rows.
 
-    ``mode='average'``: workers run mini-batch steps of ``batch`` rows on their own rows and the
-    parameters are averaged after every epoch. ``mode='gradient'``: the exact gradient over all rows
-    is summed and one step is taken per epoch. An epoch is one job in both.
+    ``mode='average'``: workers run mini-batch steps of ``batch`` rows on their own rows, and the
+    parameters and the optimizer's moments are averaged after every epoch, so that one worker trains as if there were no
+    epochs. ``mode='gradient'``: the exact gradient over all rows is summed and one step is taken per epoch. An epoch is
+    one job in both. Training begins at ``start`` or at random weights of the ``hidden`` sizes.
     """
     if mode not in ("average", "gradient"):
         raise ValueError("mode must be 'average' or 'gradient'")
     step, spark = _stepper(optimizer, lr), df.sparkSession
     n_workers = n_workers or workers.worker_count(df)
     rows = workers.laid_out(df.select(key, arrays.doubles("x").alias("x")), key, n_workers, seed)
-    model = Autoencoder.random(table_width(rows), hidden, activation, stddev, seed)
+    model = start or Autoencoder.random(table_width(rows), hidden, activation, stddev, seed)
+    activation = model.activation
     shapes = [a.shape for a in (*model.weights, *model.biases)]
+    moments = [np.ones(s) for s in shapes] if mode == "average" and optimizer == "rmsprop" else []
 
     def chunks(batches: Iterator[pa.RecordBatch]):
         rest = None
@@ -146,9 +150,10 @@ def fit_autoencoder(df: DataFrame, hidden: Sequence[int], *, activation: str = "
         if rest is not None and len(rest):
             yield rest
 
-    def train(batches, now: Autoencoder):
+    def train(batches, shipped: tuple[Autoencoder, list[np.ndarray]]):
+        now, seen = shipped
         local = Autoencoder([w.copy() for w in now.weights], [b.copy() for b in now.biases], now.activation)
-        state, n, cost = {}, 0, 0.0
+        state, n, cost = {at: m.copy() for at, m in enumerate(seen)}, 0, 0.0
         sums = [np.zeros(s) for s in shapes]
         for x in chunks(batches):
             loss, grads = local.gradients(x)
@@ -162,15 +167,16 @@ def fit_autoencoder(df: DataFrame, hidden: Sequence[int], *, activation: str = "
         if n == 0:
             return None
         if mode == "average":
-            sums = [n * p for p in (*local.weights, *local.biases)]
+            sums = [n * p for p in (*local.weights, *local.biases, *(state[at] for at in range(len(seen))))]
         return n, [np.array([cost]), *sums]
 
     costs, state = [], {}
     for epoch in range(1, epochs + 1):
-        n, (cost, *sums) = workers.train_round(rows, model, model.n_bytes, train)
-        means = [(s / n).reshape(shape) for s, shape in zip(sums, shapes)]
+        n, (cost, *sums) = workers.train_round(rows, (model, moments), 2 * model.n_bytes, train)
+        means = [(s / n).reshape(shape) for s, shape in zip(sums, shapes * 2)]
         if mode == "average":
-            model = Autoencoder(means[: len(model.weights)], means[len(model.weights) :], activation)
+            model = Autoencoder(means[: len(model.weights)], means[len(model.weights) : len(shapes)], activation)
+            moments = means[len(shapes) :]
         else:
             step([*model.weights, *model.biases], means, state)
         costs.append((epoch, float(cost[0] / n)))

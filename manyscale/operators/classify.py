@@ -21,7 +21,6 @@ from manyscale.operators.decomposition import _with_vectors, table_width
 from manyscale.operators.neighbours import knn_join
 from manyscale.plans import storage, workers
 
-MAX_CLASSES = 10_000
 ALPHA = 0.0001
 
 
@@ -40,10 +39,11 @@ def accuracy(predictions: DataFrame, label: str = "label", prediction: str = "pr
                            (F.avg((F.col(prediction) == F.col(label)).cast("double")) * 100).alias("accuracy"))
 
 
-def class_labels(df: DataFrame) -> list:
-    found = [r.label for r in df.select("label").distinct().orderBy("label").limit(MAX_CLASSES + 1).collect()]
-    if len(found) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} classes")
+def class_labels(df: DataFrame, max_classes: int = 10_000) -> list:
+    """The labels in order. A model has a vector for each of them, so more than ``max_classes`` are refused."""
+    found = [r.label for r in df.select("label").distinct().orderBy("label").limit(max_classes + 1).collect()]
+    if len(found) > max_classes:
+        raise ValueError(f"more than {max_classes} classes")
     if len(found) < 2:
         raise ValueError("training needs at least two classes")
     return found
@@ -96,17 +96,18 @@ STEPS: dict[str, tuple[Callable, bool]] = {
 
 
 def parallel_linear(train: DataFrame, algorithm: str, *, rounds: int = 5, n_workers: int | None = None, seed: int = 0,
-                    key: str = "point_id") -> LinearModel:
+                    key: str = "point_id", by_key: bool = False) -> LinearModel:
     """A linear classifier trained row by row within workers and averaged over them after every round.
 
-    ``asgd`` also averages over the steps of the later rounds.
+    ``asgd`` also averages over the steps of the later rounds. Rows come in the order of a hash of their key, or with one
+    worker ``by_key``. The update of a row needs the weights that the row before it left, so a worker takes them one at a time.
     """
     if algorithm not in STEPS:
         raise ValueError(f"unknown algorithm {algorithm!r}; known are {sorted(STEPS)}")
     step, averaged = STEPS[algorithm]
     classes = class_labels(train)
     n_workers = n_workers or workers.worker_count(train)
-    rows = workers.laid_out(train.select(key, arrays.doubles("x").alias("x"), "label"), key, n_workers, seed)
+    rows = workers.laid_out(train.select(key, arrays.doubles("x").alias("x"), "label"), key, n_workers, seed, by_key)
     width = table_width(rows)
 
     def epoch(batches: Iterator[pa.RecordBatch], parameters):

@@ -1,7 +1,8 @@
 """Covariance, PCA, SVD and affine projections of a vector table ``(point_id, x)``.
 
-Tasks reduce their rows to ``D x D`` or smaller pieces. Only such model-sized results reach
-the driver.
+Up to ``DENSE_WIDTH`` columns tasks reduce their rows to ``D x D`` or smaller pieces, and only such model-sized results reach the
+driver. Wider tables never have a ``D x D`` matrix in one place: covariances are tiles that the JVM adds up, and
+leading directions come from iterating a block of ``k + 10`` of them over the rows.
 """
 
 from __future__ import annotations
@@ -21,9 +22,15 @@ from pyspark.sql import types as T
 from manyscale.functions import arrays, linear
 from manyscale.functions import batches as nb
 from manyscale.plans import storage
-from manyscale.plans.partials import collect_sums, sum_partials
-
-MAX_WIDTH = 8192
+from manyscale.plans.partials import FLUSH_VALUES, SCHEMA, SEGMENT, collect_sums, merge_partials, partial_rows, sum_partials
+
+#: Columns up to which a ``D x D`` matrix may stand in one task or on the driver.
+DENSE_WIDTH = 2048
+#: Rows and columns of a tile of a wide covariance, and the values that a task gathers before it adds to its tiles.
+TILE = 1024
+TILE_ROWS_VALUES = 16_000_000
+#: Directions beyond those asked for, the most passes over the rows, and when a block of directions counts as settled.
+EXTRA, PASSES, SETTLED = 10, 60, 1e-10
 PILOT_ROWS = 256
 FAN_IN = 16
 
@@ -32,8 +39,6 @@ def table_width(df: DataFrame, x_col: str = "x") -> int:
     first = df.select(F.size(x_col).alias("d")).first()
     if first is None:
         raise ValueError("the table is empty")
-    if first.d > MAX_WIDTH:
-        raise ValueError(f"a {first.d} x {first.d} matrix is too large for one task")
     return first.d
 
 
@@ -64,34 +69,147 @@ def entries(spark, matrix: np.ndarray) -> DataFrame:
     return spark.createDataFrame(pa.table({"i": i, "j": j, "v": matrix.ravel()}))
 
 
+def column_moments(df: DataFrame, x_col: str = "x") -> tuple[int, np.ndarray, np.ndarray]:
+    """Row count, mean and population variance of every column, in one pass around the mean of a few rows."""
+    rows = df.select(arrays.doubles(x_col).alias("x"))
+    table_width(rows)
+    shift = np.mean([r.x for r in rows.limit(PILOT_ROWS).collect()], axis=0)
+
+    def extract(batch):
+        x = nb.to_matrix(batch.column("x")) - shift
+        yield 0, 0, len(x), x.sum(axis=0)
+        yield 0, 1, len(x), (x * x).sum(axis=0)
+
+    sums = collect_sums(sum_partials(rows, ["x"], extract))
+    n, total = sums[0, 0]
+    offset = total / n
+    return n, shift + offset, np.maximum(sums[0, 1][1] / n - offset * offset, 0.0)
+
+
+def covariance_tiles(df: DataFrame, x_col: str = "x", tile: int = TILE) -> DataFrame:
+    """Population covariance as ``(bi, bj, row, v)`` with ``bi <= bj``: one row of a tile of ``tile`` columns each.
+
+    A task gathers rows, adds up their products tile by tile, and gives tiles out as soon as they are too many to hold. The
+    JVM merges tiles in segments, so neither a task nor the driver holds more than a few of them.
+    """
+    n, mean, variance = column_moments(df, x_col)
+    width = len(mean)
+    rows, edges = df.select(arrays.doubles(x_col).alias("x")), [*range(0, width, tile), width]
+    count = len(edges) - 1
+    shipped = storage.checked_broadcast(df.sparkSession, mean, mean.nbytes, "the column means")
+
+    def task(it: Iterator[pa.RecordBatch]):
+        held: dict[tuple[int, int], list] = {}
+        waiting: list[np.ndarray] = []
+
+        def add():
+            x = np.vstack(waiting)
+            waiting.clear()
+            for bi in range(count):
+                for bj in range(bi, count):
+                    part = x[:, edges[bi] : edges[bi + 1]].T @ x[:, edges[bj] : edges[bj + 1]]
+                    slot = held.setdefault((bi * count + bj, 0), [0, np.zeros(part.size)])
+                    slot[0] += len(x)
+                    slot[1] += part.ravel()
+                    if sum(s.size for _, s in held.values()) > FLUSH_VALUES:
+                        yield from partial_rows(held)
+                        held.clear()
+
+        for batch in it:
+            step = max(1, TILE_ROWS_VALUES // width)
+            for s in range(0, batch.num_rows, step):
+                waiting.append(nb.to_matrix(batch.slice(s, step).column("x")) - shipped.value)
+                if sum(len(x) for x in waiting) >= step:
+                    yield from add()
+        if waiting:
+            yield from add()
+        yield from partial_rows(held)
+
+    merged = merge_partials(rows.mapInArrow(task, SCHEMA))
+    # A segment holds a run of a tile's values, which may begin and end within a row of the tile.
+    runs = merged.select((F.col("node_id") / count).cast("int").alias("bi"), (F.col("node_id") % count).cast("int").alias("bj"),
+                         (F.col("segment").cast("long") * SEGMENT).alias("at"), F.transform("s", lambda v: v / F.lit(float(n))).alias("s"))
+    runs = runs.withColumn("w", F.least(F.lit(tile), F.lit(width) - F.col("bj") * tile).cast("long"))
+    cut = F.expr("""transform(sequence(at div w, (at + size(s) - 1) div w), row -> named_struct('row', CAST(row AS INT), 'first', greatest(row * w, at),
+        'part', slice(s, CAST(greatest(row * w, at) - at + 1 AS INT), CAST(least((row + 1) * w, at + size(s)) - greatest(row * w, at) AS INT))))""")
+    pieces = runs.select("bi", "bj", F.explode(cut).alias("p")).select("bi", "bj", "p.*")
+    return pieces.groupBy("bi", "bj", "row").agg(F.sort_array(F.collect_list(F.struct("first", "part"))).alias("parts")).select(
+        "bi", "bj", "row", F.flatten("parts.part").alias("v"))
+
+
+def tile_entries(tiles: DataFrame, tile: int = TILE) -> DataFrame:
+    """Tiles on and above the diagonal as the entries ``(i, j, v)`` of the whole symmetric matrix."""
+    flat = tiles.select("bi", "bj", (F.col("bi") * tile + F.col("row")).cast("long").alias("i"), F.posexplode("v").alias("at", "v"))
+    upper = flat.select("bi", "bj", "i", (F.col("bj") * tile + F.col("at")).cast("long").alias("j"), "v")
+    mirrored = upper.where("bi < bj").select(F.col("j").alias("i"), F.col("i").alias("j"), "v")
+    return upper.select("i", "j", "v").unionByName(mirrored)
+
+
 def covariance(df: DataFrame, x_col: str = "x") -> DataFrame:
     """Population covariance as ``(i, j, v)``."""
+    if table_width(df, x_col) > DENSE_WIDTH:
+        return tile_entries(covariance_tiles(df, x_col))
     return entries(df.sparkSession, moments(df, x_col)[2])
 
 
 @dataclass
 class PrincipalAxes:
-    """``components`` has one direction per row; ``eigenvalues`` holds all of them, largest first."""
+    """``components`` has one direction per row; ``eigenvalues`` holds the largest ones, all of them up to ``DENSE_WIDTH`` columns."""
 
     components: np.ndarray
     eigenvalues: np.ndarray
     mean: np.ndarray
     n: int
+    #: The sum of all eigenvalues.
+    total: float
 
     def scores(self, df: DataFrame, x_col: str = "x") -> DataFrame:
         """``x . components`` of the rows as they are, without centering."""
         return project(df, self.components, None, x_col=x_col, out="scores")
 
 
+def leading_directions(df: DataFrame, k: int, center: np.ndarray, x_col: str = "x", passes: int = PASSES) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` largest eigenvalues of the sum of ``(x - center)^T (x - center)`` and their vectors as rows.
+
+    A block of ``k + EXTRA`` directions is multiplied with the rows pass after pass until the leading ones no longer turn; a
+    pass ships ``D x (k + EXTRA)`` numbers each way.
+    """
+    rows, width = df.select(arrays.doubles(x_col).alias("x")), len(center)
+    size = min(width, k + EXTRA)
+    frame = np.linalg.qr(np.random.default_rng(0).normal(size=(width, size)))[0]
+    values, vectors = np.zeros(k), frame.T[:k]
+    for _ in range(passes):
+        shipped = storage.checked_broadcast(df.sparkSession, (frame, center), frame.nbytes + center.nbytes, "a block of directions")
+
+        def extract(batch):
+            x = nb.to_matrix(batch.column("x")) - shipped.value[1]
+            yield 0, 0, len(x), (x.T @ (x @ shipped.value[0])).ravel()
+
+        image = collect_sums(sum_partials(rows, ["x"], extract))[0, 0][1].reshape(width, size)
+        shipped.unpersist()
+        small = frame.T @ image
+        found, turn = linear.descending_eigen((small + small.T) / 2)
+        values, vectors = np.maximum(found[:k], 0.0), (frame @ turn.T).T[:k]
+        off = nb.row_norms((image @ turn[:k].T - frame @ turn[:k].T * found[:k]).T)
+        if size == width or (off <= SETTLED * max(found[0], 1e-300)).all():
+            break
+        frame = np.linalg.qr(image)[0]
+    return values, linear.fix_signs(vectors)
+
+
 def pca(df: DataFrame, k: int = 2, x_col: str = "x") -> PrincipalAxes:
+    if table_width(df, x_col) > DENSE_WIDTH:
+        n, mean, variance = column_moments(df, x_col)
+        values, vectors = leading_directions(df, k, mean, x_col)
+        return PrincipalAxes(vectors, values / n, mean, n, float(variance.sum()))
     n, mean, cov = moments(df, x_col)
     values, vectors = linear.descending_eigen(cov)
-    return PrincipalAxes(vectors[:k], values, mean, n)
+    return PrincipalAxes(vectors[:k], values, mean, n, float(values.sum()))
 
 
 def variance_explained(df: DataFrame, k: int = 1, x_col: str = "x") -> float:
-    values = pca(df, k, x_col).eigenvalues
-    return float(values[:k].sum() / values.sum())
+    axes = pca(df, k, x_col)
+    return float(axes.eigenvalues[:k].sum() / axes.total)
 
 
 def ml_pca(df: DataFrame, k: int = 2, x_col: str = "x") -> DataFrame:
@@ -157,9 +275,15 @@ def truncated_svd(df: DataFrame, k: int, compute_u: bool = False, r_cond: float
     """The ``k`` largest singular values; those below ``r_cond * s[0]`` are dropped.
 
     Rows are reduced by orthogonal factorisation, not through a Gram matrix, so small singular
-    values keep their accuracy.
+    values keep their accuracy. Beyond ``DENSE_WIDTH`` columns the factors would be too large; leading directions are iterated there.
     """
-    table_width(df, x_col)
+    width = table_width(df, x_col)
+    if width > DENSE_WIDTH:
+        found, vectors = leading_directions(df, min(k, width), np.zeros(width), x_col)
+        s = np.sqrt(found)
+        keep = int((s > r_cond * s[0]).sum()) if s[0] > 0 else 0
+        s, v = s[:keep], vectors[:keep].T
+        return Factors(s, v, _left_vectors(df, s, v, x_col) if compute_u else None)
     triangle = reduce_rows(df, lambda m: np.linalg.qr(m, mode="r"), x_col)
     _, s, vt = np.linalg.svd(triangle, full_matrices=False)
     keep = int((s[:k] > r_cond * s[0]).sum()) if s[0] > 0 else 0

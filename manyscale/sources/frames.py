@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -9,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+MAX_BUCKETS = 20_000
+
 
 def select_frames(frames: DataFrame, start: int = 0, stop: int | None = None, step: int = 1,
                   frame_no: str = "frame_no") -> DataFrame:
@@ -47,9 +50,12 @@ def flatten_frames(frames: DataFrame, coords: str = "coords", out: str = "x") ->
 
 
 def fold_frames(points: DataFrame, x_col: str = "x", out: str = "coords") -> DataFrame:
-    """Flat vectors as lists of triples; a remainder shorter than three is left out."""
-    atoms = F.sequence(F.lit(0), F.floor(F.size(x_col) / 3).cast("int") - 1)
-    return points.withColumn(out, F.transform(atoms, lambda a: F.slice(x_col, a * 3 + 1, 3))).drop(x_col)
+    """Flat vectors as lists of triples; a length that three does not divide is an error."""
+    atoms = F.transform(F.sequence(F.lit(0), F.floor(F.size(x_col) / 3).cast("int") - 1), lambda a: F.slice(x_col, a * 3 + 1, 3))
+    none = F.slice(F.array(F.col(x_col)), 1, 0)
+    broken = F.raise_error(F.lit("a vector does not divide into triples")).cast("array<array<double>>")
+    folded = F.when(F.size(x_col) == 0, none).when(F.size(x_col) % 3 == 0, atoms).when(F.col(x_col).isNotNull(), broken)
+    return points.withColumn(out, folded).drop(x_col)
 
 
 def explode_atoms(frames: DataFrame, coords: str = "coords") -> DataFrame:
@@ -82,13 +88,14 @@ def read_labels(spark: SparkSession, path: str, column: int = 1) -> DataFrame:
     return parse_labels(spark.read.text(path), column)
 
 
-def with_row_index(df: DataFrame, key: str, out: str = "idx", buckets: int | None = None) -> DataFrame:
+def with_row_index(df: DataFrame, key: str, out: str = "idx", buckets: int | None = None, rows_per_bucket: int = 250_000) -> DataFrame:
     """A dense 0-based index in the order of a unique numeric key.
 
     Approximate quantiles cut the key range into buckets, bucket sizes give each bucket its first
     index, and rows are numbered within their bucket: no step orders the whole table in one place.
+    Buckets follow the number of rows; a larger table than ``MAX_BUCKETS`` of them has larger buckets.
     """
-    count = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    count = buckets or max(1, min(MAX_BUCKETS, math.ceil(df.count() / rows_per_bucket)))
     cuts = [i / count for i in range(1, count)] or [0.5]
     found = df.agg(F.percentile_approx(F.col(key).cast("double"), cuts, F.lit(max(10_000, 20 * count))).alias("q")).first().q
     bounds = [float("-inf"), *sorted(set(found or [])), float("inf")]

@@ -124,20 +124,68 @@ def layer(name: str, source: str, width: int, out: int) -> str:
             f"FROM (SELECT point_id, {'pos' if source == 'e' else 'j'} AS i, v FROM {source}), (SELECT unnest(range(0, {out})) AS j) t(j) GROUP BY point_id, j)")
 
 
-FRAME = f"""f AS (SELECT vec_id AS frame_no, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
-atoms AS (SELECT frame_no, a AS atom, x[a * 3 + 1] AS x, x[a * 3 + 2] AS y, x[a * 3 + 3] AS z FROM f, (SELECT unnest(range(0, 21)) AS a))"""
+FRAME = f"""f AS (SELECT vec_id AS frame_no, list_concat(CAST(embedding AS DOUBLE[]), list_transform(range(0, 11), lambda j: 0.0::DOUBLE)) AS x FROM embeddings),
+flat AS (SELECT frame_no, unnest(x) AS v, unnest(range(0, 75)) AS pos FROM f),
+atoms AS (SELECT frame_no, a AS atom, x[a * 3 + 1] AS x, x[a * 3 + 2] AS y, x[a * 3 + 3] AS z FROM f, (SELECT unnest(range(0, 25)) AS a))"""
 PRODUCT = f"""WITH {P}, {E}, m AS (SELECT pos, label AS c, avg(v) AS m FROM e GROUP BY pos, label)
 SELECT point_id AS i, CAST(c AS BIGINT) AS pos, {r('sum(v * m)')} AS v FROM e JOIN m USING (pos) GROUP BY point_id, c"""
 SVD_FACTS = f"""WITH {P}, {E}, g AS (SELECT a.pos AS i, b.pos AS j, sum(a.v * b.v) AS v FROM e a JOIN e b USING (point_id) GROUP BY ALL)
 SELECT (SELECT count(*) FROM p) AS n, 64.0::DOUBLE AS left_norm2, {r('sum(v) FILTER (i = j)', 4)} AS s2, {r('sum(v * v)', 4)} AS s4 FROM g"""
 
+# One step of each linear algorithm for class c (from 1): new weights from w, row x and its sign s (1 for the row's class, else -1).
+MARGIN = "(s * list_inner_product(w, x))"
+MOVED = "list_transform(list_zip(w, x), lambda z: z[1] + {by} * s * z[2])"
+TYPICAL = "sqrt(1.0::DOUBLE / sqrt(0.0001::DOUBLE))"
+RATE = f"(1.0::DOUBLE / (0.0001::DOUBLE * (1.0::DOUBLE / (0.0001::DOUBLE * {TYPICAL}) + t)))"
+SHRUNK = f"list_transform(list_zip(w, x), lambda z, k: z[1] * (CASE WHEN k <= 64 THEN 1.0::DOUBLE - {RATE} * 0.0001::DOUBLE ELSE 1.0::DOUBLE END) + (CASE WHEN {MARGIN} < 1 THEN {RATE} * s ELSE 0 END) * z[2])"
+LINEAR = {
+    "sgd": SHRUNK, "asgd": SHRUNK,
+    "perceptron": f"CASE WHEN {MARGIN} <= 0 THEN {MOVED.format(by='1')} ELSE w END",
+    "passive_aggressive_1": MOVED.format(by=f"least(1.0::DOUBLE, greatest(0.0::DOUBLE, 1 - {MARGIN}) / list_inner_product(x, x))"),
+    "passive_aggressive_2": MOVED.format(by=f"(greatest(0.0::DOUBLE, 1 - {MARGIN}) / (list_inner_product(x, x) + 0.5))"),
+}
+
+
+def linear_in_order() -> str:
+    """All rows in turn, one recursion step each; a class is a row of the recursion, with its weights and their sum over the steps."""
+    zeros = "list_transform(range(0, 65), lambda j: 0.0::DOUBLE)"
+    steps = [f"""{name} AS (SELECT 0 AS n, c, {zeros} AS w, {zeros} AS total FROM classes UNION ALL
+        SELECT n + 1, c, new, list_transform(list_zip(total, new), lambda z: z[1] + z[2]) FROM (
+            SELECT n, c, total, {update} AS new FROM (SELECT r.n, r.c, r.w, r.total, o.x, o.t, CASE WHEN o.label = r.c THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS s
+            FROM {name} r JOIN o ON o.t = r.n + 1)))""" for name, update in LINEAR.items()]
+    ends = [f"""SELECT '{name}' AS algorithm, c, {'list_transform(total, lambda v: v / n)' if name == 'asgd' else 'w'} AS w FROM {name} WHERE n = (SELECT max(t) FROM o)""" for name in LINEAR]
+    return f"""WITH RECURSIVE {P}, o AS MATERIALIZED (SELECT row_number() OVER (ORDER BY point_id) AS t, list_append(x, 1.0::DOUBLE) AS x, label FROM p),
+        classes AS (SELECT DISTINCT label AS c FROM p), {", ".join(steps)}, ends AS ({" UNION ALL ".join(ends)})
+        SELECT algorithm, CAST(c AS BIGINT) AS label, pos, {r('v')} AS v FROM (SELECT algorithm, c, unnest(w) AS v, unnest(range(0, 65)) AS pos FROM ends)"""
+
+
+def autoencoder_epochs(epochs: int, rate: float) -> str:
+    """Full gradients of a 64-2-64 sigmoid autoencoder from the stated weights; one group of CTEs for each epoch."""
+    stated = "(((7 * i + 3 * j) % 11) - 5) / 10.0::DOUBLE"
+    out = [f"""{P}, {E}, size AS (SELECT count(*) AS n FROM p),
+        u0 AS (SELECT i, j, {stated} AS v FROM (SELECT unnest(range(0, 64)) AS i), (SELECT unnest(range(0, 2)) AS j)),
+        w0 AS (SELECT i, j, {stated} AS v FROM (SELECT unnest(range(0, 2)) AS i), (SELECT unnest(range(0, 64)) AS j)),
+        a0 AS (SELECT j, (j % 3) / 10.0::DOUBLE AS v FROM (SELECT unnest(range(0, 2)) AS j)), b0 AS (SELECT j, (j % 3) / 10.0::DOUBLE AS v FROM (SELECT unnest(range(0, 64)) AS j))"""]
+    for k in range(epochs):
+        out.append(f"""h{k} AS MATERIALIZED (SELECT point_id, u.j, 1 / (1 + exp(-(sum(e.v * u.v) + any_value(a.v)))) AS v FROM e JOIN u{k} u ON u.i = e.pos JOIN a{k} a ON a.j = u.j GROUP BY point_id, u.j),
+        o{k} AS MATERIALIZED (SELECT point_id, w.j, 1 / (1 + exp(-(sum(h.v * w.v) + any_value(b.v)))) AS v FROM h{k} h JOIN w{k} w ON w.i = h.j JOIN b{k} b ON b.j = w.j GROUP BY point_id, w.j),
+        d{k} AS MATERIALIZED (SELECT o.point_id, o.j, 2 * (o.v - e.v) / (size.n * 64) * o.v * (1 - o.v) AS v, o.v - e.v AS gap FROM o{k} o JOIN e ON e.point_id = o.point_id AND e.pos = o.j, size),
+        g{k} AS MATERIALIZED (SELECT h.point_id, h.j, sum(d.v * w.v) * any_value(h.v) * (1 - any_value(h.v)) AS v FROM h{k} h JOIN d{k} d ON d.point_id = h.point_id JOIN w{k} w ON w.i = h.j AND w.j = d.j GROUP BY h.point_id, h.j),
+        w{k + 1} AS MATERIALIZED (SELECT w.i, w.j, any_value(w.v) - {rate} * sum(h.v * d.v) AS v FROM w{k} w JOIN h{k} h ON h.j = w.i JOIN d{k} d ON d.point_id = h.point_id AND d.j = w.j GROUP BY w.i, w.j),
+        b{k + 1} AS MATERIALIZED (SELECT b.j, any_value(b.v) - {rate} * sum(d.v) AS v FROM b{k} b JOIN d{k} d ON d.j = b.j GROUP BY b.j),
+        u{k + 1} AS MATERIALIZED (SELECT u.i, u.j, any_value(u.v) - {rate} * sum(e.v * g.v) AS v FROM u{k} u JOIN e ON e.pos = u.i JOIN g{k} g ON g.point_id = e.point_id AND g.j = u.j GROUP BY u.i, u.j),
+        a{k + 1} AS MATERIALIZED (SELECT a.j, any_value(a.v) - {rate} * sum(g.v) AS v FROM a{k} a JOIN g{k} g ON g.j = a.j GROUP BY a.j)""")
+    costs = " UNION ALL ".join(f"SELECT {k + 1}::INTEGER AS epoch, {r('avg(gap * gap)', 8)} AS cost FROM d{k}" for k in range(epochs))
+    return "WITH " + ", ".join(out) + " " + costs
+
+
 ORACLES: dict[str, str] = {
     "read_frames_range": "SELECT event_id, value FROM events WHERE event_id < (SELECT count(*) * 8 // 10 FROM events)",
     "read_frames_midpoints": "SELECT event_id, event_type FROM events WHERE event_id % 100 = 49",
-    "flatten_frames": f"WITH {P}, {E} SELECT point_id AS frame_no, pos, {r('v')} AS v FROM e WHERE pos < 63",
+    "flatten_frames": f"WITH {FRAME} SELECT frame_no, pos, {r('v')} AS v FROM flat",
     "explode_atoms": f"WITH {FRAME} SELECT frame_no, atom, {r('x')} AS x, {r('y')} AS y, {r('z')} AS z FROM atoms",
-    "select_atoms": f"""WITH {P}, {E}, t AS (SELECT n_nationkey AS atom, row_number() OVER (ORDER BY n_nationkey) - 1 AS slot FROM nation WHERE n_nationkey < 21 AND n_regionkey < 2)
-        SELECT point_id AS frame_no, CAST(slot * 3 + pos % 3 AS BIGINT) AS pos, {r('v')} AS v FROM e JOIN t ON e.pos // 3 = t.atom WHERE pos < 63""",
+    "select_atoms": f"""WITH {FRAME}, t AS (SELECT n_nationkey AS atom, row_number() OVER (ORDER BY n_nationkey) - 1 AS slot FROM nation WHERE n_regionkey < 2)
+        SELECT frame_no, CAST(slot * 3 + pos % 3 AS BIGINT) AS pos, {r('v')} AS v FROM flat JOIN t ON flat.pos // 3 = t.atom""",
     "read_labels": "SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(quality AS DOUBLE) AS label FROM labels",
     "save_and_load_model": f"{tree(2)} SELECT node_id, n, {norm2('center')} AS center_norm2, level = 2 AS is_leaf FROM nodes",
     "export_model_text": f"{tree(1)} SELECT node_id, unnest(range(0, 64)) AS pos, {r('unnest(center)')} AS v FROM nodes",
@@ -166,6 +214,8 @@ ORACLES: dict[str, str] = {
         g AS (SELECT a.pos AS i, b.pos AS j, avg(a.v * b.v) AS v FROM c a JOIN c b USING (point_id) GROUP BY a.pos, b.pos)
         SELECT (SELECT count(*) FROM p) AS n, {r('sum(v) FILTER (i = j)')} AS trace, {r('sum(v * v)')} AS trace2,
         (SELECT {r('sum(v * v)', 4)} FROM e) AS energy FROM g""",
+    "variance_explained_plane": f"""WITH {S}, c AS (SELECT count(*) AS n, var_pop(x[1]) AS a, var_pop(x[2]) AS b, covar_pop(x[1], x[2]) AS ab FROM s)
+        SELECT n, {r('(a + b + sqrt((a - b) * (a - b) + 4 * ab * ab)) / 2 / (a + b)', 8)} AS share FROM c""",
     "ml_pca_energy": f"WITH {P} SELECT point_id, {norm2('x')} AS norm2 FROM p",
     "truncated_svd": SVD_FACTS,
     "incremental_svd": SVD_FACTS,
@@ -208,7 +258,8 @@ ORACLES: dict[str, str] = {
     "levenshtein_pair_counts": "WITH w AS (SELECT p_name AS x, count(*) AS w FROM part GROUP BY p_name), d AS (SELECT levenshtein(a.x, b.x) AS d, a.w * b.w AS w FROM w a, w b) "
         + " UNION ALL ".join(f"SELECT {t}::DOUBLE AS radius, CAST(coalesce(sum(w) FILTER (d <= {t}), 0) AS BIGINT) AS n_pairs FROM d" for t in (0, 1, 3, 5)),
     "levenshtein_close_pairs": """WITH n AS (SELECT p_name AS x, min(p_partkey) AS id FROM part GROUP BY p_name)
-        SELECT a.id AS i, b.id AS j, levenshtein(a.x, b.x)::DOUBLE AS d FROM n a JOIN n b ON a.id < b.id WHERE levenshtein(a.x, b.x) <= 4""",
+        SELECT 'pair' AS part, a.id AS i, b.id AS j, levenshtein(a.x, b.x)::DOUBLE AS d FROM n a JOIN n b ON a.id < b.id WHERE levenshtein(a.x, b.x) <= 4
+        UNION ALL SELECT 'member', p.p_partkey, n.id, 0.0::DOUBLE FROM part p JOIN n ON n.x = p.p_name""",
     "periodic_pair_counts": f"WITH {S}, " + pair_counts("s", BOX.format(a="q.x", b="n.x"), [0.02, 0.05, 0.1]),
     "custom_metric_knn": f"WITH {S}, " + knn("s", "abs(q.x[1] - n.x[1]) + 2 * abs(q.x[2] - n.x[2]) + 3 * abs(q.x[3] - n.x[3])", 5, "q_id <> nbr_id") + " " + KNN_ROWS,
     "knn_join": f"WITH {P}, " + knn("p", L2, 7) + " " + KNN_ROWS,
@@ -244,6 +295,8 @@ ORACLES: dict[str, str] = {
     "superpose": f"""WITH {FRAME}, ref AS (SELECT avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM atoms WHERE frame_no = (SELECT min(frame_no) FROM atoms))
         SELECT frame_no, {r('any_value(mx)')} AS mean_x, {r('any_value(my)')} AS mean_y, {r('any_value(mz)')} AS mean_z,
         {r('var_pop(x) + var_pop(y) + var_pop(z)')} AS spread FROM atoms, ref GROUP BY frame_no""",
+    "superpose_turned": f"""WITH {FRAME} SELECT f.frame_no, a.atom, {r('a.x')} AS x, {r('a.y')} AS y, {r('a.z')} AS z
+        FROM f, atoms a WHERE a.frame_no = (SELECT min(frame_no) FROM f)""",
     "pairwise_atom_distances": f"""WITH {FRAME}, c AS (SELECT * FROM atoms WHERE atom IN (0, 5, 10, 15, 20))
         SELECT a.frame_no, row_number() OVER (PARTITION BY a.frame_no ORDER BY a.atom, b.atom) - 1 AS pos,
         {r('sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2))')} AS v FROM c a JOIN c b ON a.frame_no = b.frame_no AND a.atom < b.atom""",
@@ -253,6 +306,8 @@ ORACLES: dict[str, str] = {
         SELECT 'knn_7' AS classifier, count(*) AS n, {r('avg(CASE WHEN prediction = label THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) * 100')} AS accuracy FROM predicted""",
     "classify_held_out": f"""WITH {P}, {votes(3, 'n.point_id % 100 < 70', 'q.point_id % 100 >= 70')}
         SELECT 'knn_3' AS classifier, count(*) AS n, {r('avg(CASE WHEN prediction = label THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) * 100')} AS accuracy FROM predicted""",
+    "linear_in_order": linear_in_order(),
+    "fit_autoencoder_gradient": autoencoder_epochs(3, 2.0),
     "encode": f"WITH {P}, {E}, {layer('h1', 'e', 64, 3)}, {layer('h2', 'h1', 3, 2)} SELECT point_id, j AS pos, {r('v')} AS v FROM h2",
     "reconstruct": f"WITH {P}, {E}, {layer('h1', 'e', 64, 3)}, {layer('h2', 'h1', 3, 2)}, {layer('h3', 'h2', 2, 3)}, {layer('h4', 'h3', 3, 64)} SELECT point_id, j AS pos, {r('v')} AS v FROM h4",
     "reconstruction_error": f"""WITH {P}, {E}, {PLANE}, {HAT} SELECT count(DISTINCT e.point_id) AS n, {r('sum(pow(e.v - hat.v, 2))', 4)} AS total,

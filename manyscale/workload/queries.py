@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from manyscale.functions import arrays, metrics
-from manyscale.operators import autoencoder, classify, decomposition, labels, matrix, neighbours, tree
+from manyscale.operators import autoencoder, classify, decomposition, edit_joins, labels, matrix, neighbours, tree
 from manyscale.plans import storage
 from manyscale.sources import frames, models
 
@@ -50,8 +50,9 @@ def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Embeddings read as frames of 21 atoms."""
-    return frames.fold_frames(points(spark, sf_dir).select(F.col("point_id").alias("frame_no"), "x"))
+    """Embeddings read as frames of 25 atoms; the 64 values are followed by zeros."""
+    padded = F.concat("x", F.array_repeat(F.lit(0.0), 11)).alias("x")
+    return frames.fold_frames(points(spark, sf_dir).select(F.col("point_id").alias("frame_no"), padded))
 
 
 def anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,7 +112,7 @@ def explode_atoms(spark, sf_dir):
 
 @query
 def select_atoms(spark, sf_dir):
-    topology = table(spark, sf_dir, "nation").where("n_nationkey < 21").select(
+    topology = table(spark, sf_dir, "nation").select(
         F.col("n_nationkey").alias("atom_id"), F.when(F.col("n_regionkey") < 2, "alpha").otherwise("heavy").alias("kind"))
     return long_form(frames.flatten_frames(frames.select_atoms(trajectory(spark, sf_dir), topology, "alpha")), "frame_no")
 
@@ -277,6 +278,14 @@ def variance_explained(spark, sf_dir):
     return p.agg(F.count(F.lit(1)).alias("n")).withColumn("share", F.lit(decomposition.variance_explained(p, 10)))
 
 
+@query
+def variance_explained_plane(spark, sf_dir):
+    """The share of the first axis in two Walsh directions of the points, where the eigenvalues have a closed form."""
+    plane = solid(spark, sf_dir).select("point_id", F.slice("x", 1, 2).alias("x"))
+    share = decomposition.variance_explained(plane, 1)
+    return plane.agg(F.count(F.lit(1)).alias("n")).withColumn("share", rounded(F.lit(share), 8))
+
+
 @query
 def ml_pca(spark, sf_dir):
     return decomposition.ml_pca(points(spark, sf_dir), 2).select("point_id", "pca_features")
@@ -501,8 +510,11 @@ def levenshtein_pair_counts(spark, sf_dir):
 
 @query
 def levenshtein_close_pairs(spark, sf_dir):
-    names = table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("x")).agg(F.min("p_partkey").alias("point_id"))
-    return neighbours.close_pairs(names, 4, metric="levenshtein")
+    """Pairs of different names, by the smallest part of each, and for every part the one that stands for its name."""
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("point_id"), F.col("p_name").alias("x"))
+    pairs, members = edit_joins.edit_close_pairs(parts, 4)
+    return pairs.select(F.lit("pair").alias("part"), "i", "j", "d").unionByName(
+        members.select(F.lit("member").alias("part"), F.col("id").alias("i"), F.col("representative").alias("j"), F.lit(0.0).alias("d")))
 
 
 @query
@@ -684,6 +696,18 @@ def superpose(spark, sf_dir):
         rounded(sum(F.var_pop(c) for c in "xyz")).alias("spread"))
 
 
+@query
+def superpose_turned(spark, sf_dir):
+    """One frame, turned and shifted differently for every row, comes back to where it was."""
+    t = trajectory(spark, sf_dir)
+    first = t.orderBy("frame_no").first().coords
+    angle, shift = F.col("frame_no") * 0.1, F.col("frame_no") % 7
+    turned = lambda a: F.array(F.cos(angle) * a[0] - F.sin(angle) * a[1] + shift, F.sin(angle) * a[0] + F.cos(angle) * a[1] - shift, a[2] + 1)
+    moved = labels.superpose(t.withColumn("coords", F.transform(F.lit(first), turned)), first)
+    return frames.explode_atoms(moved).select(
+        "frame_no", F.col("atom").cast("long").alias("atom"), *[rounded(F.get("x", F.lit(a))).alias(c) for a, c in enumerate("xyz")])
+
+
 @query
 def pairwise_atom_distances(spark, sf_dir):
     return long_form(labels.pairwise_atom_distances(trajectory(spark, sf_dir), [0, 5, 10, 15, 20]), "frame_no")
@@ -728,6 +752,19 @@ for _name in ("svm", "logistic", *classify.STEPS):
     _trained(_name)
 
 
+@query
+def linear_in_order(spark, sf_dir):
+    """Every linear algorithm after one round of one worker over the points in the order of their ids: its weights, the last one the bias."""
+    p, out = points(spark, sf_dir), None
+    for name in classify.STEPS:
+        model = classify.parallel_linear(p, name, rounds=1, n_workers=1, by_key=True)
+        table_of = np.hstack([model.weights, model.bias[:, None]])
+        c, pos = np.indices(table_of.shape).reshape(2, -1)
+        part = spark.createDataFrame([(name, int(model.classes[i]), int(j), float(v)) for i, j, v in zip(c, pos, table_of.ravel())], "algorithm string, label long, pos long, v double")
+        out = part if out is None else out.unionByName(part)
+    return out.select("algorithm", "label", "pos", rounded("v").alias("v"))
+
+
 @query
 def sweep(spark, sf_dir):
     return classify.sweep(points(spark, sf_dir), ["knn_7"], [3, 5], [2, 4])
@@ -751,8 +788,11 @@ def fit_autoencoder(spark, sf_dir):
 
 @query
 def fit_autoencoder_gradient(spark, sf_dir):
-    _, costs = autoencoder.fit_autoencoder(points(spark, sf_dir), [16], epochs=3, stddev=0.1, mode="gradient", optimizer="gradient_descent")
-    return costs
+    """Full gradients from stated weights of layers 64-2-64, so that SQL can follow every epoch."""
+    weights = [np.array([[((7 * i + 3 * j) % 11 - 5) / 10 for j in range(w)] for i in range(h)]) for h, w in ((64, 2), (2, 64))]
+    start = autoencoder.Autoencoder(weights, [np.array([(j % 3) / 10 for j in range(w)]) for w in (2, 64)], "sigmoid")
+    _, costs = autoencoder.fit_autoencoder(points(spark, sf_dir), [2], epochs=3, lr=2.0, mode="gradient", optimizer="gradient_descent", start=start)
+    return costs.select("epoch", rounded("cost", 8).alias("cost"))
 
 
 @query

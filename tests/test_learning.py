@@ -114,3 +114,26 @@ def test_scoring_a_stream(spark, table, tmp_path):
             "checkpointLocation", str(tmp_path / f"c{at}")).trigger(availableNow=True).start()
         query.awaitTermination(120)
         assert spark.table(f"scored{at}").select("point_id").distinct().count() == 60
+
+
+def test_moments_outlive_an_epoch(spark):
+    """One worker trains like a plain run over all epochs, whose moments never start anew."""
+    rng = np.random.default_rng(7)
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(rng.normal(size=(130, 6)))], "point_id long, x array<double>").repartition(3)
+    model, costs = A.fit_autoencoder(df, [3], activation="sigmoid", lr=0.02, epochs=4, batch=20, stddev=0.4, n_workers=1, seed=2)
+    x = np.array([r.x for r in df.selectExpr("*", "xxhash64(point_id, 2) AS o").orderBy("o").collect()])
+    plain = A.Autoencoder.random(6, [3], "sigmoid", 0.4, 2)
+    parameters = [*plain.weights, *plain.biases]
+    moments, seen = [np.ones_like(p) for p in parameters], []
+    for _ in range(4):
+        total = 0.0
+        for s in range(0, len(x), 20):
+            loss, gradients = plain.gradients(x[s:s + 20])
+            total += loss * len(x[s:s + 20])
+            for p, m, g in zip(parameters, moments, gradients):
+                m *= 0.9
+                m += 0.1 * g * g
+                p -= 0.02 * g / np.sqrt(m + 1e-10)
+        seen.append(total / len(x))
+    assert all(np.allclose(a, b, rtol=0, atol=1e-9) for a, b in zip([*model.weights, *model.biases], parameters))
+    assert np.allclose([r.cost for r in costs.orderBy("epoch").collect()], seen, rtol=0, atol=1e-9)

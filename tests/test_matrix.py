@@ -152,3 +152,51 @@ def test_product_keeps_row_indices_both_ways(spark):
         assert np.allclose([found[10 * i] for i in range(6)], a @ b)
         with pytest.raises(ValueError):
             M.matrix_multiply(left, right.withColumn("i", F.col("i") * 2), block=8, small_side=small_side)
+
+
+def planted(rows, width, values, seed):
+    """Centered rows whose covariance has the given eigenvalues, and its directions."""
+    rng = np.random.default_rng(seed)
+    u = rng.normal(size=(rows, len(values)))
+    u -= u.mean(axis=0)
+    u = np.linalg.qr(u)[0]
+    v = np.linalg.qr(rng.normal(size=(width, len(values))))[0].T
+    return u * np.sqrt(np.array(values) * rows) @ v, v
+
+
+def test_covariance_in_tiles(table, monkeypatch):
+    x = np.random.default_rng(3).normal(size=(40, 300)) + 5
+    want = np.cov(x.T, bias=True)
+    monkeypatch.setattr(D, "FLUSH_VALUES", 20_000)
+    monkeypatch.setattr(D, "TILE_ROWS_VALUES", 3000)
+    # Tiles of 290 columns have more values than a segment, which then ends within a row.
+    for tile in (64, 290, 300):
+        got = np.full((300, 300), np.nan)
+        for r in D.covariance_tiles(table(x), tile=tile).collect():
+            i, j = r.bi * tile + r.row, r.bj * tile
+            assert np.isnan(got[i, j : j + len(r.v)]).all()
+            got[i, j : j + len(r.v)] = r.v
+            if r.bi < r.bj:
+                got[j : j + len(r.v), i] = r.v
+        assert np.allclose(got, want)
+    small = D.tile_entries(D.covariance_tiles(table(x[:, :7]), tile=3), 3)
+    assert small.count() == 49 and np.allclose(from_entries(small), want[:7, :7])
+
+
+def test_wide_tables_never_form_a_square_matrix(table):
+    values = [9.0, 4.0, 2.5, 1.0, 0.25, 0.1]
+    x, v = planted(60, 20_000, values, 4)
+    points = table(x, partitions=3).cache()
+    axes = D.pca(points, 3)
+    assert np.allclose(axes.eigenvalues, values[:3]) and abs(axes.total - sum(values)) < 1e-8
+    assert np.allclose(np.abs((axes.components * v[:3]).sum(axis=1)), 1.0)
+    assert abs(D.variance_explained(points, 2) - 13 / sum(values)) < 1e-9
+    svd = D.truncated_svd(points, 4)
+    assert np.allclose(svd.s, np.sqrt(np.array(values[:4]) * 60))
+    some = points.select("point_id", F.slice("x", 1, 3000).alias("x"))
+    tiles = D.covariance_tiles(some)
+    facts = tiles.select(F.sum(F.expr("CASE WHEN bi = bj THEN v[row] END")).alias("trace"),
+                         F.sum(F.expr("aggregate(v, 0D, (a, e) -> a + e * e) * CASE WHEN bi = bj THEN 1 ELSE 2 END")).alias("squares")).first()
+    inner = np.linalg.svd(x[:, :3000], compute_uv=False) ** 2 / 60
+    assert abs(facts.trace - inner.sum()) < 1e-6 and abs(facts.squares - (inner ** 2).sum()) < 1e-6
+    points.unpersist()
