@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from manyscale.llm import (bpe_replay, common, decontaminate, divergence, language_id, line_dedup, lm_score, quality_rules, secret_scan, simhash_groups,
-                           spelling_variants, token_counts, token_files)
+                           spelling_variants, token_counts, token_files, toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -206,3 +206,10 @@ SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR
 @query
 def op12_spelling_variants(spark, sf_dir):
     return spelling_variants.variants(documents(spark, sf_dir))
+
+
+@query
+def op13_toxicity(spark, sf_dir):
+    docs, held = documents(spark, sf_dir), language_id.held_out("doc_id", 5, 0)
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held))
+    return toxicity.predict(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

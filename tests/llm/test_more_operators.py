@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from manyscale.llm import divergence, queries, spelling_variants
+from manyscale.llm import divergence, language_id, spelling_variants, toxicity
 from tests.llm.test_operators import ROWS, SCHEMA, by_text
 
 SF = "/root/testdata/sf0.001"
@@ -145,3 +145,56 @@ def test_very_long_words():
     known = spelling_variants.Vocabulary(words)
     found = {(words[q][:3], len(words[w])) for side in (True, False) for q, w in zip(*known.search(words, side))}
     assert found == {("aba", 10000), ("aba", 10001), ("aaa", 9000), ("aaa", 9001)}
+
+
+def plain_cosines(index, text):
+    at, own = index.vector(index.known, index.weight_of_term, text)
+    dense = np.zeros((len(index.ids), len(index.known)))
+    for term in range(len(index.known)):
+        for run in range(index.term_start[term], index.term_start[term + 1]):
+            posts = slice(index.run_start[run], index.run_start[run + 1])
+            dense[index.example[posts], term] = index.weight[posts]
+    return dense[:, at] @ own
+
+
+def test_nearest_examples_are_exact():
+    pick, names = random.Random(9), [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(80)]
+    text = lambda: " ".join(pick.choices(names, [1 / (k + 1) for k in range(80)], k=pick.randint(0, 25)))
+    texts = [(1000 - k, k % 2, text()) for k in range(700)] + [(2000 + k, 1, texts_of) for k, texts_of in enumerate(["waa wab", "waa wab", "waa wab waa", ""] * 30)]
+    vocabulary = [(t, sum(t in set(toxicity.terms(body)) for *_, body in texts)) for t in names[:60]]
+    index = toxicity.Index.build(texts, vocabulary, len(texts))
+    visited = 0
+    for body in [text() for _ in range(200)] + ["waa wab", "", "zzz", "WAA!wab"]:
+        want = plain_cosines(index, body)
+        best, cosine = index.nearest(body, 7)
+        order = sorted((k for k in range(len(want)) if want[k] > 1e-12), key=lambda k: (-round(want[k], 9), index.ids[k]))[:7]
+        assert best.tolist() == order and np.allclose(cosine, want[order])
+        visited += len(best)
+    assert visited > 500
+
+
+def test_isotonic_shares():
+    got = toxicity.isotonic(np.array([0.0, 5.0, 1.0, 9.0]), np.array([10.0, 10.0, 10.0, 10.0]), 0.5)
+    assert np.allclose(got, [0.5 / 11, 6.5 / 21, 6.5 / 21, 9.5 / 11])
+
+
+def test_toxicity_of_held_out_documents(spark, docs, empty):
+    table, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{name}.parquet") for name in ("documents", "labels"))
+    held = language_id.held_out("doc_id", 5, 0)
+    model = toxicity.fit(table, labels.where(~held))
+    rows = toxicity.predict(table, model).join(labels, "doc_id").where(held).select("doc_id", "score", "toxic", "evidence").collect()
+    caught = [r.score >= 0.5 for r in rows if r.toxic == 1]
+    spared = [r.score < 0.5 for r in rows if r.toxic == 0]
+    assert sum(caught) >= 0.85 * len(caught) > 0 and sum(spared) >= 0.98 * len(spared)
+    # Calibrated: the scores add up to about the number of toxic documents.
+    assert 0.7 * len(caught) <= sum(r.score for r in rows) <= 1.3 * len(caught)
+    learnt = {r.doc_id for r in labels.where(~held).collect()}
+    assert all(e.doc_id in learnt and 0 < e.cosine <= 1 for r in rows for e in r.evidence)
+    bounded = toxicity.fit(table, labels.where(~held), sample=300)
+    assert len(bounded.index.ids) <= 600 and toxicity.predict(docs, bounded).count() == len(ROWS)
+    odd = {(r.doc_id, r.score) for r in toxicity.predict(docs, model).where("doc_id IN (1, 2, 3, 4)").collect()}
+    assert len({score for i, score in odd if i < 3}) == 1 and all(0 <= score <= 1 for _, score in odd)
+    assert toxicity.predict(empty, model).count() == 0
+    nothing = toxicity.fit(empty, labels)
+    assert {r.score for r in toxicity.predict(docs, nothing).collect()} == {0.0}
+    assert toxicity.fit(docs, spark.createDataFrame([(1, None), (2, 1), (2, 0), (None, 1)], "doc_id long, toxic int")).table[0] == 1.0
