@@ -155,7 +155,7 @@ ds AS (SELECT doc_id, total, pos, {" || ' ' || ".join(f"lead(w, {k}) OVER o" for
 ish AS (SELECT item_id, n, pos, {" || ' ' || ".join(f"lead(w, {k}) OVER o" for k in range(5))} AS g FROM ir WINDOW o AS (PARTITION BY item_id ORDER BY pos)),
 ic AS (SELECT item_id, n, g, count(*) AS c FROM ish WHERE g IS NOT NULL GROUP BY item_id, n, g),
 hits AS (SELECT ds.doc_id, ds.total, ds.pos, ic.item_id, ic.n FROM ds JOIN ic ON ds.g = ic.g),
-win AS (SELECT DISTINCT doc_id, item_id, n, greatest(0, least(pos - k, total - n)) AS s FROM hits, unnest(range(1000)) AS u(k) WHERE k <= n - 5),
+win AS (SELECT DISTINCT doc_id, item_id, n, greatest(0, least(pos - k, total - n)) AS s FROM (SELECT *, unnest(range(n - 4)) AS k FROM hits)),
 full_win AS (SELECT w.doc_id, w.item_id, w.n, w.s FROM win w JOIN hits h ON h.doc_id = w.doc_id AND h.item_id = w.item_id
   AND h.pos BETWEEN w.s AND w.s + w.n - 5 GROUP BY ALL HAVING 5 * count(*) >= 4 * (w.n - 4)),
 wc AS (SELECT w.doc_id, w.item_id, w.n, w.s, ds.g, count(*) AS c FROM full_win w JOIN ds ON ds.doc_id = w.doc_id AND ds.pos BETWEEN w.s AND w.s + w.n - 5
