@@ -45,26 +45,31 @@ def occurrences(docs: DataFrame, text: str, lang: str, source: str) -> DataFrame
     """``(lang, source, term, n, docs)``, several rows for each."""
 
     def add(sums, langs, sources, texts):
-        of = {}
         for key, body in zip(zip(langs, sources), texts):
-            of.setdefault(key, []).append(TERMS.findall(body.encode().lower().decode()))
-        for (one, other), found in of.items():
-            n, documents = Counter(), Counter()
-            for terms in found:
-                n.update(terms)
-                documents.update(set(terms))
-            for term, k in n.items():
-                key = (one, other, term)
-                seen = sums.get(key)
-                sums[key] = (k, documents[term]) if seen is None else (seen[0] + k, seen[1] + documents[term])
+            found = TERMS.findall(body.encode().lower().decode())
+            if found:
+                n, documents = sums[key] if key in sums else sums.setdefault(key, (Counter(), Counter()))
+                n.update(found)
+                documents.update(set(found))
+
+    def columns(sums):
+        for (one, other), (n, documents) in sums.items():
+            terms = list(n)
+            for s in range(0, len(terms), 1 << 16):
+                part = terms[s : s + (1 << 16)]
+                yield [pa.repeat(pa.scalar(one), len(part)), pa.repeat(pa.scalar(other), len(part)), part,
+                       [n[t] for t in part], [documents[t] for t in part]]
 
     read = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(name) for c, name in ((lang, "lang"), (source, "source"), (text, "text"))]
-    return common.tallied(docs.select(*read), add, "lang string, source string, term string, n long, docs long")
+    return common.tallied(docs.select(*read), add, "lang string, source string, term string, n long, docs long",
+                          size=lambda sums: sum(len(n) for n, _ in sums.values()), columns=columns)
 
 
 def index(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """``(lang, source, term, n)`` of the kept terms; every row of a term is in one partition."""
-    parts = occurrences(docs, text, lang, source).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    # Tasks have added up already, so what they give is dealt out once and not added up before.
+    dealt = occurrences(docs, text, lang, source).repartition("lang", "term")
+    parts = dealt.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     spread = Window.partitionBy("lang", "term")
     return parts.withColumn("spread", F.sum("docs").over(spread)).where(F.col("spread") >= LEAST_DOCUMENTS).select("lang", "source", "term", "n")
 
