@@ -34,19 +34,21 @@ def padded_basis(values: np.ndarray, vectors: np.ndarray, d: int, n: int) -> tup
     return basis, kept
 
 
-def basis_from_gram(gram: np.ndarray, d: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    values, vectors = descending_eigen(gram)
-    return padded_basis(np.sqrt(np.maximum(values, 0.0)), vectors, d, n)
+def triangle(m: np.ndarray) -> np.ndarray:
+    """At most as many rows as columns with the same ``m^T m``, by orthogonal factorisation, which keeps small values exact."""
+    return np.linalg.qr(m, mode="r") if len(m) > m.shape[1] else m
 
 
-def basis_from_rows(centered: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray]:
-    n, width = centered.shape
-    if n > 2 * width:
-        return basis_from_gram(centered.T @ centered, d, n)
-    _, values, vectors = np.linalg.svd(centered, full_matrices=False)
+def basis_from_triangle(m: np.ndarray, d: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The basis of ``n`` centered rows that were reduced to ``m``."""
+    _, values, vectors = np.linalg.svd(m, full_matrices=False)
     return padded_basis(values, fix_signs(vectors), d, n)
 
 
+def basis_from_rows(centered: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray]:
+    return basis_from_triangle(triangle(centered), d, len(centered))
+
+
 def subspace_cosine(a: np.ndarray, b: np.ndarray) -> float:
     """``tr(A^T B) / (|A| |B|)`` of two bases given as rows; zero if either is empty."""
     size = np.linalg.norm(a) * np.linalg.norm(b)

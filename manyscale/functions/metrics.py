@@ -2,7 +2,8 @@
 
 ``block(A, B)`` returns ``(distances, slack)``: every true distance lies within ``slack``
 of the returned one. ``rows(A, B)`` gives exact distances of aligned rows and is used to
-settle whatever the block form leaves open. ``flat`` marks Euclidean geometry.
+settle whatever the block form leaves open. ``flat`` marks Euclidean geometry. ``unpack`` reads points
+that are not plain vectors or strings.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ class Metric:
     expression: Callable[[Column, Column], Column] | None = None
     textual: bool = False
     flat: bool = False
+    unpack: Callable | None = None
 
 
 def _euclidean_block(a, b):

@@ -18,7 +18,7 @@ from manyscale.functions import batches as nb
 from manyscale.operators import labels as splits
 from manyscale.operators import tree as cells
 from manyscale.operators.decomposition import _with_vectors, table_width
-from manyscale.operators.neighbours import knn_join
+from manyscale.operators.neighbours import knn_join, knn_sweep
 from manyscale.plans import storage, workers
 
 ALPHA = 0.0001
@@ -203,21 +203,43 @@ def classify(df: DataFrame, classifier: str | Callable, test_share: float = 0.3,
     return classify_split(train, test, classifier)
 
 
+def sweep_knn(train: DataFrame, test: DataFrame, ks: Sequence[int], dims: Sequence[int], levels: Sequence[int], widest: int) -> DataFrame:
+    """Accuracy of ``k``-neighbour votes for every cut of the features, from one join: ``(classifier, d, r, n, accuracy)``.
+
+    Features hold ``widest`` numbers for each level; see ``knn_sweep``.
+    """
+    found = knn_sweep(test, train, max(ks), dims, levels, widest, payload=["label"])
+    votes = found.groupBy("dim", "levels", F.col("q_id").alias("point_id")).agg(
+        *(F.mode(F.when(F.col("rank") <= k, F.col("label")), True).alias(f"knn_{k}") for k in ks))
+    judged = votes.join(test.select("point_id", "label"), "point_id")
+    hits = judged.groupBy("dim", "levels").agg(
+        F.count(F.lit(1)).alias("n"), *((F.avg((F.col(f"knn_{k}") == F.col("label")).cast("double")) * 100).alias(f"knn_{k}") for k in ks))
+    each = F.explode(F.array(*(F.struct(F.lit(f"knn_{k}").alias("classifier"), F.col(f"knn_{k}").alias("accuracy")) for k in ks)))
+    return hits.select(F.col("dim").alias("d"), F.col("levels").alias("r"), "n", each.alias("e")).select("e.classifier", "d", "r", "n", "e.accuracy")
+
+
 def sweep(points: DataFrame, classifiers: Sequence[str], dims: Sequence[int], levels: Sequence[int], *,
           test_share: float = 0.2, tree: cells.CellTree | None = None) -> DataFrame:
     """Accuracy for every manifold dimension and number of levels: ``(classifier, d, r, n, accuracy)``.
 
-    The tree is fitted once at the largest values and its features stored; smaller settings cut them.
+    The tree is fitted once at the largest values and its features stored; smaller settings cut them. All neighbour votes come
+    from one join, the other classifiers are trained for each setting.
     """
     tree = tree or cells.fit_tree(points, max(dims), max(levels) - 1)
     widest, deepest = max(dims), max(levels)
     full = storage.materialize(cells.feature_vectors(points, tree, deepest, widest, keep=["label"]))
+    voting = [int(name.removeprefix("knn_")) for name in classifiers if name.startswith("knn_")]
     out = None
+    if voting:
+        train, test = splits.train_test_split(full, 1 - test_share)
+        out = sweep_knn(train, test, voting, dims, levels, widest)
     for d in dims:
         for r in levels:
             cut = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(r - 1)), lambda j: F.slice("x", j * widest + 1, d)))
             features = full.select("point_id", cut.alias("x"), "label")
             for name in classifiers:
+                if name.startswith("knn_"):
+                    continue
                 row = classify(features, name, test_share).select("classifier", F.lit(d).alias("d"), F.lit(r).alias("r"), "n", "accuracy")
                 out = row if out is None else out.unionByName(row)
     return out

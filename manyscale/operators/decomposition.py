@@ -309,6 +309,43 @@ def incremental_svd(df: DataFrame, k: int, compute_u: bool = False, x_col: str =
     return Factors(s, v, _left_vectors(df, s, v, x_col) if compute_u else None)
 
 
+@dataclass
+class DirectionsSketch:
+    """Rows ``b`` that stand for a table ``A``: ``0 <= |A v|^2 - |b v|^2 <= bound`` for every unit vector ``v``."""
+
+    b: np.ndarray
+    #: The sum of all squares of the table.
+    energy: float
+    bound: float
+
+    def top(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Approximate singular values, too small by no more than the bound in their squares, and right vectors as columns."""
+        _, s, vt = np.linalg.svd(self.b, full_matrices=False)
+        return s[:k], linear.fix_signs(vt[:k]).T
+
+
+def frequent_directions(df: DataFrame, size: int, x_col: str = "x") -> DirectionsSketch:
+    """A sketch of ``size`` rows with a guarantee, whatever the data.
+
+    Each step cuts the squares of all directions by that of the first one that has to go. A cut of ``c`` takes at least ``(size + 1) c`` from
+    the sum of squares, so what is missing there in the end bounds the cuts of any direction, in any order of merging. The bound
+    is at most ``energy / (size + 1)``, and small if a few directions carry the table.
+    """
+    if size < 1:
+        raise ValueError("a sketch needs at least one row")
+
+    def cut(m: np.ndarray) -> np.ndarray:
+        _, s, vt = np.linalg.svd(linear.triangle(m), full_matrices=False)
+        gone = s[size] ** 2 if len(s) > size else 0.0
+        return np.sqrt(np.maximum(s[:size] ** 2 - gone, 0.0))[:, None] * vt[:size]
+
+    energy = df.select(F.sum(arrays.dot(arrays.doubles(x_col), arrays.doubles(x_col)))).first()[0]
+    if energy is None:
+        raise ValueError("the table is empty")
+    b = reduce_rows(df, cut, x_col)
+    return DirectionsSketch(b, float(energy), max(0.0, float(energy) - float((b * b).sum())) / (size + 1))
+
+
 def _with_vectors(df: DataFrame, x_col: str, out: str, compute: Callable[[np.ndarray], np.ndarray], model, n_bytes: int):
     """The rows with one more vector column computed from ``x`` and a broadcast model."""
     shipped = storage.checked_broadcast(df.sparkSession, model, n_bytes, "the projection")

@@ -8,6 +8,8 @@ worked out. Equal strings count as one; membership tells which rows they stand f
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,12 +75,30 @@ def edit_close_pairs(df: DataFrame, r: int, *, id_col: str = "point_id", x_col:
     return pairs, membership(df, known, id_col, x_col)
 
 
+def _both_ways(left: DataFrame, right: DataFrame, r: int) -> DataFrame:
+    """``(i, j, d)`` of distinct strings ``left(id, x)`` and ``right(id, x)`` within ``r`` edits, whichever is shorter."""
+    up = distinct_pairs(left.select("id", "x"), right.select("id", "x"), r).select(F.col("a").alias("i"), F.col("b").alias("j"), "d")
+    down = distinct_pairs(right.select("id", "x"), left.select("id", "x"), r).select(F.col("b").alias("i"), F.col("a").alias("j"), "d")
+    return up.union(down).distinct()
+
+
 def edit_range_join(a: DataFrame, b: DataFrame, r: int, *, a_id: str = "point_id", b_id: str = "point_id", a_x: str = "x",
                     b_x: str = "x") -> DataFrame:
     """Pairs ``(i, j, d)`` of distinct strings of two tables within ``r`` edits, by their smallest ids in each table."""
     if int(r) != r or r < 0:
         raise ValueError(f"the number of edits must be a whole number, not {r!r}")
     left, right = (storage.materialize(representatives(*side)) for side in ((a, a_id, a_x), (b, b_id, b_x)))
-    up = distinct_pairs(left.select("id", "x"), right.select("id", "x"), int(r)).select(F.col("a").alias("i"), F.col("b").alias("j"), "d")
-    down = distinct_pairs(right.select("id", "x"), left.select("id", "x"), int(r)).select(F.col("b").alias("i"), F.col("a").alias("j"), "d")
-    return up.union(down).distinct()
+    return _both_ways(left, right, int(r))
+
+
+def edit_pair_counts(a: DataFrame, b: DataFrame, radii: Sequence[float], *, a_id: str = "point_id", b_id: str = "point_id", a_x: str = "x",
+                     b_x: str = "x") -> DataFrame:
+    """``(radius, n_pairs)``: pairs of rows of two tables (or of one with itself, both orders) within each number of edits; equal strings weigh as one."""
+    left = storage.materialize(representatives(a, a_id, a_x))
+    right = left if a is b and (a_id, a_x) == (b_id, b_x) else storage.materialize(representatives(b, b_id, b_x))
+    found = _both_ways(left, right, max(0, int(max(radii))))
+    one, two = left.select(F.col("id").alias("i"), F.col("copies").alias("w")), right.select(F.col("id").alias("j"), F.col("copies").alias("v"))
+    weighed = found.join(one, "i").join(two, "j")
+    sums = weighed.agg(*(F.sum(F.when(F.col("d") <= r, F.col("w") * F.col("v"))).alias(f"n{at}") for at, r in enumerate(radii)))
+    each = [F.struct(F.lit(float(r)).alias("radius"), F.coalesce(f"n{at}", F.lit(0)).cast("long").alias("n_pairs")) for at, r in enumerate(radii)]
+    return sums.select(F.explode(F.array(*each)).alias("e")).select("e.*")

@@ -16,6 +16,8 @@ from manyscale.functions import batches as nb
 from manyscale.plans import storage
 
 BLOCK = 256
+#: Entries of one inner index that meet in a task, and how many indices may be heavy on each side.
+PART_ROWS, HEAVY = 4096, 10_000
 SMALL_SIDE = 64 * 1024 * 1024
 BLOCK_SCHEMA = "bi long, bj long, height int, width int, ids array<long>, v array<double>"
 
@@ -71,12 +73,35 @@ def matrix_transpose(a: DataFrame, segment: int = 1024) -> DataFrame:
     return keyed.groupBy("segment").applyInArrow(turn, "i int, segment long, js array<long>, x array<double>")
 
 
-def multiply_entries(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Sparse product of ``(i, j, v)`` tables. Inner indices that carry many entries are split by
-    adaptive skew handling; the sums combine before they shuffle."""
+def split_heavy(a: DataFrame, b: DataFrame, rows_per_part: int = PART_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a product keyed by ``(k, sa, sb)``, where inner indices with many entries are cut in two dimensions.
+
+    The entries of a heavy index are dealt into parts by their row (``sa``) or column (``sb``), and every part of one side meets every part
+    of the other, so that a key has about ``rows_per_part`` entries of each. On a large table the least number that counts as heavy
+    is its share of the table, so the list of heavy indices, which is broadcast, has at most ``2 * HEAVY`` rows.
+    """
     left = a.select(F.col("i"), F.col("j").alias("k"), F.col("v").alias("_a"))
     right = b.select(F.col("i").alias("k"), F.col("j"), F.col("v").alias("_b"))
-    return left.join(right, "k").groupBy("i", "j").agg(F.sum(F.col("_a") * F.col("_b")).alias("v"))
+    sides = []
+    for side in (left, right):
+        counts = side.groupBy("k").count()
+        share = max(rows_per_part, -(-(counts.agg(F.sum("count")).first()[0] or 0) // HEAVY))
+        sides.append(counts.select("k", F.ceil(F.col("count") / share).cast("int").alias("parts")))
+    one, two = (s.withColumnRenamed("parts", name) for s, name in zip(sides, ("pa", "pb")))
+    heavy = F.broadcast(one.join(two, "k").where("pa > 1 OR pb > 1"))
+
+    def dealt(side: DataFrame, key: str, own: str, parts: str, other: str, others: str) -> DataFrame:
+        met = side.join(heavy, "k", "left")
+        mine = F.coalesce(F.pmod(F.xxhash64(key), F.col(parts)).cast("int"), F.lit(0)).alias(own)
+        return met.select(*side.columns, mine, F.explode(F.coalesce(F.expr(f"sequence(0, {others} - 1)"), F.array(F.lit(0)))).alias(other))
+
+    return dealt(left, "i", "sa", "pa", "sb", "pb"), dealt(right, "j", "sb", "pb", "sa", "pa")
+
+
+def multiply_entries(a: DataFrame, b: DataFrame, rows_per_part: int = PART_ROWS) -> DataFrame:
+    """Sparse product of ``(i, j, v)`` tables. Inner indices that carry many entries are split; the sums combine before they shuffle."""
+    left, right = split_heavy(a, b, rows_per_part)
+    return left.join(right, ["k", "sa", "sb"]).groupBy("i", "j").agg(F.sum(F.col("_a") * F.col("_b")).alias("v"))
 
 
 def matrix_multiply(a: DataFrame, b: DataFrame, *, block: int = BLOCK, small_side: int = SMALL_SIDE) -> DataFrame:

@@ -18,10 +18,13 @@ from pyspark.sql.window import Window
 from manyscale.functions import arrays
 from manyscale.functions.batches import from_lists, from_matrix, to_numpy
 from manyscale.functions.metrics import Metric, named
-from manyscale.plans import blocks, cells as nests, storage
+from manyscale.operators import edit_joins
+from manyscale.plans import blocks, cells as nests, sketches, storage
 from manyscale.plans.blocks import Side
 
 COPIES = 10_000
+#: Edits up to which strings are counted over segments; with more, segments are too short to tell strings apart.
+MAX_EDITS = 8
 REFINE_ROWS = 50_000
 #: Ids that a list of neighbours or distances covers.
 SEGMENT = 1 << 16
@@ -60,23 +63,27 @@ def _first_copies(side: DataFrame, hashes: list[int], keep: int) -> DataFrame:
     return side.where(~crowded).unionByName(few)
 
 
+def _best(d: np.ndarray, slack: float, k: int, ceiling: np.ndarray, ids: np.ndarray, measure) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(rows, cols, distances, ranks)`` of the ``k`` nearest of each row of a block; ``measure(rows, cols)`` gives exact distances."""
+    take = min(k, d.shape[1])
+    kth = np.partition(d, take - 1, axis=1)[:, take - 1 : take]
+    rows, cols = np.nonzero((d <= np.minimum(kth, ceiling[:, None]) + 2 * slack) & np.isfinite(d))
+    gaps = measure(rows, cols) if slack else d[rows, cols]
+    inside = gaps <= ceiling[rows]
+    rows, cols, gaps = rows[inside], cols[inside], gaps[inside]
+    order = np.lexsort((ids[cols], gaps, rows))
+    rows, cols, gaps = rows[order], cols[order], gaps[order]
+    rank = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left") + 1
+    keep = rank <= k
+    return rows[keep], cols[keep], gaps[keep], rank[keep]
+
+
 def _top_task(metric: Metric, k: int, limit: float, payload: list[str], exclude_self: bool):
     def task(q: Side, x: Side) -> Iterator[pa.RecordBatch]:
         d, slack = metric.block(q.points, x.points)
         if exclude_self:
             d[q.ids[:, None] == x.ids[None, :]] = np.inf
-        take = min(k, d.shape[1])
-        kth = np.partition(d, take - 1, axis=1)[:, take - 1 : take]
-        ceiling = np.minimum(q.cap, limit)
-        rows, cols = np.nonzero((d <= np.minimum(kth, ceiling[:, None]) + 2 * slack) & np.isfinite(d))
-        gaps = nests.exact(metric, q.points, x.points, rows, cols) if slack else d[rows, cols]
-        inside = gaps <= ceiling[rows]
-        rows, cols, gaps = rows[inside], cols[inside], gaps[inside]
-        order = np.lexsort((x.ids[cols], gaps, rows))
-        rows, cols, gaps = rows[order], cols[order], gaps[order]
-        rank = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left") + 1
-        keep = rank <= k
-        rows, cols, gaps, rank = rows[keep], cols[keep], gaps[keep], rank[keep]
+        rows, cols, gaps, rank = _best(d, slack, k, np.minimum(q.cap, limit), x.ids, lambda i, j: nests.exact(metric, q.points, x.points, i, j))
         picked = pa.array(cols)
         yield pa.RecordBatch.from_arrays(
             [pa.array(q.ids[rows]), pa.array(rank, pa.int32()), pa.array(x.ids[cols]), pa.array(gaps),
@@ -86,6 +93,50 @@ def _top_task(metric: Metric, k: int, limit: float, payload: list[str], exclude_
     return task
 
 
+def knn_sweep(queries: DataFrame, data: DataFrame, k: int, dims: Sequence[int], levels: Sequence[int], widest: int, *,
+              payload: Sequence[str] = (), rows_per_block: int | None = None) -> DataFrame:
+    """Nearest neighbours for many cuts of the same vectors in one join: ``(dim, levels, q_id, rank, nbr_id, d, payload...)``.
+
+    A vector holds ``widest`` numbers for each level. The cut ``(dim, levels)`` keeps the first ``dim`` numbers of each of the first ``levels``;
+    its squared distances add up level by level, so every cut costs the distances of one more level and no row travels twice.
+    """
+    metric, payload = named("euclidean"), list(payload)
+    q, x = _side(queries, "point_id", "x", metric), _side(data, "point_id", "x", metric, payload)
+    width = check_widths(q, x, metric)
+    if max(levels) * widest > width or max(dims) > widest:
+        raise ValueError(f"vectors of length {width} do not hold {max(levels)} levels of {widest} numbers with cuts of {max(dims)}")
+    n, size, kept = x.count(), rows_per_block or blocks.block_rows(width, metric), set(levels)
+
+    def task(one: Side, other: Side) -> Iterator[pa.RecordBatch]:
+        for dim in dims:
+            square, slack = 0.0, 0.0
+            for level in range(max(levels)):
+                part = slice(level * widest, level * widest + dim)
+                d, off = metric.block(np.ascontiguousarray(one.points[:, part]), np.ascontiguousarray(other.points[:, part]))
+                square, slack = square + d * d, slack + off * off
+                if level + 1 not in kept:
+                    continue
+                columns = np.concatenate([np.arange(j * widest, j * widest + dim) for j in range(level + 1)])
+                a, b = one.points[:, columns], other.points[:, columns]
+                # Each level's squares are off by at most the square of its slack.
+                rows, cols, gaps, rank = _best(np.sqrt(square), 2 * np.sqrt(slack) + 1e-300, k, np.full(len(one.ids), np.inf), other.ids,
+                                               lambda i, j, a=a, b=b: nests.exact(metric, a, b, i, j))
+                picked = pa.array(cols)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(rows), dim), pa.int32()), pa.array(np.full(len(rows), level + 1), pa.int32()), pa.array(one.ids[rows]),
+                     pa.array(rank, pa.int32()), pa.array(other.ids[cols]), pa.array(gaps), *[other.columns[c].take(picked) for c in payload]],
+                    names=["dim", "levels", "q_id", "rank", "nbr_id", "d", *payload])
+
+    schema = T.StructType([T.StructField("dim", T.IntegerType()), T.StructField("levels", T.IntegerType()), T.StructField("q_id", T.LongType()),
+                           T.StructField("rank", T.IntegerType()), T.StructField("nbr_id", T.LongType()), T.StructField("d", T.DoubleType()),
+                           *[x.schema[c] for c in payload]])
+    found, several = blocks.block_join(q, x, metric, nests.Cells.one(n), None, task, schema, rows_per_block=size)
+    if several:
+        order = Window.partitionBy("dim", "levels", "q_id").orderBy("d", "nbr_id")
+        found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return found
+
+
 def knn_join(queries: DataFrame, data: DataFrame, k: int, *, metric: str | Metric = "euclidean",
              query_id: str = "point_id", data_id: str = "point_id", query_x: str = "x", data_x: str = "x",
              distance_upper_bound: float = np.inf, eps: float = 0.0, payload: Sequence[str] = (),
@@ -115,15 +166,18 @@ def knn_join(queries: DataFrame, data: DataFrame, k: int, *, metric: str | Metri
     model = blocks.make_cells(x, n, metric, size, need, cells, asked, rule)
     if model.levels and n > REFINE_ROWS:
         asked = blocks.home_distances(asked, x, metric, model, need, size)
-    schema = T.StructType([T.StructField("q_id", T.LongType()), T.StructField("rank", T.IntegerType()),
-                           T.StructField("nbr_id", T.LongType()), T.StructField("d", T.DoubleType()),
-                           *[x.schema[c] for c in payload]])
-    want = need if copies else k
-    found, several = blocks.block_join(
-        asked, x, metric, model, rule,
-        _top_task(metric, want, distance_upper_bound, payload, exclude_self and not copies), schema, rows_per_block=size)
-    if several:
-        found = _ranked(found, want)
+    want, skip = need if copies else k, exclude_self and not copies
+    sketch = None if model.levels else _sketch(asked, x, n, metric, size, _open_nearest(need))
+    if sketch:
+        found = _sketched_top(asked, x, n, metric, sketch, want, distance_upper_bound, payload, skip, size)
+    else:
+        schema = T.StructType([T.StructField("q_id", T.LongType()), T.StructField("rank", T.IntegerType()),
+                               T.StructField("nbr_id", T.LongType()), T.StructField("d", T.DoubleType()),
+                               *[x.schema[c] for c in payload]])
+        found, several = blocks.block_join(
+            asked, x, metric, model, rule, _top_task(metric, want, distance_upper_bound, payload, skip), schema, rows_per_block=size)
+        if several:
+            found = _ranked(found, want)
     if copies:
         found = _answer_copies(found, q, asked, copies)
         if exclude_self:
@@ -131,6 +185,79 @@ def knn_join(queries: DataFrame, data: DataFrame, k: int, *, metric: str | Metri
     return found.select("q_id", "rank", "nbr_id", "d", *payload)
 
 
+#: Rows of a table from which sketches are considered; below, two more joins cost more than the bytes they save.
+SKETCH_ROWS = 500_000
+
+
+def _sketch(queries: DataFrame, data: DataFrame, n: int, metric: Metric, size: int, open_pairs) -> sketches.Sketch | None:
+    """A sketch for a join in which every query meets every block, if it saves half of the bytes."""
+    if not metric.flat or n < SKETCH_ROWS:
+        return None
+    n_queries = n if queries is data else queries.count()
+    looks = [blocks._spread_rows(side, count, metric) for side, count in ((queries, sketches.LOOK_QUERIES), (data, sketches.LOOK_ROWS))]
+    travelling = blocks.copies(n_queries, n, size, queries.sparkSession.sparkContext.defaultParallelism)
+    return sketches.choose(*looks, travelling, lambda low, high: open_pairs(low, high, n_queries, n))
+
+
+def _open_nearest(k: int):
+    """Estimate: for each neighbour as many rows as come below the least upper bound of some rows."""
+    return lambda low, high, n_queries, n: n_queries * k * float((low <= high.min(axis=1, keepdims=True)).sum(axis=1).mean())
+
+
+def _open_within(r: float):
+    return lambda low, high, n_queries, n: n_queries * n * float((low <= r).mean())
+
+
+def _sketched_top(asked: DataFrame, x: DataFrame, n: int, metric: Metric, sketch: sketches.Sketch, k: int, limit: float,
+                  payload: list[str], exclude_self: bool, size: int) -> DataFrame:
+    """Neighbours through sketches: rows whose lower bound is within the ``k``-th upper bound are measured. Ids are unique."""
+
+    def task(q: Side, other: Side) -> Iterator[pa.RecordBatch]:
+        low, high = sketches.bounds(q.points, other.points)
+        if exclude_self:
+            own = q.ids[:, None] == other.ids[None, :]
+            low[own] = high[own] = np.inf
+        ceiling = np.full(len(q.ids), limit)
+        if high.shape[1] >= k:
+            ceiling = np.minimum(ceiling, np.partition(high, k - 1, axis=1)[:, k - 1])
+        rows, cols = np.nonzero((low <= ceiling[:, None]) & np.isfinite(low))
+        picked = pa.array(cols)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(q.ids[rows]), pa.array(other.ids[cols]), pa.array(low[rows, cols]), pa.array(high[rows, cols]),
+             *[other.columns[c].take(picked) for c in payload]], names=["q_id", "nbr_id", "_low", "_high", *payload])
+
+    schema = T.StructType([T.StructField("q_id", T.LongType()), T.StructField("nbr_id", T.LongType()), T.StructField("_low", T.DoubleType()),
+                           T.StructField("_high", T.DoubleType()), *[x.schema[c] for c in payload]])
+    found, several = blocks.block_join(sketches.encoded(asked.select("id", "x"), sketch), sketches.encoded(x, sketch), sketch.metric(),
+                                       nests.Cells.one(n), None, task, schema, rows_per_block=size)
+    if several:
+        place = F.row_number().over(Window.partitionBy("q_id").orderBy("_high", "nbr_id"))
+        ceiling = F.min(F.when(F.col("_place") >= k, F.col("_high"))).over(Window.partitionBy("q_id"))
+        found = found.withColumn("_place", place).withColumn("_ceiling", ceiling).where("_ceiling IS NULL OR _low <= _ceiling").drop("_place", "_ceiling")
+    exact = sketches.refined(found.drop("_low", "_high"), asked, x, metric, "q_id", "nbr_id").where(F.col("d") <= limit)
+    return _ranked(exact, k)
+
+
+def _sketched_pairs(left: DataFrame, right: DataFrame, n: int, metric: Metric, sketch: sketches.Sketch, r: float, self_join: bool, size: int) -> DataFrame:
+    """Pairs ``(i, j, d)`` through sketches: those whose lower bound is within ``r`` are measured. Ids are unique."""
+
+    def task(q: Side, other: Side) -> Iterator[pa.RecordBatch]:
+        hit = sketches.bounds(q.points, other.points)[0] <= r
+        if self_join:
+            hit &= ~q.same[:, None] | (q.ids[:, None] < other.ids[None, :])
+        rows, cols = np.nonzero(hit)
+        i, j = q.ids[rows], other.ids[cols]
+        if self_join:
+            i, j = np.minimum(i, j), np.maximum(i, j)
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j)], names=["i", "j"])
+
+    coded = sketches.encoded(left, sketch)
+    others = coded if left is right else sketches.encoded(right, sketch)
+    found, _ = blocks.block_join(coded, others, sketch.metric(), nests.Cells.one(n), None, task, "i long, j long",
+                                 rows_per_block=size, n_queries=n if left is right else None, self_join=self_join)
+    return sketches.refined(found, left, right, metric, "i", "j").where(F.col("d") <= r)
+
+
 def _ranked(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("q_id").orderBy("d", "nbr_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -199,6 +326,9 @@ def range_join(a: DataFrame, b: DataFrame, r: float, *, metric: str | Metric = "
     n = right.count()
     rule = nests.Within(r, eps)
     model = blocks.make_cells(right, n, metric, size, 0, cells, left, rule)
+    sketch = None if model.levels else _sketch(left, right, n, metric, size, _open_within(r))
+    if sketch:
+        return _sketched_pairs(left, right, n, metric, sketch, r, False, size)
     found, _ = blocks.block_join(left, right, metric, model, rule, _pairs_task(metric, r, False),
                                  "i long, j long, d double", rows_per_block=size, n_queries=n if left is right else None)
     return found
@@ -213,6 +343,9 @@ def close_pairs(a: DataFrame, r: float, *, metric: str | Metric = "euclidean", e
     n = rows.count()
     rule = nests.Within(r, eps)
     model = blocks.make_cells(rows, n, metric, size, 0, cells, rows, rule)
+    sketch = None if model.levels else _sketch(rows, rows, n, metric, size, _open_within(r))
+    if sketch:
+        return _sketched_pairs(rows, rows, n, metric, sketch, r, True, size)
     found, _ = blocks.block_join(rows, rows, metric, model, rule,
                                  _pairs_task(metric, r, True), "i long, j long, d double",
                                  rows_per_block=size, n_queries=n, self_join=True)
@@ -299,12 +432,15 @@ def count_pairs(a: DataFrame, b: DataFrame, radii: float | Sequence[float], *,
 
     Both tables have nested cells. Pairs of cells that lie within or beyond a radius as a whole are settled by their sizes;
     rows of the others are held against single leaves, and only those still open are joined. A table
-    with itself meets every pair of cells once. Points that occur very often are counted once with a weight.
+    with itself meets every pair of cells once. Points that occur very often are counted once with a weight. Strings within at most
+    ``MAX_EDITS`` edits are counted through the index of segments instead, unless cells are asked for.
     """
     if np.ndim(radii) > 1:
         raise ValueError("radii must be one value or a one-dimensional list of values")
     metric = named(metric)
     asked = [float(r) for r in np.atleast_1d(radii)]
+    if metric.name == "levenshtein" and cells is None and rows_per_block is None and 0 <= max(asked, default=-1) <= MAX_EDITS:
+        return edit_joins.edit_pair_counts(a, b, asked, a_id=a_id, b_id=b_id, a_x=a_x, b_x=b_x)
     ordered = np.array(sorted(set(asked)))
     left, right, size = _prepared(a, b, metric, a_id, b_id, a_x, b_x, rows_per_block)
     same, task = left is right, "t int, n long"
@@ -375,8 +511,10 @@ def distance_matrix(a: DataFrame, b: DataFrame, *, metric: str | Metric = "eucli
                  from_lists(np.tile(ids[s:e], len(q.ids)), np.full(len(q.ids), e - s), pa.int64()),
                  from_matrix(np.ascontiguousarray(d[:, s:e]))], names=["i", "segment", "js", "ds"])
 
-    found, _ = blocks.block_join(left, right, metric, nests.Cells.one(right.count()), None,
-                                 task, "i long, segment long, js array<long>, ds array<double>", rows_per_block=size)
+    found, several = blocks.block_join(left, right, metric, nests.Cells.one(right.count()), None,
+                                       task, "i long, segment long, js array<long>, ds array<double>", rows_per_block=size)
+    if not several:
+        return found
     # A segment may lie in several blocks.
     merged = found.groupBy("i", "segment").agg(F.sort_array(F.flatten(F.collect_list(F.arrays_zip("js", "ds")))).alias("e"))
     return merged.select("i", "segment", F.col("e.js").alias("js"), F.col("e.ds").alias("ds"))

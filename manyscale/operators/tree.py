@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
@@ -25,12 +26,15 @@ from pyspark.sql.window import Window
 from manyscale.functions import arrays, linear
 from manyscale.functions import batches as nb
 from manyscale.plans import storage
-from manyscale.plans.partials import collect_sums, sum_partials
+from manyscale.plans.partials import FLUSH_VALUES, collect_sums, sum_partials
 
 ROUNDS = 10
+#: Levels below the root whose heap ids fit 64 bits.
+MAX_LEVEL = 61
 PRUNE = 0.99999
 LOCAL_BYTES = 64 * 1024 * 1024
-GRAM_WIDTH = 1024
+#: Bytes of triangular factors that a task merges at once.
+FACTOR_BYTES = 256 * 1024 * 1024
 NODE_SCHEMA = ("node_id long, level int, parent_id long, n long, center array<double>, split_center array<double>, "
                "basis array<array<double>>, svals array<double>, is_leaf boolean")
 REP_SCHEMA = "point_id long, level int, node_id long, z array<double>"
@@ -90,9 +94,12 @@ class CellTree:
 
 @dataclass
 class Router:
-    """Sends rows down binary splits. ``left``/``right`` hold the centers of the split nodes."""
+    """Sends rows down binary splits. ``split`` holds the ids of the split nodes in order, ``left``/``right`` the centers of their children.
 
-    index: np.ndarray
+    Its size follows the cells that exist, however deep or one-sided the tree is.
+    """
+
+    split: np.ndarray
     left: np.ndarray
     right: np.ndarray
 
@@ -100,18 +107,23 @@ class Router:
     def build(centers: dict[int, np.ndarray], width: int) -> Router:
         """From the center of every non-root node."""
         split = sorted({(k - 1) // 2 for k in centers if k})
-        index = np.full(max(split, default=-1) + 2, -1, np.int64)
-        index[split] = np.arange(len(split))
         stack = lambda side: np.array([centers[2 * k + side] for k in split]).reshape(len(split), width)
-        return Router(index, stack(1), stack(2))
+        return Router(np.array(split, np.int64), stack(1), stack(2))
 
     @property
     def n_bytes(self) -> int:
-        return self.left.nbytes + self.right.nbytes + self.index.nbytes
+        return self.left.nbytes + self.right.nbytes + self.split.nbytes
+
+    def slots(self, nodes: np.ndarray) -> np.ndarray:
+        """The place of each node among the split nodes, -1 for others."""
+        if len(self.split) == 0:
+            return np.full(len(nodes), -1)
+        at = np.minimum(np.searchsorted(self.split, nodes), len(self.split) - 1)
+        return np.where(self.split[at] == nodes, at, -1)
 
     def step(self, points: np.ndarray, nodes: np.ndarray) -> np.ndarray:
         """One level down; rows in unsplit cells stay. Ties go left."""
-        slot = np.where(nodes < len(self.index), self.index[np.minimum(nodes, len(self.index) - 1)], -1)
+        slot = self.slots(nodes)
         moving = np.flatnonzero(slot >= 0)
         if len(moving) == 0:
             return nodes
@@ -242,19 +254,18 @@ def split_cells(points: DataFrame, tree: CellTree, targets: list[int], rounds: i
     return out
 
 
-def fit_cells(points: DataFrame, tree: CellTree, cells: dict[int, Cell], gram_width: int = GRAM_WIDTH) -> None:
+def fit_cells(points: DataFrame, tree: CellTree, cells: dict[int, Cell], factor_bytes: int = FACTOR_BYTES) -> None:
     """Bases and singular values of cells whose members and centers are known, for all cells at once.
 
-    Up to ``gram_width`` columns the centered Gram matrices are summed and solved in tasks, one per
-    cell. Wider tables use subspace iteration, which only ever ships ``D x (d + 10)`` numbers per cell.
+    Tasks reduce the centered rows of a cell to a triangular factor, factors are stacked and reduced again, as many at a time as
+    ``factor_bytes`` allows, and the last one gives the basis. It is the same at every width, and the one that ``basis_from_rows`` finds.
     """
-    size = min(tree.width, tree.d + 10)
-    fit = max(2, storage.BROADCAST_LIMIT // (8 * tree.width * (size if tree.width > gram_width else 1)) // 2 * 2)
+    fit = max(2, storage.BROADCAST_LIMIT // (8 * tree.width) // 2 * 2)
     if len(cells) > fit:
         # Sorted ids keep siblings together, which routing needs.
         ids = sorted(cells)
         for s in range(0, len(ids), fit):
-            fit_cells(points, tree, {k: cells[k] for k in ids[s : s + fit]}, gram_width)
+            fit_cells(points, tree, {k: cells[k] for k in ids[s : s + fit]}, factor_bytes)
         return
     rows, spark = _vectors(points), points.sparkSession
     known = {**{k: c.split_center for k, c in tree.cells.items() if k},
@@ -263,56 +274,67 @@ def fit_cells(points: DataFrame, tree: CellTree, cells: dict[int, Cell], gram_wi
     wanted = np.array(sorted(cells))
     middle = np.array([cells[k].center for k in wanted])
     shift = storage.checked_broadcast(spark, middle, middle.nbytes, "the centers of one level")
+    d, width = tree.d, tree.width
 
-    def centered(batch):
-        x = nb.to_matrix(batch.column("x"))
-        leaf = routes.value.leaf(x)
-        at = np.minimum(np.searchsorted(wanted, leaf), len(wanted) - 1)
-        inside = wanted[at] == leaf
-        for slot in np.unique(at[inside]):
-            yield int(slot), x[inside & (at == slot)] - shift.value[slot]
-
-    if tree.width <= gram_width:
-        def grams(batch):
-            for slot, xc in centered(batch):
-                yield slot, 0, len(xc), xc.T @ xc
-
-        d, width = tree.d, tree.width
-        merged = sum_partials(rows, ["x"], grams)
-
-        def solve(table: pa.Table) -> pa.Table:
-            order = np.argsort(nb.to_numpy(table.column("segment")))
-            pieces = table.column("s").to_pylist()
-            gram = np.concatenate([np.asarray(pieces[i]) for i in order]).reshape(width, width)
-            basis, svals = linear.basis_from_gram(gram, d, int(table.column("n")[0].as_py()))
-            return pa.table({"node_id": table.column("node_id").slice(0, 1), "basis": nb.from_matrix(basis.reshape(1, -1)),
-                             "svals": nb.from_matrix(svals.reshape(1, -1))})
-
-        solved = merged.select("node_id", "segment", "n", "s").groupBy("node_id").applyInArrow(
-            solve, "node_id long, basis array<double>, svals array<double>")
-        for r in solved.collect():
-            cell = cells[int(wanted[r.node_id])]
-            cell.basis, cell.svals = np.array(r.basis).reshape(d, width), np.array(r.svals)
-        return
-
-    frames = {s: np.linalg.qr(np.random.default_rng(int(k)).normal(size=(tree.width, size)))[0]
-              for s, k in enumerate(wanted)}
-    for last in [False] * 6 + [True]:
-        guess = storage.checked_broadcast(spark, frames, len(frames) * tree.width * size * 8, "one level of sketches")
+    def pieces(held: dict[int, list], turn: int) -> Iterator[pa.RecordBatch]:
+        for slot, (n, parts, _) in held.items():
+            yield factor(slot, TaskContext.get().partitionId(), turn, n, linear.triangle(np.vstack(parts)))
+        held.clear()
 
-        def multiply(batch, last=last, guess=guess):
-            for slot, xc in centered(batch):
-                y = xc @ guess.value[slot]
-                yield slot, 0, len(xc), (y.T @ y if last else xc.T @ y)
+    def factor(slot: int, piece: int, turn: int, n: int, m: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([v], pa.int64()) for v in (slot, piece, turn, n)] + [nb.from_matrix(m.reshape(1, -1))],
+                                          names=["slot", "piece", "turn", "n", "m"])
 
-        for (slot, _), (n, s) in collect_sums(sum_partials(rows, ["x"], multiply)).items():
-            if last:
-                values, vectors = linear.descending_eigen(s.reshape(size, size))
-                directions = linear.fix_signs((frames[slot] @ vectors.T).T)
-                cell = cells[int(wanted[slot])]
-                cell.basis, cell.svals = linear.padded_basis(np.sqrt(np.maximum(values, 0)), directions, tree.d, n)
-            else:
-                frames[slot] = np.linalg.qr(s.reshape(tree.width, size))[0]
+    def reduce(it):
+        held: dict[int, list] = {}
+        size = turn = 0
+        for batch in it:
+            if batch.num_rows == 0:
+                continue
+            x = nb.to_matrix(batch.column("x"))
+            leaf = routes.value.leaf(x)
+            at = np.minimum(np.searchsorted(wanted, leaf), len(wanted) - 1)
+            inside = wanted[at] == leaf
+            for slot in np.unique(at[inside]):
+                xc = x[inside & (at == slot)] - shift.value[slot]
+                entry = held.setdefault(int(slot), [0, [], 0])
+                entry[0] += len(xc)
+                entry[1].append(xc)
+                entry[2] += len(xc)
+                size += xc.size
+                if entry[2] > 4 * width:
+                    entry[1] = [linear.triangle(np.vstack(entry[1]))]
+                    size -= (entry[2] - len(entry[1][0])) * width
+                    entry[2] = len(entry[1][0])
+                if size > FLUSH_VALUES:
+                    yield from pieces(held, turn)
+                    size, turn = 0, turn + 1
+        yield from pieces(held, turn)
+
+    def stacked(table: pa.Table) -> tuple[int, np.ndarray]:
+        order = np.lexsort((nb.to_numpy(table.column("turn")), nb.to_numpy(table.column("piece"))))
+        parts = nb.single(table.column("m"))
+        whole = np.vstack([parts[int(k)].values.to_numpy().reshape(-1, width) for k in order])
+        return int(nb.to_numpy(table.column("n")).sum()), linear.triangle(whole)
+
+    def merge(table: pa.Table) -> pa.Table:
+        n, m = stacked(table)
+        return pa.Table.from_batches([factor(table.column("slot")[0].as_py(), table.column("group")[0].as_py(), 0, n, m)])
+
+    def solve(table: pa.Table) -> pa.Table:
+        n, m = stacked(table)
+        basis, svals = linear.basis_from_triangle(m, d, n)
+        return pa.table({"slot": table.column("slot").slice(0, 1), "basis": nb.from_matrix(basis.reshape(1, -1)), "svals": nb.from_matrix(svals.reshape(1, -1))})
+
+    schema = "slot long, piece long, turn long, n long, m array<double>"
+    factors, left, fan = rows.mapInArrow(reduce, schema), rows.rdd.getNumPartitions(), max(2, factor_bytes // (8 * width * width))
+    while left > fan:
+        factors = factors.withColumn("group", F.floor(F.col("piece") / fan)).groupBy("slot", "group").applyInArrow(merge, schema)
+        left = -(-left // fan)
+    solved = factors.groupBy("slot").applyInArrow(solve, "slot long, basis array<double>, svals array<double>")
+    for r in solved.collect():
+        cell = cells[int(wanted[r.slot])]
+        cell.basis, cell.svals = np.array(r.basis).reshape(d, width), np.array(r.svals)
 
 
 def keeps_split(parent: Cell, left: Cell, right: Cell, prune: float | None, against: str) -> bool:
@@ -410,7 +432,7 @@ def _grow_small(points: DataFrame, tree: CellTree, small: dict[int, int], rounds
 
 
 def fit_tree(points: DataFrame, d: int, resolution: int, *, prune: float | None = PRUNE, against: str = "sibling",
-             rounds: int = ROUNDS, max_local_rows: int | None = None, gram_width: int = GRAM_WIDTH) -> CellTree:
+             rounds: int = ROUNDS, max_local_rows: int | None = None, factor_bytes: int = FACTOR_BYTES) -> CellTree:
     """Fit levels ``0 .. resolution`` of the cell tree over ``points(point_id, x)``.
 
     ``max_local_rows`` is the size below which a cell is handed to one task; it changes the
@@ -426,8 +448,8 @@ def fit_tree(points: DataFrame, d: int, resolution: int, *, prune: float | None
         raise ValueError("cannot fit a tree on no points")
     if root.low != root.high:
         raise ValueError(f"vectors of one table must all have the same length, found {root.low} to {root.high}")
-    if (2 ** (resolution + 1)) * root.high * 16 > 4 * storage.BROADCAST_LIMIT and root.n > 2**resolution:
-        raise ValueError("a tree this deep and wide has more centers than tasks can hold; lower the resolution")
+    if resolution > MAX_LEVEL:
+        raise ValueError(f"node ids of 64 bits name {MAX_LEVEL} levels, not {resolution}")
     local = max(1, LOCAL_BYTES // (8 * root.high)) if max_local_rows is None else max_local_rows
     tree = CellTree(d, root.high, {0: Cell(0, root.n, np.zeros(root.high))})
     live, small = [0], {}
@@ -436,13 +458,15 @@ def fit_tree(points: DataFrame, d: int, resolution: int, *, prune: float | None
     else:
         center = rows.agg(vector_to_array(Summarizer.mean(array_to_vector("x"))).alias("center")).first().center
         tree.cells[0].center = np.array(center)
-        fit_cells(points, tree, {0: tree.cells[0]}, gram_width)
+        fit_cells(points, tree, {0: tree.cells[0]}, factor_bytes)
     for level in range(0 if small else resolution):
         small |= {k: resolution - level for k in live if 1 < tree.cells[k].n <= local}
         live = [k for k in live if tree.cells[k].n > max(1, local)]
         if not live:
             break
-        live = next_resolution(points, tree, live, prune=prune, against=against, rounds=rounds, gram_width=gram_width)
+        live = next_resolution(points, tree, live, prune=prune, against=against, rounds=rounds, factor_bytes=factor_bytes)
+        if len(tree.cells) * root.high * 16 > 4 * storage.BROADCAST_LIMIT:
+            raise ValueError(f"{len(tree.cells)} cells of {root.high} columns are more centers than tasks can hold; lower the resolution")
     if small:
         for cell in _grow_small(points, tree, small, rounds, prune, against):
             tree.cells[cell.node_id] = cell
@@ -451,7 +475,7 @@ def fit_tree(points: DataFrame, d: int, resolution: int, *, prune: float | None
 
 
 def next_resolution(points: DataFrame, tree: CellTree, live: list[int], *, prune: float | None = PRUNE,
-                    against: str = "sibling", rounds: int = ROUNDS, gram_width: int = GRAM_WIDTH) -> list[int]:
+                    against: str = "sibling", rounds: int = ROUNDS, factor_bytes: int = FACTOR_BYTES) -> list[int]:
     """One level step on all ``live`` cells with more than one point; adds the kept children to the tree."""
     targets = [k for k in live if tree.cells[k].n > 1]
     if not targets:
@@ -459,7 +483,7 @@ def next_resolution(points: DataFrame, tree: CellTree, live: list[int], *, prune
     children = split_cells(points, tree, targets, rounds)
     if not children:
         return []
-    fit_cells(points, tree, children, gram_width)
+    fit_cells(points, tree, children, factor_bytes)
     kept = []
     for k in targets:
         left, right = children.get(2 * k + 1), children.get(2 * k + 2)
@@ -485,8 +509,7 @@ def prune_cells(nodes: DataFrame, eps: float = PRUNE, against: str = "sibling")
 
 def ancestor_ids(node_id):
     """All proper ancestors of a heap id, as an array expression (62 levels cover any long)."""
-    chain = F.transform(F.sequence(F.lit(1), F.lit(62)),
-                        lambda i: F.floor((node_id + 1) / F.pow(F.lit(2.0), i)).cast("long") - 1)
+    chain = F.transform(F.sequence(F.lit(1), F.lit(62)), lambda i: F.call_function("shiftright", node_id + 1, i) - 1)
     return F.filter(chain, lambda a: a >= 0)
 
 
@@ -552,7 +575,7 @@ def _nearest_by_level(x, by_level, router: Router) -> list[np.ndarray]:
     path = [np.zeros(len(x), np.int64)]
     for ids in by_level[1:]:
         ids = np.array(ids)
-        slots = router.index[(ids - 1) // 2]
+        slots = router.slots((ids - 1) // 2)
         centers = np.where((ids % 2 == 1)[:, None], router.left[slots], router.right[slots])
         path.append(ids[nb.nearest(x, centers)[0]])
     return path
@@ -698,7 +721,7 @@ def check_partition(reps: DataFrame, levels: int) -> DataFrame:
     full = fill_levels(reps.select("point_id", "level", "node_id", F.lit(None).cast("array<double>").alias("z")), levels)
     order = Window.partitionBy("point_id").orderBy("level", "node_id")
     above = F.lag("node_id").over(order)
-    nested = (F.col("node_id") == above) | (F.floor((F.col("node_id") - 1) / 2) == above) | (F.col("level") == 0)
+    nested = (F.col("node_id") == above) | (F.shiftright(F.col("node_id") - 1, 1) == above) | (F.col("level") == 0)
     marked = full.select("level", "point_id", "node_id", F.when(~nested, 1).otherwise(0).alias("stray"))
     seats = marked.groupBy("level", "point_id").agg(F.count(F.lit(1)).alias("cells"), F.max("stray").alias("stray"),
                                                     F.min("node_id").alias("node_id"))

@@ -76,6 +76,17 @@ def cell_count(n: int, rows_per_block: int, most: int = MAX_CELLS) -> int:
     return min(most, math.ceil(math.sqrt(n)), max(64, rows_per_block))
 
 
+def copies(n_queries: int, n: int, rows_per_block: int, workers: int) -> int:
+    """Rows of either side that travel if every query meets every block."""
+    data_blocks = max(1, -(-n // rows_per_block))
+    return n_queries * data_blocks + n * -(-n_queries // query_rows(n_queries * data_blocks, workers))
+
+
+def query_rows(work: int, workers: int) -> int:
+    """Query rows of a block. They are streamed, so their blocks only have to be small enough to share out the work."""
+    return max(128, -(-work // (8 * workers)))
+
+
 def make_cells(data: DataFrame, n: int, metric: Metric, rows_per_block: int, near: int, count: int | None,
                queries: DataFrame, rule: Within | Nearest) -> Cells:
     """Cells for the ``n`` rows of ``data(id, x)``: a single one for a small table, unless asked otherwise.
@@ -236,6 +247,11 @@ def _spread(counts: np.ndarray) -> Column:
     return F.element_at(F.lit([int(c) for c in counts]), F.col("cell") + 1)
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """The rows of both sides in their blocks, data before queries; the one shuffle of a join."""
+    return rows.repartition("cell", "qb", "xb").sortWithinPartitions("cell", "qb", "xb", "side")
+
+
 def block_join(queries: DataFrame, data: DataFrame, metric: Metric, cells: Cells, rule: Within | Nearest | Home | None,
                task: Callable[[Side, Side], Iterator[pa.RecordBatch]], schema: str | T.StructType, *,
                rows_per_block: int, n_queries: int | None = None, routed: DataFrame | None = None,
@@ -255,9 +271,7 @@ def block_join(queries: DataFrame, data: DataFrame, metric: Metric, cells: Cells
         for r in routed.groupBy("cell").count().collect():
             visits[r.cell] = r["count"]
     data_blocks = np.maximum(1, -(-cells.rows // rows_per_block))
-    # Query rows are streamed, so their blocks only have to be small enough to share out the work.
-    work = int((visits * data_blocks).sum())
-    per_block = max(128, -(-work // (8 * spark.sparkContext.defaultParallelism)))
+    per_block = query_rows(int((visits * data_blocks).sum()), spark.sparkContext.defaultParallelism)
     query_blocks = np.maximum(1, -(-visits // per_block))
 
     def own(count: Column) -> Column:
@@ -311,6 +325,6 @@ def block_join(queries: DataFrame, data: DataFrame, metric: Metric, cells: Cells
                     for t in range(0, len(chunk.ids), step):
                         yield from task(chunk.slice(t, t + step), block)
 
-    met = left.unionByName(right).repartition("cell", "qb", "xb").sortWithinPartitions("cell", "qb", "xb", "side")
+    met = dealt(left.unionByName(right))
     several = bool(cells.levels) or int(data_blocks.sum()) > 1
     return met.mapInArrow(run, schema), several

@@ -30,6 +30,8 @@ MAX_DUAL_CELLS = 2048
 
 
 def decode(column, metric: Metric) -> np.ndarray:
+    if metric.unpack:
+        return metric.unpack(column)
     if metric.textual:
         return np.array(nb.single(column).to_pylist(), dtype=object)
     return nb.to_matrix(column)

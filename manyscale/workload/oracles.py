@@ -118,6 +118,18 @@ def pair_counts(source: str, distance: str, radii: list[float]) -> str:
     return f"d AS (SELECT {distance} AS d FROM {source} q, {source} n) {rows}"
 
 
+def sweep(ks: list[int], dims: list[int], levels: list[int], widest: int) -> str:
+    """Votes over cuts of the points, one distance for each pair and cut."""
+    part = lambda x: f"list_concat({', '.join(f'{x}[{j * widest} + 1 : {j * widest} + d]' if j == 0 else f'CASE WHEN r > {j} THEN {x}[{j * widest} + 1 : {j * widest} + d] ELSE [] END' for j in range(max(levels)))})"
+    tally = ", ".join(f"t{k} AS (SELECT d, r, point_id, any_value(label) AS label, vote, count(*) AS c FROM ranked WHERE rank <= {k} GROUP BY d, r, point_id, vote)" for k in ks)
+    rows = " UNION ALL ".join(f"""SELECT 'knn_{k}' AS classifier, d, r, count(*) AS n, {r('avg(CASE WHEN prediction = label THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) * 100')} AS accuracy
+        FROM (SELECT d, r, point_id, any_value(label) AS label, arg_min(vote, (-c, vote)) AS prediction FROM t{k} GROUP BY d, r, point_id) GROUP BY d, r""" for k in ks)
+    return f"""WITH {P}, cuts AS (SELECT unnest({dims})::INTEGER AS d, rs.r FROM (SELECT unnest({levels})::INTEGER AS r) rs),
+        cut AS MATERIALIZED (SELECT d, r, point_id, label, {part('x')} AS x FROM p, cuts),
+        ranked AS (SELECT q.d, q.r, q.point_id, q.label AS label, n.label AS vote, row_number() OVER (PARTITION BY q.d, q.r, q.point_id ORDER BY list_distance(q.x, n.x), n.point_id) AS rank
+        FROM cut q JOIN cut n ON n.d = q.d AND n.r = q.r WHERE n.point_id % 100 < 70 AND q.point_id % 100 >= 70 QUALIFY rank <= {max(ks)}), {tally} {rows}"""
+
+
 def layer(name: str, source: str, width: int, out: int) -> str:
     """One sigmoid layer with the stated weights: rows ``(point_id, j, v)`` from rows ``(point_id, i, v)``."""
     return (f"{name} AS (SELECT point_id, j, 1 / (1 + exp(-(sum(v * (((7 * i + 3 * j) % 11) - 5) / 10.0::DOUBLE) + (j % 3) / 10.0::DOUBLE))) AS v "
@@ -219,6 +231,8 @@ ORACLES: dict[str, str] = {
     "ml_pca_energy": f"WITH {P} SELECT point_id, {norm2('x')} AS norm2 FROM p",
     "truncated_svd": SVD_FACTS,
     "incremental_svd": SVD_FACTS,
+    "frequent_directions": f"""WITH {P}, w AS (SELECT d, list_transform(range(0, 64), lambda j: {walsh('d', 'j')}) AS w FROM (SELECT unnest(range(0, 64)) AS d))
+        SELECT d AS direction, {r('sum(pow(list_inner_product(x, w), 2))', 5)} AS energy, true AS within, true AS bounded FROM p, w GROUP BY d""",
     "project": f"WITH {P}, {PLANE} SELECT point_id, CAST(k AS BIGINT) AS pos, {r('z')} AS v FROM z",
     "affine_reconstruct": f"WITH {P}, {PLANE}, {HAT} SELECT point_id, pos, {r('v')} AS v FROM hat",
     "subspace_cosines": f"WITH {P}, {HEAP} SELECT against, CAST(parent_id AS BIGINT) AS parent_id, node_id, {r('cosine')} AS cosine FROM cosines",
@@ -306,7 +320,9 @@ ORACLES: dict[str, str] = {
         SELECT 'knn_7' AS classifier, count(*) AS n, {r('avg(CASE WHEN prediction = label THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) * 100')} AS accuracy FROM predicted""",
     "classify_held_out": f"""WITH {P}, {votes(3, 'n.point_id % 100 < 70', 'q.point_id % 100 >= 70')}
         SELECT 'knn_3' AS classifier, count(*) AS n, {r('avg(CASE WHEN prediction = label THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) * 100')} AS accuracy FROM predicted""",
+    "kernel_machine_contract": "SELECT DISTINCT CAST(label AS BIGINT) AS label, CAST(1 AS BIGINT) AS has_both, true AS balanced, CAST(0 AS BIGINT) AS violations FROM embeddings",
     "linear_in_order": linear_in_order(),
+    "sweep_knn": sweep([3, 7], [4, 16], [1, 2, 4], 16),
     "fit_autoencoder_gradient": autoencoder_epochs(3, 2.0),
     "encode": f"WITH {P}, {E}, {layer('h1', 'e', 64, 3)}, {layer('h2', 'h1', 3, 2)} SELECT point_id, j AS pos, {r('v')} AS v FROM h2",
     "reconstruct": f"WITH {P}, {E}, {layer('h1', 'e', 64, 3)}, {layer('h2', 'h1', 3, 2)}, {layer('h3', 'h2', 2, 3)}, {layer('h4', 'h3', 3, 64)} SELECT point_id, j AS pos, {r('v')} AS v FROM h4",

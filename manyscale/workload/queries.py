@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from manyscale.functions import arrays, metrics
-from manyscale.operators import autoencoder, classify, decomposition, edit_joins, labels, matrix, neighbours, tree
+from manyscale.operators import autoencoder, classify, decomposition, edit_joins, kernel_machines, labels, matrix, neighbours, tree
 from manyscale.plans import storage
 from manyscale.sources import frames, models
 
@@ -321,6 +321,22 @@ def incremental_svd_top(spark, sf_dir):
     return f.u.select("point_id", "u")
 
 
+@query
+def frequent_directions(spark, sf_dir):
+    """Energy of the points along Walsh directions, and whether a sketch of 8 rows keeps its promise there and overall."""
+    p = points(spark, sf_dir)
+    sketch = decomposition.frequent_directions(p, 8)
+    axes = walsh(*range(64))
+    held = (sketch.b @ axes.T) ** 2
+    kept = spark.createDataFrame([(k, float(v)) for k, v in enumerate(held.sum(axis=0))], "direction long, kept double")
+    energy = decomposition.project(p, axes, None).select(F.posexplode("z").alias("direction", "z")).groupBy("direction").agg(F.sum(F.col("z") * F.col("z")).alias("energy"))
+    gap = F.col("energy") - F.col("kept")
+    slack = 1e-9 * sketch.energy
+    return energy.join(F.broadcast(kept), "direction").select(
+        F.col("direction").cast("long").alias("direction"), rounded("energy", 5).alias("energy"),
+        ((gap >= -slack) & (gap <= sketch.bound + slack)).alias("within"), F.lit(sketch.bound <= sketch.energy / 9 + slack).alias("bounded"))
+
+
 @query
 def project(spark, sf_dir):
     return long_form(decomposition.project(points(spark, sf_dir), walsh(1, 2, 3, 7), RAMP), "point_id", x="z")
@@ -752,6 +768,14 @@ for _name in ("svm", "logistic", *classify.STEPS):
     _trained(_name)
 
 
+@query
+def kernel_machine_contract(spark, sf_dir):
+    """For every class against the others: rows that contradict the machine's optimality, and whether its signed weights sum to zero."""
+    model = kernel_machines.fit_kernel_machine(points(spark, sf_dir))
+    facts = [(int(c), int((w > 0).any() and (w < 0).any()), bool(abs(w.sum()) < 1e-6 and np.abs(w).max() <= model.cost), model.violations) for c, w in zip(model.classes, model.weights)]
+    return spark.createDataFrame(facts, "label long, has_both long, balanced boolean, violations long")
+
+
 @query
 def linear_in_order(spark, sf_dir):
     """Every linear algorithm after one round of one worker over the points in the order of their ids: its weights, the last one the bias."""
@@ -770,6 +794,13 @@ def sweep(spark, sf_dir):
     return classify.sweep(points(spark, sf_dir), ["knn_7"], [3, 5], [2, 4])
 
 
+@query
+def sweep_knn(spark, sf_dir):
+    """The points read as four levels of 16 numbers: votes for several cuts of them, all from one join."""
+    train, test = labels.train_test_split(points(spark, sf_dir), 0.7, method="modulo")
+    return classify.sweep_knn(train, test, [3, 7], [4, 16], [1, 2, 4], 16).select("classifier", "d", "r", "n", rounded("accuracy").alias("accuracy"))
+
+
 # Autoencoder
 
 

@@ -42,3 +42,15 @@ def test_range_join(spark):
     assert sorted(tuple(p) for p in E.edit_range_join(table(a), table(b), 2).collect()) == want
     with pytest.raises(ValueError):
         E.edit_close_pairs(table(a), 1.5)
+
+
+def test_pair_counts(spark):
+    from manyscale.operators import neighbours
+
+    a, b = [*words(7), (90, "ab"), (91, "ab"), (92, None)], words(8, 40)
+    table = lambda rows: spark.createDataFrame(rows, "point_id long, x string").repartition(3)
+    left = table(a)
+    for other, rows in ((left, a), (table(b), b)):
+        d = [edits(x, y) for _, x in a if x is not None for _, y in rows if y is not None]
+        got = [(r.radius, r.n_pairs) for r in neighbours.count_pairs(left, other, [0.0, 2.5, 2.0, 4.0, 2.0], metric="levenshtein").collect()]
+        assert sorted(got) == sorted((r, sum(x <= r for x in d)) for r in [0.0, 2.5, 2.0, 4.0, 2.0])

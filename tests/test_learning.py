@@ -137,3 +137,72 @@ def test_moments_outlive_an_epoch(spark):
         seen.append(total / len(x))
     assert all(np.allclose(a, b, rtol=0, atol=1e-9) for a, b in zip([*model.weights, *model.biases], parameters))
     assert np.allclose([r.cost for r in costs.orderBy("epoch").collect()], seen, rtol=0, atol=1e-9)
+
+
+def test_one_join_gives_every_setting(spark, monkeypatch):
+    from manyscale.operators import neighbours as N
+
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=12).round(1).tolist(), int(rng.integers(0, 3))) for i in range(150)]
+    df = spark.createDataFrame(rows, "point_id long, x array<double>, label int").repartition(3)
+    train, test = df.where("point_id < 100"), df.where("point_id >= 100")
+    joins, join = [], N.blocks.block_join
+    monkeypatch.setattr(N.blocks, "block_join", lambda *a, **b: joins.append(1) or join(*a, **b))
+    for options in ({}, {"rows_per_block": 13}):
+        joins.clear()
+        found = N.knn_sweep(test, train, 5, [2, 3], [1, 2, 3], 4, payload=["label"], **options)
+        got = {}
+        for r in sorted(found.collect(), key=lambda r: r["rank"]):
+            got.setdefault((r["dim"], r["levels"], r.q_id), []).append((r.nbr_id, round(r.d, 9), r.label))
+        assert len(joins) == 1 and len(got) == 6 * 50
+        for (dim, levels, q), found in got.items():
+            cut = np.concatenate([np.arange(4 * j, 4 * j + dim) for j in range(levels)])
+            gaps = sorted((float(np.sqrt(((np.array(rows[q][1])[cut] - np.array(x)[cut]) ** 2).sum())), i, c) for i, x, c in rows[:100])[:5]
+            assert found == [(i, round(d, 9), c) for d, i, c in gaps]
+    for r in C.sweep_knn(train, test, [1, 5], [2, 3], [2], 4).collect():
+        cut = F.concat(F.slice("x", 1, r.d), F.slice("x", 5, r.d)).alias("x")
+        k = int(r.classifier.removeprefix("knn_"))
+        one, two = (part.select("point_id", cut, "label") for part in (train, test))
+        assert np.isclose(C.accuracy(two.join(C.knn_classify(one, two, k), "point_id")).first().accuracy, r.accuracy)
+    with pytest.raises(ValueError):
+        N.knn_sweep(test, train, 5, [2], [4], 4)
+
+
+def exact_machine(x, y, cost, gamma):
+    """The two-class problem by many small projected steps on all weights, for comparison."""
+    from manyscale.operators import kernel_machines as K
+
+    q = K.kernel(x, x, gamma) * np.outer(y, y)
+    alpha, rate = np.zeros(len(y)), 1.0 / np.linalg.eigvalsh(q)[-1]
+    ahead, momentum = alpha.copy(), 1.0
+    for _ in range(60_000):
+        moved = ahead + rate * (1 - q @ ahead)
+        low, high = -1e3, 1e3
+        for _ in range(60):  # the shift that keeps the signed sum at zero
+            mid = (low + high) / 2
+            low, high = (mid, high) if y @ np.clip(moved - mid * y, 0, cost) > 0 else (low, mid)
+        new = np.clip(moved - low * y, 0, cost)
+        after = (1 + np.sqrt(1 + 4 * momentum ** 2)) / 2
+        ahead, alpha, momentum = new + (momentum - 1) / after * (new - alpha), new, after
+    free = (alpha > 1e-6) & (alpha < cost - 1e-6)
+    bias = (y - (K.kernel(x, x, gamma) @ (alpha * y)))[free].mean()
+    return lambda z: K.kernel(z, x, gamma) @ (alpha * y) + bias
+
+
+@pytest.mark.parametrize("part_rows", [1000, 40])
+def test_cascade_equals_an_exact_solver(spark, part_rows):
+    from manyscale.operators import kernel_machines as K
+
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(150, 2)) * 1.5
+    label = (np.hypot(*x.T) > 1.6).astype(int) + (x[:, 0] > 1.5) + (rng.random(150) < 0.05)
+    df = spark.createDataFrame([(i, x[i].tolist(), int(label[i])) for i in range(150)], "point_id long, x array<double>, label int").repartition(4)
+    model = K.fit_kernel_machine(df, cost=2.0, gamma=0.7, part_rows=part_rows, tolerance=1e-4)
+    assert model.violations == 0 and (model.rounds == 1 or part_rows == 40)
+    got = np.array([r.decisions for r in model.decisions(df).orderBy("point_id").collect()])
+    for c, name in enumerate(model.classes):
+        want = exact_machine(x, np.where(label == name, 1.0, -1.0), 2.0, 0.7)
+        assert np.abs(got[:, c] - want(x)).max() < 5e-3
+        assert abs(model.weights[c].sum()) < 1e-9 and np.abs(model.weights[c]).max() <= 2.0
+    predicted = model.predict(df).orderBy("point_id").collect()
+    assert [r.prediction for r in predicted] == [model.classes[k] for k in got.argmax(axis=1)]

@@ -200,3 +200,37 @@ def test_wide_tables_never_form_a_square_matrix(table):
     inner = np.linalg.svd(x[:, :3000], compute_uv=False) ** 2 / 60
     assert abs(facts.trace - inner.sum()) < 1e-6 and abs(facts.squares - (inner ** 2).sum()) < 1e-6
     points.unpersist()
+
+
+@pytest.mark.parametrize("size,partitions", [(1, 1), (4, 9), (12, 40)])
+def test_frequent_directions_keep_their_bound(table, size, partitions):
+    rng = np.random.default_rng(6)
+    a = rng.normal(size=(700, 12)) * 2.0 ** -np.arange(12) + np.outer(rng.random(700) > 0.99, rng.normal(size=12) * 5)
+    sketch = D.frequent_directions(table(a, partitions=partitions), size)
+    assert sketch.b.shape == (size, 12) and np.isclose(sketch.energy, (a * a).sum())
+    off = np.linalg.eigvalsh(a.T @ a - sketch.b.T @ sketch.b)
+    assert off[0] >= -1e-8 and off[-1] <= sketch.bound + 1e-8
+    s = np.linalg.svd(a, compute_uv=False)
+    for k in range(size):
+        assert sketch.bound <= (s[k:] ** 2).sum() / (size + 1 - k) + 1e-8
+    assert size < 12 or sketch.bound < 1e-8
+    top, v = sketch.top(size)
+    assert (top <= s[:size] + 1e-8).all() and (s[:size] ** 2 - top ** 2 <= sketch.bound + 1e-8).all() and v.shape == (12, size)
+
+
+def test_heavy_inner_indices_are_split_in_two_dimensions(spark):
+    rng = np.random.default_rng(7)
+    entry = lambda rows: spark.createDataFrame([(int(i), int(j), float(v)) for i, j, v in rows], "i long, j long, v double").repartition(5)
+    a = [(i, 3, 1.0 + i) for i in range(400)] + [(int(i), int(k), 0.5) for i, k in zip(rng.integers(0, 400, 400), rng.integers(4, 60, 400))]
+    b = [(3, j, 2.0 - j) for j in range(300)] + [(int(k), int(j), 0.25) for k, j in zip(rng.integers(4, 60, 300), rng.integers(0, 300, 300))]
+    left, right = M.split_heavy(entry(a), entry(b), 50)
+    for side, columns in ((left, "sa"), (right, "sb")):
+        sizes = {tuple(r[:3]): r["count"] for r in side.groupBy("k", "sa", "sb").count().collect()}
+        assert max(sizes.values()) < 100 and len([k for k in sizes if k[0] == 3]) == 8 * 6
+    got = {(r.i, r.j): r.v for r in M.multiply_entries(entry(a), entry(b), 50).collect()}
+    want = {}
+    for i, k, v in a:
+        for kk, j, w in b:
+            if k == kk:
+                want[i, j] = want.get((i, j), 0.0) + v * w
+    assert got.keys() == want.keys() and all(np.isclose(got[key], want[key]) for key in want)

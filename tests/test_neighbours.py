@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from manyscale.functions import metrics
 from manyscale.operators import neighbours as nbr
-from manyscale.plans import blocks, cells
+from manyscale.plans import blocks, cells, sketches
 
 CUBE = np.array(list(itertools.product([0.0, 1.0], repeat=3)))
 PLAIN = {"euclidean": lambda d: np.sqrt((d * d).sum(-1)), "cityblock": lambda d: np.abs(d).sum(-1),
@@ -412,3 +412,50 @@ def test_nearest_of_many_pivots(table):
     asked.clear()
     cells.Nearest(1).walk(nest, metric, gauss(500, 3, 60))
     assert sum(asked) / 500 < 700
+
+
+# Sketches
+
+
+@pytest.mark.parametrize("m", [3, 8])
+def test_sketch_bounds_hold_for_any_rows(m):
+    rng = np.random.default_rng(61)
+    sketch = sketches.of_rows(rng.normal(size=(50, 8)) * np.arange(1, 9), m)
+    a = np.vstack([rng.normal(size=(40, 8)), rng.normal(size=(5, 8)) * 1e4, np.zeros((1, 8)), 1e-9 * rng.normal(size=(3, 8))])
+    b = np.vstack([a[:10], a[:10] + 1e-7, rng.normal(size=(30, 8)) * 5])
+    one, two = (sketch.decode(sketch.encode(x)) for x in (a, b))
+    assert sketch.encode(a).shape == (len(a), sketch.row_bytes)
+    low, high = sketches.bounds(one, two)
+    d = brute(a, b)
+    assert (low <= d).all() and (d <= high).all()
+    assert m < 8 or np.median((high - low)[:40]) < 0.01
+
+
+@pytest.mark.parametrize("kind", ["knn", "self", "bounded", "range", "close"])
+def test_sketched_joins_equal_brute_force_with_half_the_bytes(table, monkeypatch, kind):
+    x = gauss(600, 64, 62)
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    x[500] = x[3]
+    d = brute(x, x)
+    monkeypatch.setattr(nbr, "SKETCH_ROWS", 0)
+    shipped = []
+    plain = blocks.dealt
+    monkeypatch.setattr(blocks, "dealt", lambda rows: shipped.append(rows) or plain(rows))
+    t, r = table(x), float(np.quantile(d, 0.004))
+    if kind in ("knn", "self", "bounded"):
+        limit = r if kind == "bounded" else np.inf
+        got = nbr.knn_join(t, t, 4, rows_per_block=15, exclude_self=kind == "self", distance_upper_bound=limit, payload=["point_id"] if kind == "knn" else [])
+        want = nearest_rows(d, 4, kind == "self")
+        assert as_lists(got) == {i: ids for i, js in want.items() if (ids := [j for j in js if d[i, j] <= limit])}
+        assert all(abs(row.d - d[row.q_id, row.nbr_id]) < 1e-12 for row in got.collect())
+    elif kind == "range":
+        got = nbr.range_join(t, table(x[:300]), r, rows_per_block=15).collect()
+        assert sorted((p.i, p.j) for p in got) == [(i, j) for i, j in zip(*np.nonzero(d[:, :300] <= r))]
+    else:
+        got = nbr.close_pairs(t, r, rows_per_block=15).collect()
+        assert sorted((p.i, p.j) for p in got) == [(i, j) for i, j in zip(*np.nonzero(d <= r)) if i < j]
+    coded = shipped[0]
+    assert dict(coded.dtypes)["x"] == "binary"
+    sizes = coded.agg(F.sum(F.octet_length("x")).alias("bytes"), F.count("x").alias("n")).first()
+    pairs = len(got) if isinstance(got, list) else got.count()
+    assert sizes.bytes + pairs * (2 * 64 * 8 + sketches.PAIR_BYTES) < 0.5 * sizes.n * 64 * 8

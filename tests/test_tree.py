@@ -43,22 +43,60 @@ def test_expected_cells_and_errors(spark, sf):
     assert np.allclose(level_errors(points, tree), ERRORS[sf], atol=1e-6)
 
 
-@pytest.mark.parametrize("local,width", [(0, 1024), (150, 1024), (0, 8)])
-def test_every_route_gives_the_same_tree(fitted, local, width):
+@pytest.mark.parametrize("local,factors", [(0, T.FACTOR_BYTES), (150, T.FACTOR_BYTES), (0, 1)])
+def test_every_route_gives_the_same_tree(fitted, local, factors):
     points, tree = fitted
-    other = T.fit_tree(points, 5, 3, max_local_rows=local, gram_width=width)
+    other = T.fit_tree(points.repartition(7), 5, 3, max_local_rows=local, factor_bytes=factors)
     assert {k: c.n for k, c in tree.cells.items()} == {k: c.n for k, c in other.cells.items()}
     assert all(np.allclose(c.center, other.cells[k].center) for k, c in tree.cells.items())
-    if width > 64:
-        assert np.allclose(level_errors(points, tree), level_errors(points, other), atol=1e-9)
-        assert all(np.allclose(c.svals, other.cells[k].svals) for k, c in tree.cells.items())
+    assert np.allclose(level_errors(points, tree), level_errors(points, other), atol=1e-9)
+    assert all(np.allclose(c.svals, other.cells[k].svals) for k, c in tree.cells.items())
+    assert all(np.allclose(c.basis, other.cells[k].basis, atol=1e-7) for k, c in tree.cells.items())
+
+
+def test_both_routes_agree_on_wide_rows(table):
+    """The width of a real trajectory, with more and with fewer rows than columns in a cell."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(160, 6)) * [9, 7, 5, 4, 3, 2] @ rng.normal(size=(6, 2676)) + 0.01 * rng.normal(size=(160, 2676)) + 3.0
+    points = table(x, partitions=3)
+    one, two = T.fit_tree(points, 4, 2), T.fit_tree(points, 4, 2, max_local_rows=0, factor_bytes=1)
+    assert one.cells.keys() == two.cells.keys() and len(one.cells) == 7
+    for k, c in one.cells.items():
+        other = two.cells[k]
+        assert c.n == other.n and np.allclose(c.center, other.center) and np.allclose(c.svals, other.svals) and np.allclose(c.basis, other.basis, atol=1e-8)
+
+
+def test_a_deep_tree_takes_memory_for_its_cells_only():
+    """27 levels down one side, and ids close to the largest that 64 bits hold."""
+    for depth, side in ((27, 2), (61, 2), (61, 1)):
+        centers, k = {}, 0
+        for level in range(depth):
+            for s in (1, 2):
+                centers[2 * k + s] = np.array([level + 1.0 if s == side else -1.0 - level])
+            k = 2 * k + side
+        router = T.Router.build(centers, 1)
+        assert router.n_bytes < 100 * depth
+        path = router.path(np.array([[1000.0], [-1000.0], [3.2]]))
+        assert path[-1][0] == k and path[-1][1] == (3 - side) and len(path) == depth + 1
+        assert T.level_of(int(path[-1][0])) == depth
+
+
+def test_ancestors_of_large_ids(spark):
+    ids = [0, 5, 2 ** 53 + 1, 2 ** 61 - 3, 2 ** 62 - 2]
+    got = spark.createDataFrame([(k,) for k in ids], "node_id long").select("node_id", T.ancestor_ids(F.col("node_id")).alias("up")).collect()
+    for r in got:
+        up, k = [], r.node_id
+        while k:
+            k = (k - 1) // 2
+            up.append(k)
+        assert sorted(r.up) == sorted(up)
 
 
 def test_wide_route_finds_a_low_rank_plane(table):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(300, 3)) @ rng.normal(size=(3, 40)) + 5.0
     points = table(x)
-    tree = T.fit_tree(points, 3, 1, max_local_rows=0, gram_width=8)
+    tree = T.fit_tree(points, 3, 1, max_local_rows=0, factor_bytes=1)
     assert max(level_errors(points, tree)) < 1e-18
     assert all(np.allclose(c.basis @ c.basis.T, np.eye(3), atol=1e-9) for c in tree.cells.values())
 
@@ -112,11 +150,11 @@ def test_model_larger_than_a_broadcast_is_applied_in_passes(fitted, monkeypatch)
     assert T.feature_vectors(points, tree).count() == 500
 
 
-@pytest.mark.parametrize("local,width", [(150, 1024), (0, 8)])
-def test_many_cells_are_fitted_in_passes(fitted, monkeypatch, local, width):
+@pytest.mark.parametrize("local,factors", [(150, T.FACTOR_BYTES), (0, 1)])
+def test_many_cells_are_fitted_in_passes(fitted, monkeypatch, local, factors):
     points, tree = fitted
     monkeypatch.setattr(T.storage, "BROADCAST_LIMIT", 20_000)
-    other = T.fit_tree(points, 5, 2, max_local_rows=local, gram_width=width)
+    other = T.fit_tree(points, 5, 2, max_local_rows=local, factor_bytes=factors)
     assert {k: c.n for k, c in other.cells.items()} == {k: tree.cells[k].n for k in other.cells} and len(other.cells) == 7
     assert all(c.basis.shape == (5, 64) for c in other.cells.values())
 
