@@ -16,32 +16,59 @@ One edit leaves both lines with a common variant: the line with one word deleted
    lines with the earliest of the other kind. No group is paired out.
 5. The edit distance of each such pair is verified on the words.
 
-Built-in functions only. Defined results: a null or empty text has no lines to drop; rows that repeat a ``doc_id`` keep
-or drop the same line numbers; an empty table gives none; columns of the input other than the text stay as they are.
+Built-in functions only. Earlier means by ``doc_id``, null ids last, then by a hash of the text, then by line number. Defined
+results: a null or empty text has no lines to drop; rows that repeat an id are judged by their own texts; of rows that repeat id and
+text one keeps its lines, the first by a hash of all columns, and the others lose all but blank ones; an empty table
+gives none; columns of the input other than the text stay as they are, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from manyscale.llm import common
+from manyscale.llm.simhash_groups import row_key
 
 #: The fewest words of the longer line of a pair with an edit: one word is then at most a fifth.
 LEAST_WORDS = 5
 
 
+def parts(text: str) -> Column:
+    """The lines of a text; the other white space that separates words has become spaces."""
+    flat = F.coalesce(F.col(text), F.lit(""))
+    for blank in common.BLANKS[1:].replace("\n", ""):  # a search for one character each, and no copy if there is none
+        flat = F.replace(flat, F.lit(blank), F.lit(" "))
+    return F.split(flat, "\n")
+
+
+def normal(line: Column) -> Column:
+    """The words of a line with one space between them, which is as good as the array of them and much cheaper."""
+    trimmed = F.trim(line)
+    return F.when(F.contains(trimmed, F.lit("  ")), F.regexp_replace(trimmed, " +", " ")).otherwise(trimmed)
+
+
+def keys(id: str, text: str) -> list[Column]:
+    """The parts of ``row_key`` as columns."""
+    return [row_key(id, text).getField(name).alias(name) for name in ("none", "id", "body")]
+
+
 def lines(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(at struct<doc_id, line>, words)`` of every line that has a word."""
-    each = docs.select(F.col(id).cast("long").alias("doc_id"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line", "body"))
-    return each.select(F.struct("doc_id", "line").alias("at"), common.words(F.col("body")).alias("words")).where(F.size("words") > 0)
+    """``(at struct<none, id, body, line>, line)`` of every line that has a word, in normal form."""
+    each = docs.select(*keys(id, text), parts(text).alias("parts")).select("none", "id", "body", F.posexplode("parts").alias("n", "words"))
+    return each.select(F.struct("none", "id", "body", F.col("n").alias("line")).alias("at"), normal(F.col("words")).alias("line")).where("line <> ''")
 
 
-def halves(words: str) -> Column:
+def n_words(line: str) -> str:
+    return f"(octet_length({line}) - octet_length(replace({line}, ' ', '')) + 1)"
+
+
+def halves(line: str, n: str) -> Column:
     """Hashes of the first and the second half, as a line of its own length and as one that is a word longer than its partner."""
-    return F.expr(f"""flatten(transform(array(size({words}), size({words}) - 1), m -> array(
-        xxhash64(1, m, slice({words}, 1, m div 2)),
-        xxhash64(2, m, slice({words}, size({words}) - (m - m div 2) + 1, m - m div 2)))))""")
+    return F.expr(f"""flatten(transform(array({n}, {n} - 1), m -> array(
+        xxhash64(1, m, substring_index({line}, ' ', CAST(m div 2 AS INT))),
+        xxhash64(2, m, substring_index({line}, ' ', CAST(m div 2 - m AS INT))))))""")
 
 
 def variant_keys(rows: DataFrame) -> DataFrame:
@@ -79,13 +106,14 @@ def near(first: DataFrame, docs: DataFrame, id: str = "doc_id", text: str = "tex
     shared = first.where("halves IS NOT NULL").select("h", F.explode("halves").alias("half"))
     met = shared.groupBy("half").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("half")
     live = shared.join(met, "half", "left_semi").select("h").distinct()
-    wanted = first.join(live, "h", "left_semi").select("h", "at.doc_id", "at.line").groupBy(F.col("doc_id").alias("_id")).agg(
-        F.collect_list(F.struct("line", "h")).alias("_wanted"))
-    bodies = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    each = bodies.join(wanted, bodies["doc_id"].eqNullSafe(wanted["_id"])).select("doc_id", "_wanted", F.posexplode(F.split("text", "\n")).alias("line", "body"))
-    each = each.where("array_contains(_wanted.line, line)").select("doc_id", "line", "_wanted", common.words(F.col("body")).alias("words"))
-    each = each.withColumn("h", F.xxhash64("words")).where("array_contains(_wanted, named_struct('line', line, 'h', h))")
-    live = common.stored(each.select("h", F.struct("doc_id", "line").alias("at"), "words").dropDuplicates(["h"]))
+    wanted = first.join(live, "h", "left_semi").groupBy("at.none", "at.id", "at.body").agg(F.collect_list(F.struct("at.line", "h")).alias("wanted"))
+    bodies = docs.select(*keys(id, text), F.col(text).alias("text"))
+    # Wanted lines are taken from the array of all lines by their number.
+    taken = F.expr("wanted").alias("wanted"), parts("text").alias("parts")
+    each = bodies.join(wanted, ["none", "id", "body"]).select("none", "id", "body", *taken).select("none", "id", "body", F.explode(
+        F.transform(F.array(F.col("parts")), lambda p: F.transform("wanted", lambda w: F.struct(w["line"], w["h"], F.get(p, w["line"]).alias("text"))))[0]).alias("w"))
+    each = each.select("w.h", F.struct("none", "id", "body", "w.line").alias("at"), normal(F.col("w.text")).alias("line"))
+    live = common.stored(each.dropDuplicates(["h"]).select("h", "at", F.split("line", " ").alias("words")))
     variants = variant_keys(live)
     # A run of one word gives a line the same key several times; only keys of two lines matter.
     often = variants.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("key")
@@ -103,33 +131,43 @@ def near(first: DataFrame, docs: DataFrame, id: str = "doc_id", text: str = "tex
 
 
 def decide(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, kept, near)``: line numbers that stay, and those that go for a near copy, of documents with such a line."""
-    hashed = lines(docs, id, text).select("at", F.xxhash64("words").alias("h"), F.xxhash64(F.lit(7), "words").alias("g"),
-                                          F.when(F.size("words") >= LEAST_WORDS - 1, halves("words")).alias("halves"))
+    """``(none, id, body, kept, near)``: line numbers that stay, and those that go for a near copy, by ``row_key`` of documents with such a line."""
+    n = n_words("line")
+    hashed = lines(docs, id, text).select("at", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(7), "line").alias("g"),
+                                          F.when(F.expr(f"{n} >= {LEAST_WORDS - 1}"), halves("line", n)).alias("halves"))
     first = common.stored(hashed.groupBy("h", "g").agg(F.min("at").alias("at"), F.any_value("halves").alias("halves")).select("h", "at", "halves"))
     dropped = near(first, docs, id, text).withColumn("near", F.lit(True))
-    joined = first.select("at").join(dropped, "at", "left").select("at.doc_id", "at.line", F.coalesce("near", F.lit(False)).alias("near"))
-    return joined.groupBy("doc_id").agg(
+    joined = first.select("at").join(dropped, "at", "left").select("at.*", F.coalesce("near", F.lit(False)).alias("near"))
+    return joined.groupBy("none", "id", "body").agg(
         F.sort_array(F.collect_list(F.when(~F.col("near"), F.col("line")))).alias("kept"),
         F.sort_array(F.collect_list(F.when(F.col("near"), F.col("line")))).alias("near"))
 
 
-def numbered(text: str) -> Column:
-    """``(line, body, blank)`` of each line."""
-    return F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"),
-                       lambda body, i: F.struct(i.alias("line"), body.alias("body"), (F.translate(body, common.BLANKS, "") == "").alias("blank")))
+def judged(rows: DataFrame, docs: DataFrame, id: str, text: str) -> DataFrame:
+    """``rows(row, order, none, id, body)``, one for each document, with ``kept`` and ``near``: both empty for all but one row of a key."""
+    none = F.array().cast("array<int>")
+    met = rows.join(decide(docs, id, text), ["none", "id", "body"], "left")
+    nth = F.row_number().over(Window.partitionBy("none", "id", "body").orderBy("order"))
+    return met.withColumn("nth", nth).select("row", *(F.when(F.col("nth") == 1, F.coalesce(c, none)).otherwise(none).alias(c) for c in ("kept", "near")))
+
 
+def report(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(doc_id, n_lines, kept, near, filled)``: numbers of the lines that stay, that go for a near copy, and that have a word.
 
-def with_decisions(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents with arrays ``_kept`` and ``_near`` of line numbers."""
-    found = decide(docs, id, text).select(F.col("doc_id").alias("_id"), F.col("kept").alias("_kept"), F.col("near").alias("_near"))
-    none = F.array().cast("array<int>")
-    return (docs.join(found, docs[id].cast("long").eqNullSafe(found["_id"]), "left").drop("_id")
-            .withColumns({"_kept": F.coalesce("_kept", none), "_near": F.coalesce("_near", none)}))
+    Only line numbers are joined here, not texts.
+    """
+    filled = F.transform(F.array(parts(text)), lambda p: F.filter(F.transform(p, lambda b, i: F.when(F.trim(b) != "", i)), lambda i: i.isNotNull()))[0]
+    row = F.struct(F.col(id).alias("doc_id"), F.size(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).cast("long").alias("n_lines"), filled.alias("filled"))
+    rows = docs.select(row.alias("row"), F.lit(0).alias("order"), *keys(id, text))
+    return judged(rows, docs, id, text).select("row.doc_id", "row.n_lines", "kept", "near", "row.filled")
 
 
 def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents, whose texts have lost the lines that go; a null text stays null."""
-    stays = F.filter(numbered(text), lambda e: e["blank"] | F.array_contains("_kept", e["line"]))
-    cut = F.when(F.col(text).isNotNull(), F.array_join(F.transform(stays, lambda e: e["body"]), "\n"))
-    return with_decisions(docs, id, text).withColumn(text, cut).drop("_kept", "_near")
+    plain = [F.col(f"`{f.name}`") for f in docs.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    rows = docs.select(F.struct("*").alias("row"), F.xxhash64(*plain).alias("order"), *keys(id, text))
+    body = F.col("row").getField(text)
+    blank = lambda p: F.filter(F.transform(p, lambda b, i: F.when(~F.rlike(b, F.lit(r"[^ \t\x0B\f\r]")), i)), lambda i: i.isNotNull())
+    stays = F.transform(F.array(F.split(body, "\n")), lambda p: F.transform(F.array_sort(F.concat(blank(p), F.col("kept"))), lambda i: F.get(p, i)))[0]
+    cut = F.when(body.isNotNull(), F.array_join(stays, "\n"))
+    return judged(rows, docs, id, text).select(*(cut.alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns))

@@ -82,20 +82,12 @@ def op9_simhash_groups(spark, sf_dir):
 
 @query
 def op6_line_dedup(spark, sf_dir):
-    docs = documents(spark, sf_dir)
-    found = line_dedup.decide(docs).withColumnRenamed("doc_id", "id")
-    # Only line numbers are joined here, not texts.
-    sizes = docs.select("doc_id", F.expr(f"transform(filter({LINES}, e -> NOT e.blank), e -> e.line)").alias("filled"),
-                        F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"))
-    rows = sizes.join(found, sizes["doc_id"].eqNullSafe(found["id"]), "left")
-    none = F.array().cast("array<int>")
-    gone = F.array_except("filled", F.coalesce("kept", none))
-    near = F.size(F.coalesce("near", none)).cast("long")
-    return rows.select("doc_id", "n_lines", (F.size(gone) - near).alias("n_exact"), near.alias("n_near"),
-                       F.array_join(F.sort_array(gone).cast("array<string>"), ",").alias("dropped"))
-
-
-LINES = "transform(split(coalesce(text, ''), '\\n'), (b, i) -> named_struct('line', i, 'blank', translate(b, ' \\t\\n\\u000b\\f\\r', '') = ''))"
+    found = line_dedup.report(documents(spark, sf_dir))
+    gone, near = F.array_except("filled", "kept"), F.size("near").cast("long")
+    return found.select("doc_id", "n_lines", (F.size(gone) - near).alias("n_exact"), near.alias("n_near"),
+                        F.array_join(F.sort_array(gone).cast("array<string>"), ",").alias("dropped"))
+
+
 BLANK = r"[\x20\x09-\x0D]+"
 WORDS = rf"list_filter(regexp_split_to_array({{}}, '{BLANK}'), lambda w: w <> '')"
 
