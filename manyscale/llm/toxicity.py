@@ -2,8 +2,9 @@
 
 1. Of the rows to learn from, at most ``SAMPLE`` for each label are taken, those with the smallest hash of their id; both
    bounds are parameters, and this sample is all that is collected or broadcast. A quarter of it calibrates, the rest are examples.
-2. Terms are runs of letters, A-Z in lower case. The vocabulary is the terms of the examples whose documents differ by label
-   more than chance among so many terms allows (chi-square), at most ``TERMS``. Examples are unit vectors of ``(1 + ln tf) ln(1 + n / df)``.
+2. Terms are runs of letters, A-Z in lower case. The vocabulary is the terms whose odds of either label are ``ODDS`` times those of
+   all examples, beyond ``EVIDENCE`` times what chance among so many terms allows (chi-square), at most ``TERMS``. Copies count
+   as several documents, hence that factor; terms with nearly even odds only make vectors long. Examples are unit vectors of ``(1 + ln tf) ln(1 + n / df)``.
 3. The index lists a term's examples in blocks of ``BLOCK`` neighbouring examples, with the greatest weight of each block.
    A text adds up those maxima into a bound for every block and visits blocks from the highest bound down, until
    no bound reaches the ``K``-th best cosine. So the neighbours are exact; equal cosines go to the smaller id.
@@ -32,6 +33,7 @@ from manyscale.plans import storage
 #: Rows of one label that are learnt from, at most.
 SAMPLE = 20_000
 TERMS = 8192
+ODDS, EVIDENCE = 3, 2
 K = 15
 BLOCK = 64
 SOFT = 0.05
@@ -64,41 +66,31 @@ class Index:
     term_start: np.ndarray
 
     @classmethod
-    def build(cls, texts: list[tuple[int, int, str]], vocabulary: list[tuple[str, int]], n: int) -> Index:
-        """From examples ``(id, label, text)`` and ``(term, documents)`` among ``n`` examples."""
+    def build(cls, examples: list[tuple[int, int, dict[int, int]]], vocabulary: list[tuple[str, int]], n: int) -> Index:
+        """From examples ``(id, label, counts of terms by their place)`` and ``(term, documents)`` among ``n`` examples."""
         known = {term: k for k, (term, _) in enumerate(vocabulary)}
         idf = np.array([math.log(1 + n / max(1, df)) for _, df in vocabulary])
-        found = [cls.vector(known, idf, text) for _, _, text in texts]
+        found = [unit(counts, idf) for _, _, counts in examples]
         # Examples with one leading term stand together, so that blocks have few terms.
         lead = [int(t[w.argmax()]) if len(t) else -1 for t, w in found]
-        order = sorted(range(len(texts)), key=lambda k: (lead[k], texts[k][0]))
+        order = sorted(range(len(examples)), key=lambda k: (lead[k], examples[k][0]))
         term = np.concatenate([found[k][0] for k in order] or [np.empty(0, np.int64)])
         weight = np.concatenate([found[k][1] for k in order] or [np.empty(0)])
         example = np.repeat(np.arange(len(order)), [len(found[k][0]) for k in order])
         by = np.argsort(term, kind="stable")
         term, weight, example = term[by], weight[by], example[by]
         run = np.flatnonzero((np.diff(term, prepend=-1) != 0) | (np.diff(example // BLOCK, prepend=-1) != 0))
-        return cls(known, idf, np.array([texts[k][0] for k in order], np.int64), np.array([texts[k][1] for k in order], np.int64),
+        return cls(known, idf, np.array([examples[k][0] for k in order], np.int64), np.array([examples[k][1] for k in order], np.int64),
                    example, weight, np.append(run, len(term)), example[run] // BLOCK,
                    np.maximum.reduceat(weight, run) if len(run) else weight, np.searchsorted(term[run], np.arange(len(known) + 1)))
 
-    @staticmethod
-    def vector(known: dict[str, int], idf: np.ndarray, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Terms in order and weights of length one; nothing without a known term."""
-        counts = Counter(k for t in terms(text) if (k := known.get(t)) is not None)
-        if not counts:
-            return np.empty(0, np.int64), np.empty(0)
-        at = np.array(sorted(counts), np.int64)
-        weight = (1 + np.log([counts[k] for k in at.tolist()])) * idf[at]
-        return at, weight / math.sqrt(float(weight @ weight))
-
     @property
     def n_bytes(self) -> int:
         return sum(a.nbytes for a in vars(self).values() if isinstance(a, np.ndarray)) + 100 * len(self.known)
 
     def nearest(self, text: str | None, k: int = K) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the ``k`` best examples that share a term with the text, best first."""
-        at, own = self.vector(self.known, self.weight_of_term, text)
+        at, own = unit(term_counts(self.known, text), self.weight_of_term)
         first, last = self.term_start[at], self.term_start[at + 1]
         runs = expanded(first, last)
         if not len(runs):
@@ -136,6 +128,20 @@ class Index:
         return float(weight @ self.labels[best] / weight.sum())
 
 
+def term_counts(known: dict[str, int], text: str | None) -> Counter:
+    """How often each known term occurs, by its place in the vocabulary."""
+    return Counter(k for t in terms(text) if (k := known.get(t)) is not None)
+
+
+def unit(counts: dict[int, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Terms in order and TF-IDF weights of length one; nothing without a term."""
+    if not counts:
+        return np.empty(0, np.int64), np.empty(0)
+    at = np.array(sorted(counts), np.int64)
+    weight = (1 + np.log([counts[k] for k in at.tolist()])) * idf[at]
+    return at, weight / math.sqrt(float(weight @ weight))
+
+
 def expanded(start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """All numbers of the ranges ``[start, end)``, range by range."""
     sizes = end - start
@@ -206,11 +212,12 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     # Chi-square of a term's documents against the label.
     scale = total ** 3 / (positive * negative)
     chi = F.expr(f"CASE WHEN n < {total} THEN pow(m - n * {positive / total!r}D, 2) * {scale!r}D / (CAST(n AS DOUBLE) * ({total} - n)) ELSE 0D END")
-    least = 2 * math.log(max(2, spread.count())) + 5
-    chosen = spread.withColumn("chi", chi).where((F.col("chi") > least) & (F.col("n") >= 3)).orderBy(F.desc("chi"), "term").limit(n_terms).select("term", "n").collect()
+    least = EVIDENCE * (2 * math.log(max(2, spread.count())) + 5)
+    odds = F.expr(f"(m + 0.5D) / (n - m + 0.5D) * {negative / positive!r}D")
+    one_sided = (odds >= ODDS) | (odds <= 1 / ODDS)
+    chosen = spread.withColumn("chi", chi).where((F.col("chi") > least) & one_sided & (F.col("n") >= 3)).orderBy(F.desc("chi"), "term").limit(n_terms).select("term", "n").collect()
     vocabulary = sorted((r.term, r.n) for r in chosen)
-    texts = thinned(examples, vocabulary)
-    index = Index.build(texts, vocabulary, total)
+    index = Index.build(counted(examples, vocabulary), vocabulary, total)
     sent = storage.checked_broadcast(docs.sparkSession, index, index.n_bytes, "the index of examples")
 
     def votes(sums, bodies, marks):
@@ -218,24 +225,25 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
             key = (bin_of(sent.value.vote(*sent.value.nearest(body))), mark)
             sums[key] = (sums.get(key, (0,))[0] + 1,)
 
-    counted = common.tallied(rows.where("calibrates").select("text", "toxic"), votes, "bin int, toxic int, n long").groupBy("bin", "toxic").agg(F.sum("n").alias("n")).collect()
+    judged = common.tallied(rows.where("calibrates").select("text", "toxic"), votes, "bin int, toxic int, n long").groupBy("bin", "toxic").agg(F.sum("n").alias("n")).collect()
     tally = np.zeros((BINS + 1, 2))
-    for r in counted:
+    for r in judged:
         tally[r.bin, r.toxic] += r.n * stands_for[r.toxic]
     alone = (tally[0, 1] + prior) / (tally[0].sum() + 1)
     return Model(index, np.append(alone, isotonic(tally[1:, 1], tally[1:].sum(1), prior)))
 
 
-def thinned(examples: DataFrame, vocabulary: list[tuple[str, int]]) -> list[tuple[int, int, str]]:
-    """The examples with only the words of the vocabulary, repeats included, so that whole texts stay on the executors."""
-    words = frozenset(t for t, _ in vocabulary)
+def counted(examples: DataFrame, vocabulary: list[tuple[str, int]]) -> list[tuple[int, int, dict[int, int]]]:
+    """The examples as counts of the vocabulary's terms, at most one number for each term and example; texts stay on the executors."""
+    known = {term: k for k, (term, _) in enumerate(vocabulary)}
 
     def work(ids, texts):
-        return {"doc_id": ids, "text": [" ".join(t for t in terms(body) if t in words) for body in texts]}
+        found = [sorted(term_counts(known, t).items()) for t in texts]
+        return {"doc_id": ids, "at": [[k for k, _ in f] for f in found], "n": [[n for _, n in f] for f in found]}
 
-    short = common.on_texts(examples, work, "doc_id long, text string")
     marks = {r.doc_id: r.toxic for r in examples.select("doc_id", "toxic").collect()}
-    return [(r.doc_id, marks[r.doc_id], r.text) for r in short.collect()]
+    rows = common.on_texts(examples, work, "doc_id long, at array<int>, n array<long>").collect()
+    return [(r.doc_id, marks[r.doc_id], dict(zip(r.at, r.n))) for r in rows]
 
 
 def predict(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text") -> DataFrame:
