@@ -12,6 +12,7 @@ from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from manyscale.functions import arrays
 from manyscale.functions import batches as nb
@@ -20,6 +21,7 @@ from manyscale.operators import tree as cells
 from manyscale.operators.decomposition import _with_vectors, table_width
 from manyscale.operators.neighbours import knn_join, knn_sweep
 from manyscale.plans import storage, workers
+from manyscale.plans.partials import collect_sums, sum_partials
 
 ALPHA = 0.0001
 
@@ -166,11 +168,50 @@ def svm(train: DataFrame, test: DataFrame, *, size: int = 256, gamma: float | No
     return _library_predict(fitted, classes, lift(test), "features").drop("features")
 
 
+@dataclass
+class LogisticModel:
+    """Multinomial probabilities ``softmax(x . weights[c] + bias[c])``, fitted by the library."""
+
+    classes: list
+    weights: np.ndarray
+    bias: np.ndarray
+    reg: float
+
+    def predict(self, df: DataFrame, x_col: str = "x") -> DataFrame:
+        return LinearModel(self.classes, self.weights, self.bias).predict(df, x_col)
+
+    def slopes(self, df: DataFrame) -> DataFrame:
+        """``(label, n, g)``: the gradient of the penalised mean loss over ``(x, label)`` for each class, the last number for the bias; zero at the optimum."""
+        shipped = storage.checked_broadcast(df.sparkSession, (self.weights, self.bias), self.weights.nbytes, "the weights")
+        rows = _indexed(df, self.classes, "x").select(arrays.doubles("x").alias("x"), F.col("_c").cast("int").alias("c"))
+
+        def extract(batch):
+            x, c = nb.to_matrix(batch.column("x")), nb.to_numpy(batch.column("c"))
+            score = x @ shipped.value[0].T + shipped.value[1]
+            p = np.exp(score - score.max(axis=1, keepdims=True))
+            p /= p.sum(axis=1, keepdims=True)
+            p[np.arange(len(c)), c] -= 1.0
+            for k in range(p.shape[1]):
+                yield k, 0, len(x), p[:, k] @ np.hstack([x, np.ones((len(x), 1))])
+
+        summed = sum_partials(rows, ["x", "c"], extract)
+        pull = {k: np.append(self.reg * w, 0.0) for k, w in enumerate(self.weights)}
+        found = [(self.classes[k], n, (s / n + pull[k]).tolist()) for (k, _), (n, s) in sorted(collect_sums(summed).items())]
+        schema = T.StructType([T.StructField("label", df.schema["label"].dataType), T.StructField("n", T.LongType()), T.StructField("g", T.ArrayType(T.DoubleType()))])
+        return df.sparkSession.createDataFrame(found, schema)
+
+
+def fit_logistic(train: DataFrame, *, tol: float = 0.1, reg: float = 0.0, max_iter: int = 100, standardize: bool = True) -> LogisticModel:
+    """Multinomial logistic regression; ``reg`` weighs half the squared weights, of standardized columns unless told otherwise."""
+    classes = class_labels(train)
+    machine = LogisticRegression(featuresCol="_f", labelCol="_c", family="multinomial", tol=tol, regParam=reg, maxIter=max_iter, standardization=standardize)
+    fitted = machine.fit(_indexed(train, classes, "x"))
+    return LogisticModel(classes, fitted.coefficientMatrix.toArray(), fitted.interceptVector.toArray(), reg)
+
+
 def logistic(train: DataFrame, test: DataFrame, *, tol: float = 0.1, reg: float = 0.0) -> DataFrame:
     """Multinomial logistic regression with a loose stopping tolerance."""
-    classes = class_labels(train)
-    machine = LogisticRegression(featuresCol="_f", labelCol="_c", predictionCol="_p", tol=tol, regParam=reg)
-    return _library_predict(machine.fit(_indexed(train, classes, "x")), classes, test, "x")
+    return fit_logistic(train, tol=tol, reg=reg).predict(test)
 
 
 def _knn_predict(k: int):

@@ -32,6 +32,8 @@ ROUNDS = 10
 #: Levels below the root whose heap ids fit 64 bits.
 MAX_LEVEL = 61
 PRUNE = 0.99999
+#: The column in which stored vectors keep the cell they have come to, and after how many levels it is noted anew.
+NODE, STORED_LEVELS = "_manyscale_node", 3
 LOCAL_BYTES = 64 * 1024 * 1024
 #: Bytes of triangular factors that a task merges at once.
 FACTOR_BYTES = 256 * 1024 * 1024
@@ -134,17 +136,17 @@ class Router:
         out[moving] = 2 * nodes[moving] + 1 + (near > far)
         return out
 
-    def path(self, points: np.ndarray) -> list[np.ndarray]:
-        """The node of every row at each level, as long as any row still moves."""
-        levels = [np.zeros(len(points), np.int64)]
+    def path(self, points: np.ndarray, start: np.ndarray | None = None) -> list[np.ndarray]:
+        """The node of every row at each level from ``start`` (the root unless given), as long as any row still moves."""
+        levels = [np.zeros(len(points), np.int64) if start is None else start]
         while True:
             deeper = self.step(points, levels[-1])
             if np.array_equal(deeper, levels[-1]):
                 return levels
             levels.append(deeper)
 
-    def leaf(self, points: np.ndarray) -> np.ndarray:
-        return self.path(points)[-1]
+    def leaf(self, points: np.ndarray, start: np.ndarray | None = None) -> np.ndarray:
+        return self.path(points, start)[-1]
 
 
 def grouped_sums(points: np.ndarray, keys: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
@@ -159,6 +161,32 @@ def _vectors(points: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     return points.select(F.col("point_id").cast("long").alias("point_id"), arrays.doubles("x").alias("x"), *keep)
 
 
+def _placed(points: DataFrame) -> tuple[DataFrame, list[str]]:
+    """The vectors, with the node that ``_stored`` has noted if it has, and the columns that ``_routed`` reads."""
+    noted = [NODE] if NODE in points.columns else []
+    return _vectors(points, noted), ["x", *noted]
+
+
+def _routed(router: Router, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors of a batch and the cell that each has come to, from the noted node on."""
+    x = nb.to_matrix(batch.column("x"))
+    return x, router.leaf(x, nb.to_numpy(batch.column(NODE)) if NODE in batch.schema.names else None)
+
+
+def _stored(points: DataFrame, tree: CellTree) -> DataFrame:
+    """The vectors with the cells that they have come to, stored: later scans read nothing else and route from there."""
+    rows, _ = _placed(points)
+    routes = _share(points.sparkSession, {k: c.split_center for k, c in tree.cells.items() if k}, tree.width)
+
+    def note(it):
+        for batch in it:
+            if batch.num_rows:
+                _, leaf = _routed(routes.value, batch)
+                yield pa.RecordBatch.from_arrays([batch.column("point_id"), batch.column("x"), pa.array(leaf, pa.int64())], names=["point_id", "x", NODE])
+
+    return storage.materialize(rows.mapInArrow(note, f"point_id long, x array<double>, {NODE} long"))
+
+
 def _share(spark: SparkSession, centers: dict[int, np.ndarray], width: int):
     router = Router.build(centers, width)
     return storage.checked_broadcast(spark, router, router.n_bytes, "the split centers of the tree")
@@ -167,7 +195,7 @@ def _share(spark: SparkSession, centers: dict[int, np.ndarray], width: int):
 def _extreme(rows: DataFrame, pick) -> dict[int, tuple[np.ndarray, int]]:
     """Per node the row with the smallest ``(score, point_id)``.
 
-    ``pick(points)`` gives node ids (negative: ignore) and scores. Tasks keep one candidate per node.
+    ``pick(batch)`` gives the vectors, node ids (negative: ignore) and scores. Tasks keep one candidate per node.
     """
 
     def task(it):
@@ -175,8 +203,8 @@ def _extreme(rows: DataFrame, pick) -> dict[int, tuple[np.ndarray, int]]:
         for batch in it:
             if batch.num_rows == 0:
                 continue
-            ids, x = nb.to_numpy(batch.column("point_id")), nb.to_matrix(batch.column("x"))
-            nodes, score = pick(x)
+            ids = nb.to_numpy(batch.column("point_id"))
+            x, nodes, score = pick(batch)
             order = np.lexsort((ids, score, nodes))
             found, first = np.unique(nodes[order], return_index=True)
             for k, at in zip(found.tolist(), order[first]):
@@ -200,23 +228,23 @@ def split_cells(points: DataFrame, tree: CellTree, targets: list[int], rounds: i
     one last assignment, whose members make the child. A point as near to both goes left, an
     emptied side keeps its center. Cells that do not come apart get no children.
     """
-    rows, spark = _vectors(points), points.sparkSession
+    (rows, columns), spark = _placed(points), points.sparkSession
     routes = _share(spark, {k: c.split_center for k, c in tree.cells.items() if k}, tree.width)
     wanted = np.array(sorted(targets))
 
-    def members(x):
-        leaf = routes.value.leaf(x)
-        return np.where(np.isin(leaf, wanted), leaf, -1)
+    def members(batch):
+        x, leaf = _routed(routes.value, batch)
+        return x, np.where(np.isin(leaf, wanted), leaf, -1)
 
-    first = _extreme(rows, lambda x: (members(x), np.zeros(len(x))))
+    first = _extreme(rows, lambda batch: (*members(batch), np.zeros(batch.num_rows)))
     anchor = np.array([first[k] for k in wanted])
     start = storage.checked_broadcast(spark, (wanted, anchor), anchor.nbytes, "the first centers of one level")
 
-    def distance_order(x):
-        nodes = members(x)
+    def distance_order(batch):
+        x, nodes = members(batch)
         ids, anchors = start.value
         gap = nb.row_norms(x - anchors[np.searchsorted(ids, np.maximum(nodes, ids[0]))])
-        return nodes, -np.round(gap, 12)
+        return x, nodes, -np.round(gap, 12)
 
     second = _extreme(rows, distance_order)
     centers = {side: np.array([(first, second)[side][k] for k in wanted]) for side in (0, 1)}
@@ -227,8 +255,7 @@ def split_cells(points: DataFrame, tree: CellTree, targets: list[int], rounds: i
         model = storage.checked_broadcast(spark, (wanted, used), 2 * used[0].nbytes, "the centers of one level")
 
         def assign(batch):
-            x = nb.to_matrix(batch.column("x"))
-            nodes = members(x)
+            x, nodes = members(batch)
             x, nodes = x[nodes >= 0], nodes[nodes >= 0]
             if len(x) == 0:
                 return
@@ -238,7 +265,7 @@ def split_cells(points: DataFrame, tree: CellTree, targets: list[int], rounds: i
             for key, n, s in grouped_sums(x, 2 * at + right):
                 yield key // 2, key % 2, n, s
 
-        sums = collect_sums(sum_partials(rows, ["x"], assign))
+        sums = collect_sums(sum_partials(rows, columns, assign))
         counts = np.zeros((2, len(wanted)), np.int64)
         for (at, side), (n, s) in sums.items():
             counts[side, at] = n
@@ -267,7 +294,7 @@ def fit_cells(points: DataFrame, tree: CellTree, cells: dict[int, Cell], factor_
         for s in range(0, len(ids), fit):
             fit_cells(points, tree, {k: cells[k] for k in ids[s : s + fit]}, factor_bytes)
         return
-    rows, spark = _vectors(points), points.sparkSession
+    (rows, _), spark = _placed(points), points.sparkSession
     known = {**{k: c.split_center for k, c in tree.cells.items() if k},
              **{k: c.split_center for k, c in cells.items() if k}}
     routes = _share(spark, known, tree.width)
@@ -291,8 +318,7 @@ def fit_cells(points: DataFrame, tree: CellTree, cells: dict[int, Cell], factor_
         for batch in it:
             if batch.num_rows == 0:
                 continue
-            x = nb.to_matrix(batch.column("x"))
-            leaf = routes.value.leaf(x)
+            x, leaf = _routed(routes.value, batch)
             at = np.minimum(np.searchsorted(wanted, leaf), len(wanted) - 1)
             inside = wanted[at] == leaf
             for slot in np.unique(at[inside]):
@@ -394,7 +420,7 @@ def _grow_small(points: DataFrame, tree: CellTree, small: dict[int, int], rounds
         ids = sorted(small)
         return [cell for s in range(0, len(ids), fit)
                 for cell in _grow_small(points, tree, {k: small[k] for k in ids[s : s + fit]}, rounds, prune, against)]
-    rows, spark = _vectors(points), points.sparkSession
+    (rows, _), spark = _placed(points), points.sparkSession
     routes = _share(spark, {k: c.split_center for k, c in tree.cells.items() if k}, tree.width)
     wanted = np.array(sorted(small))
     roots = {k: (tree.cells[k], small[k]) for k in small}
@@ -404,8 +430,8 @@ def _grow_small(points: DataFrame, tree: CellTree, small: dict[int, int], rounds
     def send(it):
         for batch in it:
             if batch.num_rows:
-                leaf = routes.value.leaf(nb.to_matrix(batch.column("x")))
-                tagged = batch.append_column("cell", pa.array(leaf))
+                _, leaf = _routed(routes.value, batch)
+                tagged = batch.select(["point_id", "x"]).append_column("cell", pa.array(leaf))
                 yield tagged.filter(pa.array(np.isin(leaf, wanted)))
 
     def grow(table: pa.Table) -> pa.Table:
@@ -456,10 +482,13 @@ def fit_tree(points: DataFrame, d: int, resolution: int, *, prune: float | None
     if root.n <= local:
         small = {0: resolution}
     else:
-        center = rows.agg(vector_to_array(Summarizer.mean(array_to_vector("x"))).alias("center")).first().center
+        points = _stored(rows, tree)
+        center = points.agg(vector_to_array(Summarizer.mean(array_to_vector("x"))).alias("center")).first().center
         tree.cells[0].center = np.array(center)
         fit_cells(points, tree, {0: tree.cells[0]}, factor_bytes)
     for level in range(0 if small else resolution):
+        if level and level % STORED_LEVELS == 0:
+            points = _stored(points, tree)
         small |= {k: resolution - level for k in live if 1 < tree.cells[k].n <= local}
         live = [k for k in live if tree.cells[k].n > max(1, local)]
         if not live:

@@ -320,6 +320,7 @@ ORACLES: dict[str, str] = {
         SELECT 'knn_7' AS classifier, count(*) AS n, {r('avg(CASE WHEN prediction = label THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) * 100')} AS accuracy FROM predicted""",
     "classify_held_out": f"""WITH {P}, {votes(3, 'n.point_id % 100 < 70', 'q.point_id % 100 >= 70')}
         SELECT 'knn_3' AS classifier, count(*) AS n, {r('avg(CASE WHEN prediction = label THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) * 100')} AS accuracy FROM predicted""",
+    "logistic_contract": "SELECT DISTINCT CAST(label AS BIGINT) AS label, (SELECT count(*) FROM embeddings) AS n, true AS level FROM embeddings",
     "kernel_machine_contract": "SELECT DISTINCT CAST(label AS BIGINT) AS label, CAST(1 AS BIGINT) AS has_both, true AS balanced, CAST(0 AS BIGINT) AS violations FROM embeddings",
     "linear_in_order": linear_in_order(),
     "sweep_knn": sweep([3, 7], [4, 16], [1, 2, 4], 16),

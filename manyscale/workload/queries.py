@@ -776,6 +776,14 @@ def kernel_machine_contract(spark, sf_dir):
     return spark.createDataFrame(facts, "label long, has_both long, balanced boolean, violations long")
 
 
+@query
+def logistic_contract(spark, sf_dir):
+    """For every class: rows that count, and whether the penalised loss is level at the fitted weights."""
+    p = points(spark, sf_dir)
+    model = classify.fit_logistic(p, tol=1e-10, reg=0.01, max_iter=500, standardize=False)
+    return model.slopes(p).select(F.col("label").cast("long").alias("label"), "n", (F.array_max(F.transform("g", F.abs)) < 1e-5).alias("level"))
+
+
 @query
 def linear_in_order(spark, sf_dir):
     """Every linear algorithm after one round of one worker over the points in the order of their ids: its weights, the last one the bias."""

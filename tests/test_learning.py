@@ -175,10 +175,10 @@ def exact_machine(x, y, cost, gamma):
     q = K.kernel(x, x, gamma) * np.outer(y, y)
     alpha, rate = np.zeros(len(y)), 1.0 / np.linalg.eigvalsh(q)[-1]
     ahead, momentum = alpha.copy(), 1.0
-    for _ in range(60_000):
+    for _ in range(6_000):
         moved = ahead + rate * (1 - q @ ahead)
         low, high = -1e3, 1e3
-        for _ in range(60):  # the shift that keeps the signed sum at zero
+        for _ in range(50):  # the shift that keeps the signed sum at zero
             mid = (low + high) / 2
             low, high = (mid, high) if y @ np.clip(moved - mid * y, 0, cost) > 0 else (low, mid)
         new = np.clip(moved - low * y, 0, cost)
