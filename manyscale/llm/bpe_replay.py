@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 
 from manyscale.llm import common
 
-#: Entries of a task's memory of pieces; it is emptied beyond that.
-REMEMBERED = 1_000_000
+#: Entries and letters of a task's memory of pieces; it is emptied beyond that.
+REMEMBERED, LETTERS = 1_000_000, 16_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -32,15 +32,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 def merged_alone(token: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The ids of one byte string by its lowest pair, leftmost first, again and again."""
-    parts = [token[i:i + 1] for i in range(len(token))]
-    while len(parts) > 1:
-        order = [ranks.get(a + b, len(ranks)) for a, b in zip(parts, parts[1:])]
-        best = min(order)
-        if best == len(ranks):
-            break
-        at = order.index(best)
-        parts[at:at + 2] = [parts[at] + parts[at + 1]]
-    return [ranks[part] for part in parts]
+    return [ranks[part] for part in common.merged([token[i:i + 1] for i in range(len(token))], lambda a, b: ranks.get(a + b))]
 
 
 class Index:
@@ -139,17 +131,20 @@ class Replayed(dict):
         for token, rank in ranks.items():
             self.bytes[rank] = token
         self.bad: set[str] = set()
+        self.held = 0
 
     def learn(self, texts: list[str]) -> None:
-        if len(self) > REMEMBERED:
+        if len(self) > REMEMBERED or self.held > LETTERS:
             self.clear()
             self.bad.clear()
+            self.held = 0
         wanted, cuts, whole = set(), {}, []
         for text in texts:
             first, *rest = text.split(" ")
             wanted.update(rest)
             wanted.add(" " + first)
         for piece in [p for p in wanted if p not in self]:
+            self.held += len(piece)
             body = piece.removeprefix(" ")
             if not body or body[0].isspace() or body[-1].isspace():
                 self[piece] = None
@@ -197,9 +192,10 @@ def encode(docs: DataFrame, path: str, pattern: str, id: str = "doc_id", text: s
 
     def work(keys, texts):
         known = replayed(pattern, sent.value)
-        texts = [t or "" for t in texts]
-        known.learn(texts)
-        ids = [known.of(t) for t in texts]
+        ids = []
+        for portion in common.in_portions([t or "" for t in texts]):
+            known.learn(portion)
+            ids += [known.of(t) for t in portion]
         return {"doc_id": keys, "n_tokens": [len(i) // 4 for i in ids], "ids": ids,
                 "decoded": list(map(known.decode, ids)) if decoded else [None] * len(ids)}
 
