@@ -16,13 +16,18 @@ from functools import lru_cache
 
 import regex
 from pyspark.sql import DataFrame
+from tokenizers import Tokenizer
 
 from manyscale.llm import common
 
 #: The rule of the vocabulary file that cuts a lower-case text into pre-tokens.
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
-#: Entries of a task's memory of pieces; it is emptied beyond that.
-REMEMBERED = 1_000_000
+#: Entries and letters of a task's memory of pieces; it is emptied beyond that. Longer pieces are not kept.
+REMEMBERED, LETTERS, LONG = 1_000_000, 32_000_000, 1000
+#: Below this character Python's tables of letters and the library's agree; beyond, the library folds them itself.
+KNOWN = "\u1680"
+#: Letters from which a pre-token is merged through a heap.
+MANY = 48
 
 
 def byte_letters() -> list[str]:
@@ -42,6 +47,8 @@ class Vocabulary:
         self.ranks = {(a, b): rank for rank, (a, b) in enumerate(pairs)}
         self.specials = sorted((t["content"] for t in model["added_tokens"] if t["special"]), key=len, reverse=True)
         self.letters = byte_letters()
+        #: The file's own folding of letters.
+        self.folded = Tokenizer.from_str(content).normalizer.normalize_str
         known = model["model"]["vocab"]
         bodies = (v[: len(v) - len(self.end)] for v in known if v.endswith(self.end))
         self.whole = {body for body in bodies if body and self.merged(body) == 1}
@@ -50,6 +57,8 @@ class Vocabulary:
         """How many tokens the byte letters of one pre-token end as."""
         parts = list(letters)
         parts[-1] += self.end
+        if len(parts) > MANY:
+            return len(common.merged(parts, lambda a, b: self.ranks.get((a, b))))
         rank, last = self.ranks.get, len(self.ranks)
         order = [rank(pair, last) for pair in zip(parts, parts[1:])]
         while order and (best := min(order)) < last:
@@ -68,7 +77,7 @@ class PieceCounts(dict):
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
-        self.vocabulary = vocabulary
+        self.vocabulary, self.held = vocabulary, 0
         self.cut = regex.compile(PRE_TOKENS)
         self.special = regex.compile("|".join(map(regex.escape, vocabulary.specials)) or r"(?!)")
 
@@ -79,10 +88,15 @@ class PieceCounts(dict):
         else:
             total = len(self.special.findall(piece))
             for plain in self.special.split(piece) if total else (piece,):
-                # One letter at a time, as the library does; str.lower() alone would look at a sigma's neighbours.
-                text = unicodedata.normalize("NFC", plain).replace("Σ", "σ").lower()
+                if max(plain, default="") < KNOWN:
+                    # One letter at a time, as the library does; str.lower() alone would look at a sigma's neighbours.
+                    text = unicodedata.normalize("NFC", plain).replace("Σ", "σ").lower()
+                else:
+                    text = self.vocabulary.folded(plain)
                 total += sum(map(self.tokens, self.cut.findall(text)))
-        self[piece] = total
+        if len(piece) <= LONG:
+            self[piece] = total
+            self.held += len(piece)
         return total
 
     def tokens(self, token: str) -> int:
@@ -93,8 +107,9 @@ class PieceCounts(dict):
         return 1 if token in vocabulary.whole else vocabulary.merged(token)
 
     def of(self, text: str) -> int:
-        if len(self) > REMEMBERED:
+        if len(self) > REMEMBERED or self.held > LETTERS:
             self.clear()
+            self.held = 0
         # Line feeds end pre-tokens just as spaces do.
         return sum(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 

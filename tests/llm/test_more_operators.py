@@ -1,13 +1,21 @@
 """Source divergence, spelling variants and toxicity against plain computations, and on awkward rows."""
 
+import hashlib
+import itertools
 import random
+import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import public_tokenizers
 import pytest
+import xxhash
 
-from manyscale.llm import divergence, language_id, spelling_variants, toxicity
+import corpus_pipeline
+
+from manyscale.llm import bpe_replay, common, decontaminate, divergence, language_id, line_dedup, spelling_variants, token_counts, toxicity
 from tests.llm.test_operators import ROWS, SCHEMA, by_text
 
 SF = "/root/testdata/sf0.001"
@@ -148,7 +156,7 @@ def test_very_long_words():
 
 
 def plain_cosines(index, text):
-    at, own = index.vector(index.known, index.weight_of_term, text)
+    at, own = toxicity.unit(toxicity.term_counts(index.known, text), index.weight_of_term)
     dense = np.zeros((len(index.ids), len(index.known)))
     for term in range(len(index.known)):
         for run in range(index.term_start[term], index.term_start[term + 1]):
@@ -162,7 +170,8 @@ def test_nearest_examples_are_exact():
     text = lambda: " ".join(pick.choices(names, [1 / (k + 1) for k in range(80)], k=pick.randint(0, 25)))
     texts = [(1000 - k, k % 2, text()) for k in range(700)] + [(2000 + k, 1, texts_of) for k, texts_of in enumerate(["waa wab", "waa wab", "waa wab waa", ""] * 30)]
     vocabulary = [(t, sum(t in set(toxicity.terms(body)) for *_, body in texts)) for t in names[:60]]
-    index = toxicity.Index.build(texts, vocabulary, len(texts))
+    known = {t: k for k, (t, _) in enumerate(vocabulary)}
+    index = toxicity.Index.build([(i, y, toxicity.term_counts(known, body)) for i, y, body in texts], vocabulary, len(texts))
     visited = 0
     for body in [text() for _ in range(200)] + ["waa wab", "", "zzz", "WAA!wab"]:
         want = plain_cosines(index, body)
@@ -198,3 +207,243 @@ def test_toxicity_of_held_out_documents(spark, docs, empty):
     nothing = toxicity.fit(empty, labels)
     assert {r.score for r in toxicity.predict(docs, nothing).collect()} == {0.0}
     assert toxicity.fit(docs, spark.createDataFrame([(1, None), (2, 1), (2, 0), (None, 1)], "doc_id long, toxic int")).table[0] == 1.0
+
+
+def test_line_dedup_of_clashing_names_and_repeated_rows(spark):
+    line = "one line of some words that several rows have"
+    rows = [(5, f"{line}\n\nonly here", 1), (5, f"{line}\n\nonly here", 2), (None, f"{line} x\nnull ids have this", 3), (None, f"{line} x\nnull ids have this", 4),
+            (None, "null ids have this\n \nand that", 5), (6, f"{line}\na new one", 6), (6, f"a new two\n{line}", 7)]
+    names = "_kept _near _id kept near none id body row order k line at nth filled"
+    table = spark.createDataFrame(rows, "doc_id long, text string, tag int").selectExpr("*", *(f"tag AS {n}" for n in names.split())).repartition(4)
+    got = line_dedup.dedup(table)
+    assert got.columns == table.columns
+    found = got.collect()
+    assert all(r[n] == r.tag for r in found for n in names.split())
+    texts = {r.tag: r.text for r in found}
+    assert sorted((texts[1], texts[2])) == ["", f"{line}\n\nonly here"] and sorted((texts[6], texts[7])) in (["a new one", "a new two"], ["", "a new one"], ["", "a new two"])
+    told = sorted((r.n_lines, sorted(set(r.filled) - set(r.kept)), r.near) for r in line_dedup.report(table).collect())
+    lost = [(t.count("\n") + 1, [k for k, x in enumerate(t.split("\n")) if x.strip()]) for _, t, _ in rows]
+    assert [x[0] for x in told] == sorted(n for n, _ in lost)
+    assert sum(len(x[1]) for x in told) == sum(len(f) for _, f in lost) - sum(len([x for x in t.split("\n") if x.strip()]) for t in texts.values())
+    # Rows of id 6 differ by one word in their own lines; the later one by hash of its text loses it.
+    assert {texts[3], texts[4]} == {"", "null ids have this"} or {texts[3], texts[4]} == {""}
+    assert sum(t.count("null ids have this") for t in texts.values()) == 1 and "and that" in texts[5]
+
+
+def test_line_dedup_of_a_very_long_document(spark):
+    import time
+
+    pick = random.Random(10)
+    lines = [" ".join(pick.choices("abcdefgh", k=9)) + f" {k}" for k in range(100_000)]
+    start = time.time()
+    got = {r.doc_id: r.text for r in line_dedup.dedup(spark.createDataFrame([(1, "\n".join(lines)), (2, lines[7] + "\nfresh words of the second one")], "doc_id long, text string")).collect()}
+    assert got[2] == "fresh words of the second one" and time.time() - start < 120
+
+
+def plain_items(words, items, shingle=5):
+    """Ids of the items that some window of item size matches, every window compared."""
+    found = []
+    for item, its in items:
+        want = Counter(tuple(its[k:k + shingle]) for k in range(len(its) - shingle + 1))
+        for start in range(max(1, len(words) - len(its) + 1)):
+            part = words[start:start + len(its)]
+            own = Counter(tuple(part[k:k + shingle]) for k in range(len(part) - shingle + 1))
+            if 5 * (own & want).total() >= 4 * (own | want).total() > 0:
+                found.append(item)
+                break
+    return found
+
+
+def test_fingerprints_lose_next_to_nothing_at_the_threshold(spark):
+    """Pairs at a similarity of just 0.8 and above, by single changed words and by repeated tails."""
+    pick, docs, items = random.Random(11), [], []
+    for k in range(400):
+        n = pick.choice([29, 49, 64, 104, 204])
+        words = [f"w{pick.randrange(10 ** 9)}" for _ in range(n)]
+        items.append((k, words))
+        changed = list(words)
+        # A changed word inside spoils five shingles, changes at either end fewer.
+        for place in range(0, max(1, (n - 4) // 9 // 5)):
+            changed[7 + 11 * place] = "other"
+        docs.append((k, "lead in " + " ".join(changed) + " out"))
+    got = decontaminate.mark(spark.createDataFrame(docs, "doc_id long, text string").repartition(4),
+                             spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")).collect()
+    by_item = dict(items)
+    want = {i: plain_items(text.split(), [(i, by_item[i])]) for i, text in docs}
+    assert sum(map(len, want.values())) > 300 and {r.doc_id: r._items for r in got} == want
+
+
+def test_fingerprint_bits(spark):
+    shingles = [5, -3, 5, 7, 1 << 62, 5, -(1 << 63)]
+    rows = spark.createDataFrame([(shingles,), ([],), (list(range(40_000)),)], "own array<long>")
+    for r in decontaminate.fingerprints(rows.withColumn("elements", decontaminate.elements("own"))).collect():
+        seen, keys = Counter(), []
+        for h in sorted(r.own):
+            keys.append((h, seen[h]))
+            seen[h] += 1
+        assert len(r.bits) == 2
+        if len(r.own) == len(shingles):
+            hashes = spark.createDataFrame(keys, "h long, k int").selectExpr("xxhash64(h, k) AS e").selectExpr("xxhash64(e, 0) AS a", "xxhash64(e, 1) AS b").collect()
+            for word in (0, 1):
+                bits = sum(1 << b for b in range(64) if 2 * sum((x[word] >> b) & 1 for x in hashes) > len(hashes))
+                assert r.bits[word] & (1 << 64) - 1 == bits
+
+
+def test_decontamination_of_clashing_names(spark):
+    words = " ".join(f"w{k}" for k in range(30))
+    table = spark.createDataFrame([(1, f"x {words} y"), (None, words), (None, "clean words are here")], "doc_id long, text string")
+    table = table.selectExpr("*", "7 AS _own", "7 AS _key", "7 AS key", "7 AS row", "7 AS items", "7 AS n", "7 AS bits")
+    items = spark.createDataFrame([(3, words)], "item_id long, text string")
+    assert decontaminate.mark(table, items).columns == [*table.columns, "_items"]
+    assert [tuple(r) for r in decontaminate.clean(table, items).collect()] == [(None, "clean words are here", *[7] * 7)]
+
+
+def test_long_pretokens_merge_like_short_ones():
+    import time
+
+    from tokenizers import Tokenizer
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        content = file.read()
+    library, counts = Tokenizer.from_str(content), token_counts.piece_counts(content)
+    pick = random.Random(12)
+    texts = ["".join(pick.choice("abcdeéthin漢字語中文") for _ in range(n)) for n in (47, 48, 49, 50, 200, 3000)] + ["a" * 700, "ab" * 900, "the" * 500]
+    texts += [f"a{chr(c)}b {chr(c)} x{chr(c)}" for c in (0xA7CB, 0xA7DC, 0x1C89, 0x3A3, 0x130, 0x1E9E, 0xFF21)]
+    for text in texts:
+        assert counts.of(text) == len(library.encode(text, add_special_tokens=False).ids), text[:40]
+    start = time.time()
+    megabyte = "".join(pick.choice("今天我们去图书馆读了很多关于历史和科学的书") for _ in range(350_000))
+    assert counts.of(megabyte) > 100_000 and time.time() - start < 20
+    ranks = bpe_replay.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+    def plain(token):
+        parts = [token[i:i + 1] for i in range(len(token))]
+        while True:
+            found = [(ranks[a + b], k) for k, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]
+            if not found:
+                return [ranks[p] for p in parts]
+            _, k = min(found)
+            parts[k:k + 2] = [parts[k] + parts[k + 1]]
+
+    for n in (1, 2, 30, 400):
+        token = "".join(pick.choice("abathe漢é ") for _ in range(n)).encode()
+        assert bpe_replay.merged_alone(token, ranks) == plain(token)
+    assert list(common.in_portions(["aa", "", "bbbb", "c", "d"], 3)) == [["aa", ""], ["bbbb"], ["c", "d"]]
+
+
+# The pipeline, stage by stage in plain Python
+
+
+def blanks(text):
+    return [w for w in re.split("[ \t\n\x0b\f\r]+", text or "") if w]
+
+
+def plain_quality(text):
+    words, lines = blanks(text), [x for x in (text or "").split("\n") if blanks(x)]
+    windows = Counter(tuple(words[k:k + 8]) for k in range(len(words) - 7))
+    repeated = {k + j for k in range(len(words) - 7) if windows[tuple(words[k:k + 8])] > 1 for j in range(8)}
+    joined = "".join(words)
+    letters = sum(unicodedata.category(c)[0] in "LM" for c in joined)
+    # None of the supplied texts is in a script without spaces.
+    return not (len(words) < 20 or 100 * len(repeated) > 30 * len(words) or 10 * sum(c in "#*$%&|<>" for c in text or "") > len(words)
+                or 100 * (len(lines) - len(set(lines))) > 50 * len(lines) or len(joined) < 2 * len(words) or len(joined) > 15 * len(words) or 10 * letters < 6 * len(joined))
+
+
+def one_word_apart(a, b):
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) <= 1
+    short, long = sorted((a, b), key=len)
+    return len(long) == len(short) + 1 and any(long[:k] + long[k + 1:] == short for k in range(len(long)))
+
+
+def plain_lines(docs):
+    """Rows in order of their ids; every line against all earlier different ones of nearly its length."""
+    seen, out = defaultdict(list), []
+    known = set()
+    for doc_id, text in sorted(docs):
+        kept = []
+        for line in text.split("\n"):
+            words = blanks(line)
+            near = any(one_word_apart(words, w) for n in (-1, 0, 1) for w in seen[len(words) + n] if max(len(w), len(words)) >= 5)
+            if not words or (tuple(words) not in known and not near):
+                kept.append(line)
+            if words and tuple(words) not in known:
+                known.add(tuple(words))
+                seen[len(words)].append(words)
+        out.append((doc_id, "\n".join(kept)))
+    return out
+
+
+def plain_print(text):
+    words = [w.encode() for w in blanks(re.sub("[A-Z]", lambda m: m[0].lower(), text))]
+    if not words:
+        return 0
+    shingles = [b" ".join(words[k:k + 4]) for k in range(max(1, len(words) - 3))]
+    hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def plain_near(docs):
+    prints, group = [plain_print(text) for _, text in docs], list(range(len(docs)))
+    for a in range(len(docs)):
+        for b in range(a):
+            if (prints[a] ^ prints[b]).bit_count() <= 4 and group[a] != group[b]:
+                group = [group[b] if g == group[a] else g for g in group]
+    least = {}
+    for (doc_id, _), g in zip(docs, group):
+        least[g] = min(doc_id, least.get(g, doc_id))
+    return [d for d, g in zip(docs, group) if d[0] == least[g]]
+
+
+def test_pipeline_equals_plain_stages(spark):
+    import tiktoken
+
+    sf_dir = "/root/testdata/sf0.001"
+    lower = lambda t: blanks(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    items = [(r.item_id, w) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect() if len(w := lower(r.text)) >= 5]
+    shingles = {tuple(w[k:k + 5]) for _, w in items for k in range(len(w) - 4)}
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    sizes = [len(docs)]
+    docs = [d for d in docs if plain_quality(d[1])]
+    sizes.append(len(docs))
+    before = sum(len(t) for _, t in docs)
+    docs = plain_lines(docs)
+    assert sum(len(t) for _, t in docs) < before
+    docs = plain_near(docs)
+    sizes.append(len(docs))
+    meets = lambda words: any(tuple(words[k:k + 5]) in shingles for k in range(len(words) - 4))
+    docs = [d for d in docs if not (meets(w := lower(d[1])) and plain_items(w, items))]
+    sizes.append(len(docs))
+    assert sizes == sorted(sizes, reverse=True) and len(set(sizes)) == 4, sizes
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe_replay.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
+    want = {i: np.array(own.encode_ordinary(t), "<u4").tobytes() for i, t in docs}
+    got = {r.doc_id: (r.n_tokens, bytes.fromhex(r.ids), r.decoded_sha256) for r in corpus_pipeline.run(spark, sf_dir).collect()}
+    assert got == {i: (len(ids) // 4, ids, hashlib.sha256(dict(docs)[i].encode()).hexdigest()) for i, ids in want.items()}
+
+
+def test_mixtures_against_every_language_set():
+    """Shares by long runs of expectation-maximisation over each subset of languages, chosen by penalised likelihood.
+
+    The operator adds languages one at a time, so one that joined early may be left with next to nothing.
+    """
+    rng = np.random.default_rng(13)
+    for trial in range(40):
+        model = rng.dirichlet(np.full(60, 0.15), 4).T + 1e-6
+        model /= model.sum(0)
+        share = np.zeros(4)
+        chosen = rng.choice(4, size=rng.integers(1, 4), replace=False)
+        share[chosen] = rng.dirichlet(np.full(len(chosen), 4.0))
+        counts = rng.multinomial(1500, model @ share).astype(float)
+        seen = counts > 0
+        counts, likelihood = counts[seen], model[seen]
+        best = (-np.inf, None)
+        for n in range(1, 5):
+            for subset in itertools.combinations(range(4), n):
+                part, weights = likelihood[:, subset], np.full(n, 1 / n)
+                for _ in range(2000):
+                    weights = weights * ((counts / (part @ weights)) @ part) / counts.sum()
+                value = counts @ np.log(part @ weights) - n * np.log(counts.sum()) / 2
+                if value > best[0]:
+                    best = value, dict(zip(subset, weights))
+        got = language_id.mixture(counts, likelihood, 1.0)
+        assert set(np.flatnonzero(got > 0.02)) == set(best[1]) and all(abs(got[k] - v) < 0.02 for k, v in best[1].items()), (trial, got, best)
