@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from manyscale.functions import batches as nb
 from manyscale.functions.metrics import Metric
 from manyscale.plans import storage
-from manyscale.plans.cells import MAX_CELLS, TILE_VALUES, CellPairs, Cells, Nearest, Pairs, Within, decode, exact, exact_block, grouped, measured
+from manyscale.plans.cells import MAX_CELLS, TILE_VALUES, CellPairs, Cells, Nearest, Pairs, Within, decode, exact_block, grouped, measured
 
 BLOCK_BYTES = 64 * 1024 * 1024
 PIVOT_ROWS = 20_000
