@@ -42,14 +42,14 @@ def table_width(df: DataFrame, x_col: str = "x") -> int:
     return first.d
 
 
-def moments(df: DataFrame, x_col: str = "x") -> tuple[int, np.ndarray, np.ndarray]:
+def moments(df: DataFrame, x_col: str = "x", width: int | None = None) -> tuple[int, np.ndarray, np.ndarray]:
     """Row count, mean and population covariance in one pass.
 
     Sums are taken around the mean of a few rows. The shift cancels out exactly in the algebra
     and keeps the numbers small, so that one pass loses no digits.
     """
     rows = df.select(arrays.doubles(x_col).alias("x"))
-    width = table_width(rows)
+    width = width or table_width(rows)
     shift = np.mean([r.x for r in rows.limit(PILOT_ROWS).collect()], axis=0)
 
     def extract(batch):
@@ -147,9 +147,10 @@ def tile_entries(tiles: DataFrame, tile: int = TILE) -> DataFrame:
 
 def covariance(df: DataFrame, x_col: str = "x") -> DataFrame:
     """Population covariance as ``(i, j, v)``."""
-    if table_width(df, x_col) > DENSE_WIDTH:
+    width = table_width(df, x_col)
+    if width > DENSE_WIDTH:
         return tile_entries(covariance_tiles(df, x_col))
-    return entries(df.sparkSession, moments(df, x_col)[2])
+    return entries(df.sparkSession, moments(df, x_col, width)[2])
 
 
 @dataclass
@@ -198,11 +199,12 @@ def leading_directions(df: DataFrame, k: int, center: np.ndarray, x_col: str = "
 
 
 def pca(df: DataFrame, k: int = 2, x_col: str = "x") -> PrincipalAxes:
-    if table_width(df, x_col) > DENSE_WIDTH:
+    width = table_width(df, x_col)
+    if width > DENSE_WIDTH:
         n, mean, variance = column_moments(df, x_col)
         values, vectors = leading_directions(df, k, mean, x_col)
         return PrincipalAxes(vectors, values / n, mean, n, float(variance.sum()))
-    n, mean, cov = moments(df, x_col)
+    n, mean, cov = moments(df, x_col, width)
     values, vectors = linear.descending_eigen(cov)
     return PrincipalAxes(vectors[:k], values, mean, n, float(values.sum()))
 

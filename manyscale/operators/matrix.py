@@ -80,14 +80,10 @@ def split_heavy(a: DataFrame, b: DataFrame, rows_per_part: int = PART_ROWS) -> t
     of the other, so that a key has about ``rows_per_part`` entries of each. On a large table the least number that counts as heavy
     is its share of the table, so the list of heavy indices, which is broadcast, has at most ``2 * HEAVY`` rows.
     """
-    left = a.select(F.col("i"), F.col("j").alias("k"), F.col("v").alias("_a"))
-    right = b.select(F.col("i").alias("k"), F.col("j"), F.col("v").alias("_b"))
-    sides = []
-    for side in (left, right):
-        counts = side.groupBy("k").count()
-        share = max(rows_per_part, -(-(counts.agg(F.sum("count")).first()[0] or 0) // HEAVY))
-        sides.append(counts.select("k", F.ceil(F.col("count") / share).cast("int").alias("parts")))
-    one, two = (s.withColumnRenamed("parts", name) for s, name in zip(sides, ("pa", "pb")))
+    left, right = _factors(a, b)
+    shares = _shares(left, right, rows_per_part) or [1 << 62, 1 << 62]
+    one, two = (side.groupBy("k").agg(F.ceil(F.count(F.lit(1)) / share).cast("int").alias(name))
+                for side, share, name in zip((left, right), shares, ("pa", "pb")))
     heavy = F.broadcast(one.join(two, "k").where("pa > 1 OR pb > 1"))
 
     def dealt(side: DataFrame, key: str, own: str, parts: str, other: str, others: str) -> DataFrame:
@@ -98,10 +94,26 @@ def split_heavy(a: DataFrame, b: DataFrame, rows_per_part: int = PART_ROWS) -> t
     return dealt(left, "i", "sa", "pa", "sb", "pb"), dealt(right, "j", "sb", "pb", "sa", "pa")
 
 
+def _factors(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return (a.select(F.col("i"), F.col("j").alias("k"), F.col("v").alias("_a")), b.select(F.col("i").alias("k"), F.col("j"), F.col("v").alias("_b")))
+
+
+def _shares(left: DataFrame, right: DataFrame, rows_per_part: int) -> list[int]:
+    """Entries of an index on either side from which it is heavy; none if no index is."""
+    counts = [side.groupBy("k").count().agg(F.lit(at).alias("side"), F.sum("count").alias("n"), F.max("count").alias("most")) for at, side in enumerate((left, right))]
+    found = sorted(counts[0].union(counts[1]).collect())
+    shares = [max(rows_per_part, -(-(r.n or 0) // HEAVY)) for r in found]
+    return shares if any((r.most or 0) > share for r, share in zip(found, shares)) else []
+
+
 def multiply_entries(a: DataFrame, b: DataFrame, rows_per_part: int = PART_ROWS) -> DataFrame:
     """Sparse product of ``(i, j, v)`` tables. Inner indices that carry many entries are split; the sums combine before they shuffle."""
-    left, right = split_heavy(a, b, rows_per_part)
-    return left.join(right, ["k", "sa", "sb"]).groupBy("i", "j").agg(F.sum(F.col("_a") * F.col("_b")).alias("v"))
+    left, right = _factors(a, b)
+    keys = ["k"]
+    if _shares(left, right, rows_per_part):
+        left, right = split_heavy(a, b, rows_per_part)
+        keys = ["k", "sa", "sb"]
+    return left.join(right, keys).groupBy("i", "j").agg(F.sum(F.col("_a") * F.col("_b")).alias("v"))
 
 
 def matrix_multiply(a: DataFrame, b: DataFrame, *, block: int = BLOCK, small_side: int = SMALL_SIDE) -> DataFrame:

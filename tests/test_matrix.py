@@ -227,7 +227,10 @@ def test_heavy_inner_indices_are_split_in_two_dimensions(spark):
     for side, columns in ((left, "sa"), (right, "sb")):
         sizes = {tuple(r[:3]): r["count"] for r in side.groupBy("k", "sa", "sb").count().collect()}
         assert max(sizes.values()) < 100 and len([k for k in sizes if k[0] == 3]) == 8 * 6
+    light = M.split_heavy(entry(a), entry(b))[0]
+    assert light.count() == len(a) and light.where("sa <> 0 OR sb <> 0").count() == 0
     got = {(r.i, r.j): r.v for r in M.multiply_entries(entry(a), entry(b), 50).collect()}
+    assert M.multiply_entries(entry(a), entry(b)).count() == len(got)
     want = {}
     for i, k, v in a:
         for kk, j, w in b:
