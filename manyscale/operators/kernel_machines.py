@@ -27,7 +27,10 @@ PART_ROWS = 1024
 FAN = 4
 TOLERANCE = 1e-3
 CACHE_VALUES = 16_000_000
+#: Kernel values that are worked out at a time.
+TILE_VALUES = 1_000_000
 ROUNDS = 10
+MOST_TASKS = 1024
 
 
 def kernel(a: np.ndarray, b: np.ndarray, gamma: float) -> np.ndarray:
@@ -35,25 +38,40 @@ def kernel(a: np.ndarray, b: np.ndarray, gamma: float) -> np.ndarray:
     return np.exp(-gamma * np.maximum(square, 0.0))
 
 
-def solve(x: np.ndarray, y: np.ndarray, cost: float, gamma: float, tolerance: float = TOLERANCE) -> tuple[np.ndarray, float]:
+def scores(x: np.ndarray, vectors: np.ndarray, weights: np.ndarray, bias: np.ndarray | float, gamma: float) -> np.ndarray:
+    """``kernel(x, vectors) @ weights.T + bias``, a bounded number of kernel values at a time."""
+    out = np.empty((len(x), len(weights)))
+    step = max(1, TILE_VALUES // max(1, len(vectors)))
+    for s in range(0, len(x), step):
+        out[s : s + step] = kernel(x[s : s + step], vectors, gamma) @ weights.T + bias
+    return out
+
+
+def solve(x: np.ndarray, y: np.ndarray, cost: float, gamma: float, tolerance: float = TOLERANCE, start: np.ndarray | None = None) -> tuple[np.ndarray, float]:
     """Weights ``alpha`` and bias of one two-class problem, by steps on the pair of rows that gain most.
 
     The largest violation of the optimality conditions is at most ``tolerance`` in the end. Kernel rows are kept as far as memory allows.
+    Weights to ``start`` from are used if their signed sum is zero.
     """
     n = len(y)
     if n == 0 or abs(y.sum()) == n:
         return np.zeros(n), float(y[0]) if n else 0.0
     kept: dict[int, np.ndarray] = {}
+    squares = (x * x).sum(axis=1)
 
     def row(i: int) -> np.ndarray:
         if i not in kept:
-            if len(kept) * n > CACHE_VALUES:
+            if (len(kept) + 1) * n > CACHE_VALUES:
                 kept.clear()
-            kept[i] = kernel(x[i : i + 1], x, gamma)[0]
+            kept[i] = np.exp(-gamma * np.maximum(squares + squares[i] - 2.0 * (x @ x[i]), 0.0))
         return kept[i]
 
     alpha, slope = np.zeros(n), -np.ones(n)
-    up, down = y > 0, y < 0
+    if start is not None and start.any() and abs(start @ y) < 1e-9 * cost:
+        alpha = start.astype(float)
+        held = np.flatnonzero(alpha > 0)
+        slope += y * scores(x, x[held], (alpha * y)[held][None, :], 0.0, gamma)[:, 0]
+    up, down = np.where(y > 0, alpha < cost, alpha > 0), np.where(y > 0, alpha > 0, alpha < cost)
     while True:
         score = -y * slope
         i = int(np.where(up, score, -np.inf).argmax())
@@ -102,7 +120,7 @@ class KernelMachine:
     def decisions(self, df: DataFrame, x_col: str = "x", out: str = "decisions") -> DataFrame:
         """The rows with the decision value of every class."""
         gamma = self.gamma
-        return _with_vectors(df, x_col, out, lambda x, v, w, b: kernel(x, v, gamma) @ w.T + b, (self.vectors, self.weights, self.bias), self.n_bytes)
+        return _with_vectors(df, x_col, out, lambda x, v, w, b: scores(x, v, w, b, gamma), (self.vectors, self.weights, self.bias), self.n_bytes)
 
     def predict(self, df: DataFrame, x_col: str = "x") -> DataFrame:
         """The rows with a ``prediction`` column; the first of equal decisions wins."""
@@ -111,8 +129,11 @@ class KernelMachine:
         return scored.withColumn("prediction", F.element_at(F.lit(self.classes), best)).drop("_scores")
 
 
-def _cascade(rows: DataFrame, parts: int, cost: float, gamma: float, tolerance: float) -> DataFrame:
-    """``(machine, point_id, x, sign, alpha, bias)``: support vectors of every class from ``rows(machine, part, point_id, x, sign)``."""
+def _cascade(rows: DataFrame, machines: int, parts: int, cost: float, gamma: float, tolerance: float) -> DataFrame:
+    """``(machine, point_id, x, sign, alpha, bias)``: support vectors of every class from ``rows(machine, part, point_id, x, sign)``.
+
+    Merged parts start from the weights they were left with.
+    """
 
     def work(table: pa.Table) -> pa.Table:
         table = table.sort_by("point_id")
@@ -121,24 +142,30 @@ def _cascade(rows: DataFrame, parts: int, cost: float, gamma: float, tolerance:
         first = np.flatnonzero(np.diff(ids, prepend=ids[0] - 1))
         table = table.take(pa.array(first))
         x, y = nb.to_matrix(table.column("x")), nb.to_numpy(table.column("sign")).astype(float)
-        alpha, bias = solve(x, y, cost, gamma, tolerance)
+        start = nb.to_numpy(table.column("alpha")) if "alpha" in table.column_names else None
+        alpha, bias = solve(x, y, cost, gamma, tolerance, start)
         held = np.flatnonzero(alpha > 0)
         kept = table.select(["machine", "part", "point_id", "x", "sign"]).take(pa.array(held))
         return kept.append_column("alpha", pa.array(alpha[held])).append_column("bias", pa.array(np.full(len(held), bias)))
 
     schema = T.StructType([*rows.select("machine", "part", "point_id", "x", "sign").schema.fields,
                            T.StructField("alpha", T.DoubleType()), T.StructField("bias", T.DoubleType())])
-    found = rows.groupBy("machine", "part").applyInArrow(work, schema)
+
+    def solved(dealt: DataFrame) -> DataFrame:
+        # Parts are small tables that take long, so they are spread by number and not by bytes.
+        return dealt.repartition(min(MOST_TASKS, 4 * machines * parts), "machine", "part").groupBy("machine", "part").applyInArrow(work, schema)
+
+    found = solved(rows)
     while parts > 1:
-        found = storage.materialize(found).withColumn("part", (F.col("part") / FAN).cast("int")).groupBy("machine", "part").applyInArrow(work, schema)
         parts = -(-parts // FAN)
+        found = solved(storage.materialize(found).withColumn("part", (F.col("part") / FAN).cast("int")))
     return found
 
 
 def fit_kernel_machine(train: DataFrame, *, cost: float = 1.0, gamma: float | None = None, part_rows: int = PART_ROWS, tolerance: float = TOLERANCE,
                        rounds: int = ROUNDS, key: str = "point_id") -> KernelMachine:
     """Fit on ``(point_id, x, label)``; ``gamma`` is one over the width unless given. Ids are unique."""
-    classes, spark = class_labels(train), train.sparkSession
+    classes = class_labels(train)
     rows = train.select(F.col(key).cast("long").alias("point_id"), arrays.doubles("x").alias("x"), F.array_position(F.lit(classes), F.col("label")).alias("own"))
     rows = storage.materialize(rows)
     width, n = table_width(rows), rows.count()
@@ -150,24 +177,24 @@ def fit_kernel_machine(train: DataFrame, *, cost: float = 1.0, gamma: float | No
         F.when(F.col("own") == F.col("machine") + 1, 1).otherwise(-1).alias("sign"))
     work, model = each, None
     for turn in range(1, rounds + 1):
-        found = sorted(_cascade(work, parts, cost, gamma, tolerance).collect(), key=lambda r: (r.point_id, r.machine))
-        ids = np.array(sorted({r.point_id for r in found}), np.int64)
-        place = {int(k): at for at, k in enumerate(ids)}
-        vectors, weights, bias = np.zeros((len(ids), width)), np.zeros((len(classes), len(ids))), np.zeros(len(classes))
-        for r in found:
-            vectors[place[r.point_id]] = r.x
-            weights[r.machine, place[r.point_id]] = r.alpha * r.sign
-            bias[r.machine] = r.bias
+        found = storage.materialize(_cascade(work, len(classes), parts, cost, gamma, tolerance))
+        # A row may support several machines; its vector is fetched once.
+        apart = found.select("point_id", "x").dropDuplicates(["point_id"]).toArrow().sort_by("point_id")
+        ids, vectors = nb.to_numpy(apart.column("point_id")), nb.to_matrix(apart.column("x")).reshape(-1, width)
+        weights, bias = np.zeros((len(classes), len(ids))), np.zeros(len(classes))
+        held = found.select("machine", "point_id", "sign", "alpha", "bias").toArrow()
+        machine, point, sign, alpha, level = (nb.to_numpy(held.column(c)) for c in held.column_names)
+        weights[machine, np.searchsorted(ids, point)] = alpha * sign
+        bias[machine] = level
         model = KernelMachine(classes, ids, vectors, weights, bias, gamma, cost, 0, turn)
         against = storage.materialize(contradictions(rows, model, tolerance))
         model.violations = against.count()
         if model.violations == 0:
             break
-        held = spark.createDataFrame([(int(r.machine), int(r.point_id), r.x, int(r.sign)) for r in found], "machine int, point_id long, x array<double>, sign int")
         fresh = against.select("machine", "point_id", "x", "sign")
         parts = max(1, -(-model.violations // (part_rows * len(classes))))
         dealt = fresh.withColumn("part", F.pmod(F.xxhash64("point_id"), F.lit(parts)).cast("int"))
-        every = held.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        every = found.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
         columns = ["machine", "part", "point_id", "x", "sign"]
         work = dealt.select(columns).unionByName(every.select(columns))
     return model
@@ -184,7 +211,7 @@ def contradictions(rows: DataFrame, model: KernelMachine, tolerance: float = TOL
             m = shipped.value
             ids, x, own = nb.to_numpy(batch.column("point_id")), nb.to_matrix(batch.column("x")), nb.to_numpy(batch.column("own")) - 1
             signs = np.where(own[:, None] == np.arange(len(m.classes))[None, :], 1, -1)
-            margin = signs * (kernel(x, m.vectors, m.gamma) @ m.weights.T + m.bias)
+            margin = signs * scores(x, m.vectors, m.weights, m.bias, m.gamma)
             at = np.minimum(np.searchsorted(m.ids, ids), max(0, len(m.ids) - 1))
             alpha = np.where((m.ids[at] == ids)[:, None], np.abs(m.weights[:, at].T), 0.0) if len(m.ids) else np.zeros(margin.shape)
             off = np.maximum(np.where(alpha < m.cost, 1.0 - margin, 0.0), np.where(alpha > 0, margin - 1.0, 0.0))

@@ -189,6 +189,33 @@ def exact_machine(x, y, cost, gamma):
     return lambda z: K.kernel(z, x, gamma) @ (alpha * y) + bias
 
 
+def test_kernel_scores_in_bounded_memory():
+    import tracemalloc
+
+    from manyscale.operators import kernel_machines as K
+
+    rng = np.random.default_rng(3)
+    x, v, w = rng.normal(size=(10_000, 4)), rng.normal(size=(6_000, 4)), rng.normal(size=(2, 6_000))
+    tracemalloc.start()
+    got = K.scores(x, v, w, np.array([1.0, -1.0]), 0.3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6  # the whole kernel takes 480 MB
+    assert np.allclose(got[:50], K.kernel(x[:50], v, 0.3) @ w.T + [1.0, -1.0])
+
+
+def test_solving_on_from_the_weights_of_two_parts():
+    from manyscale.operators import kernel_machines as K
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(200, 3))
+    y = np.where(x[:, 0] + rng.normal(size=200) > 0, 1.0, -1.0)
+    parts = [K.solve(x[at], y[at], 1.0, 0.5, 1e-6)[0] for at in (slice(0, 100), slice(100, 200))]
+    cold, warm, off = (K.solve(x, y, 1.0, 0.5, 1e-6, start) for start in (None, np.concatenate(parts), np.ones(200) * (y > 0)))
+    for alpha, bias in (warm, off):  # a start whose signed sum is not zero is not used
+        assert np.abs(alpha - cold[0]).max() < 1e-3 and abs(bias - cold[1]) < 1e-3 and abs(alpha @ y) < 1e-9
+
+
 @pytest.mark.parametrize("part_rows", [1000, 40])
 def test_cascade_equals_an_exact_solver(spark, part_rows):
     from manyscale.operators import kernel_machines as K
