@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from manyscale.functions import arrays
 
-_CHUNK_VALUES = 4_000_000
+_CHUNK_VALUES = 250_000
 
 
 @dataclass(frozen=True)
@@ -32,9 +32,11 @@ class Metric:
 
 
 def _euclidean_block(a, b):
-    aa = (a * a).sum(axis=1)
-    bb = (b * b).sum(axis=1)
-    sq = aa[:, None] + bb[None, :] - 2.0 * (a @ b.T)
+    aa, bb = np.einsum("ij,ij->i", a, a), np.einsum("ij,ij->i", b, b)
+    sq = a @ b.T
+    sq *= -2.0
+    sq += aa[:, None]
+    sq += bb[None, :]
     np.maximum(sq, 0.0, out=sq)
     top = (aa.max(initial=0.0) + bb.max(initial=0.0)) * (4 + a.shape[1] / 16)
     return np.sqrt(sq, out=sq), float(np.sqrt(1e-14 * top))

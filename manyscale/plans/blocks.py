@@ -24,9 +24,11 @@ from pyspark.sql import types as T
 from manyscale.functions import batches as nb
 from manyscale.functions.metrics import Metric
 from manyscale.plans import storage
-from manyscale.plans.cells import MAX_CELLS, TILE_VALUES, CellPairs, Cells, Nearest, Pairs, Within, decode, exact_block, grouped, measured
+from manyscale.plans.cells import BLOCK_VALUES, MAX_CELLS, TILE_VALUES, CellPairs, Cells, Nearest, Pairs, Within, decode, exact_block, grouped, measured
 
-BLOCK_BYTES = 64 * 1024 * 1024
+BLOCK_BYTES = 16 * 1024 * 1024
+#: Tasks of a join for each core.
+TASKS = 16
 PIVOT_ROWS = 20_000
 HIT = T.ArrayType(T.StructType([T.StructField(name, T.IntegerType()) for name in ("cell", "lo", "hi")]))
 
@@ -248,8 +250,12 @@ def _spread(counts: np.ndarray) -> Column:
 
 
 def dealt(rows: DataFrame) -> DataFrame:
-    """The rows of both sides in their blocks, data before queries; the one shuffle of a join."""
-    return rows.repartition("cell", "qb", "xb").sortWithinPartitions("cell", "qb", "xb", "side")
+    """The rows of both sides in their blocks, data before queries; the one shuffle of a join.
+
+    Blocks are small tables that take long, so they are spread by their number and not by their bytes.
+    """
+    tasks = TASKS * rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(tasks, "cell", "qb", "xb").sortWithinPartitions("cell", "qb", "xb", "side")
 
 
 def block_join(queries: DataFrame, data: DataFrame, metric: Metric, cells: Cells, rule: Within | Nearest | Home | None,
@@ -317,11 +323,12 @@ def block_join(queries: DataFrame, data: DataFrame, metric: Metric, cells: Cells
                 rows = batch.slice(s, e - s)
                 if marks[3, s] == 0:
                     held.append(rows)
-                elif held or one_block:
-                    if block is None and held:
+                elif held or block is not None or one_block:
+                    if held:
                         block = side(pa.Table.from_batches(held), "p", extra_x, int(here[0]))
+                        held = []
                     chunk = side(rows, "q", extra_q, int(here[0]))
-                    step = max(1, TILE_VALUES // len(block.ids)) if block else len(chunk.ids)
+                    step = max(1, BLOCK_VALUES // len(block.ids)) if block else len(chunk.ids)
                     for t in range(0, len(chunk.ids), step):
                         yield from task(chunk.slice(t, t + step), block)
 

@@ -459,3 +459,19 @@ def test_sketched_joins_equal_brute_force_with_half_the_bytes(table, monkeypatch
     sizes = coded.agg(F.sum(F.octet_length("x")).alias("bytes"), F.count("x").alias("n")).first()
     pairs = len(got) if isinstance(got, list) else got.count()
     assert sizes.bytes + pairs * (2 * 64 * 8 + sketches.PAIR_BYTES) < 0.5 * sizes.n * 64 * 8
+
+
+def test_tasks_of_a_join_hold_bounded_blocks_and_tiles(table):
+    import pyarrow as pa
+
+    metric = metrics.named("euclidean")
+    assert blocks.block_rows(64, metric) * 64 * 8 <= 16 * 2**20
+    side = nbr._side(table(gauss(1500, 2, 70)), "point_id", "x", metric)
+
+    def sizes(q, x):
+        yield pa.RecordBatch.from_arrays([pa.array([len(q.ids)]), pa.array([len(x.ids)])], names=["n_q", "n_x"])
+
+    met, several = blocks.block_join(side, side, metric, cells.Cells.one(1500), None, sizes, "n_q long, n_x long", rows_per_block=2000, n_queries=200_000)
+    tiles = met.collect()
+    assert not several and sum(r.n_q * r.n_x for r in tiles) == 1500 * 1500
+    assert max(r.n_q * r.n_x for r in tiles) <= 1_000_000
