@@ -475,3 +475,21 @@ def test_tasks_of_a_join_hold_bounded_blocks_and_tiles(table):
     tiles = met.collect()
     assert not several and sum(r.n_q * r.n_x for r in tiles) == 1500 * 1500
     assert max(r.n_q * r.n_x for r in tiles) <= 1_000_000
+
+
+@pytest.mark.parametrize("box", [0.25, 0.3])
+def test_periodic_distances_in_bounded_memory(box):
+    import tracemalloc
+
+    a, b = gauss(1000, 3, 71), gauss(2000, 3, 72)
+    b[0], b[1] = a[0] + box, a[0] + 7 * box / 2
+    metric = metrics.periodic(box)
+    tracemalloc.start()
+    got, slack = metric.block(a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert slack == 0 and peak < 40e6  # the distances take 16 MB
+    gap = np.mod(np.abs(a[:, None, :] - b[None, :, :]), box)
+    gap = np.minimum(gap, box - gap)
+    assert (got == np.sqrt((gap * gap).sum(-1))).all()
+    assert (metric.rows(a, b[:1000]) == got[np.arange(1000), np.arange(1000)]).all()
