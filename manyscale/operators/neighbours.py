@@ -286,17 +286,27 @@ def pad_neighbours(found: DataFrame, queries: DataFrame, k: int, missing_id: int
         F.coalesce("d", F.lit(float("inf"))).alias("d"))
 
 
+def _within(metric: Metric, r: float, self_join: bool, q: Side, x: Side) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(rows, cols, distances)`` of the pairs of two blocks within ``r``, and of those in leaves that are taken whole."""
+    whole = q.lo == 1
+    hit, d = x.ready(metric).within(q.points, r) if metric.products else None, None
+    open_ = hit is not None
+    if not open_:
+        d, slack = metric.block(q.points, x.points)
+        hit, open_ = d <= r + slack, bool(slack)
+    if whole.any():
+        hit |= whole[:, None]
+    if self_join and q.same.any():
+        hit &= ~q.same[:, None] | (q.ids[:, None] < x.ids[None, :])
+    rows, cols = np.nonzero(hit)
+    gaps = nests.exact(metric, q.points, x.points, rows, cols) if open_ else d[rows, cols]
+    inside = (gaps <= r) | whole[rows]
+    return rows[inside], cols[inside], gaps[inside]
+
+
 def _pairs_task(metric: Metric, r: float, self_join: bool):
     def task(q: Side, x: Side) -> Iterator[pa.RecordBatch]:
-        d, slack = metric.block(q.points, x.points)
-        whole = q.lo == 1
-        hit = (d <= r + slack) | whole[:, None]
-        if self_join:
-            hit &= ~q.same[:, None] | (q.ids[:, None] < x.ids[None, :])
-        rows, cols = np.nonzero(hit)
-        gaps = nests.exact(metric, q.points, x.points, rows, cols) if slack else d[rows, cols]
-        inside = (gaps <= r) | whole[rows]
-        rows, cols, gaps = rows[inside], cols[inside], gaps[inside]
+        rows, cols, gaps = _within(metric, r, self_join, q, x)
         i, j = q.ids[rows], x.ids[cols]
         if self_join:
             i, j = np.minimum(i, j), np.maximum(i, j)
@@ -305,6 +315,25 @@ def _pairs_task(metric: Metric, r: float, self_join: bool):
     return task
 
 
+def _lists_task(metric: Metric, r: float, segment: int | None):
+    """Neighbours within ``r`` as one list for each query row and data block, nearest first, or for each segment of ids in it."""
+
+    def task(q: Side, x: Side) -> Iterator[pa.RecordBatch]:
+        rows, cols, gaps = _within(metric, r, False, q, x)
+        ids = x.ids[cols]
+        part = ids // segment if segment else np.zeros(len(ids), np.int64)
+        # The rows of a block are in the order of their ids, and equal distances stay so.
+        order = np.lexsort((gaps, part, rows) if segment else (gaps, rows))
+        rows, part = rows[order], part[order]
+        first = np.flatnonzero(np.append(True, (np.diff(rows) != 0) | (np.diff(part) != 0))) if len(rows) else rows
+        lengths = np.diff(np.append(first, len(rows)))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(q.ids[rows[first]]), pa.array(part[first]), from_lists(ids[order], lengths, pa.int64()), from_lists(gaps[order], lengths, pa.float64())],
+            names=["q_id", "segment", "nbr_ids", "ds"])
+
+    return task
+
+
 def _prepared(a, b, metric, a_id, b_id, a_x, b_x, rows_per_block):
     """Both sides in standard form, and the rows per block."""
     left = _side(a, a_id, a_x, metric)
@@ -313,6 +342,23 @@ def _prepared(a, b, metric, a_id, b_id, a_x, b_x, rows_per_block):
     return left, right, rows_per_block or blocks.block_rows(width, metric)
 
 
+def _join_within(left: DataFrame, right: DataFrame, r: float, metric: Metric, size: int, eps: float, cells: int | None, segment: int | None = None,
+                 lists: bool = False) -> DataFrame:
+    """Pairs ``(i, j, d)`` of two sides within ``r``, or ``lists``, each of one query and block: ``(q_id, segment, nbr_ids, ds)``."""
+    n = right.count()
+    rule = nests.Within(r, eps)
+    model = blocks.make_cells(right, n, metric, size, 0, cells, left, rule)
+    sketch = None if model.levels else _sketch(left, right, n, metric, size, _open_within(r))
+    if sketch:
+        found = _sketched_pairs(left, right, n, metric, sketch, r, False, size)
+        one = F.expr(f"(j - pmod(j, {segment}L)) div {segment}L") if segment else F.lit(0).cast("long")
+        return found.select(F.col("i").alias("q_id"), one.alias("segment"), F.array("j").alias("nbr_ids"), F.array("d").alias("ds")) if lists else found
+    task, schema = ((_lists_task(metric, r, segment), "q_id long, segment long, nbr_ids array<long>, ds array<double>") if lists
+                    else (_pairs_task(metric, r, False), "i long, j long, d double"))
+    found, _ = blocks.block_join(left, right, metric, model, rule, task, schema, rows_per_block=size, n_queries=n if left is right else None)
+    return found
+
+
 def range_join(a: DataFrame, b: DataFrame, r: float, *, metric: str | Metric = "euclidean", eps: float = 0.0,
                a_id: str = "point_id", b_id: str = "point_id", a_x: str = "x", b_x: str = "x",
                cells: int | None = None, rows_per_block: int | None = None) -> DataFrame:
@@ -323,15 +369,7 @@ def range_join(a: DataFrame, b: DataFrame, r: float, *, metric: str | Metric = "
     """
     metric = named(metric)
     left, right, size = _prepared(a, b, metric, a_id, b_id, a_x, b_x, rows_per_block)
-    n = right.count()
-    rule = nests.Within(r, eps)
-    model = blocks.make_cells(right, n, metric, size, 0, cells, left, rule)
-    sketch = None if model.levels else _sketch(left, right, n, metric, size, _open_within(r))
-    if sketch:
-        return _sketched_pairs(left, right, n, metric, sketch, r, False, size)
-    found, _ = blocks.block_join(left, right, metric, model, rule, _pairs_task(metric, r, False),
-                                 "i long, j long, d double", rows_per_block=size, n_queries=n if left is right else None)
-    return found
+    return _join_within(left, right, r, metric, size, eps, cells)
 
 
 def close_pairs(a: DataFrame, r: float, *, metric: str | Metric = "euclidean", eps: float = 0.0,
@@ -366,19 +404,38 @@ def ball_search(queries: DataFrame, data: DataFrame, r: float, *, metric: str |
     so none is longer than that, and what a row holds depends on ids alone. Queries without neighbours keep one row
     with empty lists and no segment.
     """
-    pairs = range_join(queries, data, r, metric=metric, eps=eps, a_id=query_id, b_id=data_id, a_x=query_x, b_x=data_x,
-                       cells=cells, rows_per_block=rows_per_block)
-    found = pairs.groupBy(F.col("i").alias("q_id"), F.expr(f"(j - pmod(j, {segment}L)) div {segment}L").alias("segment")).agg(
-        F.sort_array(F.collect_list(F.struct("d", "j"))).alias("e")).select(
+    metric = named(metric)
+    left, right, size = _prepared(queries, data, metric, query_id, data_id, query_x, data_x, rows_per_block)
+    pieces = _join_within(left, right, r, metric, size, eps, cells, segment, lists=True)
+    # One shuffle serves the merged lists and the join with the queries; pieces are in order, so merging them is quick.
+    found = pieces.repartition("q_id").groupBy("q_id", "segment").agg(
+        F.sort_array(F.flatten(F.collect_list(F.arrays_zip(F.col("ds").alias("d"), F.col("nbr_ids").alias("j"))))).alias("e")).select(
         "q_id", "segment", F.col("e.j").alias("nbr_ids"), F.col("e.d").alias("ds"))
     nothing = F.array().cast("array<long>"), F.array().cast("array<double>")
     return queries.select(F.col(query_id).cast("long").alias("q_id")).join(found, "q_id", "left").select(
         "q_id", "segment", F.coalesce("nbr_ids", nothing[0]).alias("nbr_ids"), F.coalesce("ds", nothing[1]).alias("ds"))
 
 
-def neighbours_within(queries: DataFrame, data: DataFrame, distance_upper_bound: float, **options) -> DataFrame:
-    """All neighbours up to a bound (the open-ended form of a nearest-neighbour query), as ``ball_search`` lists."""
-    return ball_search(queries, data, distance_upper_bound, **options)
+def neighbours_within(queries: DataFrame, data: DataFrame, distance_upper_bound: float, *, ranked: bool = False, **options) -> DataFrame:
+    """All neighbours up to a bound (the open-ended form of a nearest-neighbour query), as ``ball_search`` lists.
+
+    With ``ranked`` they are rows ``(q_id, rank, nbr_id, d)``, as ``knn_join`` gives them.
+    """
+    if not ranked:
+        return ball_search(queries, data, distance_upper_bound, **options)
+    return _ranked_within(queries, data, distance_upper_bound, **options)
+
+
+def _ranked_within(queries: DataFrame, data: DataFrame, r: float, *, metric: str | Metric = "euclidean", eps: float = 0.0,
+                   query_id: str = "point_id", data_id: str = "point_id", query_x: str = "x", data_x: str = "x",
+                   cells: int | None = None, rows_per_block: int | None = None) -> DataFrame:
+    """Neighbours travel as lists of one block each, which are opened where they are ranked; a query's rows are sorted by Spark."""
+    metric = named(metric)
+    left, right, size = _prepared(queries, data, metric, query_id, data_id, query_x, data_x, rows_per_block)
+    pieces = _join_within(left, right, r, metric, size, eps, cells, lists=True).repartition("q_id")
+    rows = pieces.select("q_id", F.explode(F.arrays_zip("nbr_ids", "ds")).alias("e")).select("q_id", F.col("e.nbr_ids").alias("nbr_id"), F.col("e.ds").alias("d"))
+    order = Window.partitionBy("q_id").orderBy("d", "nbr_id")
+    return rows.select("q_id", F.row_number().over(order).alias("rank"), "nbr_id", "d")
 
 
 def _count_task(metric: Metric, radii: np.ndarray, self_join: bool):

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +46,13 @@ class Side:
     same: np.ndarray
     cap: np.ndarray
     cell: int
+    _ready: list = field(default_factory=list)
+
+    def ready(self, metric: Metric):
+        """What the metric makes of the points for products, worked out once for a block."""
+        if not self._ready:
+            self._ready.append(metric.products(self.points))
+        return self._ready[0]
 
     def slice(self, s: int, e: int) -> Side:
         return Side(self.ids[s:e], self.points[s:e], {k: v[s:e] for k, v in self.columns.items()},
@@ -250,12 +257,12 @@ def _spread(counts: np.ndarray) -> Column:
 
 
 def dealt(rows: DataFrame) -> DataFrame:
-    """The rows of both sides in their blocks, data before queries; the one shuffle of a join.
+    """The rows of both sides in their blocks, data before queries and each by id; the one shuffle of a join.
 
     Blocks are small tables that take long, so they are spread by their number and not by their bytes.
     """
     tasks = TASKS * rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(tasks, "cell", "qb", "xb").sortWithinPartitions("cell", "qb", "xb", "side")
+    return rows.repartition(tasks, "cell", "qb", "xb").sortWithinPartitions("cell", "qb", "xb", "side", "id")
 
 
 def block_join(queries: DataFrame, data: DataFrame, metric: Metric, cells: Cells, rule: Within | Nearest | Home | None,

@@ -22,8 +22,10 @@ from manyscale.functions import batches as nb
 from manyscale.functions.metrics import Metric
 
 TILE_VALUES = 8_000_000
-#: Distances, or coordinates of chosen pairs, that a task works out at a time.
+#: Distances that a task works out at a time.
 BLOCK_VALUES = 1_000_000
+#: Coordinates of chosen pairs that a task works out at a time; few enough to stay in a core's cache.
+PAIR_VALUES = 65_536
 #: Children of a cell, on average.
 FAN = 48
 MAX_CELLS = 8192
@@ -42,7 +44,7 @@ def decode(column, metric: Metric) -> np.ndarray:
 def exact(metric: Metric, a: np.ndarray, b: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
     """Exact distances of chosen pairs, a bounded number of coordinates at a time."""
     out = np.empty(len(rows))
-    step = max(1, BLOCK_VALUES // (a.shape[1] if a.ndim > 1 else 64))
+    step = max(1, PAIR_VALUES // (a.shape[1] if a.ndim > 1 else 64))
     for s in range(0, len(rows), step):
         out[s : s + step] = metric.rows(a[rows[s : s + step]], b[cols[s : s + step]])
     return out

@@ -493,3 +493,47 @@ def test_periodic_distances_in_bounded_memory(box):
     gap = np.minimum(gap, box - gap)
     assert (got == np.sqrt((gap * gap).sum(-1))).all()
     assert (metric.rows(a, b[:1000]) == got[np.arange(1000), np.arange(1000)]).all()
+
+
+def test_ranked_neighbours_travel_as_lists(table):
+    x = np.round(gauss(300, 3, 73), 1)
+    x[20:40], x[50] = x[20], 100.0
+    t, d, r = table(x), brute(x, x), 0.9
+    want = {i: sorted((d[i, j], j) for j in np.flatnonzero(d[i] <= r)) for i in range(len(x))}
+    for options in ({}, {"rows_per_block": 40}, {"cells": 12, "rows_per_block": 16}):
+        found = nbr.neighbours_within(t, t, r, ranked=True, **options)
+        got = {}
+        for row in found.orderBy("q_id", "rank").collect():
+            got.setdefault(row.q_id, []).append((row.rank, row.nbr_id))
+            assert abs(row.d - d[row.q_id, row.nbr_id]) < 1e-12
+        assert got == {i: [(k, j) for k, (_, j) in enumerate(js, 1)] for i, js in want.items()}, options
+        # The lists are shuffled once, before they are opened; single pairs are not.
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("hashpartitioning(q_id") == 1 and plan.index("Generate explode") < plan.index("hashpartitioning(q_id")
+        lists = nbr.ball_search(t, t, r, segment=64, **options).collect()
+        assert {(p.q_id, p.segment): p.nbr_ids for p in lists} == {(i, s): [j for _, j in js if j // 64 == s] for i, js in want.items() for s in {j // 64 for _, j in js}}
+
+
+def test_products_lose_no_pair_and_leave_few_others():
+    a, b = gauss(200, 64, 74) / 8, gauss(900, 64, 75) / 8
+    b[:50] = a[:50] + gauss(50, 64, 76) * 1e-3
+    d = brute(a, b)
+    ready = metrics.Products(b)
+    for r in (0.8, 1.3, float(d[3, 7])):
+        marked = ready.within(a, r)
+        assert marked[d <= r].all() and marked.sum() <= (d <= r * 1.001).sum()
+    for p, q, r in ((a, b, 0.0), (a, b, 1e-3), (a * 1e9, b, 1.0), (a * 1e-9, b * 1e-9, 1e-9), (a, np.where(d[0, 0] > 0, np.nan, b), 1.0)):
+        assert metrics.Products(q).within(p, r) is None
+
+
+def test_exact_distances_of_many_pairs_in_bounded_memory():
+    import tracemalloc
+
+    a, b = gauss(100, 64, 77), gauss(1000, 64, 78)
+    rows, cols = np.repeat(np.arange(100), 1000), np.tile(np.arange(1000), 100)
+    tracemalloc.start()
+    got = cells.exact(metrics.euclidean(), a, b, rows, cols)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 5e6  # the distances take 0.8 MB
+    assert (got == metrics.euclidean().rows(a[rows], b[cols])).all()
