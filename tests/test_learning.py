@@ -233,3 +233,28 @@ def test_cascade_equals_an_exact_solver(spark, part_rows):
         assert abs(model.weights[c].sum()) < 1e-9 and np.abs(model.weights[c]).max() <= 2.0
     predicted = model.predict(df).orderBy("point_id").collect()
     assert [r.prediction for r in predicted] == [model.classes[k] for k in got.argmax(axis=1)]
+
+
+def test_overlapping_classes_are_merged_at_once(spark):
+    from manyscale.operators import kernel_machines as K
+
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(1200, 6))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[1100:] = x[1100] + 1e-4 * x[1100:]  # near copies
+    label = np.where(rng.random(1200) < 0.7, rng.integers(0, 3, 1200), (x[:, 0] > 0) + 1)
+    df = spark.createDataFrame([(i, x[i].tolist(), int(label[i])) for i in range(1200)], "point_id long, x array<double>, label int").repartition(4)
+    model = K.fit_kernel_machine(df, part_rows=64)
+    # Support vectors of a class fill more than four parts, so no task holds them; nothing is left for a second round.
+    assert (model.weights != 0).sum(axis=1).max() > 4 * 64 and (model.violations, model.rounds) == (0, 1)
+    got = model.decisions(df).orderBy("point_id").collect()
+    for c, name in enumerate(model.classes):
+        y = np.where(label == name, 1.0, -1.0)
+        alpha, bias = K.solve(x, y, 1.0, 1 / 6)
+        want = K.scores(x, x, (alpha * y)[None, :], bias, 1 / 6)[:, 0]
+        assert np.abs(np.array([r.decisions[c] for r in got]) - want).max() < 5e-3
+        assert abs(model.weights[c].sum()) < 1e-6 and np.abs(model.weights[c]).max() <= 1.0
+        weights = np.zeros(1200)
+        weights[model.ids] = np.abs(model.weights[c])
+        margin = y * want
+        assert (weights[margin > 1.01] == 0).all() and (weights[margin < 0.99] == 1).all()
