@@ -310,20 +310,25 @@ def _merged_at_once(rows: DataFrame, found: DataFrame, classes: list, n: int, wi
         def movers(it: Iterator[pa.RecordBatch]):
             for batch in it:
                 if batch.num_rows:
-                    move = move_of(batch)[-1]
+                    x, *_, move = move_of(batch)
                     at = np.flatnonzero(move.any(axis=1))
-                    yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(at)) for c in ("point_id", "x")] + [nb.from_matrix(move[at])], names=["point_id", "x", "move"])
+                    yield pa.RecordBatch.from_arrays([pa.array([v[at].tobytes()], pa.binary()) for v in (x, move)], names=["x", "move"])
 
-        apart = state.mapInArrow(movers, "point_id long, x array<double>, move array<double>").toArrow().sort_by("point_id")
-        vectors, weights = nb.to_matrix(apart.column("x")).reshape(-1, width), nb.to_matrix(apart.column("move")).reshape(-1, m)
-        shipped = storage.checked_broadcast(spark, (vectors, np.ascontiguousarray(weights.T)), vectors.nbytes + weights.nbytes, "the vectors whose weights change")
+        # The driver holds what it sends on once: views of the bytes that came.
+        apart = state.mapInArrow(movers, "x binary, move binary").toArrow()
+        pieces = [tuple(np.frombuffer(v.as_buffer()).reshape(-1, wide) for v, wide in zip(pair, (width, m))) for pair in zip(apart.column("x"), apart.column("move"))]
+        shipped = storage.checked_broadcast(spark, pieces, sum(x.nbytes + move.nbytes for x, move in pieces), "the vectors whose weights change")
+        del apart, pieces
 
         def task(it: Iterator[pa.RecordBatch]):
             for batch in it:
                 if batch.num_rows:
                     x, alpha, score, move = move_of(batch)
+                    change = np.zeros_like(move)
+                    for vectors, weights in shipped.value:
+                        change += scores(x, vectors, weights.T, 0.0, gamma)
                     yield pa.RecordBatch.from_arrays(
-                        [*(batch.column(c) for c in ("point_id", "x", "own")), *(nb.from_matrix(v) for v in (alpha, score, move, scores(x, *shipped.value, 0.0, gamma)))],
+                        [*(batch.column(c) for c in ("point_id", "x", "own")), *(nb.from_matrix(v) for v in (alpha, score, move, change))],
                         names=["point_id", "x", "own", "alpha", "score", "move", "change"])
 
         lists = ", ".join(f"{c} array<double>" for c in ("alpha", "score", "move", "change"))
@@ -383,13 +388,22 @@ def _merged_at_once(rows: DataFrame, found: DataFrame, classes: list, n: int, wi
     def result(it: Iterator[pa.RecordBatch]):
         for batch in it:
             if batch.num_rows:
-                _, signs, alpha, _ = unpacked(batch, length)
+                x, signs, alpha, _ = unpacked(batch, length)
                 at = np.flatnonzero(alpha.any(axis=1))
-                yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(at)) for c in ("point_id", "x")] + [nb.from_matrix((signs * alpha)[at])], names=["point_id", "x", "weights"])
-
-    apart = state.mapInArrow(result, "point_id long, x array<double>, weights array<double>").toArrow().sort_by("point_id")
-    weights = np.ascontiguousarray(nb.to_matrix(apart.column("weights")).reshape(-1, m).T)
-    return KernelMachine(classes, nb.to_numpy(apart.column("point_id")), nb.to_matrix(apart.column("x")).reshape(-1, width), weights, at[:, d].copy(), gamma, cost, 0, 1)
+                ids = nb.to_numpy(batch.column("point_id")).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([v[at].tobytes()], pa.binary()) for v in (ids, x, signs * alpha)], names=["point_id", "x", "weights"])
+
+    apart = state.mapInArrow(result, "point_id binary, x binary, weights binary").toArrow()
+    basis.destroy()
+    ids = np.concatenate([np.frombuffer(v.as_buffer(), np.int64) for v in apart.column("point_id")])
+    place = np.empty(len(ids), np.int64)
+    place[np.argsort(ids)] = np.arange(len(ids))
+    vectors, weights, done = np.empty((len(ids), width)), np.empty((m, len(ids))), 0
+    for x, held in zip(apart.column("x"), apart.column("weights")):
+        x, held = np.frombuffer(x.as_buffer()).reshape(-1, width), np.frombuffer(held.as_buffer()).reshape(-1, m)
+        to = place[done : done + len(x)]
+        vectors[to], weights[:, to], done = x, held.T, done + len(x)
+    return KernelMachine(classes, np.sort(ids), vectors, weights, at[:, d].copy(), gamma, cost, 0, 1)
 
 
 def fit_kernel_machine(train: DataFrame, *, cost: float = 1.0, gamma: float | None = None, part_rows: int = PART_ROWS, tolerance: float = TOLERANCE,
